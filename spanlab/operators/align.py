@@ -34,36 +34,38 @@ SPAN_COLS = [*DOC_KEY, "ann_pos", "start", "end", "label"]
 _ACC_TYPE = "array<struct<start_idx:int,neg_pos:int,end_idx:int,ann_pos:int,label:string>>"
 
 
-def locate(spans: DataFrame, pieces: DataFrame) -> DataFrame:
+def locate(spans: DataFrame, pieces: DataFrame, extra_key: list[str] | None = None) -> DataFrame:
     """Start and end token of every span (O21 ``char_to_token``).
 
     Output: span columns + ``start_idx`` (null = unmappable), ``end_idx``
     (last token starting before ``end``), ``status`` in
     ``ok | no_token | empty``.
     """
-    s = spans.select(*SPAN_COLS)
+    ek = extra_key or []
+    cols = [*ek, *SPAN_COLS]
+    s = spans.select(*cols)
     live = s.where(F.col("end") > F.col("start"))
     targets = F.array(
         F.struct(F.lit(0).alias("kind"), F.col("start").alias("target")),
         F.struct(F.lit(1).alias("kind"), (F.col("end") - 1).alias("target")),
     )
-    cand = (live.select(*SPAN_COLS, F.explode(targets).alias("t"))
-            .select(*SPAN_COLS, "t.kind", "t.target",
+    cand = (live.select(*cols, F.explode(targets).alias("t"))
+            .select(*cols, "t.kind", "t.target",
                     F.explode(F.sequence(F.col("t.target") - (MAX_PIECE - 1), F.col("t.target")))
                     .alias("cand")))
     p = pieces.select(*DOC_KEY, F.col("pstart").alias("cand"), "pend", "is_tok", "idx_upto", "n_tok")
     hit = cand.join(p, [*DOC_KEY, "cand"], "inner").where(F.col("target") < F.col("pend"))
-    found = hit.groupBy(*DOC_KEY, "ann_pos").agg(
+    found = hit.groupBy(*DOC_KEY, *ek, "ann_pos").agg(
         F.max(F.when((F.col("kind") == 0) & F.col("is_tok"), F.col("idx_upto"))).alias("start_idx"),
         F.max(F.when(F.col("kind") == 1, F.col("idx_upto"))).alias("end_hit"),
         F.max("n_tok").alias("n_tok"),
     )
-    out = s.join(found, [*DOC_KEY, "ann_pos"], "left")
+    out = s.join(found, [*DOC_KEY, *ek, "ann_pos"], "left")
     status = (F.when(F.col("end") <= F.col("start"), F.lit("empty"))
               .when(F.col("start_idx").isNull(), F.lit("no_token"))
               .otherwise(F.lit("ok")))
     return out.select(
-        *SPAN_COLS,
+        *cols,
         F.when(F.col("end") > F.col("start"), F.col("start_idx")).alias("start_idx"),
         F.when(F.col("start_idx").isNotNull() & (F.col("end") > F.col("start")),
                F.coalesce(F.col("end_hit"), F.col("n_tok"))).alias("end_idx"),
@@ -83,40 +85,53 @@ def last_span_wins(located: DataFrame) -> DataFrame:
             .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
 
 
-def resolve_overlaps(located: DataFrame) -> DataFrame:
+def resolve_overlaps(located: DataFrame, extra_key: list[str] | None = None) -> DataFrame:
     """O55 + O56: greedy left-to-right acceptance of mappable spans.
 
-    One fold per document over its spans ordered by (start token, list
-    position descending).  Taking the first span of each start token is
-    exactly "last annotation wins"; every later span on the same start token
-    is then inside the accepted one and skipped.
+    Spans are ordered by (start token, list position descending); taking the
+    first span of each start token is exactly "last annotation wins", and
+    every later span on that start token is then inside it and skipped.
+
+    The greedy rule is a recurrence, so it needs a fold -- but only inside
+    an *overlap cluster*: a span starting after every earlier span ended
+    (running max of ``end_idx``) is always accepted and opens a new
+    cluster.  Clusters are one window away and almost always a single span,
+    so the fold stays linear in the number of spans, whatever the document
+    length.
     """
-    ok = located.where(F.col("status") == "ok")
-    per_doc = ok.groupBy(*DOC_KEY).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("start_idx").cast("int").alias("start_idx"),
-        (-F.col("ann_pos")).cast("int").alias("neg_pos"),
-        F.col("end_idx").cast("int").alias("end_idx"),
-        F.col("ann_pos").cast("int").alias("ann_pos"),
-        F.col("label").alias("label")))).alias("cands"))
+    ek = extra_key or []
+    ok = located.where(F.col("status") == "ok").select(
+        *DOC_KEY, *ek, F.col("start_idx").cast("int").alias("start_idx"),
+        (-F.col("ann_pos")).cast("int").alias("neg_pos"), F.col("end_idx").cast("int").alias("end_idx"),
+        F.col("ann_pos").cast("int").alias("ann_pos"), "label")
+    w = Window.partitionBy(*DOC_KEY, *ek).orderBy("start_idx", "neg_pos")
+    prev_end = F.max("end_idx").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (prev_end.isNull() | (F.col("start_idx") > prev_end)).cast("int")
+    ok = ok.withColumn("_open", opens)
+    ok = ok.withColumn("cluster", F.sum("_open").over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    per_cluster = ok.groupBy(*DOC_KEY, *ek, "cluster").agg(F.array_sort(F.collect_list(F.struct(
+        "start_idx", "neg_pos", "end_idx", "ann_pos", "label"))).alias("cands"))
     init = F.struct(F.lit(0).alias("nf"), F.array().cast(_ACC_TYPE).alias("acc"))
-    accepted = F.aggregate(
+    accepted = F.when(F.size("cands") == 1, F.col("cands")).otherwise(F.aggregate(
         "cands", init,
         lambda st, x: F.when(
             x["start_idx"] >= st["nf"],
             F.struct((x["end_idx"] + 1).alias("nf"), F.concat(st["acc"], F.array(x)).alias("acc")),
         ).otherwise(st),
         lambda st: st["acc"],
-    )
-    return (per_doc.select(*DOC_KEY, F.explode(accepted).alias("a"))
-            .select(*DOC_KEY, "a.ann_pos", "a.start_idx", "a.end_idx", "a.label"))
+    ))
+    return (per_cluster.select(*DOC_KEY, *ek, F.explode(accepted).alias("a"))
+            .select(*DOC_KEY, *ek, "a.ann_pos", "a.start_idx", "a.end_idx", "a.label"))
 
 
-def cover(accepted: DataFrame) -> DataFrame:
+def cover(accepted: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """The tokens each accepted span covers (``idx, span_label, is_first``)."""
-    return (accepted.select(*DOC_KEY, "ann_pos", "start_idx", "label",
+    extra = extra or []
+    return (accepted.select(*DOC_KEY, "ann_pos", "start_idx", "label", *extra,
                             F.explode(F.sequence("start_idx", "end_idx")).alias("idx"))
             .select(*DOC_KEY, "idx", "ann_pos", F.col("label").alias("span_label"),
-                    (F.col("idx") == F.col("start_idx")).alias("is_first")))
+                    (F.col("idx") == F.col("start_idx")).alias("is_first"), *extra))
 
 
 def align(tokens: DataFrame, located: DataFrame) -> DataFrame:

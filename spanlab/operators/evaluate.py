@@ -36,42 +36,61 @@ def confusion(pairs: DataFrame) -> DataFrame:
 
 
 def eval_sets(conf: DataFrame) -> DataFrame:
-    """Own corpus (origin = taxonomy) and concatenated corpus (all origins)."""
-    own = conf.where(F.col("origin") == F.col("taxonomy")).withColumn("eval_set", F.lit("own"))
-    cat = conf.withColumn("eval_set", F.lit("concat"))
-    return (own.unionByName(cat)
+    """Own corpus (origin = taxonomy) and concatenated corpus (all origins).
+
+    One pass: each confusion row is emitted into every set it belongs to.
+    """
+    sets = F.when(F.col("origin") == F.col("taxonomy"), F.array(F.lit("own"), F.lit("concat"))) \
+        .otherwise(F.array(F.lit("concat")))
+    return (conf.select("*", F.explode(sets).alias("eval_set"))
             .groupBy("taxonomy", "eval_set", "model_id", "true_id", "pred_id")
             .agg(F.sum("n").alias("n")))
 
 
-def _scope(spark) -> DataFrame:
-    return tx.label_dim(spark).where("in_scope").select("taxonomy", "tag_id", "tag")
+def _scope_structs(taxonomy: Column) -> Column:
+    """All in-scope ``(tag_id, tag)`` of the row's taxonomy, as a literal array."""
+    def arr(t):
+        return F.array(*[F.struct(F.lit(i).alias("tag_id"), F.lit(tag).alias("tag"))
+                         for i, tag, *_, in_scope, _ in tx.label_rows(t) if in_scope])
+    return F.when(taxonomy == "A", arr("A")).otherwise(arr("B"))
+
+
+def _scope_tag(taxonomy: Column, tag_id: Column) -> Column:
+    """Tag text of an in-scope tag id, null otherwise."""
+    d = {f"{t}|{i}": tag for t in tx.TAXONOMIES
+         for i, tag, *_, in_scope, _ in tx.label_rows(t) if in_scope}
+    return F.element_at(tx._map(d), F.concat(taxonomy, F.lit("|"), tag_id.cast("string")))
 
 
 def classification_report(conf: DataFrame) -> DataFrame:
     """O46 + O17: per in-scope tag tp / pred_n / support / P / R / F1.
 
-    Out-of-scope predictions are not removed: they are misses of the true tag.
+    Out-of-scope predictions are not removed: they are misses of the true
+    tag.  Tags never seen still get a row (support 0): every confusion row
+    also contributes zeros to all in-scope tags of its taxonomy, so the
+    report is a single aggregation with no scaffold join.
     """
-    spark = conf.sparkSession
     sets = eval_sets(conf)
-    contrib = sets.select(
-        "taxonomy", "eval_set", "model_id",
-        F.explode(F.array(
+    zero = F.lit(0).cast("bigint")
+    contrib = F.concat(
+        F.array(
             F.struct(F.col("true_id").alias("tag_id"),
-                     F.when(F.col("true_id") == F.col("pred_id"), F.col("n")).otherwise(0).alias("tp"),
-                     F.lit(0).cast("bigint").alias("pred_n"), F.col("n").alias("support")),
-            F.struct(F.col("pred_id").alias("tag_id"), F.lit(0).cast("bigint").alias("tp"),
-                     F.col("n").alias("pred_n"), F.lit(0).cast("bigint").alias("support")),
-        )).alias("c")).select("taxonomy", "eval_set", "model_id", "c.*")
-    per_tag = contrib.groupBy("taxonomy", "eval_set", "model_id", "tag_id").agg(
-        F.sum("tp").alias("tp"), F.sum("pred_n").alias("pred_n"), F.sum("support").alias("support"))
-    frame = sets.select("taxonomy", "eval_set", "model_id").distinct().join(_scope(spark), "taxonomy")
-    r = frame.join(per_tag, ["taxonomy", "eval_set", "model_id", "tag_id"], "left").select(
-        "taxonomy", "eval_set", "model_id", "tag_id", "tag",
-        F.coalesce("tp", F.lit(0)).cast("bigint").alias("tp"),
-        F.coalesce("pred_n", F.lit(0)).cast("bigint").alias("pred_n"),
-        F.coalesce("support", F.lit(0)).cast("bigint").alias("support"))
+                     F.when(F.col("true_id") == F.col("pred_id"), F.col("n")).otherwise(zero).alias("tp"),
+                     zero.alias("pred_n"), F.col("n").alias("support")),
+            F.struct(F.col("pred_id").alias("tag_id"), zero.alias("tp"), F.col("n").alias("pred_n"),
+                     zero.alias("support"))),
+        F.transform(_scope_structs(F.col("taxonomy")),
+                    lambda s: F.struct(s["tag_id"].alias("tag_id"), zero.alias("tp"), zero.alias("pred_n"),
+                                       zero.alias("support"))))
+    per_tag = (sets.select("taxonomy", "eval_set", "model_id", F.explode(contrib).alias("c"))
+               .groupBy("taxonomy", "eval_set", "model_id", F.col("c.tag_id").alias("tag_id"))
+               .agg(F.sum("c.tp").alias("tp"), F.sum("c.pred_n").alias("pred_n"),
+                    F.sum("c.support").alias("support")))
+    tag = _scope_tag(F.col("taxonomy"), F.col("tag_id"))
+    r = per_tag.where(tag.isNotNull()).select(
+        "taxonomy", "eval_set", "model_id", F.col("tag_id").cast("int").alias("tag_id"), tag.alias("tag"),
+        F.col("tp").cast("bigint").alias("tp"), F.col("pred_n").cast("bigint").alias("pred_n"),
+        F.col("support").cast("bigint").alias("support"))
     return _with_prf(r)
 
 
@@ -96,20 +115,18 @@ def report_averages(report: DataFrame) -> DataFrame:
         F.sum(p * F.col("support")).alias("w_p"), F.sum(rc * F.col("support")).alias("w_r"),
         F.sum(f * F.col("support")).alias("w_f"),
     )
-    micro = g.select(*key, F.lit("micro").alias("average"),
-                     safe_ratio(F.col("tp"), F.col("pred_n")).alias("precision"),
-                     safe_ratio(F.col("tp"), F.col("support")).alias("recall"),
-                     safe_ratio(2 * F.col("tp"), F.col("pred_n") + F.col("support")).alias("f1"),
-                     "support")
-    macro = g.select(*key, F.lit("macro").alias("average"), F.col("macro_p").alias("precision"),
-                     F.col("macro_r").alias("recall"), F.col("macro_f").alias("f1"), "support")
-    weighted = g.select(*key, F.lit("weighted").alias("average"),
-                        safe_ratio(F.col("w_p"), F.col("support")).alias("precision"),
-                        safe_ratio(F.col("w_r"), F.col("support")).alias("recall"),
-                        safe_ratio(F.col("w_f"), F.col("support")).alias("f1"), "support")
-    out = micro.unionByName(macro).unionByName(weighted)
-    return out.select(*key, "average", round6(F.col("precision")).alias("precision"),
-                      round6(F.col("recall")).alias("recall"), round6(F.col("f1")).alias("f1"),
+    rows = F.array(
+        F.struct(F.lit("micro").alias("average"), safe_ratio(F.col("tp"), F.col("pred_n")).alias("precision"),
+                 safe_ratio(F.col("tp"), F.col("support")).alias("recall"),
+                 safe_ratio(2 * F.col("tp"), F.col("pred_n") + F.col("support")).alias("f1")),
+        F.struct(F.lit("macro").alias("average"), F.col("macro_p").alias("precision"),
+                 F.col("macro_r").alias("recall"), F.col("macro_f").alias("f1")),
+        F.struct(F.lit("weighted").alias("average"), safe_ratio(F.col("w_p"), F.col("support")).alias("precision"),
+                 safe_ratio(F.col("w_r"), F.col("support")).alias("recall"),
+                 safe_ratio(F.col("w_f"), F.col("support")).alias("f1")))
+    out = g.select(*key, "support", F.explode(rows).alias("a"))
+    return out.select(*key, "a.average", round6(F.col("a.precision")).alias("precision"),
+                      round6(F.col("a.recall")).alias("recall"), round6(F.col("a.f1")).alias("f1"),
                       F.col("support").cast("bigint").alias("support"))
 
 
@@ -160,18 +177,14 @@ def entity_report(tag_pairs: DataFrame) -> DataFrame:
     t = _entities(tag_pairs, "true_tag", key).withColumn("is_true", F.lit(1))
     p = _entities(tag_pairs, "pred_tag", key).withColumn("is_pred", F.lit(1))
     m = t.join(p, [*key, *DOC_KEY, "e_start", "e_end", "etype"], "full")
-    per = m.select(*key, "origin", "etype", F.coalesce("is_true", F.lit(0)).alias("it"),
-                   F.coalesce("is_pred", F.lit(0)).alias("ip"))
-    own = per.where(F.col("origin") == F.col("taxonomy")).withColumn("eval_set", F.lit("own"))
-    cat = per.withColumn("eval_set", F.lit("concat"))
-    both = own.unionByName(cat)
-    g = both.groupBy(*key, "eval_set", "etype").agg(
+    sets = F.when(F.col("origin") == F.col("taxonomy"), F.array(F.lit("own"), F.lit("concat"))) \
+        .otherwise(F.array(F.lit("concat")))
+    per = m.select(*key, F.explode(sets).alias("eval_set"),
+                   F.explode(F.array(F.col("etype"), F.lit("ALL"))).alias("etype"),
+                   F.coalesce("is_true", F.lit(0)).alias("it"), F.coalesce("is_pred", F.lit(0)).alias("ip"))
+    r = per.groupBy(*key, "eval_set", "etype").agg(
         F.sum(F.col("it") * F.col("ip")).alias("tp"), F.sum("ip").alias("n_pred"),
         F.sum("it").alias("n_true"))
-    overall = g.groupBy(*key, "eval_set").agg(
-        F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"), F.sum("n_true").alias("n_true")) \
-        .withColumn("etype", F.lit("ALL"))
-    r = g.unionByName(overall)
     return r.select(
         "taxonomy", "eval_set", "model_id", F.col("etype").alias("entity_type"),
         F.col("tp").cast("bigint").alias("tp"), F.col("n_pred").cast("bigint").alias("n_pred"),
@@ -199,9 +212,9 @@ def compare_models(report: DataFrame, eval_set: str = "concat") -> DataFrame:
     g = x.groupBy("taxonomy", "model_id", "tag_b").agg(
         F.sum("tp").alias("tp"), F.sum("pred_n").alias("pred_n"), F.sum("support").alias("support"))
     g = g.withColumn("f1", round6(safe_ratio(2 * F.col("tp"), F.col("pred_n") + F.col("support"))))
-    a = g.where("model_id = 'rule_loose'").select("taxonomy", "tag_b", F.col("f1").alias("f1_rule_loose"))
-    b = g.where("model_id = 'noisy'").select("taxonomy", "tag_b", F.col("f1").alias("f1_noisy"))
-    j = a.join(b, ["taxonomy", "tag_b"], "full")
+    j = g.groupBy("taxonomy", "tag_b").agg(
+        F.max(F.when(F.col("model_id") == "rule_loose", F.col("f1"))).alias("f1_rule_loose"),
+        F.max(F.when(F.col("model_id") == "noisy", F.col("f1"))).alias("f1_noisy"))
     fa = F.coalesce("f1_rule_loose", F.lit(0.0))
     fb = F.coalesce("f1_noisy", F.lit(0.0))
     return j.select(

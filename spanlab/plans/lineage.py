@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from ..functions import taxonomy as tx
 from ..functions.text import is_blank
 from ..operators import align, lexer, predict
 from ..sources import corpus as C
+from ..session import ensure_checkpoint_dir
 from ..sources.corpus import DOC_KEY
 
 
@@ -73,7 +75,11 @@ class Lineage:
     # -- tokens and alignment --------------------------------------------
     @property
     def pieces(self) -> DataFrame:
-        return self._get("pieces", lambda: lexer.pieces(self.docs_en))
+        """Lexer output, read by the span lookups and by the token table:
+        persisted (memory, spilling to disk) so the regex and the offset
+        window run once.  A lost block is recomputed from lineage."""
+        return self._get("pieces", lambda: lexer.pieces(self.docs_en).persist(
+            StorageLevel.MEMORY_AND_DISK))
 
     @property
     def tokens(self) -> DataFrame:
@@ -83,65 +89,145 @@ class Lineage:
     def located(self) -> DataFrame:
         return self._get("located", lambda: align.locate(self.gold_spans, self.pieces))
 
+    @property
+    def accepted(self) -> DataFrame:
+        return self._get("accepted", lambda: align.resolve_overlaps(self.located))
+
+    @property
+    def both_located(self) -> DataFrame:
+        """Gold and rule_loose spans located in one lookup join (``src`` = gold | loose)."""
+        def build():
+            g = self.gold_spans.select(F.lit("gold").alias("src"), *align.SPAN_COLS)
+            lo = predict.loose_spans(self.docs_en).select(F.lit("loose").alias("src"), *align.SPAN_COLS)
+            return align.locate(g.unionByName(lo), self.pieces, extra_key=["src"])
+        return self._get("both_located", build)
+
     @property
     def geometry(self) -> DataFrame:
-        """Tokens + covering gold span + covering rule_loose span."""
+        """Tokens + covering gold span + covering rule_loose span, with every
+        tag id both taxonomies need already resolved per span.
+
+        Label lookups happen once per *span* (tens of thousands of rows);
+        the per-token work downstream is integer CASE logic only.
+        """
         def build():
-            gold = align.align(self.tokens, self.located)
-            loose = align.cover(align.resolve_overlaps(
-                align.locate(predict.loose_spans(self.docs_en), self.pieces)))
-            loose = loose.select(*DOC_KEY, "idx", F.col("span_label").alias("lp_rule"),
-                                 F.col("is_first").alias("lp_first"))
-            return gold.join(loose, [*DOC_KEY, "idx"], "left")
+            both = align.resolve_overlaps(self.both_located, extra_key=["src"])
+            gold_cols = []
+            acc = both.where(F.col("src") == "gold").drop("src")
+            for t in tx.TAXONOMIES:
+                lab = tx.relabel_t(F.col("label"), F.col("origin"), t)
+                hi = tx.has_i_t(lab, t)
+                alt = tx.alt_label_t(lab, t)
+                b = tx.tag_id_t(F.concat(F.lit("B-"), lab), t)
+                c = tx.tag_id_t(F.concat(F.when(hi, F.lit("I-")).otherwise(F.lit("B-")), lab), t)
+                ob = tx.tag_id_t(F.concat(F.lit("B-"), alt), t)
+                oc = F.when(hi & tx.has_i_t(alt, t), tx.tag_id_t(F.concat(F.lit("I-"), alt), t)).otherwise(ob)
+                acc = acc.withColumn(f"b_{t}", b).withColumn(f"c_{t}", c) \
+                    .withColumn(f"ob_{t}", ob).withColumn(f"oc_{t}", oc)
+                gold_cols += [f"b_{t}", f"c_{t}", f"ob_{t}", f"oc_{t}"]
+            gold = align.cover(acc, gold_cols)
+
+            lacc = both.where(F.col("src") == "loose").drop("src")
+            loose_cols = []
+            for t in tx.TAXONOMIES:
+                lab = F.element_at(tx._combined(lambda tt: predict.LOOSE_LABELS[tt]),
+                                   tx._tkey(t, F.col("label")))
+                o_id = F.lit(tx.tag2id(t)["O"])
+                lb = F.when(lab.isNull(), o_id).otherwise(tx.tag_id_t(F.concat(F.lit("B-"), lab), t))
+                lc = F.when(lab.isNull(), o_id).otherwise(tx.tag_id_t(
+                    F.concat(F.when(tx.has_i_t(lab, t), F.lit("I-")).otherwise(F.lit("B-")), lab), t))
+                lacc = lacc.withColumn(f"lb_{t}", lb).withColumn(f"lc_{t}", lc)
+                loose_cols += [f"lb_{t}", f"lc_{t}"]
+            loose = align.cover(lacc, loose_cols).select(
+                *DOC_KEY, "idx", F.col("span_label").alias("lp_rule"),
+                F.col("is_first").alias("lp_first"), *loose_cols)
+            g = self.tokens.join(gold, [*DOC_KEY, "idx"], "left").join(loose, [*DOC_KEY, "idx"], "left")
+            from ..functions.text import hash_bucket
+            g = g.withColumn("h", hash_bucket(F.col("origin"), F.col("doc_id"), F.col("idx")))
+            # The aligned token table is the persist point every report
+            # reuses: checkpointed into the shared spark.checkpoint.dir
+            # (keeps its (origin, doc_id) partitioning, cuts the lineage).
+            ensure_checkpoint_dir(self.spark)
+            return g.checkpoint(eager=True)
         return self._get("geometry", build)
 
     @staticmethod
     def true_tag(taxonomy=None, *, ignore_subwords: bool = True, iob: bool = True) -> Column:
+        """Tag text in ``taxonomy`` (a name or a column) for geometry rows."""
         taxonomy = F.col("taxonomy") if taxonomy is None else taxonomy
         return align.tag(None, taxonomy, align.label_in(taxonomy), iob=iob,
                          ignore_subwords=ignore_subwords)
 
-    def by_taxonomy(self, df: DataFrame | None = None) -> DataFrame:
-        """One row per token and taxonomy with gold tags (ignored = null)."""
-        df = self.geometry if df is None else df
-        x = df.withColumn("taxonomy", F.explode(F.array(*[F.lit(t) for t in tx.TAXONOMIES])))
-        return x.withColumn("true_tag", self.true_tag()) \
-                .withColumn("raw_tag", self.true_tag(ignore_subwords=False))
+    @staticmethod
+    def true_id(t: str, ignore_subwords: bool = True) -> Column:
+        o_id = F.lit(tx.tag2id(t)["O"])
+        sub = F.col("is_subword") if ignore_subwords else F.lit(False)
+        ign = F.lit(tx.IGNORE_ID)
+        return (F.when(F.col("span_label").isNull(), F.when(sub, ign).otherwise(o_id))
+                .when(F.col("is_first"), F.col(f"b_{t}"))
+                .when(sub, ign)
+                .otherwise(F.col(f"c_{t}")))
+
+    @staticmethod
+    def pred_id(t: str, model_id: str) -> Column:
+        o_id = F.lit(tx.tag2id(t)["O"])
+        outside = F.col("span_label").isNull()
+        first = F.col("is_first")
+        if model_id == "rule_loose":
+            return (F.when(F.col("lp_rule").isNull(), o_id)
+                    .when(F.col("lp_first"), F.col(f"lb_{t}"))
+                    .otherwise(F.col(f"lc_{t}")))
+        alt_o = F.lit(tx.tag2id(t)["B-" + tx.alt_label(t)[None]])
+        raw = Lineage.true_id(t, ignore_subwords=False)
+        swapped = F.when(outside, o_id).when(first, F.col(f"c_{t}")).otherwise(F.col(f"b_{t}"))
+        other = F.when(outside, alt_o).when(first, F.col(f"ob_{t}")).otherwise(F.col(f"oc_{t}"))
+        h = F.col("h")
+        return F.when(h < 3, o_id).when(h < 5, swapped).when(h < 6, other).otherwise(raw)
+
+    @staticmethod
+    def n_pred(model_id: str) -> Column:
+        """Length ``k`` of the model's prediction list for the document."""
+        if model_id == "noisy":
+            return F.least(F.col("n_tok"), F.lit(predict.NOISY_MAX_TOKENS))
+        return F.col("n_tok")
 
     @property
-    def tag_pairs(self) -> DataFrame:
-        """Scored positions: ``taxonomy, model_id, origin, doc_id, idx, tok,
-        true_tag, pred_tag`` (pred null = the -100 pad after a short list).
+    def pairs(self) -> DataFrame:
+        """Scored positions ``taxonomy, model_id, origin, doc_id, idx, true_id, pred_id``.
 
-        Pairing follows ``zip`` of ``true`` (n+2) with ``[-100]+p+[-100]``:
-        token ``idx`` is paired iff ``idx <= k + 1`` and gets the pad at
-        ``k + 1``; ``k`` is the length of the model's prediction list.
+        Pairing follows ``zip`` of ``true`` (n+2 entries) with
+        ``[-100] + p + [-100]``: token ``idx`` is paired iff ``idx <= k + 1``
+        and meets the -100 pad at ``k + 1``.
         """
         def build():
-            x = self.by_taxonomy().where(F.col("true_tag").isNotNull())
-            x = x.withColumn("model_id", F.explode(F.array(*[F.lit(m) for m in predict.MODELS])))
-            k = F.when(F.col("model_id") == "noisy",
-                       F.least(F.col("n_tok"), F.lit(predict.NOISY_MAX_TOKENS))).otherwise(F.col("n_tok"))
-            t = F.col("taxonomy")
-            pred = F.when(F.col("model_id") == "rule_loose",
-                          predict.loose_tag(t, F.col("lp_rule"), F.col("lp_first"))) \
-                .otherwise(predict.noisy_tag(t, F.col("raw_tag"), F.col("origin"), F.col("doc_id"),
-                                             F.col("idx")))
-            return (x.where(F.col("idx") <= k + 1)
-                    .select("taxonomy", "model_id", *DOC_KEY, "idx", "tok", "true_tag",
-                            F.when(F.col("idx") <= k, pred).alias("pred_tag")))
-        return self._get("tag_pairs", build)
+            combos = []
+            for t in tx.TAXONOMIES:
+                for m in predict.MODELS:
+                    k = self.n_pred(m)
+                    combos.append(F.struct(
+                        F.lit(t).alias("taxonomy"), F.lit(m).alias("model_id"),
+                        self.true_id(t).alias("true_id"),
+                        F.when(F.col("idx") <= k, self.pred_id(t, m))
+                        .otherwise(F.lit(tx.IGNORE_ID)).alias("pred_id"),
+                        (F.col("idx") <= k + 1).alias("paired")))
+            x = self.geometry.select(*DOC_KEY, "idx", F.explode(F.array(*combos)).alias("c"))
+            return (x.where(F.col("c.paired") & (F.col("c.true_id") != tx.IGNORE_ID))
+                    .select("c.taxonomy", "c.model_id", *DOC_KEY, "idx", "c.true_id", "c.pred_id"))
+        return self._get("pairs", build)
 
     @property
-    def pairs(self) -> DataFrame:
+    def tag_pairs(self) -> DataFrame:
+        """``pairs`` with tag text (``true_tag``, ``pred_tag``; pad = null) and token text."""
         def build():
-            t = F.col("taxonomy")
-            pid = F.when(F.col("pred_tag").isNull(), F.lit(tx.IGNORE_ID)) \
-                .otherwise(tx.tag_id_t(F.col("pred_tag"), t))
-            return self.tag_pairs.select("taxonomy", "model_id", *DOC_KEY, "idx",
-                                         tx.tag_id_t(F.col("true_tag"), t).alias("true_id"),
-                                         pid.alias("pred_id"))
-        return self._get("pairs", build)
+            dim = F.broadcast(tx.label_dim(self.spark).select("taxonomy", "tag_id", "tag"))
+            tdim = dim.select("taxonomy", F.col("tag_id").alias("true_id"), F.col("tag").alias("true_tag"))
+            pdim = dim.select("taxonomy", F.col("tag_id").alias("pred_id"), F.col("tag").alias("pred_tag"))
+            toks = self.tokens.select(*DOC_KEY, "idx", "tok")
+            return (self.pairs.join(tdim, ["taxonomy", "true_id"], "left")
+                    .join(pdim, ["taxonomy", "pred_id"], "left")
+                    .join(toks, [*DOC_KEY, "idx"], "inner")
+                    .select("taxonomy", "model_id", *DOC_KEY, "idx", "tok", "true_tag", "pred_tag"))
+        return self._get("tag_pairs", build)
 
 
 _LINEAGES: dict = {}
