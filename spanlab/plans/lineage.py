@@ -87,7 +87,42 @@ class Lineage:
 
     @property
     def located(self) -> DataFrame:
-        return self._get("located", lambda: align.locate(self.gold_spans, self.pieces))
+        """Gold spans with start/end token and status (``ok | no_token | empty``)."""
+        return self._get("located", lambda: self.both_located.where(F.col("src") == "gold").drop("src"))
+
+    @property
+    def annotated(self) -> DataFrame:
+        """Nested view: corpus columns + ``privacy_mask`` (all documents)."""
+        return self._get("annotated", lambda: C.annotated(self.spark, self.sf_dir))
+
+    # -- audit views -------------------------------------------------------
+    @property
+    def uspans(self) -> DataFrame:
+        """Gold spans once per taxonomy, labels relabelled into it."""
+        from ..operators.audit import in_taxonomies
+        return self._get("uspans", lambda: in_taxonomies(self.gold_spans))
+
+    @property
+    def located_t(self) -> DataFrame:
+        from ..operators.audit import in_taxonomies
+        return self._get("located_t", lambda: in_taxonomies(self.located))
+
+    def kinds(self, ignore_subwords: bool = True) -> DataFrame:
+        """Token rows per taxonomy with ``kind`` (B/I/O/IGN) and ``label``."""
+        from ..operators.audit import token_kinds
+
+        def build():
+            x = self.geometry.withColumn("taxonomy", F.explode(F.array(*[F.lit(t) for t in tx.TAXONOMIES])))
+            x = x.withColumn("tag", self.true_tag(ignore_subwords=ignore_subwords))
+            return token_kinds(x.select("taxonomy", *DOC_KEY, "idx", "tag"))
+        return self._get(f"kinds_{ignore_subwords}", build)
+
+    @property
+    def n_docs(self) -> DataFrame:
+        def build():
+            n = self.docs_en.agg(F.count(F.lit(1)).alias("n_docs"))
+            return n.select(F.explode(F.array(*[F.lit(t) for t in tx.TAXONOMIES])).alias("taxonomy"), "n_docs")
+        return self._get("n_docs", build)
 
     @property
     def accepted(self) -> DataFrame:

@@ -251,10 +251,7 @@ FROM (
 ) x
 LEFT JOIN label_dim h ON h.taxonomy = x.taxonomy AND h.prefix = 'B' AND h.label = x.lab""",
                ["geometry", "mapping", "label_dim"]),
-    "tag_pairs": (f"""SELECT taxonomy, model_id, origin, doc_id, idx, tok, true_tag,
-  CASE WHEN idx <= k THEN pred END AS pred_tag
-FROM (
-  SELECT b.taxonomy, m.model_id, b.origin, b.doc_id, b.idx, b.tok, b.true_tag,
+    "all_preds": (f"""SELECT b.taxonomy, m.model_id, b.origin, b.doc_id, b.idx, b.tok, b.true_tag,
     CASE WHEN m.model_id = 'noisy' THEN least(b.n_tok, {NOISY_MAX_TOKENS}) ELSE b.n_tok END AS k,
     CASE WHEN m.model_id = 'rule_loose' THEN
       (CASE WHEN b.lp_rule IS NULL OR ll.label IS NULL THEN 'O'
@@ -272,15 +269,16 @@ FROM (
     END AS pred
   FROM (SELECT *, CAST(('0x' || substr(md5(origin || ',' || CAST(doc_id AS VARCHAR) || ',' || CAST(idx AS VARCHAR)), 1, 4)) AS INTEGER) % 100 AS h,
                CASE WHEN raw_tag = 'O' THEN NULL ELSE substr(raw_tag, 3) END AS raw_label
-        FROM by_tax WHERE true_tag IS NOT NULL) b
+        FROM by_tax) b
   CROSS JOIN (VALUES ('rule_loose'), ('noisy')) m(model_id)
   LEFT JOIN loose_labels ll ON ll.taxonomy = b.taxonomy AND ll.rule = b.lp_rule
   LEFT JOIN label_dim hl ON hl.taxonomy = b.taxonomy AND hl.prefix = 'B' AND hl.label = ll.label
   LEFT JOIN label_dim hn ON hn.taxonomy = b.taxonomy AND hn.prefix = 'B' AND hn.label = b.raw_label
   LEFT JOIN alt a ON a.taxonomy = b.taxonomy AND a.label = coalesce(b.raw_label, '')
-  LEFT JOIN label_dim ha ON ha.taxonomy = b.taxonomy AND ha.prefix = 'B' AND ha.label = a.alt
-)
-WHERE idx <= k + 1""", ["by_tax", "loose_labels", "label_dim", "alt"]),
+  LEFT JOIN label_dim ha ON ha.taxonomy = b.taxonomy AND ha.prefix = 'B' AND ha.label = a.alt""", ["by_tax", "loose_labels", "label_dim", "alt"]),
+    "tag_pairs": ("""SELECT taxonomy, model_id, origin, doc_id, idx, tok, true_tag,
+  CASE WHEN idx <= k THEN pred END AS pred_tag
+FROM all_preds WHERE true_tag IS NOT NULL AND idx <= k + 1""", ["all_preds"]),
     "pairs": ("""SELECT p.taxonomy, p.model_id, p.origin, p.doc_id, p.idx, t.tag_id AS true_id,
   CASE WHEN p.pred_tag IS NULL THEN -100 ELSE u.tag_id END AS pred_id
 FROM tag_pairs p
@@ -337,3 +335,93 @@ def sql(body: str, *names: str) -> str:
     if not order:
         return body
     return "WITH " + ",\n".join(f"{n} AS (\n{CTES[n][0]}\n)" for n in order) + "\n" + body
+
+
+def _in_tax(src: str, label: str = "label") -> str:
+    """Rows of ``src`` once per taxonomy with ``label`` relabelled into it."""
+    return f"""SELECT t.taxonomy, s.* REPLACE (coalesce(mp.to_label, s.{label}) AS {label})
+FROM {src} s CROSS JOIN (VALUES ('A'), ('B')) t(taxonomy)
+LEFT JOIN mapping mp ON mp.src = s.origin AND mp.dst = t.taxonomy AND mp.from_label = s.{label}"""
+
+
+def _kinds(col: str) -> str:
+    return f"""SELECT taxonomy, origin, doc_id, idx,
+  CASE WHEN {col} IS NULL THEN 'IGN' WHEN {col} = 'O' THEN 'O' ELSE substr({col}, 1, 1) END AS kind,
+  CASE WHEN {col} IS NOT NULL AND {col} <> 'O' THEN substr({col}, 3) END AS label
+FROM by_tax"""
+
+
+def _tlc(kinds: str) -> str:
+    return f"""SELECT * FROM (
+  SELECT taxonomy, label, b_count, i_count, b_count + i_count AS bi_count, CAST(0 AS BIGINT) AS o_count,
+         CAST(0 AS BIGINT) AS ignored_count, start_failures
+  FROM tlc_j_{kinds} WHERE label IS NOT NULL AND b_count + i_count > 0
+  UNION ALL
+  SELECT j.taxonomy, '(total)', CAST(sum(b_count) AS BIGINT), CAST(sum(i_count) AS BIGINT),
+         CAST(sum(b_count) + sum(i_count) AS BIGINT), CAST(sum(o_count) AS BIGINT),
+         CAST(sum(ignored_count) + 2 * max(n.n_docs) AS BIGINT), CAST(sum(start_failures) AS BIGINT)
+  FROM tlc_j_{kinds} j JOIN n_docs n ON n.taxonomy = j.taxonomy GROUP BY j.taxonomy
+)"""
+
+
+def _tlc_j(kinds: str) -> str:
+    return f"""SELECT coalesce(p.taxonomy, f.taxonomy) AS taxonomy, coalesce(p.label, f.label) AS label,
+  CAST(coalesce(p.b_count, 0) AS BIGINT) AS b_count, CAST(coalesce(p.i_count, 0) AS BIGINT) AS i_count,
+  CAST(coalesce(p.o_count, 0) AS BIGINT) AS o_count, CAST(coalesce(p.ignored_count, 0) AS BIGINT) AS ignored_count,
+  CAST(coalesce(f.start_failures, 0) AS BIGINT) AS start_failures
+FROM (SELECT taxonomy, label, sum(CASE WHEN kind = 'B' THEN 1 ELSE 0 END) AS b_count,
+             sum(CASE WHEN kind = 'I' THEN 1 ELSE 0 END) AS i_count,
+             sum(CASE WHEN kind = 'O' THEN 1 ELSE 0 END) AS o_count,
+             sum(CASE WHEN kind = 'IGN' THEN 1 ELSE 0 END) AS ignored_count
+      FROM {kinds} GROUP BY taxonomy, label) p
+FULL JOIN (SELECT taxonomy, label, sum(CASE WHEN status <> 'ok' THEN 1 ELSE 0 END) AS start_failures
+           FROM located_t GROUP BY taxonomy, label) f
+  ON p.taxonomy = f.taxonomy AND p.label = f.label"""
+
+
+CTES.update({
+    "spans_li": ("""SELECT *, CASE WHEN origin = 'B' THEN CAST(row_number() OVER (PARTITION BY origin, doc_id, label ORDER BY ann_pos) - 1 AS INTEGER) END AS label_index
+FROM spans_all""", ["spans_all"]),
+    "annotated": ("""SELECT c.*, coalesce(m.privacy_mask, []) AS privacy_mask FROM corpus c
+LEFT JOIN (SELECT origin, doc_id, list({'value': value, 'start': start, 'end': "end", 'label': label, 'label_index': label_index} ORDER BY ann_pos) AS privacy_mask
+           FROM spans_li GROUP BY origin, doc_id) m ON m.origin = c.origin AND m.doc_id = c.doc_id""",
+                  ["corpus", "spans_li"]),
+    "uspans": (_in_tax("gold_spans"), ["gold_spans", "mapping"]),
+    "located_t": (_in_tax("located"), ["located", "mapping"]),
+    "n_docs": ("""SELECT t.taxonomy, count(*) AS n_docs FROM docs_en CROSS JOIN (VALUES ('A'), ('B')) t(taxonomy)
+GROUP BY t.taxonomy""", ["docs_en"]),
+    "kinds": (_kinds("true_tag"), ["by_tax"]),
+    "kinds_raw": (_kinds("raw_tag"), ["by_tax"]),
+    "tlc_j_kinds": (_tlc_j("kinds"), ["kinds", "located_t"]),
+    "tlc_j_kinds_raw": (_tlc_j("kinds_raw"), ["kinds_raw", "located_t"]),
+    "tlc": (_tlc("kinds"), ["tlc_j_kinds", "n_docs"]),
+    "tlc_raw": (_tlc("kinds_raw"), ["tlc_j_kinds_raw", "n_docs"]),
+    "ann_counts": ("""SELECT taxonomy, label, count(*) AS annotations, CAST(min("end" - start) AS INTEGER) AS min_len,
+  CAST(max("end" - start) AS INTEGER) AS max_len, CAST(sum("end" - start) AS BIGINT) AS _sum
+FROM uspans GROUP BY taxonomy, label""", ["uspans"]),
+    "coverage": ("""SELECT coalesce(a.taxonomy, t.taxonomy) AS taxonomy, coalesce(a.label, t.label) AS label,
+  CAST(coalesce(a.annotations, 0) AS BIGINT) AS annotations, CAST(coalesce(t.b_count, 0) AS BIGINT) AS b_count,
+  CAST(coalesce(t.i_count, 0) AS BIGINT) AS i_count,
+  CAST(coalesce(t.b_count, 0) + coalesce(t.i_count, 0) AS BIGINT) AS bi_count
+FROM ann_counts a FULL JOIN (SELECT * FROM tlc WHERE label <> '(total)') t
+  ON a.taxonomy = t.taxonomy AND a.label = t.label""", ["ann_counts", "tlc"]),
+})
+
+
+CTES.update({
+    "preds_loose_a": ("""SELECT g.origin, g.doc_id, g.idx, g.tok,
+  CASE WHEN g.lp_rule IS NULL OR ll.label IS NULL THEN 'O' WHEN g.lp_first THEN 'B-' || ll.label
+       WHEN coalesce(h.has_i, TRUE) THEN 'I-' || ll.label ELSE 'B-' || ll.label END AS pred_tag
+FROM geometry g
+LEFT JOIN loose_labels ll ON ll.taxonomy = 'A' AND ll.rule = g.lp_rule
+LEFT JOIN label_dim h ON h.taxonomy = 'A' AND h.prefix = 'B' AND h.label = ll.label""",
+                      ["geometry", "loose_labels", "label_dim"]),
+    "preds_loose_a_ids": ("""SELECT p.*, d.tag_id FROM preds_loose_a p
+JOIN label_dim d ON d.taxonomy = 'A' AND d.tag = p.pred_tag""", ["preds_loose_a", "label_dim"]),
+    "flat": ("""SELECT taxonomy, model_id, coalesce(true_tag, 'O') AS t, coalesce(pred_tag, 'O') AS p FROM (
+  SELECT b.taxonomy, m.model_id, b.idx, b.true_tag,
+    CASE WHEN b.idx <= (CASE WHEN m.model_id = 'noisy' THEN least(b.n_tok, 512) ELSE b.n_tok END) THEN tp.pred END AS pred_tag
+  FROM by_tax b CROSS JOIN (VALUES ('rule_loose'), ('noisy')) m(model_id)
+  LEFT JOIN all_preds tp ON tp.taxonomy = b.taxonomy AND tp.model_id = m.model_id AND tp.origin = b.origin
+    AND tp.doc_id = b.doc_id AND tp.idx = b.idx)""", ["by_tax", "all_preds"]),
+})

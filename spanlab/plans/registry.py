@@ -74,3 +74,756 @@ def q_report_averages(spark, sf_dir):
 FROM conf_sets GROUP BY taxonomy, eval_set, model_id""", "conf_sets"))
 def q_masked_accuracy(spark, sf_dir):
     return E.masked_accuracy(E.confusion(lineage(spark, sf_dir).pairs))
+
+
+# ---------------------------------------------------------------------------
+# helpers
+# ---------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import taxonomy as tx  # noqa: E402
+from ..functions.text import round6, safe_ratio  # noqa: E402
+from ..operators import align, audit, predict, prep  # noqa: E402
+from ..sources import io  # noqa: E402
+from ..sources.corpus import DOC_KEY, MASK_TYPE_B  # noqa: E402
+
+S = O.sql
+R6, RATIO = O.r6, O.ratio
+
+
+# positions inside a mask after keep_labels (the list is renumbered)
+_RENUM = "CAST(row_number() OVER (PARTITION BY taxonomy, origin, doc_id ORDER BY ann_pos) - 1 AS INTEGER) AS ann_pos"
+
+
+def _labels_sql(mask: str) -> str:
+    return f"array_to_string(list_transform({mask}, lambda x: x.label), ',')"
+
+
+# ---------------------------------------------------------------------------
+# 2.1 Sources and sinks
+# ---------------------------------------------------------------------------
+
+@register("scan_split", S("""SELECT origin, doc_id, language, split, CAST(len(privacy_mask) AS INTEGER) AS n_ann
+FROM annotated WHERE split = 'validation'""", "annotated"))
+def q_scan_split(spark, sf_dir):
+    d = io.scan_split(lineage(spark, sf_dir).annotated, "validation")
+    return d.select(*DOC_KEY, "language", "split", F.size("privacy_mask").alias("n_ann"))
+
+
+@register("scan_parquet", S(f"""SELECT origin, doc_id, split, CAST(len(privacy_mask) AS INTEGER) AS n_ann,
+  {_labels_sql('privacy_mask')} AS labels FROM annotated""", "annotated"))
+def q_scan_parquet(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    path = io.output_path(spark, "annotated")
+    io.sink_parquet(L.annotated.drop("source_text"), path, ["origin"])
+    back = io.scan_parquet(spark, path)
+    return back.select(*DOC_KEY, "split", F.size("privacy_mask").alias("n_ann"),
+                       prep.mask_labels(F.col("privacy_mask")).alias("labels"))
+
+
+@register("sink_parquet", S("""SELECT origin, doc_id, CAST(count(*) + 2 AS INTEGER) AS n_labels,
+  CAST(count(true_tag) AS INTEGER) AS n_scored
+FROM by_tax WHERE taxonomy = 'A' GROUP BY origin, doc_id""", "by_tax"))
+def q_sink_parquet(spark, sf_dir):
+    """Aligned dataset in the reference's nested shape (``true_labels`` with
+    -100 pads), written partitioned by corpus and read back."""
+    L = lineage(spark, sf_dir)
+    tid = L.true_id("A")
+    per_doc = L.geometry.groupBy(*DOC_KEY).agg(
+        F.array_sort(F.collect_list(F.struct("idx", tid.alias("id")))).alias("t"))
+    pad = F.array(F.lit(tx.IGNORE_ID))
+    nested = per_doc.select(*DOC_KEY, F.concat(pad, F.transform("t", lambda x: x["id"]), pad)
+                            .alias("true_labels"))
+    back = io.sink_parquet(nested, io.output_path(spark, "aligned"), ["origin"])
+    return back.select(*DOC_KEY, F.size("true_labels").alias("n_labels"),
+                       F.size(F.filter("true_labels", lambda x: x != tx.IGNORE_ID)).alias("n_scored"))
+
+
+def _csv_dataset(L):
+    docs = prep.filter_language(L.annotated)
+    return prep.select_columns(prep.uniform_corpus(docs, "A"))
+
+
+@register("sink_csv", S("""SELECT origin, doc_id, length(source_text) AS n_chars FROM corpus
+WHERE (origin = 'A' AND language = 'English') OR (origin = 'B' AND language = 'en')""", "corpus"))
+def q_sink_csv(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    back = io.sink_csv(_csv_dataset(L), io.output_path(spark, "concat_csv"), ["privacy_mask"])
+    return back.select(F.col("origin"), F.col("doc_id").cast("bigint"),
+                       F.length("source_text").alias("n_chars"))
+
+
+@register("scan_csv_nested", S("""SELECT origin, doc_id, %s, start, "end", label, value
+FROM uspans WHERE taxonomy = 'A'""" % _RENUM, "uspans"))
+def q_scan_csv_nested(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    path = io.output_path(spark, "concat_csv")
+    io.sink_csv(_csv_dataset(L), path, ["privacy_mask"])
+    back = io.restore_lists(io.scan_csv(spark, path), "privacy_mask")
+    return (back.select(F.col("origin"), F.col("doc_id").cast("bigint").alias("doc_id"),
+                        F.posexplode("privacy_mask").alias("ann_pos", "a"))
+            .select(*DOC_KEY, F.col("ann_pos").cast("int"), F.col("a.start").alias("start"),
+                    F.col("a.end").alias("end"), F.col("a.label").alias("label"), F.col("a.value").alias("value")))
+
+
+@register("parse_literal", S("""SELECT origin, doc_id, ann_pos, value, start, "end", label, label_index
+FROM spans_li""", "spans_li"))
+def q_parse_literal(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    text = L.annotated.select(*DOC_KEY, io.python_literal(F.col("privacy_mask")).alias("mask_text"))
+    parsed = text.select(*DOC_KEY, io.parse_literal(F.col("mask_text")).alias("m"))
+    return (parsed.select(*DOC_KEY, F.posexplode("m").alias("ann_pos", "a"))
+            .select(*DOC_KEY, F.col("ann_pos").cast("int"), "a.value", "a.start", "a.end", "a.label",
+                    "a.label_index"))
+
+
+@register("sample_rows", S("""SELECT origin, doc_id, split, CAST(len(privacy_mask) AS INTEGER) AS n_ann
+FROM annotated ORDER BY origin, doc_id LIMIT 100""", "annotated"))
+def q_sample_rows(spark, sf_dir):
+    d = io.sample_rows(lineage(spark, sf_dir).annotated, 100)
+    return d.select(*DOC_KEY, "split", F.size("privacy_mask").alias("n_ann"))
+
+
+@register("sample_random", None)
+def q_sample_random(spark, sf_dir):
+    d = io.sample_random(lineage(spark, sf_dir).annotated, 0.1, seed=42)
+    return d.select(*DOC_KEY, "split", F.size("privacy_mask").alias("n_ann"))
+
+
+@register("describe_dataset", S("""SELECT origin, split, count(*) AS n_rows,
+  CAST(sum(len(privacy_mask)) AS BIGINT) AS n_annotations FROM annotated GROUP BY origin, split""", "annotated"))
+def q_describe_dataset(spark, sf_dir):
+    return io.describe_dataset(lineage(spark, sf_dir).annotated)
+
+
+# ---------------------------------------------------------------------------
+# 2.2 Projections, filters, predicates
+# ---------------------------------------------------------------------------
+
+@register("filter_language", S("""SELECT origin, doc_id, language FROM corpus
+WHERE (origin = 'A' AND language = 'English') OR (origin = 'B' AND language = 'en')""", "corpus"))
+def q_filter_language(spark, sf_dir):
+    return prep.filter_language(lineage(spark, sf_dir).corpus).select(*DOC_KEY, "language")
+
+
+@register("filter_blank_text", S("SELECT origin, doc_id, length(source_text) AS n_chars FROM docs_en", "docs_en"))
+def q_filter_blank_text(spark, sf_dir):
+    d = prep.filter_blank_text(prep.filter_language(lineage(spark, sf_dir).corpus))
+    return d.select(*DOC_KEY, F.length("source_text").alias("n_chars"))
+
+
+@register("select_columns", S("""SELECT origin, doc_id, length(source_text) AS n_chars,
+  CAST(len(privacy_mask) AS INTEGER) AS n_ann FROM annotated""", "annotated"))
+def q_select_columns(spark, sf_dir):
+    d = prep.select_columns(lineage(spark, sf_dir).annotated)
+    return d.select(*DOC_KEY, F.length("source_text").alias("n_chars"), F.size("privacy_mask").alias("n_ann"))
+
+
+_KEEP_A = "[" + ", ".join(O.q(x) for x in tx.KEEP_LABELS["A"]) + "]"
+_KEEP_B = "[" + ", ".join(O.q(x) for x in tx.KEEP_LABELS["B"]) + "]"
+_KEPT_SQL = (f"CASE WHEN origin = 'A' THEN list_filter(privacy_mask, lambda x: list_contains({_KEEP_A}, x.label)) "
+             f"ELSE list_filter(privacy_mask, lambda x: list_contains({_KEEP_B}, x.label)) END")
+
+
+@register("keep_labels", S(f"""SELECT origin, doc_id, CAST(len(m) AS INTEGER) AS n_ann, {_labels_sql('m')} AS labels
+FROM (SELECT origin, doc_id, {_KEPT_SQL} AS m FROM annotated)""", "annotated"))
+def q_keep_labels(spark, sf_dir):
+    d = prep.keep_own_labels(lineage(spark, sf_dir).annotated)
+    return d.select(*DOC_KEY, F.size("privacy_mask").alias("n_ann"),
+                    prep.mask_labels(F.col("privacy_mask")).alias("labels"))
+
+
+@register("drop_nested_field", S("""SELECT origin, doc_id, ann_pos, value, start, "end", label, 4 AS n_fields
+FROM spans_all WHERE origin = 'B'""", "spans_all"))
+def q_drop_nested_field(spark, sf_dir):
+    d = lineage(spark, sf_dir).annotated.where(F.col("origin") == "B")
+    m = prep.drop_nested_field(F.col("privacy_mask"))
+    x = d.select(*DOC_KEY, F.posexplode(m).alias("ann_pos", "a"))
+    n_fields = len(x.schema["a"].dataType.fields)
+    return x.select(*DOC_KEY, F.col("ann_pos").cast("int"), "a.*", F.lit(n_fields).alias("n_fields"))
+
+
+@register("conform_schema", S("""SELECT origin, doc_id, %s, value, start, "end", label
+FROM uspans WHERE taxonomy = 'A'""" % _RENUM, "uspans"))
+def q_conform_schema(spark, sf_dir):
+    d = prep.uniform_corpus(prep.filter_language(lineage(spark, sf_dir).annotated), "A")
+    x = d.select(*DOC_KEY, F.posexplode("privacy_mask").alias("ann_pos", "a"))
+    return x.select(*DOC_KEY, F.col("ann_pos").cast("int"), "a.*")
+
+
+@register("relabel", S("""SELECT origin, doc_id, %s, label FROM uspans WHERE taxonomy = 'B'""" % _RENUM,
+                      "uspans"))
+def q_relabel(spark, sf_dir):
+    d = prep.uniform_corpus(prep.filter_language(lineage(spark, sf_dir).annotated), "B")
+    x = d.select(*DOC_KEY, F.posexplode("privacy_mask").alias("ann_pos", "a"))
+    return x.select(*DOC_KEY, F.col("ann_pos").cast("int"), F.col("a.label").alias("label"))
+
+
+@register("mask_ignored", S("""SELECT taxonomy, origin, CAST(count(*) + 2 * count(DISTINCT doc_id) AS BIGINT) AS positions,
+  CAST(count(*) - count(true_tag) + 2 * count(DISTINCT doc_id) AS BIGINT) AS ignored,
+  CAST(count(true_tag) AS BIGINT) AS scored
+FROM by_tax GROUP BY taxonomy, origin""", "by_tax"))
+def q_mask_ignored(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    k = L.kinds()
+    per_doc = k.groupBy("taxonomy", *DOC_KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("kind") != "IGN").cast("int")).alias("s"))
+    return per_doc.groupBy("taxonomy", "origin").agg(
+        F.sum(F.col("n") + 2).cast("bigint").alias("positions"),
+        F.sum(F.col("n") - F.col("s") + 2).cast("bigint").alias("ignored"),
+        F.sum("s").cast("bigint").alias("scored"))
+
+
+@register("scope_labels", S("""SELECT s.taxonomy, s.eval_set, s.model_id,
+  CAST(sum(CASE WHEN s.pred_id <> -100 AND NOT coalesce(dp.in_scope, FALSE) THEN s.n ELSE 0 END) AS BIGINT) AS pred_out_of_scope,
+  CAST(sum(CASE WHEN NOT coalesce(dt.in_scope, FALSE) THEN s.n ELSE 0 END) AS BIGINT) AS true_out_of_scope,
+  CAST(sum(s.n) AS BIGINT) AS scored
+FROM conf_sets s
+LEFT JOIN label_dim dp ON dp.taxonomy = s.taxonomy AND dp.tag_id = s.pred_id
+LEFT JOIN label_dim dt ON dt.taxonomy = s.taxonomy AND dt.tag_id = s.true_id
+GROUP BY s.taxonomy, s.eval_set, s.model_id""", "conf_sets", "label_dim"))
+def q_scope_labels(spark, sf_dir):
+    sets = E.eval_sets(E.confusion(lineage(spark, sf_dir).pairs))
+    in_scope_p = E._scope_tag(F.col("taxonomy"), F.col("pred_id")).isNotNull()
+    in_scope_t = E._scope_tag(F.col("taxonomy"), F.col("true_id")).isNotNull()
+    z = F.lit(0).cast("bigint")
+    return sets.groupBy("taxonomy", "eval_set", "model_id").agg(
+        F.sum(F.when((F.col("pred_id") != tx.IGNORE_ID) & ~in_scope_p, F.col("n")).otherwise(z))
+        .cast("bigint").alias("pred_out_of_scope"),
+        F.sum(F.when(~in_scope_t, F.col("n")).otherwise(z)).cast("bigint").alias("true_out_of_scope"),
+        F.sum("n").cast("bigint").alias("scored"))
+
+
+_IGN_A = "[" + ", ".join(O.q(x) for x in tx.MODEL_IGNORE["A"]) + "]"
+_IGN_B = "[" + ", ".join(O.q(x) for x in tx.MODEL_IGNORE["B"]) + "]"
+
+
+@register("drop_pred_entities", S(f"""SELECT taxonomy, model_id, pred_tag, count(*) AS n_replaced FROM tag_pairs
+WHERE pred_tag IS NOT NULL AND pred_tag <> 'O' AND list_contains(CASE WHEN taxonomy = 'A' THEN {_IGN_A} ELSE {_IGN_B} END,
+      regexp_replace(pred_tag, '^[BI]-', ''))
+GROUP BY taxonomy, model_id, pred_tag""", "tag_pairs"))
+def q_drop_pred_entities(spark, sf_dir):
+    tp = lineage(spark, sf_dir).tag_pairs
+    dropped = F.when(F.col("taxonomy") == "A", predict.drop_entities(F.col("pred_tag"), "A")) \
+        .otherwise(predict.drop_entities(F.col("pred_tag"), "B"))
+    x = tp.where(F.col("pred_tag").isNotNull() & (F.col("pred_tag") != "O") & (dropped == "O"))
+    return x.groupBy("taxonomy", "model_id", "pred_tag").agg(F.count(F.lit(1)).alias("n_replaced"))
+
+
+# ---------------------------------------------------------------------------
+# 2.3 Joins and alignment
+# ---------------------------------------------------------------------------
+
+@register("char_to_token", S("SELECT * FROM located", "located"))
+def q_char_to_token(spark, sf_dir):
+    return lineage(spark, sf_dir).located
+
+
+@register("span_cover", S("SELECT origin, doc_id, idx, ann_pos, span_label, is_first FROM gold_cover", "gold_cover"))
+def q_span_cover(spark, sf_dir):
+    return align.cover(align.resolve_overlaps(lineage(spark, sf_dir).located))
+
+
+@register("unmappable_spans", S("SELECT * FROM located WHERE status <> 'ok'", "located"))
+def q_unmappable_spans(spark, sf_dir):
+    return align.unmappable(lineage(spark, sf_dir).located)
+
+
+@register("encode_labels", S("""SELECT b.taxonomy, b.true_tag AS tag, d.tag_id, count(*) AS n FROM by_tax b
+LEFT JOIN label_dim d ON d.taxonomy = b.taxonomy AND d.tag = b.true_tag
+WHERE b.true_tag IS NOT NULL GROUP BY b.taxonomy, b.true_tag, d.tag_id""", "by_tax", "label_dim"))
+def q_encode_labels(spark, sf_dir):
+    k = lineage(spark, sf_dir).kinds().where(F.col("tag").isNotNull())
+    dim = F.broadcast(tx.label_dim(spark).select("taxonomy", "tag", "tag_id"))
+    return k.join(dim, ["taxonomy", "tag"], "left").groupBy("taxonomy", "tag", "tag_id") \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("decode_labels", S("""SELECT p.taxonomy, p.model_id, coalesce(d.tag, 'SPEC') AS tag, count(*) AS n FROM pairs p
+LEFT JOIN label_dim d ON d.taxonomy = p.taxonomy AND d.tag_id = p.pred_id
+GROUP BY p.taxonomy, p.model_id, coalesce(d.tag, 'SPEC')""", "pairs", "label_dim"))
+def q_decode_labels(spark, sf_dir):
+    p = lineage(spark, sf_dir).pairs
+    t = F.when(F.col("taxonomy") == "A", tx.tag_text(F.col("pred_id"), "A")) \
+        .otherwise(tx.tag_text(F.col("pred_id"), "B"))
+    return p.groupBy("taxonomy", "model_id", t.alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("coverage_join", S("SELECT * FROM coverage", "coverage"))
+def q_coverage_join(spark, sf_dir):
+    return audit.coverage_join(*_ann_and_tok(spark, sf_dir))
+
+
+def _ann_and_tok(spark, sf_dir, ignore_subwords=True):
+    L = lineage(spark, sf_dir)
+    ann = audit.annotation_counts(L.uspans)
+    tok = audit.token_label_counts(L.kinds(ignore_subwords), L.located_t, L.n_docs) \
+        .where(F.col("label") != audit.TOTAL)
+    return ann, tok
+
+
+def _nested_preds(L, model_id: str, taxonomy: str):
+    """Per document ``predicted_mask`` (entity, word, score) of a native model."""
+    k = L.n_pred(model_id)
+    tag = F.when(F.col("idx") <= k, tx.tag_text(L.pred_id(taxonomy, model_id), taxonomy))
+    x = L.geometry.select(*DOC_KEY, "idx", F.struct(tag.alias("entity"), F.col("tok").alias("word"),
+                                                    F.lit(1.0).alias("score")).alias("e"))
+    per_doc = x.where(F.col("e.entity").isNotNull()).groupBy(*DOC_KEY).agg(
+        F.array_sort(F.collect_list(F.struct("idx", "e"))).alias("l"))
+    return per_doc.select(*DOC_KEY, F.lit(model_id).alias("model_id"),
+                          F.transform("l", lambda z: z["e"]).alias("predicted_mask"))
+
+
+@register("attach_predictions", S("""SELECT origin, doc_id, 'rule_loose' AS model_id, CAST(count(*) AS INTEGER) AS n_pred,
+  max(n_tok) AS n_tok FROM tokens GROUP BY origin, doc_id""", "tokens"))
+def q_attach_predictions(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    preds = _nested_preds(L, "rule_loose", "A")
+    docs = L.tokens.groupBy(*DOC_KEY).agg(F.max("n_tok").alias("n_tok"))
+    j = docs.join(preds, DOC_KEY, "inner")
+    return j.select(*DOC_KEY, "model_id", F.size("predicted_mask").alias("n_pred"), "n_tok")
+
+
+@register("zip_pairs", S("""SELECT taxonomy, model_id, origin, doc_id, count(*) AS n_scored,
+  count(*) FILTER (WHERE pred_tag IS NULL) AS n_pad
+FROM tag_pairs WHERE model_id = 'noisy' GROUP BY ALL""", "tag_pairs"))
+def q_zip_pairs(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    out = None
+    for t in tx.TAXONOMIES:
+        preds = _nested_preds(L, "noisy", t)
+        true = L.geometry.select(*DOC_KEY, "idx", L.true_id(t).alias("true_id"))
+        p = predict.zip_pairs(true, preds, t).where(F.col("true_id") != tx.IGNORE_ID)
+        g = p.groupBy("model_id", *DOC_KEY).agg(
+            F.count(F.lit(1)).alias("n_scored"),
+            F.sum((F.col("pred_id") == tx.IGNORE_ID).cast("int")).cast("bigint").alias("n_pad"))
+        g = g.select(F.lit(t).alias("taxonomy"), "*")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+_SUBS_SQL = """(SELECT origin, doc_id, idx, unnest(list_distinct(list_concat([''],
+   flatten(list_transform(range(1, length(tok) + 1), lambda i: list_transform(range(i, length(tok) + 1), lambda j: substr(tok, i, j - i + 1))))))) AS word
+ FROM tokens)"""
+
+
+@register("word_match_align", S(f"""SELECT model_id, entity, count(*) AS n FROM (
+  SELECT t.origin, t.doc_id, t.idx, 'rule_loose' AS model_id, coalesce(f.entity, 'O') AS entity
+  FROM tokens t LEFT JOIN (
+    SELECT s.origin, s.doc_id, s.idx, arg_min(p.entity, p.ppos) AS entity
+    FROM {_SUBS_SQL} s JOIN (
+      SELECT origin, doc_id, trim(tok) AS word, min(idx - 1) AS ppos, arg_min(pred_tag, idx) AS entity
+      FROM preds_loose_a GROUP BY origin, doc_id, trim(tok)
+    ) p ON p.origin = s.origin AND p.doc_id = s.doc_id AND p.word = s.word
+    GROUP BY s.origin, s.doc_id, s.idx
+  ) f ON f.origin = t.origin AND f.doc_id = t.doc_id AND f.idx = t.idx
+) GROUP BY model_id, entity""", "tokens", "preds_loose_a"))
+def q_word_match_align(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    preds = _nested_preds(L, "rule_loose", "A")
+    m = predict.word_match_align(L.tokens, preds)
+    return m.groupBy("model_id", "entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("compare_models", S(f"""SELECT taxonomy, tag, f1_rule_loose, f1_noisy, {R6('f1_noisy - f1_rule_loose')} AS delta,
+  {R6('greatest(f1_rule_loose, f1_noisy)')} AS best_f1,
+  CASE WHEN f1_rule_loose > f1_noisy THEN 'rule_loose' WHEN f1_noisy > f1_rule_loose THEN 'noisy' ELSE 'tie' END AS better
+FROM (
+  SELECT taxonomy, tag, coalesce(max(CASE WHEN model_id = 'rule_loose' THEN f1 END), 0.0) AS f1_rule_loose,
+         coalesce(max(CASE WHEN model_id = 'noisy' THEN f1 END), 0.0) AS f1_noisy
+  FROM (
+    SELECT taxonomy, model_id, tag, {R6(RATIO('2 * sum(tp)', 'sum(pred_n) + sum(support)'))} AS f1 FROM (
+      SELECT r.taxonomy, r.model_id, substr(r.tag, 1, 2) || coalesce(mp.to_label, substr(r.tag, 3)) AS tag,
+             r.tp, r.pred_n, r.support
+      FROM report r LEFT JOIN mapping mp ON r.taxonomy = 'A' AND mp.src = 'A' AND mp.dst = 'B'
+        AND mp.from_label = substr(r.tag, 3)
+      WHERE r.eval_set = 'concat' AND r.tag <> 'O')
+    GROUP BY taxonomy, model_id, tag)
+  GROUP BY taxonomy, tag)""", "report", "mapping"))
+def q_compare_models(spark, sf_dir):
+    return E.compare_models(E.classification_report(E.confusion(lineage(spark, sf_dir).pairs)))
+
+
+def _parity_scores(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    x = e.select("vec_id", F.posexplode("embedding").alias("class", "v"))
+    v = F.col("v").cast("double")
+    a = x.select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("idx"), "class", v.alias("score"))
+    b = x.select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("idx"), "class",
+                 (F.floor(v * 10000.0 + 0.5) / 10000.0).alias("score"))
+    return a, b
+
+
+@register("score_parity", S(f"""SELECT count(*) AS n, max(abs(a - b)) AS max_abs_diff,
+  CAST(sum(CASE WHEN abs(a - b) > 1e-05 THEN 1 ELSE 0 END) AS BIGINT) AS n_over, 1e-05 AS atol,
+  sum(CASE WHEN abs(a - b) > 1e-05 THEN 1 ELSE 0 END) = 0 AS within_tolerance
+FROM (SELECT CAST(v AS DOUBLE) AS a, floor(CAST(v AS DOUBLE) * 10000.0 + 0.5) / 10000.0 AS b
+      FROM (SELECT unnest(embedding) AS v FROM embeddings))"""))
+def q_score_parity(spark, sf_dir):
+    a, b = _parity_scores(spark, sf_dir)
+    return E.score_parity(a, b, atol=1e-5)
+
+
+# ---------------------------------------------------------------------------
+# 2.4 Set operations
+# ---------------------------------------------------------------------------
+
+@register("distinct_labels", S("""SELECT origin, label, first_doc_id, first_ann_pos,
+  CAST(row_number() OVER (PARTITION BY origin ORDER BY first_doc_id, first_ann_pos) AS INTEGER) AS seen_rank
+FROM (SELECT origin, label, min(doc_id) AS first_doc_id,
+             arg_min(ann_pos, doc_id * 100000000 + ann_pos) AS first_ann_pos
+      FROM spans_all GROUP BY origin, label)""", "spans_all"))
+def q_distinct_labels(spark, sf_dir):
+    return prep.distinct_labels(lineage(spark, sf_dir).spans_all)
+
+
+@register("label_intersect", S("""SELECT DISTINCT label FROM spans_all WHERE origin = 'A'
+INTERSECT SELECT DISTINCT label FROM spans_all WHERE origin = 'B'""", "spans_all"))
+def q_label_intersect(spark, sf_dir):
+    return prep.label_intersect(lineage(spark, sf_dir).spans_all)
+
+
+@register("label_except", S("""SELECT 'A_only' AS side, label FROM (SELECT DISTINCT label FROM spans_all WHERE origin = 'A'
+  EXCEPT SELECT DISTINCT label FROM spans_all WHERE origin = 'B')
+UNION ALL SELECT 'B_only', label FROM (SELECT DISTINCT label FROM spans_all WHERE origin = 'B'
+  EXCEPT SELECT DISTINCT label FROM spans_all WHERE origin = 'A')""", "spans_all"))
+def q_label_except(spark, sf_dir):
+    return prep.label_except(lineage(spark, sf_dir).spans_all)
+
+
+@register("label_scope", S("""SELECT DISTINCT s.label FROM spans_all s JOIN keep k ON k.origin = s.origin AND k.label = s.label
+WHERE s.origin = 'B'
+INTERSECT
+SELECT DISTINCT coalesce(mp.to_label, s.label) FROM spans_all s JOIN keep k ON k.origin = s.origin AND k.label = s.label
+LEFT JOIN mapping mp ON mp.src = 'A' AND mp.dst = 'B' AND mp.from_label = s.label
+WHERE s.origin = 'A'""", "spans_all", "keep", "mapping"))
+def q_label_scope(spark, sf_dir):
+    return prep.label_scope(lineage(spark, sf_dir).spans_all, "B")
+
+
+@register("concat_corpora", S(f"""SELECT t.taxonomy, e.eval_set, c.origin, c.doc_id,
+  CAST(coalesce(a.n_ann, 0) AS INTEGER) AS n_ann, coalesce(a.labels, '') AS labels
+FROM corpus c CROSS JOIN (VALUES ('A'), ('B')) t(taxonomy)
+JOIN (VALUES ('own'), ('concat')) e(eval_set) ON e.eval_set = 'concat' OR c.origin = t.taxonomy
+LEFT JOIN (SELECT taxonomy, origin, doc_id, count(*) AS n_ann, string_agg(label, ',' ORDER BY ann_pos) AS labels
+           FROM uspans GROUP BY ALL) a ON a.taxonomy = t.taxonomy AND a.origin = c.origin AND a.doc_id = c.doc_id
+WHERE (c.origin = 'A' AND c.language = 'English') OR (c.origin = 'B' AND c.language = 'en')""", "corpus", "uspans"))
+def q_concat_corpora(spark, sf_dir):
+    docs = prep.filter_language(lineage(spark, sf_dir).annotated)
+    out = None
+    for t in tx.TAXONOMIES:
+        c = prep.concat_corpora(docs, t).select(
+            "taxonomy", "eval_set", *DOC_KEY, F.size("privacy_mask").alias("n_ann"),
+            prep.mask_labels(F.col("privacy_mask")).alias("labels"))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@register("assert_label_set", S("""SELECT origin, label, 'expected_not_observed' AS issue FROM (
+  SELECT origin, label FROM keep EXCEPT SELECT DISTINCT s.origin, s.label FROM spans_all s JOIN keep k USING (origin, label))
+UNION ALL
+SELECT origin, label, 'observed_not_expected' FROM (
+  SELECT DISTINCT s.origin, s.label FROM spans_all s JOIN keep k USING (origin, label) EXCEPT SELECT origin, label FROM keep)""",
+                                "spans_all", "keep"))
+def q_assert_label_set(spark, sf_dir):
+    return prep.assert_label_set(lineage(spark, sf_dir).spans_all)
+
+
+_FOREIGN_A = "[" + ", ".join(O.q(x) for x in tx.MAPPINGS[("B", "A")]) + "]"
+_FOREIGN_B = "[" + ", ".join(O.q(x) for x in tx.MAPPINGS[("A", "B")]) + "]"
+
+
+@register("assert_no_foreign", S(f"""SELECT taxonomy, label, count(*) AS n FROM uspans
+WHERE list_contains(CASE WHEN taxonomy = 'A' THEN {_FOREIGN_A} ELSE {_FOREIGN_B} END, label)
+GROUP BY taxonomy, label""", "uspans"))
+def q_assert_no_foreign(spark, sf_dir):
+    return prep.assert_no_foreign(lineage(spark, sf_dir).uspans)
+
+
+# ---------------------------------------------------------------------------
+# 2.5 Aggregations
+# ---------------------------------------------------------------------------
+
+@register("annotation_counts", S("SELECT taxonomy, label, annotations FROM ann_counts", "ann_counts"))
+def q_annotation_counts(spark, sf_dir):
+    return audit.annotation_counts(lineage(spark, sf_dir).uspans).select("taxonomy", "label", "annotations")
+
+
+@register("entity_lengths", S(f"""SELECT taxonomy, label, min_len, max_len,
+  {O.half_even_div('_sum * 10', 'annotations')} / 10.0 AS mean_len FROM ann_counts""", "ann_counts"))
+def q_entity_lengths(spark, sf_dir):
+    return audit.annotation_counts(lineage(spark, sf_dir).uspans).drop("annotations")
+
+
+@register("token_label_counts", S("SELECT * FROM tlc", "tlc"))
+def q_token_label_counts(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    return audit.token_label_counts(L.kinds(True), L.located_t, L.n_docs)
+
+
+@register("token_label_counts_raw", S("SELECT * FROM tlc_raw", "tlc_raw"))
+def q_token_label_counts_raw(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    return audit.token_label_counts(L.kinds(False), L.located_t, L.n_docs)
+
+
+_MATCH_SQL = (f"CASE WHEN annotations > 0 THEN CAST({O.half_even_div('bi_count * 100', 'annotations')} AS VARCHAR) || '%' "
+              "WHEN bi_count = 0 THEN 'OK' ELSE '+' || CAST(bi_count AS VARCHAR) END")
+
+
+@register("coverage_report", S(f"SELECT *, {_MATCH_SQL} AS match FROM coverage", "coverage"))
+def q_coverage_report(spark, sf_dir):
+    return audit.coverage_report(audit.coverage_join(*_ann_and_tok(spark, sf_dir)))
+
+
+@register("sorted_report", S(f"SELECT *, {_MATCH_SQL} AS match FROM coverage ORDER BY taxonomy, label", "coverage"))
+def q_sorted_report(spark, sf_dir):
+    return q_coverage_report(spark, sf_dir).orderBy("taxonomy", "label")
+
+
+@register("coverage_anomalies", S(f"""SELECT taxonomy, label, annotations, b_count,
+  CASE WHEN annotations > 0 AND b_count = 0 THEN '[!]' ELSE '[?]' END AS severity,
+  {O.half_even_div('b_count * 100', 'annotations')} AS b_pct
+FROM coverage WHERE annotations > 0 AND (b_count = 0 OR abs(b_count - annotations) * 100 > annotations * 5)""",
+                                  "coverage"))
+def q_coverage_anomalies(spark, sf_dir):
+    return audit.coverage_anomalies(audit.coverage_join(*_ann_and_tok(spark, sf_dir)))
+
+
+@register("count_mismatch", S("""SELECT l.origin, l.doc_id, l.annotations, CAST(coalesce(a.b_added, 0) AS BIGINT) AS b_added,
+  l.annotations - coalesce(a.b_added, 0) AS diff
+FROM (SELECT origin, doc_id, count(*) AS annotations FROM located GROUP BY ALL) l
+LEFT JOIN (SELECT origin, doc_id, count(*) AS b_added FROM accepted GROUP BY ALL) a
+  ON a.origin = l.origin AND a.doc_id = l.doc_id
+WHERE l.annotations <> coalesce(a.b_added, 0)""", "located", "accepted"))
+def q_count_mismatch(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    return audit.count_mismatch(L.located, align.resolve_overlaps(L.located))
+
+
+@register("length_mismatch", S(f"""SELECT m.model_id, t.origin, t.doc_id, max(t.n_tok) + 2 AS true_len,
+  CASE WHEN m.model_id = 'noisy' THEN least(max(t.n_tok), {predict.NOISY_MAX_TOKENS}) ELSE max(t.n_tok) END + 2 AS pred_len
+FROM tokens t CROSS JOIN (VALUES ('rule_loose'), ('noisy')) m(model_id)
+GROUP BY m.model_id, t.origin, t.doc_id
+HAVING max(t.n_tok) + 2 <> pred_len""", "tokens"))
+def q_length_mismatch(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    docs = L.tokens.groupBy(*DOC_KEY).agg(F.max("n_tok").alias("n_tok"))
+    x = docs.select(F.explode(F.array(*[F.lit(m) for m in predict.MODELS])).alias("model_id"), *DOC_KEY, "n_tok")
+    k = F.when(F.col("model_id") == "noisy", F.least("n_tok", F.lit(predict.NOISY_MAX_TOKENS))) \
+        .otherwise(F.col("n_tok"))
+    return x.select("model_id", *DOC_KEY, (F.col("n_tok") + 2).alias("true_len"), (k + 2).alias("pred_len")) \
+        .where(F.col("true_len") != F.col("pred_len"))
+
+
+# ---------------------------------------------------------------------------
+# 2.5 continued: entity level, logits, latency, text-level report
+# ---------------------------------------------------------------------------
+
+def _ents_sql(col: str) -> str:
+    return f"""(SELECT taxonomy, model_id, origin, doc_id, ent, min(idx) AS e_start, max(idx) AS e_end, any_value(et) AS etype
+ FROM (SELECT *, sum(st) OVER (PARTITION BY taxonomy, model_id, origin, doc_id ORDER BY idx
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ent
+       FROM (SELECT *, CASE WHEN px = 'B' OR (px = 'I' AND (lag(px) OVER w IS NULL OR lag(px) OVER w = 'O'
+                                                            OR lag(et) OVER w <> et)) THEN 1 ELSE 0 END AS st
+             FROM (SELECT taxonomy, model_id, origin, doc_id, idx,
+                          CASE WHEN {col} IS NULL OR {col} = 'O' THEN 'O' ELSE substr({col}, 1, 1) END AS px,
+                          CASE WHEN {col} IS NULL OR {col} = 'O' THEN NULL ELSE substr({col}, 3) END AS et
+                   FROM tag_pairs)
+             WINDOW w AS (PARTITION BY taxonomy, model_id, origin, doc_id ORDER BY idx)))
+ WHERE px <> 'O' GROUP BY taxonomy, model_id, origin, doc_id, ent)"""
+
+
+@register("entity_report", S(f"""SELECT taxonomy, eval_set, model_id, etype AS entity_type,
+  CAST(sum(it * ip) AS BIGINT) AS tp, CAST(sum(ip) AS BIGINT) AS n_pred, CAST(sum(it) AS BIGINT) AS n_true,
+  {R6(RATIO('sum(it * ip)', 'sum(ip)'))} AS precision, {R6(RATIO('sum(it * ip)', 'sum(it)'))} AS recall,
+  {R6(RATIO('2 * sum(it * ip)', 'sum(ip) + sum(it)'))} AS f1
+FROM (
+  SELECT coalesce(t.taxonomy, p.taxonomy) AS taxonomy, coalesce(t.model_id, p.model_id) AS model_id,
+         coalesce(t.origin, p.origin) AS origin, coalesce(t.etype, p.etype) AS et0,
+         CASE WHEN t.ent IS NULL THEN 0 ELSE 1 END AS it, CASE WHEN p.ent IS NULL THEN 0 ELSE 1 END AS ip
+  FROM {_ents_sql('true_tag')} t FULL JOIN {_ents_sql('pred_tag')} p
+    ON t.taxonomy = p.taxonomy AND t.model_id = p.model_id AND t.origin = p.origin AND t.doc_id = p.doc_id
+   AND t.e_start = p.e_start AND t.e_end = p.e_end AND t.etype = p.etype
+) x
+JOIN (VALUES ('own'), ('concat')) s(eval_set) ON s.eval_set = 'concat' OR x.origin = x.taxonomy
+CROSS JOIN LATERAL (SELECT unnest([x.et0, 'ALL']) AS etype)
+GROUP BY taxonomy, eval_set, model_id, etype""", "tag_pairs"))
+def q_entity_report(spark, sf_dir):
+    return E.entity_report(lineage(spark, sf_dir).tag_pairs)
+
+
+@register("logits_argmax", S("""SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax
+FROM embeddings"""))
+def q_logits_argmax(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select("vec_id", predict.logits_argmax(F.col("embedding")).alias("argmax"))
+
+
+@register("flat_true_tokens", S(f"""SELECT taxonomy, model_id, tag, CAST(sum(tp) AS BIGINT) AS tp,
+  CAST(sum(pn) AS BIGINT) AS pred_n, CAST(sum(sp) AS BIGINT) AS support,
+  {R6(RATIO('sum(tp)', 'sum(pn)'))} AS precision, {R6(RATIO('sum(tp)', 'sum(sp)'))} AS recall,
+  {R6(RATIO('2 * sum(tp)', 'sum(pn) + sum(sp)'))} AS f1
+FROM (
+  SELECT taxonomy, model_id, t AS tag, CASE WHEN t = p THEN 1 ELSE 0 END AS tp, 0 AS pn, 1 AS sp FROM flat
+  UNION ALL SELECT taxonomy, model_id, p, 0, 1, 0 FROM flat
+) GROUP BY taxonomy, model_id, tag""", "flat"))
+def q_flat_true_tokens(spark, sf_dir):
+    """Text-level report where ignored true tags count as ``O``."""
+    L = lineage(spark, sf_dir)
+    g = L.geometry
+    rows = []
+    for t in tx.TAXONOMIES:
+        for m in predict.MODELS:
+            k = L.n_pred(m)
+            true_t = F.coalesce(tx.tag_text(L.true_id(t), t, ignore_text="O"), F.lit("O"))
+            pred_t = F.when(F.col("idx") <= k, tx.tag_text(L.pred_id(t, m), t, ignore_text="O")) \
+                .otherwise(F.lit("O"))
+            rows.append(F.struct(F.lit(t).alias("taxonomy"), F.lit(m).alias("model_id"),
+                                 true_t.alias("t"), pred_t.alias("p")))
+    x = g.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    c = x.select("taxonomy", "model_id", F.explode(F.array(
+        F.struct(F.col("t").alias("tag"), (F.col("t") == F.col("p")).cast("int").alias("tp"),
+                 F.lit(0).alias("pn"), F.lit(1).alias("sp")),
+        F.struct(F.col("p").alias("tag"), F.lit(0).alias("tp"), F.lit(1).alias("pn"), F.lit(0).alias("sp")))).alias("c"))
+    g2 = c.groupBy("taxonomy", "model_id", F.col("c.tag").alias("tag")).agg(
+        F.sum("c.tp").cast("bigint").alias("tp"), F.sum("c.pn").cast("bigint").alias("pred_n"),
+        F.sum("c.sp").cast("bigint").alias("support"))
+    return g2.select("*", round6(safe_ratio(F.col("tp"), F.col("pred_n"))).alias("precision"),
+                     round6(safe_ratio(F.col("tp"), F.col("support"))).alias("recall"),
+                     round6(safe_ratio(2 * F.col("tp"), F.col("pred_n") + F.col("support"))).alias("f1"))
+
+
+@register("hard_negative_probe", S("""SELECT taxonomy, model_id, pred_tag,
+  regexp_replace(regexp_replace(regexp_replace(tok, '[0-9]', '9', 'g'), '\\p{Lu}', 'A', 'g'), '\\p{Ll}', 'a', 'g') AS shape,
+  count(*) AS n
+FROM tag_pairs WHERE true_tag = 'O' AND pred_tag IS NOT NULL AND pred_tag <> 'O' GROUP BY ALL""", "tag_pairs"))
+def q_hard_negative_probe(spark, sf_dir):
+    return E.hard_negatives(lineage(spark, sf_dir).tag_pairs)
+
+
+# ---------------------------------------------------------------------------
+# 2.6 Windows (O53-O61) and tokenisation
+# ---------------------------------------------------------------------------
+
+@register("token_offsets", S('SELECT origin, doc_id, idx, tok, start, "end" FROM tokens', "tokens"))
+def q_token_offsets(spark, sf_dir):
+    return lineage(spark, sf_dir).tokens.select(*DOC_KEY, "idx", "tok", "start", "end")
+
+
+@register("subword_flag", S("""SELECT origin, doc_id, count(*) AS n_tok,
+  CAST(sum(CASE WHEN is_subword THEN 1 ELSE 0 END) AS BIGINT) AS n_subword FROM tokens GROUP BY origin, doc_id""",
+                            "tokens"))
+def q_subword_flag(spark, sf_dir):
+    return lineage(spark, sf_dir).tokens.groupBy(*DOC_KEY).agg(
+        F.count(F.lit(1)).alias("n_tok"), F.sum(F.col("is_subword").cast("int")).cast("bigint").alias("n_subword"))
+
+
+@register("tokenize_corpus", S(f"""SELECT origin, lang, count(DISTINCT doc_id) AS n_docs,
+  CAST(sum(CASE WHEN NOT regexp_matches(piece, {O.q('^[ \t\n\r]')}) THEN 1 ELSE 0 END) AS BIGINT) AS n_tok
+FROM (SELECT origin, doc_id, lang, unnest(regexp_extract_all(source_text, {O.q(__import__('spanlab.operators.lexer', fromlist=['LEX_RX']).LEX_RX)})) AS piece
+      FROM corpus WHERE source_text IS NOT NULL)
+GROUP BY origin, lang""", "corpus"))
+def q_tokenize_corpus(spark, sf_dir):
+    from ..operators import lexer
+    L = lineage(spark, sf_dir)
+    p = lexer.pieces(L.corpus)
+    docs = L.corpus.select(*DOC_KEY, "lang")
+    t = p.where("is_tok").join(docs, DOC_KEY, "inner")
+    return t.groupBy("origin", "lang").agg(F.countDistinct("doc_id").alias("n_docs"),
+                                           F.count(F.lit(1)).alias("n_tok"))
+
+
+@register("last_span_wins", S("""SELECT origin, doc_id, start_idx, ann_pos, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY origin, doc_id, start_idx ORDER BY ann_pos DESC) AS rn
+  FROM located WHERE status = 'ok') WHERE rn = 1""", "located"))
+def q_last_span_wins(spark, sf_dir):
+    return align.last_span_wins(lineage(spark, sf_dir).located).select(
+        *DOC_KEY, "start_idx", "ann_pos", "label")
+
+
+@register("resolve_overlaps", S("SELECT origin, doc_id, ann_pos, start_idx, end_idx, label FROM accepted", "accepted"))
+def q_resolve_overlaps(spark, sf_dir):
+    return align.resolve_overlaps(lineage(spark, sf_dir).located)
+
+
+@register("bio_tags", S("SELECT taxonomy, origin, doc_id, idx, true_tag AS tag FROM by_tax", "by_tax"))
+def q_bio_tags(spark, sf_dir):
+    return lineage(spark, sf_dir).kinds(True).select("taxonomy", *DOC_KEY, "idx", "tag")
+
+
+@register("bio_no_i", S("""SELECT b.origin, b.doc_id, b.idx, b.true_tag AS tag FROM by_tax b
+JOIN label_dim d ON d.taxonomy = b.taxonomy AND d.prefix = 'B' AND d.label = b.lab
+WHERE b.taxonomy = 'B' AND NOT d.has_i AND NOT b.is_first AND b.true_tag IS NOT NULL""", "by_tax", "label_dim"))
+def q_bio_no_i(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    lab = align.label_in("B")
+    x = L.geometry.where(F.col("span_label").isNotNull() & ~F.col("is_first") & ~tx.has_i_t(lab, "B"))
+    return x.select(*DOC_KEY, "idx", L.true_tag("B").alias("tag")).where(F.col("tag").isNotNull())
+
+
+@register("plain_tags", S("""SELECT taxonomy, CASE WHEN span_label IS NULL THEN (CASE WHEN is_subword THEN NULL ELSE 'O' END)
+    WHEN is_first THEN lab WHEN is_subword THEN NULL ELSE lab END AS tag, count(*) AS n
+FROM by_tax GROUP BY ALL""", "by_tax"))
+def q_plain_tags(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    x = L.geometry.withColumn("taxonomy", F.explode(F.array(*[F.lit(t) for t in tx.TAXONOMIES])))
+    return x.groupBy("taxonomy", L.true_tag(iob=False).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("sample_entities", S("""SELECT taxonomy, label, rank, origin, doc_id, ann_pos, value FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY taxonomy, label
+        ORDER BY CASE WHEN origin <> taxonomy THEN 1 ELSE 0 END, doc_id, ann_pos) AS INTEGER) AS rank FROM uspans)
+WHERE rank <= 5""", "uspans"))
+def q_sample_entities(spark, sf_dir):
+    return audit.sample_entities(lineage(spark, sf_dir).uspans, 5)
+
+
+_SPOT = " OR ".join(
+    f"(l.taxonomy = {O.q(t)} AND list_contains([{', '.join(O.q(x) for x in audit.SPOT_LABELS[t])}], l.label))"
+    for t in tx.TAXONOMIES)
+
+
+@register("spot_check", S(f"""SELECT w.taxonomy, w.label, w.ann_rank, w.origin, w.doc_id, w.ann_pos, w.idx, t.tok,
+  t.start AS tok_start, t."end" AS tok_end,
+  CASE WHEN w.idx IS NULL THEN 'NONE' WHEN w.idx = w.start_idx THEN 'FIRST' WHEN t.is_subword THEN 'SUB' ELSE 'CONT' END AS flag
+FROM (
+  SELECT p.*, CAST(unnest(CASE WHEN p.start_idx IS NULL THEN [NULL] ELSE generate_series(p.start_idx, p.end_idx) END) AS INTEGER) AS idx
+  FROM (SELECT l.*, CAST(row_number() OVER (PARTITION BY l.taxonomy, l.label
+              ORDER BY CASE WHEN l.origin <> l.taxonomy THEN 1 ELSE 0 END, l.doc_id, l.ann_pos) AS INTEGER) AS ann_rank
+        FROM located_t l WHERE ({_SPOT}) AND l.status <> 'empty') p
+  WHERE p.ann_rank <= 3
+) w LEFT JOIN tokens t ON t.origin = w.origin AND t.doc_id = w.doc_id AND t.idx = w.idx""", "located_t", "tokens"))
+def q_spot_check(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    return audit.spot_check(L.located_t, L.tokens, 3)
+
+
+# ---------------------------------------------------------------------------
+# 2.10 UDF / table-function surface
+# ---------------------------------------------------------------------------
+
+@register("score_batches", None)
+def q_score_batches(spark, sf_dir):
+    d = lineage(spark, sf_dir).docs_en
+    s = predict.score_batches(d, "A")
+    return s.select(*DOC_KEY, "model_id", F.size("predicted_mask").alias("n_pred"))
+
+
+@register("latency_report", None)
+def q_latency_report(spark, sf_dir):
+    s = predict.score_batches(lineage(spark, sf_dir).docs_en, "A")
+    return s.groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("n_samples"), (F.sum("elapsed_ms") / 1000.0).alias("total_sec"),
+        F.avg("elapsed_ms").alias("mean_ms_per_sample"))
+
+
+@register("encode_predictions", S("""SELECT origin, doc_id, CAST(count(*) + 2 AS INTEGER) AS n_ids,
+  CAST(sum(tag_id) - 200 AS BIGINT) AS id_sum FROM preds_loose_a_ids GROUP BY origin, doc_id""", "preds_loose_a_ids"))
+def q_encode_predictions(spark, sf_dir):
+    L = lineage(spark, sf_dir)
+    preds = _nested_preds(L, "rule_loose", "A")
+    ids = predict.encode_predictions(F.col("predicted_mask"), "A")
+    x = preds.select(*DOC_KEY, ids.alias("ids"))
+    return x.select(*DOC_KEY, F.size("ids").alias("n_ids"),
+                    F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("id_sum"))
