@@ -425,3 +425,14 @@ JOIN label_dim d ON d.taxonomy = 'A' AND d.tag = p.pred_tag""", ["preds_loose_a"
   LEFT JOIN all_preds tp ON tp.taxonomy = b.taxonomy AND tp.model_id = m.model_id AND tp.origin = b.origin
     AND tp.doc_id = b.doc_id AND tp.idx = b.idx)""", ["by_tax", "all_preds"]),
 })
+
+
+CTES.update({
+    # stage-2 view: English documents before the blank-text filter
+    "spans_en_kept": ("""SELECT s.* FROM spans_all s
+JOIN corpus c ON c.origin = s.origin AND c.doc_id = s.doc_id
+JOIN keep k ON k.origin = s.origin AND k.label = s.label
+WHERE (c.origin = 'A' AND c.language = 'English') OR (c.origin = 'B' AND c.language = 'en')""",
+                      ["spans_all", "corpus", "keep"]),
+    "uspans_en": (_in_tax("spans_en_kept"), ["spans_en_kept", "mapping"]),
+})

@@ -154,7 +154,7 @@ def q_sink_csv(spark, sf_dir):
 
 
 @register("scan_csv_nested", S("""SELECT origin, doc_id, %s, start, "end", label, value
-FROM uspans WHERE taxonomy = 'A'""" % _RENUM, "uspans"))
+FROM uspans_en WHERE taxonomy = 'A'""" % _RENUM, "uspans_en"))
 def q_scan_csv_nested(spark, sf_dir):
     L = lineage(spark, sf_dir)
     path = io.output_path(spark, "concat_csv")
@@ -244,15 +244,15 @@ def q_drop_nested_field(spark, sf_dir):
 
 
 @register("conform_schema", S("""SELECT origin, doc_id, %s, value, start, "end", label
-FROM uspans WHERE taxonomy = 'A'""" % _RENUM, "uspans"))
+FROM uspans_en WHERE taxonomy = 'A'""" % _RENUM, "uspans_en"))
 def q_conform_schema(spark, sf_dir):
     d = prep.uniform_corpus(prep.filter_language(lineage(spark, sf_dir).annotated), "A")
     x = d.select(*DOC_KEY, F.posexplode("privacy_mask").alias("ann_pos", "a"))
     return x.select(*DOC_KEY, F.col("ann_pos").cast("int"), "a.*")
 
 
-@register("relabel", S("""SELECT origin, doc_id, %s, label FROM uspans WHERE taxonomy = 'B'""" % _RENUM,
-                      "uspans"))
+@register("relabel", S("""SELECT origin, doc_id, %s, label FROM uspans_en WHERE taxonomy = 'B'""" % _RENUM,
+                      "uspans_en"))
 def q_relabel(spark, sf_dir):
     d = prep.uniform_corpus(prep.filter_language(lineage(spark, sf_dir).annotated), "B")
     x = d.select(*DOC_KEY, F.posexplode("privacy_mask").alias("ann_pos", "a"))
@@ -506,8 +506,8 @@ def q_label_scope(spark, sf_dir):
 FROM corpus c CROSS JOIN (VALUES ('A'), ('B')) t(taxonomy)
 JOIN (VALUES ('own'), ('concat')) e(eval_set) ON e.eval_set = 'concat' OR c.origin = t.taxonomy
 LEFT JOIN (SELECT taxonomy, origin, doc_id, count(*) AS n_ann, string_agg(label, ',' ORDER BY ann_pos) AS labels
-           FROM uspans GROUP BY ALL) a ON a.taxonomy = t.taxonomy AND a.origin = c.origin AND a.doc_id = c.doc_id
-WHERE (c.origin = 'A' AND c.language = 'English') OR (c.origin = 'B' AND c.language = 'en')""", "corpus", "uspans"))
+           FROM uspans_en GROUP BY ALL) a ON a.taxonomy = t.taxonomy AND a.origin = c.origin AND a.doc_id = c.doc_id
+WHERE (c.origin = 'A' AND c.language = 'English') OR (c.origin = 'B' AND c.language = 'en')""", "corpus", "uspans_en"))
 def q_concat_corpora(spark, sf_dir):
     docs = prep.filter_language(lineage(spark, sf_dir).annotated)
     out = None
