@@ -39,7 +39,8 @@ def pieces(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy(*DOC_KEY).orderBy("pos")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    is_tok = ~F.col("piece").rlike(BLANK_PIECE_RX)
+    # blank pieces are runs of the lexer's blank class: test the first char
+    is_tok = ~F.substring(F.col("piece"), 1, 1).isin(" ", "\t", "\n", "\r")
     x = x.withColumn("is_tok", is_tok)
     tok_int = F.col("is_tok").cast("int")
     return x.select(

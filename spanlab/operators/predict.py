@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 from ..functions.text import hash_bucket
-from ..sources.corpus import DOC_KEY, EMAIL_RX, IP_RX, LOOSE_PHONE_RX, CAPITALISED_RX, _matches
+from ..sources.corpus import DOC_KEY, EMAIL_RX, IP_RX, LOOSE_PHONE_RX, CAPITALISED_RX
 from . import align
 
 MODELS = ("rule_loose", "noisy")
@@ -41,19 +41,16 @@ def loose_spans(docs: DataFrame) -> DataFrame:
     """Predicted spans of ``rule_loose``: ``origin, doc_id, ann_pos, start, end, label``
     with ``label`` the rule name."""
     from pyspark.sql import Window
-    parts = F.concat(*[_matches(F.col("source_text"), rx, i + 1) for i, (_, rx) in enumerate(LOOSE_RULES)])
-    x = (docs.where(F.col("source_text").isNotNull())
-         .select(*DOC_KEY, F.posexplode(parts).alias("pos", "x"))
-         .select(*DOC_KEY, "pos", "x.rule", "x.m", "x.gap"))
-    w = (Window.partitionBy(*DOC_KEY, "rule").orderBy("pos")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumn("mend", F.sum(F.length("gap") + F.length("m")).over(w))
+
+    from ..sources.corpus import _zip, explode_matches
+    x = explode_matches(docs, [(i + 1, _zip(F.col("source_text"), rx))
+                               for i, (_, rx) in enumerate(LOOSE_RULES)])
     names = F.element_at(F.array(*[F.lit(n) for n, _ in LOOSE_RULES]), F.col("rule"))
     w2 = Window.partitionBy(*DOC_KEY).orderBy("rule", "pos")
     return x.select(
         *DOC_KEY,
         (F.row_number().over(w2) - 1).cast("int").alias("ann_pos"),
-        (F.col("mend") - F.length("m")).cast("int").alias("start"),
+        F.col("mstart").cast("int").alias("start"),
         F.col("mend").cast("int").alias("end"),
         names.alias("label"),
     )

@@ -69,8 +69,14 @@ class Lineage:
 
     @property
     def gold_spans(self) -> DataFrame:
-        """Annotations of the evaluated documents after the allow-lists."""
-        return self._get("gold_spans", lambda: keep_labels_long(C.spans(self.docs_en)))
+        """Annotations of the evaluated documents after the allow-lists
+        (persisted: alignment and every audit read them)."""
+        return self._get("gold_spans", lambda: keep_labels_long(C.spans(self.docs_en)).persist(
+            StorageLevel.MEMORY_AND_DISK))
+
+    @property
+    def loose_spans(self) -> DataFrame:
+        return self._get("loose_spans", lambda: predict.loose_spans(self.docs_en))
 
     # -- tokens and alignment --------------------------------------------
     @property
@@ -85,10 +91,6 @@ class Lineage:
     def tokens(self) -> DataFrame:
         return self._get("tokens", lambda: lexer.tokens_from_pieces(self.pieces))
 
-    @property
-    def located(self) -> DataFrame:
-        """Gold spans with start/end token and status (``ok | no_token | empty``)."""
-        return self._get("located", lambda: self.both_located.where(F.col("src") == "gold").drop("src"))
 
     @property
     def annotated(self) -> DataFrame:
@@ -129,13 +131,18 @@ class Lineage:
         return self._get("accepted", lambda: align.resolve_overlaps(self.located))
 
     @property
-    def both_located(self) -> DataFrame:
-        """Gold and rule_loose spans located in one lookup join (``src`` = gold | loose)."""
-        def build():
-            g = self.gold_spans.select(F.lit("gold").alias("src"), *align.SPAN_COLS)
-            lo = predict.loose_spans(self.docs_en).select(F.lit("loose").alias("src"), *align.SPAN_COLS)
-            return align.locate(g.unionByName(lo), self.pieces, extra_key=["src"])
-        return self._get("both_located", build)
+    def located(self) -> DataFrame:
+        """Gold spans with start/end token and status (``ok | no_token | empty``).
+
+        Spans and pieces are both placed on ``(origin, doc_id)``, so the
+        lookup join runs partition-local (no exchange of the piece table).
+        """
+        return self._get("located", lambda: align.locate(self.gold_spans, self.pieces).persist(
+            StorageLevel.MEMORY_AND_DISK))
+
+    @property
+    def loose_located(self) -> DataFrame:
+        return self._get("loose_located", lambda: align.locate(self.loose_spans, self.pieces))
 
     @property
     def geometry(self) -> DataFrame:
@@ -146,9 +153,8 @@ class Lineage:
         the per-token work downstream is integer CASE logic only.
         """
         def build():
-            both = align.resolve_overlaps(self.both_located, extra_key=["src"])
             gold_cols = []
-            acc = both.where(F.col("src") == "gold").drop("src")
+            acc = align.resolve_overlaps(self.located)
             for t in tx.TAXONOMIES:
                 lab = tx.relabel_t(F.col("label"), F.col("origin"), t)
                 hi = tx.has_i_t(lab, t)
@@ -162,7 +168,7 @@ class Lineage:
                 gold_cols += [f"b_{t}", f"c_{t}", f"ob_{t}", f"oc_{t}"]
             gold = align.cover(acc, gold_cols)
 
-            lacc = both.where(F.col("src") == "loose").drop("src")
+            lacc = align.resolve_overlaps(self.loose_located)
             loose_cols = []
             for t in tx.TAXONOMIES:
                 lab = F.element_at(tx._combined(lambda tt: predict.LOOSE_LABELS[tt]),

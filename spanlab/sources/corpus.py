@@ -75,16 +75,50 @@ def place_documents(df: DataFrame) -> DataFrame:
     return df.repartition(shuffle_partitions(spark), *DOC_KEY)
 
 
-def _matches(text: Column, pattern: str, rule: int) -> Column:
-    """Array of ``struct(rule, m, gap)``: each match with the text before it."""
-    m = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
-    return F.transform(m, lambda x, i: F.struct(F.lit(rule).alias("rule"), x.alias("m"),
-                                                F.element_at(gaps, i + 1).alias("gap")))
+_ZIP_TYPE = "array<struct<m:string,gap:string>>"
 
 
-def _empty() -> Column:
-    return F.array().cast("array<struct<rule:int,m:string,gap:string>>")
+def _zip(text: Column, pattern: str) -> Column:
+    """``[(match, text before it)]`` for every match, plus one trailing
+    ``(null, tail)`` element.  ``arrays_zip`` keeps this in generated code
+    (a lambda ``transform`` would be interpreted per element)."""
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"),
+                        F.split(text, pattern, -1).alias("gap")).cast(_ZIP_TYPE)
+
+
+def explode_matches(docs: DataFrame, rules: list[tuple[int, Column]]) -> DataFrame:
+    """Explode the matches of several rules in one ``Generate`` and give each
+    its character offsets: one running sum per (document, rule) over
+    ``len(gap) + len(match)``.
+
+    ``rules``: ``(rule number, zipped array column)``; the rule of an element
+    is recovered from cumulative array sizes, so no per-element lambda runs.
+    Output: ``origin, doc_id, rule, pos, m, mstart, mend``.
+    """
+    # Arrays and their sizes are computed once per document in a projection
+    # *below* the Generate; the Generate then only references columns
+    # (expressions next to a generator would be re-evaluated per output row).
+    arrays = docs.where(F.col("source_text").isNotNull()).select(
+        *DOC_KEY, *[F.coalesce(z, F.array().cast(_ZIP_TYPE)).alias(f"_z{i}") for i, (_, z) in enumerate(rules)])
+    arrays = arrays.select(*DOC_KEY, *[F.size(f"_z{i}").alias(f"_n{i}") for i in range(len(rules))],
+                           F.concat(*[F.col(f"_z{i}") for i in range(len(rules))]).alias("_all"))
+    acc = F.lit(0)
+    cum = []
+    for i in range(len(rules)):
+        acc = acc + F.col(f"_n{i}")
+        cum.append(acc.alias(f"_c{i}"))
+    arrays = arrays.select(*DOC_KEY, *cum, "_all")
+    x = arrays.select(*DOC_KEY, *[f"_c{i}" for i in range(len(rules))],
+                      F.posexplode("_all").alias("pos", "x"))
+    rule = F.lit(rules[-1][0])
+    for i in range(len(rules) - 2, -1, -1):
+        rule = F.when(F.col("pos") < F.col(f"_c{i}"), F.lit(rules[i][0])).otherwise(rule)
+    x = x.select(*DOC_KEY, rule.alias("rule"), "pos", F.col("x.m").alias("m"), F.col("x.gap").alias("gap"))
+    w = (Window.partitionBy(*DOC_KEY, "rule").orderBy("pos")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.withColumn("mend", F.sum(F.length("gap") + F.coalesce(F.length("m"), F.lit(0))).over(w))
+    return (x.where(F.col("m").isNotNull())
+            .withColumn("mstart", F.col("mend") - F.length("m")))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -96,25 +130,17 @@ def spans(docs: DataFrame) -> DataFrame:
     text = F.col("source_text")
     origin = F.col("origin")
     doc_id = F.col("doc_id")
-    parts = F.concat(
-        _matches(text, EMAIL_RX, R_EMAIL),
-        _matches(text, TEL_RX, R_TEL),
-        F.when(origin == "A", _matches(text, IP_RX, R_IP)).otherwise(_empty()),
-        _matches(text, DIGITS_RX, R_CARD),
-        _matches(text, HEX40_RX, R_HEX),
-        _matches(text, NAME_PAIR_RX, R_GIVEN),
-        F.when(doc_id % 10 < 2, _matches(text, LOOSE_PHONE_RX, R_SOCIAL)).otherwise(_empty()),
-        F.when((doc_id % 50 == 7) & text.isNotNull(),
-               F.array(F.struct(F.lit(R_EMPTY).alias("rule"), F.lit("").alias("m"),
-                                F.lit("").alias("gap")))).otherwise(_empty()),
-    )
-    x = (docs.where(text.isNotNull())
-         .select(*DOC_KEY, F.posexplode(parts).alias("pos", "x"))
-         .select(*DOC_KEY, "pos", "x.rule", "x.m", "x.gap"))
-    w = (Window.partitionBy(*DOC_KEY, "rule").orderBy("pos")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumn("mend", F.sum(F.length("gap") + F.length("m")).over(w))
-    x = x.withColumn("mstart", F.col("mend") - F.length("m"))
+    empty_span = F.array(F.struct(F.lit("").alias("m"), F.lit("").alias("gap"))).cast(_ZIP_TYPE)
+    x = explode_matches(docs, [
+        (R_EMAIL, _zip(text, EMAIL_RX)),
+        (R_TEL, _zip(text, TEL_RX)),
+        (R_IP, F.when(origin == "A", _zip(text, IP_RX))),
+        (R_CARD, _zip(text, DIGITS_RX)),
+        (R_HEX, _zip(text, HEX40_RX)),
+        (R_GIVEN, _zip(text, NAME_PAIR_RX)),
+        (R_SOCIAL, F.when(doc_id % 10 < 2, _zip(text, LOOSE_PHONE_RX))),
+        (R_EMPTY, F.when(doc_id % 50 == 7, empty_span)),
+    ])
 
     rule, m, mstart, mend = F.col("rule"), F.col("m"), F.col("mstart"), F.col("mend")
     first_len = F.length(F.substring_index(m, " ", 1))
