@@ -151,11 +151,20 @@ def mapping_df(spark: SparkSession) -> DataFrame:
 
 # --- column helpers: literal maps, evaluated inside codegen, no join -------
 
+def _sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _map(d: dict) -> Column:
-    items = []
-    for k, v in d.items():
-        items += [F.lit(k), F.lit(v)]
-    return F.create_map(*items)
+    """A literal map built from one SQL expression (one JVM call, not one per entry)."""
+    body = ", ".join(f"{_sql_lit(k)}, {_sql_lit(v)}" for k, v in d.items())
+    return F.expr(f"map({body})")
 
 
 def map_label(label: Column, src: str, dst: str) -> Column:

@@ -24,7 +24,6 @@ from ..functions import taxonomy as tx
 from ..functions.text import is_blank
 from ..operators import align, lexer, predict
 from ..sources import corpus as C
-from ..session import ensure_checkpoint_dir
 from ..sources.corpus import DOC_KEY
 
 
@@ -81,11 +80,9 @@ class Lineage:
     # -- tokens and alignment --------------------------------------------
     @property
     def pieces(self) -> DataFrame:
-        """Lexer output, read by the span lookups and by the token table:
-        persisted (memory, spilling to disk) so the regex and the offset
-        window run once.  A lost block is recomputed from lineage."""
-        return self._get("pieces", lambda: lexer.pieces(self.docs_en).persist(
-            StorageLevel.MEMORY_AND_DISK))
+        """Lexer output.  Read twice: by the one sweep that locates gold and
+        predicted spans, and by the token table of the aligned checkpoint."""
+        return self._get("pieces", lambda: lexer.pieces(self.docs_en))
 
     @property
     def tokens(self) -> DataFrame:
@@ -131,18 +128,26 @@ class Lineage:
         return self._get("accepted", lambda: align.resolve_overlaps(self.located))
 
     @property
-    def located(self) -> DataFrame:
-        """Gold spans with start/end token and status (``ok | no_token | empty``).
+    def both_located(self) -> DataFrame:
+        """Gold and rule_loose spans located in one sweep over the pieces
+        (``src`` = gold | loose); persisted: small, and read by the
+        alignment and by every audit."""
+        def build():
+            g = self.gold_spans.select(F.lit("gold").alias("src"), *align.SPAN_COLS)
+            lo = self.loose_spans.select(F.lit("loose").alias("src"), *align.SPAN_COLS)
+            return align.locate(g.unionByName(lo), self.pieces, extra_key=["src"]).persist(
+                StorageLevel.MEMORY_AND_DISK)
+        return self._get("both_located", build)
 
-        Spans and pieces are both placed on ``(origin, doc_id)``, so the
-        lookup join runs partition-local (no exchange of the piece table).
-        """
-        return self._get("located", lambda: align.locate(self.gold_spans, self.pieces).persist(
-            StorageLevel.MEMORY_AND_DISK))
+    @property
+    def located(self) -> DataFrame:
+        """Gold spans with start/end token and status (``ok | no_token | empty``)."""
+        return self._get("located", lambda: self.both_located.where(F.col("src") == "gold").drop("src"))
 
     @property
     def loose_located(self) -> DataFrame:
-        return self._get("loose_located", lambda: align.locate(self.loose_spans, self.pieces))
+        return self._get("loose_located",
+                         lambda: self.both_located.where(F.col("src") == "loose").drop("src"))
 
     @property
     def geometry(self) -> DataFrame:
@@ -153,43 +158,54 @@ class Lineage:
         the per-token work downstream is integer CASE logic only.
         """
         def build():
-            gold_cols = []
             acc = align.resolve_overlaps(self.located)
+            gold_exprs = []
             for t in tx.TAXONOMIES:
                 lab = tx.relabel_t(F.col("label"), F.col("origin"), t)
                 hi = tx.has_i_t(lab, t)
                 alt = tx.alt_label_t(lab, t)
-                b = tx.tag_id_t(F.concat(F.lit("B-"), lab), t)
-                c = tx.tag_id_t(F.concat(F.when(hi, F.lit("I-")).otherwise(F.lit("B-")), lab), t)
                 ob = tx.tag_id_t(F.concat(F.lit("B-"), alt), t)
-                oc = F.when(hi & tx.has_i_t(alt, t), tx.tag_id_t(F.concat(F.lit("I-"), alt), t)).otherwise(ob)
-                acc = acc.withColumn(f"b_{t}", b).withColumn(f"c_{t}", c) \
-                    .withColumn(f"ob_{t}", ob).withColumn(f"oc_{t}", oc)
-                gold_cols += [f"b_{t}", f"c_{t}", f"ob_{t}", f"oc_{t}"]
+                gold_exprs += [
+                    tx.tag_id_t(F.concat(F.lit("B-"), lab), t).alias(f"b_{t}"),
+                    tx.tag_id_t(F.concat(F.when(hi, F.lit("I-")).otherwise(F.lit("B-")), lab), t).alias(f"c_{t}"),
+                    ob.alias(f"ob_{t}"),
+                    F.when(hi & tx.has_i_t(alt, t), tx.tag_id_t(F.concat(F.lit("I-"), alt), t))
+                    .otherwise(ob).alias(f"oc_{t}"),
+                ]
+            acc = acc.select("*", *gold_exprs)
+            gold_cols = [f"{p}_{t}" for t in tx.TAXONOMIES for p in ("b", "c", "ob", "oc")]
             gold = align.cover(acc, gold_cols)
 
             lacc = align.resolve_overlaps(self.loose_located)
-            loose_cols = []
+            loose_exprs = []
             for t in tx.TAXONOMIES:
                 lab = F.element_at(tx._combined(lambda tt: predict.LOOSE_LABELS[tt]),
                                    tx._tkey(t, F.col("label")))
                 o_id = F.lit(tx.tag2id(t)["O"])
-                lb = F.when(lab.isNull(), o_id).otherwise(tx.tag_id_t(F.concat(F.lit("B-"), lab), t))
-                lc = F.when(lab.isNull(), o_id).otherwise(tx.tag_id_t(
-                    F.concat(F.when(tx.has_i_t(lab, t), F.lit("I-")).otherwise(F.lit("B-")), lab), t))
-                lacc = lacc.withColumn(f"lb_{t}", lb).withColumn(f"lc_{t}", lc)
-                loose_cols += [f"lb_{t}", f"lc_{t}"]
+                loose_exprs += [
+                    F.when(lab.isNull(), o_id).otherwise(tx.tag_id_t(F.concat(F.lit("B-"), lab), t))
+                    .alias(f"lb_{t}"),
+                    F.when(lab.isNull(), o_id).otherwise(tx.tag_id_t(
+                        F.concat(F.when(tx.has_i_t(lab, t), F.lit("I-")).otherwise(F.lit("B-")), lab), t))
+                    .alias(f"lc_{t}"),
+                ]
+            lacc = lacc.select("*", *loose_exprs)
+            loose_cols = [f"{p}_{t}" for t in tx.TAXONOMIES for p in ("lb", "lc")]
             loose = align.cover(lacc, loose_cols).select(
                 *DOC_KEY, "idx", F.col("span_label").alias("lp_rule"),
                 F.col("is_first").alias("lp_first"), *loose_cols)
-            g = self.tokens.join(gold, [*DOC_KEY, "idx"], "left").join(loose, [*DOC_KEY, "idx"], "left")
             from ..functions.text import hash_bucket
-            g = g.withColumn("h", hash_bucket(F.col("origin"), F.col("doc_id"), F.col("idx")))
+            g = self.tokens.join(gold, [*DOC_KEY, "idx"], "left").join(loose, [*DOC_KEY, "idx"], "left")
+            g = g.select("*", hash_bucket(F.col("origin"), F.col("doc_id"), F.col("idx")).alias("h"))
             # The aligned token table is the persist point every report
-            # reuses: checkpointed into the shared spark.checkpoint.dir
-            # (keeps its (origin, doc_id) partitioning, cuts the lineage).
-            ensure_checkpoint_dir(self.spark)
-            return g.checkpoint(eager=True)
+            # reuses: written once as Parquet under the shared
+            # spark.checkpoint.dir and read back, which cuts the lineage
+            # (a lost executor re-reads files instead of re-lexing) and lets
+            # each report read only the columns it needs.
+            from ..sources.io import output_path
+            path = output_path(self.spark, "aligned")
+            g.write.mode("overwrite").parquet(path)
+            return self.spark.read.parquet(path)
         return self._get("geometry", build)
 
     @staticmethod
@@ -251,9 +267,9 @@ class Lineage:
                         F.when(F.col("idx") <= k, self.pred_id(t, m))
                         .otherwise(F.lit(tx.IGNORE_ID)).alias("pred_id"),
                         (F.col("idx") <= k + 1).alias("paired")))
-            x = self.geometry.select(*DOC_KEY, "idx", F.explode(F.array(*combos)).alias("c"))
+            x = self.geometry.select(*DOC_KEY, "idx", "tok", F.explode(F.array(*combos)).alias("c"))
             return (x.where(F.col("c.paired") & (F.col("c.true_id") != tx.IGNORE_ID))
-                    .select("c.taxonomy", "c.model_id", *DOC_KEY, "idx", "c.true_id", "c.pred_id"))
+                    .select("c.taxonomy", "c.model_id", *DOC_KEY, "idx", "tok", "c.true_id", "c.pred_id"))
         return self._get("pairs", build)
 
     @property
@@ -263,10 +279,8 @@ class Lineage:
             dim = F.broadcast(tx.label_dim(self.spark).select("taxonomy", "tag_id", "tag"))
             tdim = dim.select("taxonomy", F.col("tag_id").alias("true_id"), F.col("tag").alias("true_tag"))
             pdim = dim.select("taxonomy", F.col("tag_id").alias("pred_id"), F.col("tag").alias("pred_tag"))
-            toks = self.tokens.select(*DOC_KEY, "idx", "tok")
             return (self.pairs.join(tdim, ["taxonomy", "true_id"], "left")
                     .join(pdim, ["taxonomy", "pred_id"], "left")
-                    .join(toks, [*DOC_KEY, "idx"], "inner")
                     .select("taxonomy", "model_id", *DOC_KEY, "idx", "tok", "true_tag", "pred_tag"))
         return self._get("tag_pairs", build)
 
