@@ -13,9 +13,8 @@ Semantics (per document, tokens ``idx`` 1..n, special tokens outside):
    ignored (-100) when they are subwords, else ``I-`` (``B-`` again when the
    label has no I- tag).  Tokens outside spans are ``O`` (-100 when subword).
 
-Steps 1 and 4 are point lookups "piece containing character c", answered
-by a sweep over the document's pieces and span boundaries in character
-order (one window, no join).  Steps 2-3 are one ordered fold per overlap
+Steps 1 and 4 are point lookups "piece containing character c": bounded
+equality candidates joined on the document placement (no range product).  Steps 2-3 are one ordered fold per overlap
 cluster of spans (a recurrence, not a join).
 """
 
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 from ..sources.corpus import DOC_KEY
+from .lexer import MAX_PIECE
 
 SPAN_COLS = [*DOC_KEY, "ann_pos", "start", "end", "label"]
 _ACC_TYPE = "array<struct<start_idx:int,neg_pos:int,end_idx:int,ann_pos:int,label:string>>"
@@ -38,44 +38,30 @@ def locate(spans: DataFrame, pieces: DataFrame, extra_key: list[str] | None = No
     (last token starting before ``end``), ``status`` in
     ``ok | no_token | empty``.
 
-    Pieces tile the text, so the piece containing character ``c`` is the
-    last piece starting at or before ``c``.  Span boundaries and pieces are
-    merged into one stream per document ordered by character position; a
-    running ``last(piece)`` hands every boundary its piece.  One sort of
-    (pieces + 2 x spans) rows on the existing document partitioning -- no
-    join, no candidate expansion, whatever the span or document length.
+    Pieces tile the text and are at most ``MAX_PIECE`` characters long, so
+    the piece containing character ``c`` starts in ``[c - MAX_PIECE + 1, c]``:
+    each boundary becomes at most ``MAX_PIECE`` equality candidates on
+    ``(origin, doc_id, pstart)``.  Both sides keep the document placement,
+    so the join and the per-span aggregate run without an exchange (a union
+    with the piece stream would force one).
     """
     ek = extra_key or []
     cols = [*ek, *SPAN_COLS]
     s = spans.select(*cols)
     live = s.where(F.col("end") > F.col("start"))
     targets = F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("start").alias("cpos")),
-        F.struct(F.lit(1).alias("kind"), (F.col("end") - 1).alias("cpos")),
+        F.struct(F.lit(0).alias("kind"), F.col("start").alias("target")),
+        F.struct(F.lit(1).alias("kind"), (F.col("end") - 1).alias("target")),
     )
-    piece_t = "struct<pend:int,is_tok:boolean,idx_upto:int,n_tok:int>"
-    ev_t = (live.select(*DOC_KEY, *ek, "ann_pos", F.explode(targets).alias("t"))
-            .select(*DOC_KEY, F.col("t.cpos").cast("int").alias("cpos"), F.lit(1).alias("ord"),
-                    *ek, F.col("ann_pos"), F.col("t.kind").alias("kind"),
-                    F.lit(None).cast(piece_t).alias("p")))
-    null_ek = [F.lit(None).cast(live.schema[c].dataType).alias(c) for c in ek]
-    ev_p = pieces.select(*DOC_KEY, F.col("pstart").cast("int").alias("cpos"), F.lit(0).alias("ord"),
-                         *null_ek, F.lit(None).cast("int").alias("ann_pos"), F.lit(None).cast("int").alias("kind"),
-                         F.struct(F.col("pend").cast("int").alias("pend"), F.col("is_tok"),
-                                  F.col("idx_upto").cast("int").alias("idx_upto"),
-                                  F.col("n_tok").cast("int").alias("n_tok")).alias("p"))
-    w = (Window.partitionBy(*DOC_KEY).orderBy("cpos", "ord")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    swept = ev_p.unionByName(ev_t).withColumn("cp", F.last("p", ignorenulls=True).over(w))
-    hit = swept.where(F.col("ord") == 1).select(
-        *DOC_KEY, *ek, "ann_pos", "kind",
-        F.when(F.col("cpos") < F.col("cp.pend"), F.col("cp.idx_upto")).alias("idx"),
-        (F.col("cpos") < F.col("cp.pend")) & F.col("cp.is_tok"),
-        F.col("cp.n_tok").alias("n_tok"))
-    hit = hit.toDF(*DOC_KEY, *ek, "ann_pos", "kind", "idx", "on_tok", "n_tok")
+    cand = (live.select(*DOC_KEY, *ek, "ann_pos", F.explode(targets).alias("t"))
+            .select(*DOC_KEY, *ek, "ann_pos", "t.kind", "t.target",
+                    F.explode(F.sequence(F.col("t.target") - (MAX_PIECE - 1), F.col("t.target")))
+                    .alias("cand")))
+    p = pieces.select(*DOC_KEY, F.col("pstart").alias("cand"), "pend", "is_tok", "idx_upto", "n_tok")
+    hit = cand.join(p, [*DOC_KEY, "cand"], "inner").where(F.col("target") < F.col("pend"))
     found = hit.groupBy(*DOC_KEY, *ek, "ann_pos").agg(
-        F.max(F.when((F.col("kind") == 0) & F.col("on_tok"), F.col("idx"))).alias("start_idx"),
-        F.max(F.when(F.col("kind") == 1, F.col("idx"))).alias("end_hit"),
+        F.max(F.when((F.col("kind") == 0) & F.col("is_tok"), F.col("idx_upto"))).alias("start_idx"),
+        F.max(F.when(F.col("kind") == 1, F.col("idx_upto"))).alias("end_hit"),
         F.max("n_tok").alias("n_tok"),
     )
     out = s.join(found, [*DOC_KEY, *ek, "ann_pos"], "left")

@@ -144,44 +144,53 @@ def masked_accuracy(conf: DataFrame) -> DataFrame:
 # Entity level
 # ---------------------------------------------------------------------------
 
-def _entities(pairs: DataFrame, tag_col: str, key: list[str]) -> DataFrame:
-    """Decode one tag column of the scored positions into entities.
-
-    A new entity starts at ``B-``, or at ``I-`` when the previous scored tag
-    is ``O`` or of another type.  ``pairs`` must hold scored positions only.
-    """
-    w = Window.partitionBy(*key, *DOC_KEY).orderBy("idx")
-    t = F.col(tag_col)
-    prefix = F.when(t.isNull() | (t == "O"), F.lit("O")).otherwise(F.substring(t, 1, 1))
-    etype = F.when(prefix == "O", F.lit(None).cast("string")).otherwise(F.substring(t, 3, 1 << 20))
-    x = pairs.select(*key, *DOC_KEY, "idx", prefix.alias("px"), etype.alias("et"))
-    prev_p = F.lag("px").over(w)
-    prev_t = F.lag("et").over(w)
-    start = (F.col("px") == "B") | ((F.col("px") == "I") & (
-        prev_p.isNull() | (prev_p == "O") | (prev_t != F.col("et"))))
-    x = x.withColumn("st", start.cast("int"))
-    x = x.withColumn("ent", F.sum("st").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return (x.where(F.col("px") != "O")
-            .groupBy(*key, *DOC_KEY, "ent")
-            .agg(F.min("idx").alias("e_start"), F.max("idx").alias("e_end"), F.first("et").alias("etype"))
-            .drop("ent"))
+def _decode(tag: Column, prev_px: Column, prev_et: Column):
+    px = F.when(tag.isNull() | (tag == "O"), F.lit("O")).otherwise(F.substring(tag, 1, 1))
+    et = F.when(px == "O", F.lit(None).cast("string")).otherwise(F.substring(tag, 3, 1 << 20))
+    return px, et
 
 
 def entity_report(tag_pairs: DataFrame) -> DataFrame:
-    """Entity-level P/R/F1 per type and overall (exact span + type match).
+    """Entity-level P/R/F1 per type and overall (exact span + type match).
 
     ``tag_pairs``: ``taxonomy, origin, doc_id, model_id, idx, true_tag,
-    pred_tag`` over scored positions (true tag not ignored).
+    pred_tag`` over scored positions.  A new entity starts at ``B-``, or at
+    ``I-`` when the previous scored tag is ``O`` or of another type.
+
+    One pass: both tag sequences are decoded in the same per-document
+    window, each token is emitted once per side, entities are grouped, and
+    true/pred entities are matched by grouping on ``(span, type)`` -- no
+    self-join of the token stream.
     """
     key = ["taxonomy", "model_id"]
-    t = _entities(tag_pairs, "true_tag", key).withColumn("is_true", F.lit(1))
-    p = _entities(tag_pairs, "pred_tag", key).withColumn("is_pred", F.lit(1))
-    m = t.join(p, [*key, *DOC_KEY, "e_start", "e_end", "etype"], "full")
+    w = Window.partitionBy(*key, *DOC_KEY).orderBy("idx")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = tag_pairs.select(*key, *DOC_KEY, "idx", "true_tag", "pred_tag")
+    cols = []
+    for side, c in (("t", "true_tag"), ("p", "pred_tag")):
+        px, et = _decode(F.col(c), None, None)
+        x = x.withColumn(f"px_{side}", px).withColumn(f"et_{side}", et)
+    for side in ("t", "p"):
+        pp, pe = F.lag(f"px_{side}").over(w), F.lag(f"et_{side}").over(w)
+        cur_p, cur_e = F.col(f"px_{side}"), F.col(f"et_{side}")
+        st = (cur_p == "B") | ((cur_p == "I") & (pp.isNull() | (pp == "O") | (pe != cur_e)))
+        cols.append(st.cast("int").alias(f"st_{side}"))
+    x = x.select("*", *cols)
+    x = x.select("*", F.sum("st_t").over(run).alias("ent_t"), F.sum("st_p").over(run).alias("ent_p"))
+    sides = F.array(
+        F.struct(F.lit(1).alias("is_true"), F.col("ent_t").alias("ent"), F.col("px_t").alias("px"),
+                 F.col("et_t").alias("et")),
+        F.struct(F.lit(0).alias("is_true"), F.col("ent_p").alias("ent"), F.col("px_p").alias("px"),
+                 F.col("et_p").alias("et")))
+    tok = x.select(*key, *DOC_KEY, "idx", F.explode(sides).alias("s")).where(F.col("s.px") != "O")
+    ents = tok.groupBy(*key, *DOC_KEY, F.col("s.is_true").alias("is_true"), F.col("s.ent").alias("ent")) \
+        .agg(F.min("idx").alias("e_start"), F.max("idx").alias("e_end"), F.first("s.et").alias("etype"))
+    m = ents.groupBy(*key, *DOC_KEY, "e_start", "e_end", "etype").agg(
+        F.max("is_true").alias("it"), F.max(1 - F.col("is_true")).alias("ip"))
     sets = F.when(F.col("origin") == F.col("taxonomy"), F.array(F.lit("own"), F.lit("concat"))) \
         .otherwise(F.array(F.lit("concat")))
     per = m.select(*key, F.explode(sets).alias("eval_set"),
-                   F.explode(F.array(F.col("etype"), F.lit("ALL"))).alias("etype"),
-                   F.coalesce("is_true", F.lit(0)).alias("it"), F.coalesce("is_pred", F.lit(0)).alias("ip"))
+                   F.explode(F.array(F.col("etype"), F.lit("ALL"))).alias("etype"), "it", "ip")
     r = per.groupBy(*key, "eval_set", "etype").agg(
         F.sum(F.col("it") * F.col("ip")).alias("tp"), F.sum("ip").alias("n_pred"),
         F.sum("it").alias("n_true"))

@@ -88,7 +88,6 @@ class Lineage:
     def tokens(self) -> DataFrame:
         return self._get("tokens", lambda: lexer.tokens_from_pieces(self.pieces))
 
-
     @property
     def annotated(self) -> DataFrame:
         """Nested view: corpus columns + ``privacy_mask`` (all documents)."""
@@ -97,10 +96,19 @@ class Lineage:
     # -- audit views -------------------------------------------------------
     @property
     def uspans(self) -> DataFrame:
-        """Gold spans once per taxonomy, labels relabelled into it."""
+        """Gold spans once per taxonomy, labels relabelled into it (with
+        their surface ``value``)."""
         from ..operators.audit import in_taxonomies
         return self._get("uspans", lambda: in_taxonomies(self.gold_spans))
 
+    @property
+    def uspans_located(self) -> DataFrame:
+        """Same rows as ``uspans`` without ``value``, read from the persisted
+        located spans (no second regex pass)."""
+        from ..operators.audit import in_taxonomies
+        return self._get("uspans_located", lambda: in_taxonomies(
+            self.located.select(*DOC_KEY, "ann_pos", "start", "end", "label")))
+
     @property
     def located_t(self) -> DataFrame:
         from ..operators.audit import in_taxonomies
@@ -128,16 +136,22 @@ class Lineage:
         return self._get("accepted", lambda: align.resolve_overlaps(self.located))
 
     @property
-    def both_located(self) -> DataFrame:
-        """Gold and rule_loose spans located in one sweep over the pieces
-        (``src`` = gold | loose); persisted: small, and read by the
-        alignment and by every audit."""
+    def span_stream(self) -> DataFrame:
+        """Gold annotations (after the allow-lists) and rule_loose spans of the
+        evaluated documents, extracted in one Generate (``src`` = gold | loose)."""
         def build():
-            g = self.gold_spans.select(F.lit("gold").alias("src"), *align.SPAN_COLS)
-            lo = self.loose_spans.select(F.lit("loose").alias("src"), *align.SPAN_COLS)
-            return align.locate(g.unionByName(lo), self.pieces, extra_key=["src"]).persist(
-                StorageLevel.MEMORY_AND_DISK)
-        return self._get("both_located", build)
+            x = C.all_spans(self.docs_en, predict.LOOSE_RULES)
+            kept = ((F.col("origin") == "A") & F.col("label").isin(*tx.KEEP_LABELS["A"])) | \
+                   ((F.col("origin") == "B") & F.col("label").isin(*tx.KEEP_LABELS["B"]))
+            return x.where((F.col("src") == "loose") | kept)
+        return self._get("span_stream", build)
+
+    @property
+    def both_located(self) -> DataFrame:
+        """Gold and rule_loose spans located against the pieces in one join;
+        persisted (small) because alignment and every audit read it."""
+        return self._get("both_located", lambda: align.locate(
+            self.span_stream, self.pieces, extra_key=["src"]).persist(StorageLevel.MEMORY_AND_DISK))
 
     @property
     def located(self) -> DataFrame:
@@ -158,44 +172,42 @@ class Lineage:
         the per-token work downstream is integer CASE logic only.
         """
         def build():
-            acc = align.resolve_overlaps(self.located)
-            gold_exprs = []
+            acc = align.resolve_overlaps(self.both_located, extra_key=["src"])
+            ids = []
+            is_gold = F.col("src") == "gold"
             for t in tx.TAXONOMIES:
                 lab = tx.relabel_t(F.col("label"), F.col("origin"), t)
                 hi = tx.has_i_t(lab, t)
                 alt = tx.alt_label_t(lab, t)
                 ob = tx.tag_id_t(F.concat(F.lit("B-"), alt), t)
-                gold_exprs += [
+                llab = F.element_at(tx._combined(lambda tt: predict.LOOSE_LABELS[tt]),
+                                    tx._tkey(t, F.col("label")))
+                o_id = F.lit(tx.tag2id(t)["O"])
+                ids += [
                     tx.tag_id_t(F.concat(F.lit("B-"), lab), t).alias(f"b_{t}"),
                     tx.tag_id_t(F.concat(F.when(hi, F.lit("I-")).otherwise(F.lit("B-")), lab), t).alias(f"c_{t}"),
                     ob.alias(f"ob_{t}"),
                     F.when(hi & tx.has_i_t(alt, t), tx.tag_id_t(F.concat(F.lit("I-"), alt), t))
                     .otherwise(ob).alias(f"oc_{t}"),
-                ]
-            acc = acc.select("*", *gold_exprs)
-            gold_cols = [f"{p}_{t}" for t in tx.TAXONOMIES for p in ("b", "c", "ob", "oc")]
-            gold = align.cover(acc, gold_cols)
-
-            lacc = align.resolve_overlaps(self.loose_located)
-            loose_exprs = []
-            for t in tx.TAXONOMIES:
-                lab = F.element_at(tx._combined(lambda tt: predict.LOOSE_LABELS[tt]),
-                                   tx._tkey(t, F.col("label")))
-                o_id = F.lit(tx.tag2id(t)["O"])
-                loose_exprs += [
-                    F.when(lab.isNull(), o_id).otherwise(tx.tag_id_t(F.concat(F.lit("B-"), lab), t))
+                    F.when(llab.isNull(), o_id).otherwise(tx.tag_id_t(F.concat(F.lit("B-"), llab), t))
                     .alias(f"lb_{t}"),
-                    F.when(lab.isNull(), o_id).otherwise(tx.tag_id_t(
-                        F.concat(F.when(tx.has_i_t(lab, t), F.lit("I-")).otherwise(F.lit("B-")), lab), t))
+                    F.when(llab.isNull(), o_id).otherwise(tx.tag_id_t(
+                        F.concat(F.when(tx.has_i_t(llab, t), F.lit("I-")).otherwise(F.lit("B-")), llab), t))
                     .alias(f"lc_{t}"),
                 ]
-            lacc = lacc.select("*", *loose_exprs)
+            acc = acc.select("*", *ids)
+            gold_cols = [f"{p}_{t}" for t in tx.TAXONOMIES for p in ("b", "c", "ob", "oc")]
             loose_cols = [f"{p}_{t}" for t in tx.TAXONOMIES for p in ("lb", "lc")]
-            loose = align.cover(lacc, loose_cols).select(
-                *DOC_KEY, "idx", F.col("span_label").alias("lp_rule"),
-                F.col("is_first").alias("lp_first"), *loose_cols)
+            cov = align.cover(acc, ["src", *gold_cols, *loose_cols])
+            # one row per covered token holding both covers (partition-local)
+            gold_s = F.struct(F.col("span_label"), F.col("is_first"), F.col("ann_pos"), *gold_cols)
+            loose_s = F.struct(F.col("span_label").alias("lp_rule"), F.col("is_first").alias("lp_first"),
+                               *loose_cols)
+            piv = cov.groupBy(*DOC_KEY, "idx").agg(
+                F.max(F.when(is_gold, gold_s)).alias("g"), F.max(F.when(~is_gold, loose_s)).alias("l"))
+            piv = piv.select(*DOC_KEY, "idx", "g.*", "l.*")
+            g = self.tokens.join(piv, [*DOC_KEY, "idx"], "left")
             from ..functions.text import hash_bucket
-            g = self.tokens.join(gold, [*DOC_KEY, "idx"], "left").join(loose, [*DOC_KEY, "idx"], "left")
             g = g.select("*", hash_bucket(F.col("origin"), F.col("doc_id"), F.col("idx")).alias("h"))
             # The aligned token table is the persist point every report
             # reuses: written once as Parquet under the shared

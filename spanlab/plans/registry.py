@@ -356,7 +356,7 @@ def q_coverage_join(spark, sf_dir):
 
 def _ann_and_tok(spark, sf_dir, ignore_subwords=True):
     L = lineage(spark, sf_dir)
-    ann = audit.annotation_counts(L.uspans)
+    ann = audit.annotation_counts(L.uspans_located)
     tok = audit.token_label_counts(L.kinds(ignore_subwords), L.located_t, L.n_docs) \
         .where(F.col("label") != audit.TOTAL)
     return ann, tok
@@ -546,13 +546,13 @@ def q_assert_no_foreign(spark, sf_dir):
 
 @register("annotation_counts", S("SELECT taxonomy, label, annotations FROM ann_counts", "ann_counts"))
 def q_annotation_counts(spark, sf_dir):
-    return audit.annotation_counts(lineage(spark, sf_dir).uspans).select("taxonomy", "label", "annotations")
+    return audit.annotation_counts(lineage(spark, sf_dir).uspans_located).select("taxonomy", "label", "annotations")
 
 
 @register("entity_lengths", S(f"""SELECT taxonomy, label, min_len, max_len,
   {O.half_even_div('_sum * 10', 'annotations')} / 10.0 AS mean_len FROM ann_counts""", "ann_counts"))
 def q_entity_lengths(spark, sf_dir):
-    return audit.annotation_counts(lineage(spark, sf_dir).uspans).drop("annotations")
+    return audit.annotation_counts(lineage(spark, sf_dir).uspans_located).drop("annotations")
 
 
 @register("token_label_counts", S("SELECT * FROM tlc", "tlc"))

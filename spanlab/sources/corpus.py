@@ -121,27 +121,9 @@ def explode_matches(docs: DataFrame, rules: list[tuple[int, Column]]) -> DataFra
             .withColumn("mstart", F.col("mend") - F.length("m")))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """Rule annotations ``origin, doc_id, ann_pos, start, end, label, value``.
-
-    ``docs`` must carry ``origin, doc_id, source_text`` (already placed).
-    Labels are in the document's own taxonomy and include out-of-scope ones.
-    """
-    text = F.col("source_text")
+def _annotations(x: DataFrame) -> Column:
+    """Annotation structs ``(r, start, end, label, value)`` of one match row."""
     origin = F.col("origin")
-    doc_id = F.col("doc_id")
-    empty_span = F.array(F.struct(F.lit("").alias("m"), F.lit("").alias("gap"))).cast(_ZIP_TYPE)
-    x = explode_matches(docs, [
-        (R_EMAIL, _zip(text, EMAIL_RX)),
-        (R_TEL, _zip(text, TEL_RX)),
-        (R_IP, F.when(origin == "A", _zip(text, IP_RX))),
-        (R_CARD, _zip(text, DIGITS_RX)),
-        (R_HEX, _zip(text, HEX40_RX)),
-        (R_GIVEN, _zip(text, NAME_PAIR_RX)),
-        (R_SOCIAL, F.when(doc_id % 10 < 2, _zip(text, LOOSE_PHONE_RX))),
-        (R_EMPTY, F.when(doc_id % 50 == 7, empty_span)),
-    ])
-
     rule, m, mstart, mend = F.col("rule"), F.col("m"), F.col("mstart"), F.col("mend")
     first_len = F.length(F.substring_index(m, " ", 1))
     second = F.substring(m, first_len + 2, 1 << 30)
@@ -157,7 +139,7 @@ def spans(docs: DataFrame) -> DataFrame:
     last_label = F.when(is_a, F.concat(F.lit("LASTNAME"), (1 + second_len % 3).cast("string"))) \
         .otherwise(F.lit("SURNAME"))
     last_start = mstart + first_len + 1 - F.when(~is_a & (second_len % 5 == 0), 1).otherwise(0)
-    anns = (
+    return (
         F.when(rule == R_EMAIL, F.array(ann(R_EMAIL, mstart, mend, F.lit("EMAIL"))))
         .when(rule == R_TEL, F.array(ann(R_TEL, mstart, mend,
                                          F.when(is_a, F.lit("TEL")).otherwise(F.lit("TELEPHONENUM")))))
@@ -175,6 +157,30 @@ def spans(docs: DataFrame) -> DataFrame:
                                             F.when(is_a, F.lit("SOCIALNUMBER")).otherwise(F.lit("SOCIALNUM")))))
         .when(rule == R_EMPTY, F.array(ann(R_EMPTY, F.lit(0), F.lit(0), F.lit("DATE"), F.lit(""))))
     )
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """Rule annotations ``origin, doc_id, ann_pos, start, end, label, value``.
+
+    ``docs`` must carry ``origin, doc_id, source_text`` (already placed).
+    Labels are in the document's own taxonomy and include out-of-scope ones.
+    """
+    text = F.col("source_text")
+    origin = F.col("origin")
+    doc_id = F.col("doc_id")
+    empty_span = F.array(F.struct(F.lit("").alias("m"), F.lit("").alias("gap"))).cast(_ZIP_TYPE)
+    x = explode_matches(docs, [
+        (R_EMAIL, _zip(text, EMAIL_RX)),
+        (R_TEL, _zip(text, TEL_RX)),
+        (R_IP, F.when(origin == "A", _zip(text, IP_RX))),
+        (R_CARD, _zip(text, DIGITS_RX)),
+        (R_HEX, _zip(text, HEX40_RX)),
+        (R_GIVEN, _zip(text, NAME_PAIR_RX)),
+        (R_SOCIAL, F.when(doc_id % 10 < 2, _zip(text, LOOSE_PHONE_RX))),
+        (R_EMPTY, F.when(doc_id % 50 == 7, empty_span)),
+    ])
+
+    anns = _annotations(x)
     a = (x.select(*DOC_KEY, F.explode(anns).alias("a"))
          .select(*DOC_KEY, "a.r", "a.start", "a.end", "a.label", "a.value"))
     w2 = Window.partitionBy(*DOC_KEY).orderBy("r", "start")
@@ -185,6 +191,44 @@ def spans(docs: DataFrame) -> DataFrame:
     )
 
 
+def all_spans(docs: DataFrame, loose_rules: list[tuple[str, str]]) -> DataFrame:
+    """Gold annotations and predicted (rule-model) spans of the same documents
+    from ONE ``Generate``: ``src, origin, doc_id, ann_pos, start, end, label``.
+
+    Keeping both in one stream (instead of a union of two streams) keeps the
+    ``(origin, doc_id)`` placement, so everything downstream stays
+    partition-local.
+    """
+    text = F.col("source_text")
+    origin = F.col("origin")
+    doc_id = F.col("doc_id")
+    empty_span = F.array(F.struct(F.lit("").alias("m"), F.lit("").alias("gap"))).cast(_ZIP_TYPE)
+    base = 100
+    x = explode_matches(docs, [
+        (R_EMAIL, _zip(text, EMAIL_RX)),
+        (R_TEL, _zip(text, TEL_RX)),
+        (R_IP, F.when(origin == "A", _zip(text, IP_RX))),
+        (R_CARD, _zip(text, DIGITS_RX)),
+        (R_HEX, _zip(text, HEX40_RX)),
+        (R_GIVEN, _zip(text, NAME_PAIR_RX)),
+        (R_SOCIAL, F.when(doc_id % 10 < 2, _zip(text, LOOSE_PHONE_RX))),
+        (R_EMPTY, F.when(doc_id % 50 == 7, empty_span)),
+    ] + [(base + i + 1, _zip(text, rx)) for i, (_, rx) in enumerate(loose_rules)])
+    gold = _annotations(x.where(F.col("rule") < base))
+    rule, m = F.col("rule"), F.col("m")
+    names = F.element_at(F.array(*[F.lit(n) for n, _ in loose_rules]), rule - base)
+    pred = F.array(F.struct(rule.alias("r"), F.col("mstart").cast("int").alias("start"),
+                            F.col("mend").cast("int").alias("end"), names.alias("label"),
+                            F.lit(None).cast("string").alias("value")))
+    anns = F.when(rule < base, gold).otherwise(pred)
+    a = (x.select(*DOC_KEY, F.when(rule < base, F.lit("gold")).otherwise(F.lit("loose")).alias("src"),
+                  "pos", F.explode(anns).alias("a"))
+         .select(*DOC_KEY, "src", "pos", "a.r", "a.start", "a.end", "a.label", "a.value"))
+    w = Window.partitionBy(*DOC_KEY, "src").orderBy("r", "start", "pos")
+    return a.select("src", *DOC_KEY, (F.row_number().over(w) - 1).cast("int").alias("ann_pos"),
+                    "start", "end", "label", "value")
+
+
 MASK_TYPE = "array<struct<value:string,start:int,end:int,label:string>>"
 MASK_TYPE_B = "array<struct<value:string,start:int,end:int,label:string,label_index:int>>"
 
