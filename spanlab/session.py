@@ -29,11 +29,20 @@ DEFAULTS = {
 }
 
 
+# Session SQL settings the lineage's plan shape depends on (set on every
+# session the library is handed; they only change how joins are planned).
+PLAN_SHAPE = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     conf = spark.conf
     for key, value in DEFAULTS.items():
         if conf.get(key, None) in (None, ""):
             conf.set(key, value)
+    for key, value in PLAN_SHAPE.items():
+        conf.set(key, value)
     return spark
 
 
