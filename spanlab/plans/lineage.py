@@ -164,15 +164,18 @@ class Lineage:
                          lambda: self.both_located.where(F.col("src") == "loose").drop("src"))
 
     @property
-    def geometry(self) -> DataFrame:
+    def aligned_plan(self) -> DataFrame:
         """Tokens + covering gold span + covering rule_loose span, with every
-        tag id both taxonomies need already resolved per span.
+        tag id both taxonomies need already resolved per span (lazy).
 
         Label lookups happen once per *span* (tens of thousands of rows);
         the per-token work downstream is integer CASE logic only.
         """
         def build():
-            acc = align.resolve_overlaps(self.both_located, extra_key=["src"])
+            # A cached table does not advertise its partitioning: re-place the
+            # (small) located spans once, the same way the tokens are placed,
+            # so the fold, the cover pivot and the token join stay co-partitioned.
+            acc = align.resolve_overlaps(C.place_documents(self.both_located), extra_key=["src"])
             ids = []
             is_gold = F.col("src") == "gold"
             for t in tx.TAXONOMIES:
@@ -209,14 +212,22 @@ class Lineage:
             g = self.tokens.join(piv, [*DOC_KEY, "idx"], "left")
             from ..functions.text import hash_bucket
             g = g.select("*", hash_bucket(F.col("origin"), F.col("doc_id"), F.col("idx")).alias("h"))
-            # The aligned token table is the persist point every report
-            # reuses: written once as Parquet under the shared
-            # spark.checkpoint.dir and read back, which cuts the lineage
-            # (a lost executor re-reads files instead of re-lexing) and lets
-            # each report read only the columns it needs.
+            return g
+        return self._get("aligned_plan", build)
+
+    @property
+    def geometry(self) -> DataFrame:
+        """The aligned token table, materialised.
+
+        It is the persist point every report reuses: written once as Parquet
+        under the shared ``spark.checkpoint.dir`` and read back, which cuts
+        the lineage (a lost executor re-reads files instead of re-lexing)
+        and lets each report read only the columns it needs.
+        """
+        def build():
             from ..sources.io import output_path
             path = output_path(self.spark, "aligned")
-            g.write.mode("overwrite").parquet(path)
+            self.aligned_plan.write.mode("overwrite").parquet(path)
             return self.spark.read.parquet(path)
         return self._get("geometry", build)
 

@@ -58,7 +58,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "16g")
         .config("spark.sql.ansi.enabled", "true")
     )
-    for key, value in DEFAULTS.items():
+    for key, value in {**DEFAULTS, **PLAN_SHAPE}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
