@@ -1,0 +1 @@
+"""Column-level helpers: label taxonomies and scalar text expressions."""

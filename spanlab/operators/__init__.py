@@ -1,0 +1 @@
+"""DataFrame operators: lexer, alignment, predictors, evaluation, audit, preparation."""

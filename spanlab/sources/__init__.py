@@ -1,0 +1 @@
+"""Sources and sinks: the annotated corpus built from documents, scans and sinks."""

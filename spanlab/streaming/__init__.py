@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The evaluated pipeline is batch only (no watermark, window, state or late
+data anywhere), so there is no streaming operator to provide.  Every
+operator here is a ``DataFrame -> DataFrame`` function and runs unchanged on
+a micro-batch inside ``foreachBatch`` if a caller streams documents in.
+"""
