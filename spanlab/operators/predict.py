@@ -116,59 +116,68 @@ SCORER_SCHEMA = ("origin string, doc_id bigint, model_id string, "
                  "elapsed_ms double")
 
 
-def _loose_scorer(taxonomy: str):
-    import regex
-
+def _scorer_spec(taxonomy: str) -> dict:
+    """Plain values the worker-side scorer needs (no reference to this package,
+    so executors only need ``regex`` and ``pandas``)."""
     from .lexer import LEX_RX
+    return {"lex": LEX_RX, "rules": list(LOOSE_RULES), "labels": dict(LOOSE_LABELS[taxonomy]),
+            "no_i": sorted(tx.NO_I_TAG[taxonomy])}
 
-    lex = regex.compile(LEX_RX)
-    rules = [(name, regex.compile(rx)) for name, rx in LOOSE_RULES]
-    labels = LOOSE_LABELS[taxonomy]
-    no_i = set(tx.NO_I_TAG[taxonomy])
 
-    def score(text: str) -> list[dict]:
-        toks = [(m.start(), m.end(), m.group()) for m in lex.finditer(text)
-                if not m.group()[0] in " \t\n\r"]
-        starts = [s for s, _, _ in toks]
-        import bisect
-        spans = []
-        for r, (name, rx) in enumerate(rules):
-            for m in rx.finditer(text):
-                spans.append((r, m.start(), m.end(), name))
-        located = {}
-        for ann_pos, (_, s, e, name) in enumerate(spans):
-            k = bisect.bisect_right(starts, s) - 1
-            if k < 0 or not (toks[k][0] <= s < toks[k][1]):
-                continue
-            last = bisect.bisect_left(starts, e) - 1
-            located[k] = (last, name)
-        out = ["O"] * len(toks)
-        nf = 0
-        for k in sorted(located):
-            if k < nf:
-                continue
-            last, name = located[k]
-            label = labels.get(name)
-            for j in range(k, last + 1):
-                if label is None:
-                    out[j] = "O"
-                elif j == k or label in no_i:
-                    out[j] = "B-" + label
-                else:
-                    out[j] = "I-" + label
-            nf = last + 1
-        return [{"entity": t, "word": w, "score": 1.0} for t, (_, _, w) in zip(out, toks)]
-
-    return score
+def score_batches(docs: DataFrame, taxonomy: str, model_id: str = "rule_loose") -> DataFrame:
+    """Run a Python scorer over ``source_text`` in Arrow batches.
+
+    The scorer is built once per task from plain values captured here; each
+    Arrow batch (``spark.sql.execution.arrow.maxRecordsPerBatch`` texts)
+    yields one ``predicted_mask`` per document (one entity per token) and
+    the batch's per-document latency.  The built-in scorer is ``rule_loose``
+    written in Python; a real model replaces ``make_scorer``.
+    """
+    spec = _scorer_spec(taxonomy)
 
+    def make_scorer():
+        import bisect
 
-def score_batches(docs: DataFrame, taxonomy: str, model_id: str = "rule_loose") -> DataFrame:
-    """Run a Python scorer over ``source_text`` in Arrow batches."""
-    import time
+        import regex
+        lex = regex.compile(spec["lex"])
+        rules = [(name, regex.compile(rx)) for name, rx in spec["rules"]]
+        labels, no_i = spec["labels"], set(spec["no_i"])
+
+        def score(text):
+            toks = [(m.start(), m.end(), m.group()) for m in lex.finditer(text)
+                    if m.group()[0] not in " \t\n\r"]
+            starts = [a for a, _, _ in toks]
+            located = {}
+            for name, rx in rules:                      # list order = rule, then start
+                for m in rx.finditer(text):
+                    s, e = m.start(), m.end()
+                    k = bisect.bisect_right(starts, s) - 1
+                    if k < 0 or not (toks[k][0] <= s < toks[k][1]):
+                        continue
+                    located[k] = (bisect.bisect_left(starts, e) - 1, name)   # last one wins
+            out = ["O"] * len(toks)
+            nf = 0
+            for k in sorted(located):
+                if k < nf:
+                    continue
+                last, name = located[k]
+                label = labels.get(name)
+                for j in range(k, last + 1):
+                    if label is None:
+                        out[j] = "O"
+                    elif j == k or label in no_i:
+                        out[j] = "B-" + label
+                    else:
+                        out[j] = "I-" + label
+                nf = last + 1
+            return [{"entity": t, "word": w, "score": 1.0} for t, (_, _, w) in zip(out, toks)]
+        return score
 
     def run(batches):
+        import time
+
         import pandas as pd
-        score = _loose_scorer(taxonomy)
+        score = make_scorer()
         for pdf in batches:
             t0 = time.perf_counter()
             masks = [score(t) for t in pdf["source_text"]]
