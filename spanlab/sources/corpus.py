@@ -30,7 +30,7 @@ DOC_KEY = ["origin", "doc_id"]
 EMAIL_RX = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 TEL_RX = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 IP_RX = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-DIGITS_RX = r"[0-9]+"
+DIGITS_RX = r"[0-9]{16,}"  # maximal digit runs of 16+ (only length 16 is kept)
 HEX40_RX = r"[0-9a-f]{40}"
 NAME_PAIR_RX = r"\p{Lu}\p{Ll}+ \p{L}+"
 LOOSE_PHONE_RX = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
