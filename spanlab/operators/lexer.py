@@ -33,9 +33,12 @@ def pieces(docs: DataFrame) -> DataFrame:
     is_subword, n_tok`` where ``idx_upto`` is the number of tokens up to and
     including this piece (the token's 1-based ``idx`` when ``is_tok``).
     """
+    # outer: keeps Catalyst from inferring size(regexp_extract_all(..)) > 0 and
+    # pushing the lexer regex below the document placement (run twice).
     x = (docs.where(F.col("source_text").isNotNull())
-         .select(*DOC_KEY, F.posexplode(F.regexp_extract_all("source_text", F.lit(LEX_RX), 0))
-                 .alias("pos", "piece")))
+         .select(*DOC_KEY, F.posexplode_outer(F.regexp_extract_all("source_text", F.lit(LEX_RX), 0))
+                 .alias("pos", "piece"))
+         .where(F.col("pos").isNotNull()))
     order = Window.partitionBy(*DOC_KEY).orderBy("pos")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -108,12 +108,18 @@ def explode_matches(docs: DataFrame, rules: list[tuple[int, Column]]) -> DataFra
         acc = acc + F.col(f"_n{i}")
         cum.append(acc.alias(f"_c{i}"))
     arrays = arrays.select(*DOC_KEY, *cum, "_all")
+    # posexplode_outer: a plain posexplode makes Catalyst infer
+    # ``size(_all) > 0`` and push it (with every regex inside it) below the
+    # document placement, running all rules twice, the first time in the
+    # scan stage.  Rows of documents without matches carry a null match and
+    # are dropped below.
     x = arrays.select(*DOC_KEY, *[f"_c{i}" for i in range(len(rules))],
-                      F.posexplode("_all").alias("pos", "x"))
+                      F.posexplode_outer("_all").alias("pos", "x"))
     rule = F.lit(rules[-1][0])
     for i in range(len(rules) - 2, -1, -1):
         rule = F.when(F.col("pos") < F.col(f"_c{i}"), F.lit(rules[i][0])).otherwise(rule)
-    x = x.select(*DOC_KEY, rule.alias("rule"), "pos", F.col("x.m").alias("m"), F.col("x.gap").alias("gap"))
+    x = x.where(F.col("pos").isNotNull()).select(
+        *DOC_KEY, rule.alias("rule"), "pos", F.col("x.m").alias("m"), F.col("x.gap").alias("gap"))
     w = (Window.partitionBy(*DOC_KEY, "rule").orderBy("pos")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     x = x.withColumn("mend", F.sum(F.length("gap") + F.coalesce(F.length("m"), F.lit(0))).over(w))
