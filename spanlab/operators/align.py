@@ -48,27 +48,32 @@ def locate(spans: DataFrame, pieces: DataFrame, extra_key: list[str] | None = No
     ek = extra_key or []
     cols = [*ek, *SPAN_COLS]
     s = spans.select(*cols)
-    live = s.where(F.col("end") > F.col("start"))
-    targets = F.array(
+    live = F.col("end") > F.col("start")
+    # Every span keeps at least one candidate row (empty spans get a null
+    # one) and the join is a left join, so the per-span aggregate sees every
+    # span once: no self-join that would evaluate the span stream twice.
+    targets = F.when(live, F.array(
         F.struct(F.lit(0).alias("kind"), F.col("start").alias("target")),
         F.struct(F.lit(1).alias("kind"), (F.col("end") - 1).alias("target")),
-    )
-    cand = (live.select(*DOC_KEY, *ek, "ann_pos", F.explode(targets).alias("t"))
-            .select(*DOC_KEY, *ek, "ann_pos", "t.kind", "t.target",
-                    F.explode(F.sequence(F.col("t.target") - (MAX_PIECE - 1), F.col("t.target")))
-                    .alias("cand")))
+    )).otherwise(F.array(F.struct(F.lit(-1).alias("kind"), F.lit(None).cast("int").alias("target"))))
+    t = s.select(*cols, F.explode(targets).alias("t"))
+    cand = t.select(*cols, F.col("t.kind").alias("kind"), F.col("t.target").alias("target"),
+                    F.explode(F.when(F.col("t.target").isNull(), F.array(F.lit(None).cast("int")))
+                              .otherwise(F.sequence(F.col("t.target") - (MAX_PIECE - 1), F.col("t.target"))))
+                    .alias("cand"))
     p = pieces.select(*DOC_KEY, F.col("pstart").alias("cand"), "pend", "is_tok", "idx_upto", "n_tok")
-    hit = cand.join(p, [*DOC_KEY, "cand"], "inner").where(F.col("target") < F.col("pend"))
+    hit = cand.join(p, [*DOC_KEY, "cand"], "left")
+    ok = F.col("target") < F.col("pend")
     found = hit.groupBy(*DOC_KEY, *ek, "ann_pos").agg(
-        F.max(F.when((F.col("kind") == 0) & F.col("is_tok"), F.col("idx_upto"))).alias("start_idx"),
-        F.max(F.when(F.col("kind") == 1, F.col("idx_upto"))).alias("end_hit"),
-        F.max("n_tok").alias("n_tok"),
+        F.first("start").alias("start"), F.first("end").alias("end"), F.first("label").alias("label"),
+        F.max(F.when((F.col("kind") == 0) & ok & F.col("is_tok"), F.col("idx_upto"))).alias("start_idx"),
+        F.max(F.when((F.col("kind") == 1) & ok, F.col("idx_upto"))).alias("end_hit"),
+        F.max(F.when(ok, F.col("n_tok"))).alias("n_tok"),
     )
-    out = s.join(found, [*DOC_KEY, *ek, "ann_pos"], "left")
     status = (F.when(F.col("end") <= F.col("start"), F.lit("empty"))
               .when(F.col("start_idx").isNull(), F.lit("no_token"))
               .otherwise(F.lit("ok")))
-    return out.select(
+    return found.select(
         *cols,
         F.when(F.col("end") > F.col("start"), F.col("start_idx")).cast("int").alias("start_idx"),
         F.when(F.col("start_idx").isNotNull() & (F.col("end") > F.col("start")),
