@@ -144,36 +144,51 @@ def masked_accuracy(conf: DataFrame) -> DataFrame:
 # Entity level
 # ---------------------------------------------------------------------------
 
-def _decode(tag: Column, prev_px: Column, prev_et: Column):
-    px = F.when(tag.isNull() | (tag == "O"), F.lit("O")).otherwise(F.substring(tag, 1, 1))
-    et = F.when(px == "O", F.lit(None).cast("string")).otherwise(F.substring(tag, 3, 1 << 20))
-    return px, et
+_TAX_OFFSET = {"A": 0, "B": 1000}
 
 
-def entity_report(tag_pairs: DataFrame) -> DataFrame:
+def _id_maps():
+    """Integer-keyed lookups ``(taxonomy offset + tag id) -> prefix code / label
+    code`` and ``label code -> label``; prefix codes: 1 = B, 2 = I."""
+    px, lab, names = {}, {}, {}
+    for t in tx.TAXONOMIES:
+        labels = sorted(tx.RAW_LABELS[t])
+        for tag_id, tag, label, prefix, _, _ in tx.label_rows(t):
+            if prefix in ("B", "I"):
+                code = _TAX_OFFSET[t] + labels.index(label)
+                px[_TAX_OFFSET[t] + tag_id] = 1 if prefix == "B" else 2
+                lab[_TAX_OFFSET[t] + tag_id] = code
+                names[code] = label
+    return tx._map(px), tx._map(lab), tx._map(names)
+
+
+def entity_report(pairs: DataFrame) -> DataFrame:
     """Entity-level P/R/F1 per type and overall (exact span + type match).
 
-    ``tag_pairs``: ``taxonomy, origin, doc_id, model_id, idx, true_tag,
-    pred_tag`` over scored positions.  A new entity starts at ``B-``, or at
-    ``I-`` when the previous scored tag is ``O`` or of another type.
+    ``pairs``: ``taxonomy, model_id, origin, doc_id, idx, true_id, pred_id``
+    over scored positions.  A new entity starts at ``B-``, or at ``I-`` when
+    the previous scored tag is ``O`` or of another type.
 
-    One pass: both tag sequences are decoded in the same per-document
-    window, each token is emitted once per side, entities are grouped, and
-    true/pred entities are matched by grouping on ``(span, type)`` -- no
-    self-join of the token stream.
+    One pass over integer codes (the per-document shuffle carries ints, not
+    tag text): both sequences are decoded in the same per-document window,
+    each token is emitted once per side, entities are grouped, and true/pred
+    entities are matched by grouping on ``(span, type)`` -- no self-join.
     """
     key = ["taxonomy", "model_id"]
     w = Window.partitionBy(*key, *DOC_KEY).orderBy("idx")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = tag_pairs.select(*key, *DOC_KEY, "idx", "true_tag", "pred_tag")
+    px_map, lab_map, names = _id_maps()
+    off = F.when(F.col("taxonomy") == "A", F.lit(0)).otherwise(F.lit(1000))
+    x = pairs.select(*key, *DOC_KEY, "idx",
+                     F.coalesce(F.element_at(px_map, off + F.col("true_id")), F.lit(0)).alias("px_t"),
+                     F.element_at(lab_map, off + F.col("true_id")).alias("et_t"),
+                     F.coalesce(F.element_at(px_map, off + F.col("pred_id")), F.lit(0)).alias("px_p"),
+                     F.element_at(lab_map, off + F.col("pred_id")).alias("et_p"))
     cols = []
-    for side, c in (("t", "true_tag"), ("p", "pred_tag")):
-        px, et = _decode(F.col(c), None, None)
-        x = x.withColumn(f"px_{side}", px).withColumn(f"et_{side}", et)
     for side in ("t", "p"):
         pp, pe = F.lag(f"px_{side}").over(w), F.lag(f"et_{side}").over(w)
         cur_p, cur_e = F.col(f"px_{side}"), F.col(f"et_{side}")
-        st = (cur_p == "B") | ((cur_p == "I") & (pp.isNull() | (pp == "O") | (pe != cur_e)))
+        st = (cur_p == 1) | ((cur_p == 2) & (pp.isNull() | (pp == 0) | (pe != cur_e)))
         cols.append(st.cast("int").alias(f"st_{side}"))
     x = x.select("*", *cols)
     x = x.select("*", F.sum("st_t").over(run).alias("ent_t"), F.sum("st_p").over(run).alias("ent_p"))
@@ -182,7 +197,7 @@ def entity_report(tag_pairs: DataFrame) -> DataFrame:
                  F.col("et_t").alias("et")),
         F.struct(F.lit(0).alias("is_true"), F.col("ent_p").alias("ent"), F.col("px_p").alias("px"),
                  F.col("et_p").alias("et")))
-    tok = x.select(*key, *DOC_KEY, "idx", F.explode(sides).alias("s")).where(F.col("s.px") != "O")
+    tok = x.select(*key, *DOC_KEY, "idx", F.explode(sides).alias("s")).where(F.col("s.px") != 0)
     ents = tok.groupBy(*key, *DOC_KEY, F.col("s.is_true").alias("is_true"), F.col("s.ent").alias("ent")) \
         .agg(F.min("idx").alias("e_start"), F.max("idx").alias("e_end"), F.first("s.et").alias("etype"))
     m = ents.groupBy(*key, *DOC_KEY, "e_start", "e_end", "etype").agg(
@@ -190,12 +205,13 @@ def entity_report(tag_pairs: DataFrame) -> DataFrame:
     sets = F.when(F.col("origin") == F.col("taxonomy"), F.array(F.lit("own"), F.lit("concat"))) \
         .otherwise(F.array(F.lit("concat")))
     per = m.select(*key, F.explode(sets).alias("eval_set"),
-                   F.explode(F.array(F.col("etype"), F.lit("ALL"))).alias("etype"), "it", "ip")
+                   F.explode(F.array(F.col("etype"), F.lit(-1))).alias("etype"), "it", "ip")
     r = per.groupBy(*key, "eval_set", "etype").agg(
         F.sum(F.col("it") * F.col("ip")).alias("tp"), F.sum("ip").alias("n_pred"),
         F.sum("it").alias("n_true"))
+    etype = F.when(F.col("etype") == -1, F.lit("ALL")).otherwise(F.element_at(names, F.col("etype")))
     return r.select(
-        "taxonomy", "eval_set", "model_id", F.col("etype").alias("entity_type"),
+        "taxonomy", "eval_set", "model_id", etype.alias("entity_type"),
         F.col("tp").cast("bigint").alias("tp"), F.col("n_pred").cast("bigint").alias("n_pred"),
         F.col("n_true").cast("bigint").alias("n_true"),
         round6(safe_ratio(F.col("tp"), F.col("n_pred"))).alias("precision"),
