@@ -144,22 +144,20 @@ def masked_accuracy(conf: DataFrame) -> DataFrame:
 # Entity level
 # ---------------------------------------------------------------------------
 
-_TAX_OFFSET = {"A": 0, "B": 1000}
-
-
-def _id_maps():
-    """Integer-keyed lookups ``(taxonomy offset + tag id) -> prefix code / label
-    code`` and ``label code -> label``; prefix codes: 1 = B, 2 = I."""
-    px, lab, names = {}, {}, {}
+def _id_arrays():
+    """Per taxonomy, arrays indexed by tag id (O(1) ``element_at``, unlike a
+    map lookup which scans its keys): prefix code (0 = O, 1 = B, 2 = I) and
+    label code; plus label code -> label text."""
+    px, lab, names = {}, {}, []
+    all_labels = sorted({lab for t in tx.TAXONOMIES for lab in tx.RAW_LABELS[t]})
     for t in tx.TAXONOMIES:
-        labels = sorted(tx.RAW_LABELS[t])
-        for tag_id, tag, label, prefix, _, _ in tx.label_rows(t):
-            if prefix in ("B", "I"):
-                code = _TAX_OFFSET[t] + labels.index(label)
-                px[_TAX_OFFSET[t] + tag_id] = 1 if prefix == "B" else 2
-                lab[_TAX_OFFSET[t] + tag_id] = code
-                names[code] = label
-    return tx._map(px), tx._map(lab), tx._map(names)
+        rows = sorted(tx.label_rows(t))
+        px[t] = F.expr("array(" + ", ".join(
+            "1" if r[3] == "B" else "2" if r[3] == "I" else "0" for r in rows) + ")")
+        lab[t] = F.expr("array(" + ", ".join(
+            str(all_labels.index(r[2])) if r[2] is not None else "NULL" for r in rows) + ")")
+    names = F.expr("array(" + ", ".join(f"'{x}'" for x in all_labels) + ")")
+    return px, lab, names
 
 
 def entity_report(pairs: DataFrame) -> DataFrame:
@@ -177,13 +175,19 @@ def entity_report(pairs: DataFrame) -> DataFrame:
     key = ["taxonomy", "model_id"]
     w = Window.partitionBy(*key, *DOC_KEY).orderBy("idx")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    px_map, lab_map, names = _id_maps()
-    off = F.when(F.col("taxonomy") == "A", F.lit(0)).otherwise(F.lit(1000))
+    px_arr, lab_arr, names = _id_arrays()
+    is_a = F.col("taxonomy") == "A"
+
+    def look(arrs, c):
+        i = F.col(c) + 1
+        return F.when(F.col(c) < 0, F.lit(None)).when(
+            is_a, F.element_at(arrs["A"], i)).otherwise(F.element_at(arrs["B"], i))
+
     x = pairs.select(*key, *DOC_KEY, "idx",
-                     F.coalesce(F.element_at(px_map, off + F.col("true_id")), F.lit(0)).alias("px_t"),
-                     F.element_at(lab_map, off + F.col("true_id")).alias("et_t"),
-                     F.coalesce(F.element_at(px_map, off + F.col("pred_id")), F.lit(0)).alias("px_p"),
-                     F.element_at(lab_map, off + F.col("pred_id")).alias("et_p"))
+                     F.coalesce(look(px_arr, "true_id"), F.lit(0)).alias("px_t"),
+                     look(lab_arr, "true_id").alias("et_t"),
+                     F.coalesce(look(px_arr, "pred_id"), F.lit(0)).alias("px_p"),
+                     look(lab_arr, "pred_id").alias("et_p"))
     cols = []
     for side in ("t", "p"):
         pp, pe = F.lag(f"px_{side}").over(w), F.lag(f"et_{side}").over(w)
@@ -209,7 +213,7 @@ def entity_report(pairs: DataFrame) -> DataFrame:
     r = per.groupBy(*key, "eval_set", "etype").agg(
         F.sum(F.col("it") * F.col("ip")).alias("tp"), F.sum("ip").alias("n_pred"),
         F.sum("it").alias("n_true"))
-    etype = F.when(F.col("etype") == -1, F.lit("ALL")).otherwise(F.element_at(names, F.col("etype")))
+    etype = F.when(F.col("etype") == -1, F.lit("ALL")).otherwise(F.element_at(names, F.col("etype") + 1))
     return r.select(
         "taxonomy", "eval_set", "model_id", etype.alias("entity_type"),
         F.col("tp").cast("bigint").alias("tp"), F.col("n_pred").cast("bigint").alias("n_pred"),

@@ -115,13 +115,29 @@ class Lineage:
         return self._get("located_t", lambda: in_taxonomies(self.located))
 
     def kinds(self, ignore_subwords: bool = True) -> DataFrame:
-        """Token rows per taxonomy with ``kind`` (B/I/O/IGN) and ``label``."""
-        from ..operators.audit import token_kinds
-
+        """Token rows per taxonomy: ``tag`` text (null = ignored), ``kind``
+        (B/I/O/IGN) and ``label``, decoded from the integer tag id through
+        arrays indexed by id (O(1) per token, no map scans)."""
         def build():
-            x = self.geometry.withColumn("taxonomy", F.explode(F.array(*[F.lit(t) for t in tx.TAXONOMIES])))
-            x = x.withColumn("tag", self.true_tag(ignore_subwords=ignore_subwords))
-            return token_kinds(x.select("taxonomy", *DOC_KEY, "idx", "tag"))
+            def arr(values):
+                return F.expr("array(" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + ")")
+            rows = {t: sorted(tx.label_rows(t)) for t in tx.TAXONOMIES}
+            tag_arr = {t: arr([r[1] for r in rows[t]]) for t in tx.TAXONOMIES}
+            kind_arr = {t: arr([r[3] for r in rows[t]]) for t in tx.TAXONOMIES}
+            lab_arr = {t: arr([r[2] for r in rows[t]]) for t in tx.TAXONOMIES}
+            ids = F.array(*[F.struct(F.lit(t).alias("taxonomy"),
+                                     self.true_id(t, ignore_subwords).alias("id")) for t in tx.TAXONOMIES])
+            x = self.geometry.select(*DOC_KEY, "idx", F.explode(ids).alias("z")).select(
+                "z.taxonomy", *DOC_KEY, "idx", F.col("z.id").alias("id"))
+            is_a = F.col("taxonomy") == "A"
+            i = F.col("id") + 1
+
+            def look(arrs):
+                return F.when(F.col("id") < 0, F.lit(None).cast("string")).when(
+                    is_a, F.element_at(arrs["A"], i)).otherwise(F.element_at(arrs["B"], i))
+            return x.select("taxonomy", *DOC_KEY, "idx", look(tag_arr).alias("tag"),
+                            F.coalesce(look(kind_arr), F.lit("IGN")).alias("kind"),
+                            look(lab_arr).alias("label"))
         return self._get(f"kinds_{ignore_subwords}", build)
 
     @property
