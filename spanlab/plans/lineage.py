@@ -73,10 +73,6 @@ class Lineage:
         return self._get("gold_spans", lambda: keep_labels_long(C.spans(self.docs_en)).persist(
             StorageLevel.MEMORY_AND_DISK))
 
-    @property
-    def loose_spans(self) -> DataFrame:
-        return self._get("loose_spans", lambda: predict.loose_spans(self.docs_en))
-
     # -- tokens and alignment --------------------------------------------
     @property
     def pieces(self) -> DataFrame:
@@ -147,10 +143,6 @@ class Lineage:
             return n.select(F.explode(F.array(*[F.lit(t) for t in tx.TAXONOMIES])).alias("taxonomy"), "n_docs")
         return self._get("n_docs", build)
 
-    @property
-    def accepted(self) -> DataFrame:
-        return self._get("accepted", lambda: align.resolve_overlaps(self.located))
-
     @property
     def span_stream(self) -> DataFrame:
         """Gold annotations (after the allow-lists) and rule_loose spans of the
