@@ -233,10 +233,21 @@ class Lineage:
         and lets each report read only the columns it needs.
         """
         def build():
+            import uuid
+
+            from ..session import shuffle_partitions
             from ..sources.io import output_path
             path = output_path(self.spark, "aligned")
-            self.aligned_plan.write.mode("overwrite").parquet(path)
-            return self.spark.read.parquet(path)
+            name = f"spanlab_aligned_{uuid.uuid4().hex[:12]}"
+            try:
+                # Bucketed on the document key: readers that work per document
+                # (entity decoding windows) keep the placement, no re-shuffle.
+                (self.aligned_plan.write.mode("overwrite").option("path", path)
+                 .bucketBy(shuffle_partitions(self.spark), *DOC_KEY).saveAsTable(name))
+                return self.spark.table(name)
+            except Exception:  # no writable catalog: plain Parquet files
+                self.aligned_plan.write.mode("overwrite").parquet(path + "-plain")
+                return self.spark.read.parquet(path + "-plain")
         return self._get("geometry", build)
 
     @staticmethod
