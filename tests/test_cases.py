@@ -161,3 +161,21 @@ def test_relabel_idempotent_and_no_foreign_labels(spark):
     twice = once.select(tx.map_label(lab, "B", "A").alias("l"))
     assert sorted(r.l for r in once.collect()) == sorted(r.l for r in twice.collect())
     assert REGISTRY["assert_no_foreign"][0](spark, SF_SMALL).count() == 0
+
+
+def test_model_ignore_list_replaces_with_o(spark):
+    df = spark.createDataFrame([("B-IP",), ("I-IP",), ("B-EMAIL",), ("O",)], "e string")
+    out = [r.x for r in df.select(predict.drop_entities(F.col("e"), "A").alias("x")).collect()]
+    assert out == ["O", "O", "B-EMAIL", "O"]
+
+
+def test_word_match_takes_first_prediction_containing_word(spark):
+    toks = spark.createDataFrame([("A", 1, 1, "hello"), ("A", 1, 2, "xyz")],
+                                 "origin string, doc_id bigint, idx int, tok string")
+    mask = [Row(entity="B-X", word=" ell ", score=1.0), Row(entity="B-Y", word="hello", score=1.0),
+            Row(entity="B-Z", word="q", score=1.0)]
+    preds = spark.createDataFrame([("A", 1, "m", mask)],
+                                  "origin string, doc_id bigint, model_id string, "
+                                  "predicted_mask array<struct<entity:string,word:string,score:double>>")
+    got = {r.idx: r.entity for r in predict.word_match_align(toks, preds).collect()}
+    assert got == {1: "B-X", 2: "O"}
