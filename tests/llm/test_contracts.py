@@ -171,6 +171,16 @@ def test_op7_brute_force(spark):
     assert sum(not w[3] for w in want) > 20
 
 
+def test_op7_large_buckets(spark):
+    """Buckets of any size by further hubs only."""
+    from spanlab.llm.minhash_dedup import Params, near_duplicates
+
+    docs = Q.table(spark, SF, "documents")
+    want = sorted(brute_components(sorted((r["doc_id"], r["text"]) for r in docs.collect())))
+    rows = near_duplicates(docs, Params(small=2, hubs=1)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows) == want
+
+
 def check_packing(rows, texts):
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
