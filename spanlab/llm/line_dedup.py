@@ -91,6 +91,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 8) -> DataFrame:
     place = F.struct("doc_id", "text_key", "first")
     again = found.groupBy("h1", "h2").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where(
         "earliest != latest").select("h1", "h2", "earliest")
+    again = written(again, "repeated")  # so that the join shuffles both sides itself and can split a hot unit
     later = found.join(again, ["h1", "h2"]).where(~place.eqNullSafe(F.col("earliest")))
     return later.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_set(F.struct("first", "end"))).alias("spans"))  # bounded by the document's units
