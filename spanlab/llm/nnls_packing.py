@@ -13,6 +13,7 @@ packed each; an empty table gives an empty result. Only doc_id and text are read
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -35,27 +36,67 @@ _ODD_SPACE = "[\\x1c-\\x1f]"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+_PLAIN = re.compile(r"([A-Za-z]+)([.,!]*)")
+
+
 class WordIds:
-    """Ids of texts for a tokenizer that drops white space: each distinct word between
-    white space is encoded once and kept, up to a bound."""
+    """Ids of texts for a tokenizer that drops white space and folds case: each distinct word
+    between white space is encoded once and kept, up to a bound. A word of ASCII letters
+    with marks after it is its lower-case letters and its marks; such letters are encoded
+    many at a time, parted again where a token ends a word."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers.normalizers import Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer.from_file(path)  # for lower-case ASCII letters and spaces, which need no more
+        self.letters.normalizer, self.letters.pre_tokenizer = Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self):
         self.index: dict[str, int] = {}
         self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.array([len(g) for g in got], np.int64)
+    def _add(self, words, ids: np.ndarray, size: np.ndarray) -> None:
         self.index.update(zip(words, range(len(self.first), len(self.first) + len(words))))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.uint32)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words ``at`` in a row, and their offsets."""
+        size = self.size[at]
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        return self.ids[np.arange(before[-1]) + np.repeat(self.first[at] - before[:-1], size)], before
+
+    def _learn(self, words: list[str]) -> None:
+        plain, other = {}, []
+        for w in words:
+            if m := _PLAIN.fullmatch(w):
+                plain[w] = m[1].lower(), m[2]
+            else:
+                other.append(w)
+        other += {marks for _, marks in plain.values() if marks and marks not in self.index}
+        letters = list({x for x, _ in plain.values() if x not in self.index})
+        if other:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            self._add(other, np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64))
+        if letters:
+            text = " ".join(letters)
+            ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends_word[ids])
+            self._add(letters, ids, np.diff(last, prepend=-1))
+        rest = [w for w in plain if w not in self.index]
+        if rest:
+            parts = [p for w in rest for p in plain[w] if p]
+            many = np.array([1 + bool(plain[w][1]) for w in rest])
+            at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+            ids, before = self._gather(at)
+            self._add(rest, ids, np.diff(before[np.append(0, np.cumsum(many))]))
 
     def encode(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's followed by the end id, and their offsets."""
@@ -71,9 +112,7 @@ class WordIds:
             self._learn(new)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         at = at[coded.indices.to_numpy()]
-        size = self.size[at]
-        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
-        ids = self.ids[np.arange(before[-1]) + np.repeat(self.first[at] - before[:-1], size)]
+        ids, before = self._gather(at)
         ends = before[ends]
         offsets = np.concatenate([np.zeros(1, np.int64), ends + np.arange(1, len(ends) + 1)])
         return np.insert(ids, ends, np.uint32(END_ID)), offsets
