@@ -113,16 +113,16 @@ def fit(row, feature, value, grade, p: Params):
     return x[:-k], cuts(x[-k:])
 
 
-def train(labelled: DataFrame, p: Params = Params()) -> Model:
-    """Fit on ``labelled`` (doc_id, text, label: integer grade)."""
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    grades = np.array(sorted(counts), np.int64)
+def train(labelled: DataFrame, totals: dict[int, int], p: Params = Params()) -> Model:
+    """Fit on ``labelled`` (doc_id, text, label: integer grade), a bounded sample in proportion;
+    ``totals``: rows of each grade in all."""
+    grades = np.array(sorted(totals), np.int64)
     if len(grades) < 2:
         return Model(np.zeros(1 << p.bits), np.zeros(0), grades if len(grades) else np.zeros(1, np.int64), p)
-    share = min(1.0, p.sample_rows / sum(counts.values()))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    got = labelled.where(draw < share).select("text", "label").mapInArrow(
-        _vectors(p), "label int, features array<int>, values array<float>").toArrow().combine_chunks()
+    got = labelled.select("text", "label").mapInArrow(
+        _vectors(p), "label int, features array<int>, values array<float>").toArrow()
+    if got.num_rows == 0:
+        return Model(np.zeros(1 << p.bits), np.zeros(0), grades[:1], p)
     columns = {c: pa.concat_arrays(got.column(c).chunks) for c in got.column_names}
     feature = columns["features"].flatten().to_numpy()
     value = columns["values"].flatten().to_numpy().astype(float)
@@ -130,7 +130,7 @@ def train(labelled: DataFrame, p: Params = Params()) -> Model:
     grade = np.searchsorted(grades, columns["label"].to_numpy())
     seen = np.unique(grade)  # a rare grade may miss the sample
     if len(seen) < 2:
-        return Model(np.zeros(1 << p.bits), np.zeros(0), grades[seen], p)
+        return Model(np.zeros(1 << p.bits), np.zeros(0), grades[seen] if len(seen) else grades[:1], p)
     weight, thresholds = fit(row, feature, value, np.searchsorted(seen, grade), p)
     return Model(weight, thresholds, grades[seen], p)
 

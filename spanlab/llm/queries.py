@@ -31,7 +31,8 @@ def op2_html_extraction(spark, sf_dir):
 
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels"), "toxic"))
+    p = toxicity.Params()
+    model = toxicity.train(*toxicity.labelled_rows(docs, table(spark, sf_dir, "labels"), "toxic", p.ratio_rows), p)
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -71,7 +72,8 @@ def op9_substring_dedup(spark, sf_dir):
 
 def quality(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` with expected_grade, tail and accepted; learnt from labels.quality."""
-    model = ordinal_quality.train(toxicity.labelled_rows(docs, labels, "quality"))
+    p = ordinal_quality.Params()
+    model = ordinal_quality.train(*toxicity.labelled_rows(docs, labels, "quality", p.sample_rows, even=False), p)
     graded = ordinal_quality.grade_rows(docs, model, 1, columns)
     return graded.withColumn("accepted", F.col("tail") >= 0.5)
 

@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct hashed byte n-grams of the case-folded text. The ratios
-come from counts over all labelled rows, gathered in Spark; the weights are fitted by
-logistic regression on a bounded sample of them (``sample_rows``), drawn by hash and
-weighted back to the class rates. Scoring is one pass over the texts without a shuffle.
+Features are the distinct hashed byte n-grams of the case-folded text. Both the ratios,
+counted in Spark, and the weights, from logistic regression, are learnt from a bounded sample
+of the labelled rows (``ratio_rows`` and ``sample_rows``), drawn by hash of doc_id, about
+half of each class and weighted back to the class rates of all labels. The sample's ids
+are what is broadcast, so no text is shuffled to learn, and scoring is one pass without a shuffle.
 
 Defined results: null and empty texts get the score of no features (the class prior);
 without rows of both classes nothing can be learnt and every score is the share of
@@ -28,7 +29,8 @@ from .hashed_text import byte_ngrams, distinct, fold, minimise, row_sums, sigmoi
 class Params:
     orders: tuple[int, ...] = (3, 4)
     bits: int = 18
-    sample_rows: int = 5000  # bound of the fitted sample, about half of each class
+    ratio_rows: int = 20000  # bound of the rows whose features are counted
+    sample_rows: int = 5000  # bound of those that the weights are fitted on
     ridge: float = 1e-3
     smooth: float = 0.5
 
@@ -94,8 +96,8 @@ def _vectors(p: Params):
     return run
 
 
-def train(labelled: DataFrame, p: Params = Params()) -> Model:
-    """Fit on ``labelled`` (doc_id, text, label 0 or 1)."""
+def train(labelled: DataFrame, totals: dict[int, int], p: Params = Params()) -> Model:
+    """Fit on ``labelled`` (doc_id, text, label 0 or 1), of which ``totals`` rows of each label exist."""
     counts = class_counts(labelled.select("text", "label"), p)
     n = {y: int(counts[y][-1]) if y in counts else 0 for y in (0, 1)}
     if not n[0] or not n[1]:
@@ -104,7 +106,7 @@ def train(labelled: DataFrame, p: Params = Params()) -> Model:
     ratio = np.log(rate[1]) - np.log(rate[0])
 
     share = {y: min(1.0, p.sample_rows / 2 / n[y]) for y in (0, 1)}
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    draw = _draw(17)
     sample = labelled.where(draw < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
     got = sample.select("text", "label").mapInArrow(_vectors(p), "label int, features array<int>").toArrow()
     y = got.column("label").to_numpy().astype(float)
@@ -114,7 +116,7 @@ def train(labelled: DataFrame, p: Params = Params()) -> Model:
     feature = lists.flatten().to_numpy()
     row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
     value = ratio[feature]
-    each = np.where(y == 1, 1 / share[1], 1 / share[0])
+    each = np.where(y == 1, totals[1] / max(y.sum(), 1), totals[0] / max((1 - y).sum(), 1))
     each /= each.sum()
 
     def loss(x):
@@ -125,7 +127,7 @@ def train(labelled: DataFrame, p: Params = Params()) -> Model:
         return (fit + 0.5 * p.ridge * (w @ w),
                 np.append(np.bincount(feature, weights=value * d[row], minlength=len(w)) + p.ridge * w, d.sum()))
 
-    x = minimise(loss, np.append(np.zeros(1 << p.bits), np.log(n[1] / n[0])), steps=40)
+    x = minimise(loss, np.append(np.zeros(1 << p.bits), np.log(totals[1] / totals[0])), steps=40)
     return Model(ratio * x[:-1], float(x[-1]), p)
 
 
@@ -154,7 +156,21 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of the rows that may be learnt from."""
-    known = labels.where(F.col(label).isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+def _draw(seed: int):
+    """A fixed number in [0, 1) for each doc_id."""
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, even: bool = True):
+    """(doc_id, text, label) of at most ``bound`` rows that may be learnt from, drawn by hash of doc_id,
+    and how many of each label there are in all. ``even``: as many of each label, else all in proportion."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(
+        "doc_id", F.col(label).cast("int").alias("label"))
+    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    aim = 0.95 * bound  # a draw strays from its aim by far less than the rest, so that the limit doesn't bind
+    share = F.lit(0.0)
+    for y, n in totals.items():
+        part = aim / len(totals) / n if even else aim / sum(totals.values())
+        share = F.when(F.col("label") == y, min(1.0, part)).otherwise(share)
+    few = known.where(_draw(5) < share).limit(bound)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), totals
