@@ -254,14 +254,20 @@ def compare_models(report: DataFrame, eval_set: str = "concat") -> DataFrame:
 
 
 def score_parity(a: DataFrame, b: DataFrame, atol: float = 1e-5) -> DataFrame:
-    """Max absolute difference of two score tables for the same input."""
+    """Max absolute difference of two score tables for the same input.
+
+    ``n`` counts the scores that both sides have; a score that one side lacks
+    puts the result out of tolerance."""
     key = ["doc_id", "idx", "class"]
     j = a.select(*key, F.col("score").alias("score_a")).join(
-        b.select(*key, F.col("score").alias("score_b")), key, "inner")
+        b.select(*key, F.col("score").alias("score_b")), key, "full")
     d = F.abs(F.col("score_a") - F.col("score_b"))
-    return j.agg(F.count(F.lit(1)).alias("n"), F.max(d).alias("max_abs_diff"),
-                 F.sum((d > atol).cast("int")).cast("bigint").alias("n_over")) \
-        .withColumn("atol", F.lit(atol)).withColumn("within_tolerance", F.col("n_over") == 0)
+    return j.agg(F.count(d).alias("n"), F.max(d).alias("max_abs_diff"),
+                 F.sum((d > atol).cast("int")).cast("bigint").alias("n_over"),
+                 F.count_if(d.isNull()).alias("n_missing")) \
+        .withColumn("atol", F.lit(atol)).withColumn(
+            "within_tolerance", (F.coalesce("n_over", F.lit(0)) == 0) & (F.col("n_missing") == 0)) \
+        .drop("n_missing")
 
 
 def hard_negatives(tag_pairs: DataFrame) -> DataFrame:

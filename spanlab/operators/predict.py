@@ -12,7 +12,7 @@ Two predictors are native column expressions, so they have SQL oracles:
 
 The Python scorer (O63) is the slot for a real model: ``mapInPandas`` over
 documents, one scorer per task, Arrow batches of
-``spark.sql.execution.arrow.maxRecordsPerBatch`` texts.
+``SCORER_BATCH`` texts.
 """
 
 from __future__ import annotations
@@ -124,16 +124,18 @@ def _scorer_spec(taxonomy: str) -> dict:
             "no_i": sorted(tx.NO_I_TAG[taxonomy])}
 
 
+SCORER_BATCH = 32  # texts that the model gets at once
+
+
 def score_batches(docs: DataFrame, taxonomy: str, model_id: str = "rule_loose") -> DataFrame:
     """Run a Python scorer over ``source_text`` in Arrow batches.
 
     The scorer is built once per task from plain values captured here; each
-    Arrow batch (``spark.sql.execution.arrow.maxRecordsPerBatch`` texts)
-    yields one ``predicted_mask`` per document (one entity per token) and
+    batch of ``SCORER_BATCH`` texts yields one ``predicted_mask`` per document (one entity per token) and
     the batch's per-document latency.  The built-in scorer is ``rule_loose``
     written in Python; a real model replaces ``make_scorer``.
     """
-    spec = _scorer_spec(taxonomy)
+    spec, size = _scorer_spec(taxonomy), SCORER_BATCH
 
     def make_scorer():
         import bisect
@@ -178,7 +180,7 @@ def score_batches(docs: DataFrame, taxonomy: str, model_id: str = "rule_loose")
 
         import pandas as pd
         score = make_scorer()
-        for pdf in batches:
+        for pdf in (b.iloc[i:i + size] for b in batches for i in range(0, len(b), size)):
             t0 = time.perf_counter()
             masks = [score(t) for t in pdf["source_text"]]
             ms = (time.perf_counter() - t0) * 1000.0
