@@ -13,7 +13,7 @@ packed each; an empty table gives an empty result. Only doc_id and text are read
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 
 import numpy as np
@@ -28,7 +28,7 @@ from .sharding import number_slots
 WINDOW = 2048
 END_ID = 1
 RANK_SALTS = 32
-_CACHE_WORDS = 1 << 19  # about 100 MB
+_CACHE_WORDS = 1 << 19  # some tens of MB
 # White space after which the tokenizer parts words; Arrow also splits at U+001C to U+001F, which it keeps
 _SPACE = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 _ODD_SPACE = "[\\x1c-\\x1f]"
@@ -36,67 +36,74 @@ _ODD_SPACE = "[\\x1c-\\x1f]"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-_PLAIN = re.compile(r"([A-Za-z]+)([.,!]*)")
+# Letters that the tokenizer's normal form leaves as they are but for their case, then marks
+_PLAIN = "^(?P<letters>[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}]+)(?P<marks>[.,!]*)$"
+
+
+def _lists(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([i for one in ids for i in one], np.uint32), np.array([len(one) for one in ids], np.int64)
+
+
+def _joined(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The parts of ``ids`` that begin at ``first``, in a row."""
+    before = np.cumsum(size) - size
+    return ids[np.arange(size.sum()) + np.repeat(first - before, size)]
 
 
 class WordIds:
     """Ids of texts for a tokenizer that drops white space and folds case: each distinct word
-    between white space is encoded once and kept, up to a bound. A word of ASCII letters
-    with marks after it is its lower-case letters and its marks; such letters are encoded
-    many at a time, parted again where a token ends a word."""
+    between white space is encoded once and kept, up to a bound. A word of letters with
+    marks after it is its lower-case letters and its marks; such letters are encoded many
+    at a time, parted again where a token ends a word. Words stay in Arrow arrays."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
-        from tokenizers.normalizers import Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = Tokenizer.from_file(path)  # for lower-case ASCII letters and spaces, which need no more
-        self.letters.normalizer, self.letters.pre_tokenizer = Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.letters = Tokenizer(self.tokenizer.model)  # for lower-case letters parted by spaces
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self):
-        self.index: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())
         self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _add(self, words, ids: np.ndarray, size: np.ndarray) -> None:
-        self.index.update(zip(words, range(len(self.first), len(self.first) + len(words))))
+    def _add(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, ids])
 
-    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words ``at`` in a row, and their offsets."""
-        size = self.size[at]
-        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
-        return self.ids[np.arange(before[-1]) + np.repeat(self.first[at] - before[:-1], size)], before
-
-    def _learn(self, words: list[str]) -> None:
-        plain, other = {}, []
-        for w in words:
-            if m := _PLAIN.fullmatch(w):
-                plain[w] = m[1].lower(), m[2]
-            else:
-                other.append(w)
-        other += {marks for _, marks in plain.values() if marks and marks not in self.index}
-        letters = list({x for x, _ in plain.values() if x not in self.index})
-        if other:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-            self._add(other, np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64))
-        if letters:
-            text = " ".join(letters)
-            ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            last = np.flatnonzero(self.ends_word[ids])
-            self._add(letters, ids, np.diff(last, prepend=-1))
-        rest = [w for w in plain if w not in self.index]
-        if rest:
-            parts = [p for w in rest for p in plain[w] if p]
-            many = np.array([1 + bool(plain[w][1]) for w in rest])
-            at = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-            ids, before = self._gather(at)
-            self._add(rest, ids, np.diff(before[np.append(0, np.cumsum(many))]))
+    def _direct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return _lists([e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)])
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Encode words not yet kept; their places among the kept words."""
+        parts = pc.extract_regex(words, _PLAIN)
+        plain = pc.is_valid(parts)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        places = np.where(is_plain, (~is_plain).sum() + np.cumsum(is_plain), np.cumsum(~is_plain)) - 1 + len(self.words)
+        other = words.filter(pc.invert(plain))
+        if len(other):
+            self._add(other, *self._direct(other))
+        parts = parts.filter(plain)
+        if not len(parts):
+            return places
+        letters = pc.utf8_lower(parts.field("letters")).dictionary_encode()
+        marks = parts.field("marks").dictionary_encode()
+        text = " ".join(letters.dictionary.to_pylist())
+        ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        size = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+        mark_ids, mark_size = self._direct(marks.dictionary)
+        ids, size = np.concatenate([ids, mark_ids]), np.concatenate([size, mark_size])
+        at = np.stack([letters.indices.to_numpy(), len(letters.dictionary) + marks.indices.to_numpy()], axis=1)
+        first = np.cumsum(size) - size
+        self._add(words.filter(plain), _joined(ids, first[at.ravel()], size[at.ravel()]), size[at].sum(axis=1))
+        return places
 
     def encode(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's followed by the end id, and their offsets."""
@@ -104,22 +111,24 @@ class WordIds:
         split = pc.split_pattern_regex(texts, _SPACE) if odd else pc.utf8_split_whitespace(texts)
         ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.index) + len(words) > _CACHE_WORDS:
+        words = coded.dictionary
+        at = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().astype(np.int64)
+        if len(self.words) + (at < 0).sum() > _CACHE_WORDS:
             self.clear()
-        new = [w for w in words if w not in self.index]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            at[:] = -1
+        if (at < 0).any():
+            at[at < 0] = self._learn(words.filter(pa.array(at < 0)))
         at = at[coded.indices.to_numpy()]
-        ids, before = self._gather(at)
-        ends = before[ends]
+        size = self.size[at]
+        ids = _joined(self.ids, self.first[at], size)
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])[ends]
         offsets = np.concatenate([np.zeros(1, np.int64), ends + np.arange(1, len(ends) + 1)])
         return np.insert(ids, ends, np.uint32(END_ID)), offsets
 
 
 def _cut(path: str, window: int):
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder = WordIds(path)
         for batch in batches:
             column = as_large_strings(batch.column("text"))
