@@ -283,7 +283,8 @@ class Lineage:
     def n_pred(model_id: str) -> Column:
         """Length ``k`` of the model's prediction list for the document."""
         if model_id == "noisy":
-            return F.least(F.col("n_tok"), F.lit(predict.NOISY_MAX_TOKENS))
+            surplus = F.col("doc_id") % predict.SURPLUS_MOD == predict.SURPLUS_AT
+            return F.col("n_tok") + surplus.cast("int")
         return F.col("n_tok")
 
     @property

@@ -15,7 +15,7 @@ from __future__ import annotations
 from ..functions import taxonomy as tx
 from ..functions.text import NON_BLANK
 from ..operators.lexer import LEX_RX
-from ..operators.predict import LOOSE_LABELS, LOOSE_RULES, NOISY_MAX_TOKENS
+from ..operators.predict import LOOSE_LABELS, LOOSE_RULES, SURPLUS_AT, SURPLUS_MOD
 from ..sources.corpus import (DIGITS_RX, EMAIL_RX, HEX40_RX, IP_RX, LOOSE_PHONE_RX, NAME_PAIR_RX,
                               TEL_RX)
 
@@ -200,12 +200,14 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "alt": (_alt(), []),
     "loose_labels": (_loose_labels(), []),
     "keep": (_keep(), []),
-    "corpus": (f"""SELECT CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS origin, doc_id,
-       CASE WHEN doc_id % 2 = 0 THEN (CASE lang {LANG_A} ELSE lang END) ELSE lang END AS language,
+    "corpus": (f"""SELECT CASE WHEN given % 2 = 0 THEN 'A' ELSE 'B' END AS origin, doc_id,
+       CASE WHEN given % 2 = 0 THEN (CASE lang {LANG_A} ELSE lang END) ELSE lang END AS language,
        lang,
-       CASE WHEN doc_id % 10 < 5 THEN 'validation' ELSE 'train' END AS split,
-       CASE WHEN doc_id % 97 = 13 THEN {BLANK_SQL} WHEN doc_id % 97 = 14 THEN NULL ELSE text END AS source_text
-FROM documents""", []),
+       CASE WHEN given % 10 < 5 THEN 'validation' ELSE 'train' END AS split,
+       text AS source_text
+FROM (SELECT doc_id AS given, doc_id, lang, text FROM documents
+      UNION ALL SELECT doc_id, -1 - doc_id, lang, CASE WHEN doc_id % 97 = 13 THEN {BLANK_SQL} END
+      FROM documents WHERE doc_id % 97 IN (13, 14))""", []),
     "docs_en": (f"""SELECT * FROM corpus
 WHERE ((origin = 'A' AND language = 'English') OR (origin = 'B' AND language = 'en'))
   AND source_text IS NOT NULL AND regexp_matches(source_text, {q(NON_BLANK)})""", ["corpus"]),
@@ -252,7 +254,7 @@ FROM (
 LEFT JOIN label_dim h ON h.taxonomy = x.taxonomy AND h.prefix = 'B' AND h.label = x.lab""",
                ["geometry", "mapping", "label_dim"]),
     "all_preds": (f"""SELECT b.taxonomy, m.model_id, b.origin, b.doc_id, b.idx, b.tok, b.true_tag,
-    CASE WHEN m.model_id = 'noisy' THEN least(b.n_tok, {NOISY_MAX_TOKENS}) ELSE b.n_tok END AS k,
+    b.n_tok + CASE WHEN m.model_id = 'noisy' AND b.doc_id % {SURPLUS_MOD} = {SURPLUS_AT} THEN 1 ELSE 0 END AS k,
     CASE WHEN m.model_id = 'rule_loose' THEN
       (CASE WHEN b.lp_rule IS NULL OR ll.label IS NULL THEN 'O'
             WHEN b.lp_first THEN 'B-' || ll.label
@@ -420,7 +422,7 @@ LEFT JOIN label_dim h ON h.taxonomy = 'A' AND h.prefix = 'B' AND h.label = ll.la
 JOIN label_dim d ON d.taxonomy = 'A' AND d.tag = p.pred_tag""", ["preds_loose_a", "label_dim"]),
     "flat": ("""SELECT taxonomy, model_id, coalesce(true_tag, 'O') AS t, coalesce(pred_tag, 'O') AS p FROM (
   SELECT b.taxonomy, m.model_id, b.idx, b.true_tag,
-    CASE WHEN b.idx <= (CASE WHEN m.model_id = 'noisy' THEN least(b.n_tok, 512) ELSE b.n_tok END) THEN tp.pred END AS pred_tag
+    tp.pred AS pred_tag
   FROM by_tax b CROSS JOIN (VALUES ('rule_loose'), ('noisy')) m(model_id)
   LEFT JOIN all_preds tp ON tp.taxonomy = b.taxonomy AND tp.model_id = m.model_id AND tp.origin = b.origin
     AND tp.doc_id = b.doc_id AND tp.idx = b.idx)""", ["by_tax", "all_preds"]),

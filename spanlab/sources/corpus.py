@@ -53,17 +53,21 @@ def corpus(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -
     """
     d = documents(spark, sf_dir)
     origin = F.when(F.col("doc_id") % 2 == 0, F.lit("A")).otherwise(F.lit("B"))
-    text = (F.when(F.col("doc_id") % 97 == 13, F.lit(BLANK_TEXT))
-            .when(F.col("doc_id") % 97 == 14, F.lit(None).cast("string"))
-            .otherwise(F.col("text")))
-    c = d.select(
-        origin.alias("origin"),
-        F.col("doc_id"),
-        tx.language_name(F.col("lang"), origin).alias("language"),
-        F.col("lang"),
-        F.when(F.col("doc_id") % 10 < 5, F.lit("validation")).otherwise(F.lit("train")).alias("split"),
-        text.alias("source_text"),
-    )
+
+    def rows(d: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+        return d.select(
+            origin.alias("origin"),
+            doc_id.alias("doc_id"),
+            tx.language_name(F.col("lang"), origin).alias("language"),
+            F.col("lang"),
+            F.when(F.col("doc_id") % 10 < 5, F.lit("validation")).otherwise(F.lit("train")).alias("split"),
+            text.alias("source_text"),
+        )
+
+    # Planted blank and null texts are rows of their own, under negative ids.
+    blank = F.when(F.col("doc_id") % 97 == 13, F.lit(BLANK_TEXT))
+    c = rows(d, F.col("doc_id"), F.col("text")).union(
+        rows(d.where((F.col("doc_id") % 97).isin(13, 14)), -1 - F.col("doc_id"), blank))
     if columns is not None:
         c = c.select(*columns)
     return c
