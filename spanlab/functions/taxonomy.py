@@ -119,6 +119,11 @@ def has_i(taxonomy: str) -> dict[str, bool]:
     return {label: hi for _, _, label, prefix, _, hi in label_rows(taxonomy) if prefix == "B"}
 
 
+def plain2id(taxonomy: str) -> dict[str, int]:
+    """Ids of tags without B-/I-: labels in alphabetical order, ``O`` last."""
+    return {label: i for i, label in enumerate([*sorted(RAW_LABELS[taxonomy]), "O"])}
+
+
 def scope_ids(taxonomy: str) -> list[int]:
     return [tag_id for tag_id, _, _, _, in_scope, _ in label_rows(taxonomy) if in_scope]
 
@@ -143,12 +148,6 @@ def label_dim(spark: SparkSession) -> DataFrame:
     )
 
 
-def mapping_df(spark: SparkSession) -> DataFrame:
-    rows = [(f, t, k, v) for (f, t), m in MAPPINGS.items() for k, v in m.items()]
-    return spark.createDataFrame(rows, "from_taxonomy string, to_taxonomy string, "
-                                       "from_label string, to_label string")
-
-
 # --- column helpers: literal maps, evaluated inside codegen, no join -------
 
 def _sql_lit(v) -> str:
@@ -179,31 +178,21 @@ def tag_id(tag: Column, taxonomy: str) -> Column:
     return F.element_at(_map(tag2id(taxonomy)), tag)
 
 
+def plain_tag_id(tag: Column, taxonomy: str) -> Column:
+    """The same for tags without B-/I-."""
+    return F.element_at(_map(plain2id(taxonomy)), tag)
+
+
 def tag_text(tag_id_col: Column, taxonomy: str, ignore_text: str = "SPEC") -> Column:
     return F.when(tag_id_col == IGNORE_ID, F.lit(ignore_text)).otherwise(
         F.element_at(_map(id2tag(taxonomy)), tag_id_col))
 
 
-def label_has_i(label: Column, taxonomy: str) -> Column:
-    return F.coalesce(F.element_at(_map(has_i(taxonomy)), label), F.lit(True))
-
-
-def alt_label_col(label: Column, taxonomy: str) -> Column:
-    m = {k: v for k, v in alt_label(taxonomy).items() if k is not None}
-    return F.when(label.isNull(), F.lit(alt_label(taxonomy)[None])).otherwise(
-        F.coalesce(F.element_at(_map(m), label), F.lit(alt_label(taxonomy)[None])))
-
-
 def language_name(lang: Column, origin: Column) -> Column:
     a = _map(LANGUAGE_NAMES["A"])
     return F.when(origin == "A", F.coalesce(F.element_at(a, lang), lang)).otherwise(lang)
 
 
-def language_code(language: Column) -> Column:
-    inv = {v: k for k, v in LANGUAGE_NAMES["A"].items()}
-    return F.coalesce(F.element_at(_map(inv), language), language)
-
-
 # --- taxonomy given as a column: one combined literal map keyed "T|key" ----
 
 def _tkey(taxonomy, key: Column) -> Column:

@@ -15,9 +15,10 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(NON_BLANK)
 
 
-def half_open_substring(text: Column, start: Column, end: Column) -> Column:
-    """Python ``text[start:end]`` on code points (0-based, half-open)."""
-    return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
+def strip(text: Column) -> Column:
+    """Python ``text.strip()``: white space of ``NON_BLANK``'s complement off both ends."""
+    ws = NON_BLANK.replace("[^", "[")
+    return F.regexp_replace(text, rf"^{ws}+|{ws}+$", "")
 
 
 def round6(x: Column) -> Column:
@@ -61,14 +62,27 @@ def hash_bucket(*parts: Column, buckets: int = 100) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("int") % buckets
 
 
+# A quoted string without escapes, the text between strings, or a stray quote.
+_LITERAL_PART = r"""'[^']*+'|"[^"]*+"|[^'"]++|['"]"""
+
+
 def normalise_literal(text: Column) -> Column:
-    """Python-literal list text -> JSON that ``from_json`` reads.
+    r"""Python-literal list text -> JSON that ``from_json`` reads.
 
-    ``None``/``True``/``False`` become ``null``/``true``/``false`` when they
-    stand as values (after ``: ``, ``, `` or ``[``).  Quotes are left alone:
-    Spark's JSON reader accepts single-quoted strings.
+    ``None``/``True``/``False`` become ``null``/``true``/``false`` outside quoted
+    strings only.  Escaped backslashes and quotes become ``\uNNNN``, so that every quote
+    left opens or closes a string, and ``\xNN`` becomes ``\u00NN``; other escapes are
+    JSON's own.  Single-quoted strings stay: Spark's JSON reader accepts them.
     """
-    out = text
-    for py, js in (("None", "null"), ("True", "true"), ("False", "false")):
-        out = F.regexp_replace(out, rf"(: |, |\[){py}(?=[,}}\]])", rf"$1{js}")
-    return out
+    out = F.replace(text, F.lit("\\\\"), F.lit("\\u005c"))
+    for quote, code in (("'", "0027"), ('"', "0022")):
+        out = F.replace(out, F.lit("\\" + quote), F.lit("\\u" + code))
+    out = F.regexp_replace(out, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+
+    def values(part: Column) -> Column:
+        for py, js in (("None", "null"), ("True", "true"), ("False", "false")):
+            part = F.regexp_replace(part, rf"\b{py}\b", js)
+        return part
+
+    parts = F.regexp_extract_all(out, F.lit(_LITERAL_PART), 0)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^['\"]"), p).otherwise(values(p))), "")

@@ -62,7 +62,9 @@ def locate(spans: DataFrame, pieces: DataFrame, extra_key: list[str] | None = No
                               .otherwise(F.sequence(F.col("t.target") - (MAX_PIECE - 1), F.col("t.target"))))
                     .alias("cand"))
     p = pieces.select(*DOC_KEY, F.col("pstart").alias("cand"), "pend", "is_tok", "idx_upto", "n_tok")
-    hit = cand.join(p, [*DOC_KEY, "cand"], "left")
+    # Size estimates ignore how many rows an explode makes: without the hint Spark
+    # may take the whole piece stream for small enough to broadcast.
+    hit = cand.join(p.hint("merge"), [*DOC_KEY, "cand"], "left")
     ok = F.col("target") < F.col("pend")
     found = hit.groupBy(*DOC_KEY, *ek, "ann_pos").agg(
         F.first("start").alias("start"), F.first("end").alias("end"), F.first("label").alias("label"),
@@ -147,7 +149,7 @@ def align(tokens: DataFrame, located: DataFrame) -> DataFrame:
     """Token table with the covering span: ``span_label`` (null = outside),
     ``is_first``, ``ann_pos``.  Taxonomy-independent geometry."""
     cov = cover(resolve_overlaps(located))
-    return tokens.join(cov, [*DOC_KEY, "idx"], "left")
+    return tokens.join(cov.hint("merge"), [*DOC_KEY, "idx"], "left")
 
 
 def tag(aligned: DataFrame, taxonomy: str, label: Column | None = None, *, iob: bool = True,
@@ -181,8 +183,16 @@ def label_in(taxonomy, origin: Column = None, span_label: Column = None) -> Colu
     return tx.relabel_t(span_label, origin, taxonomy)
 
 
-def tag_kind(tag_col: Column) -> Column:
-    """B / I / O / IGN for a tag text column."""
-    return (F.when(tag_col.isNull(), F.lit("IGN"))
-            .when(tag_col == "O", F.lit("O"))
-            .otherwise(F.substring(tag_col, 1, 1)))
+def nest_labels(tokens: DataFrame, key: list[str]) -> DataFrame:
+    """Token rows -> one row per ``key``: ``offset_mapping`` and the ``*_id`` columns as
+    ``*_labels`` lists with an ignored position at either end (special tokens)."""
+    ids = [c for c in tokens.columns if c.endswith("_id") and c != "doc_id"]
+    l = tokens.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("idx", "start", "end", *ids))).alias("_l"))
+    pad = F.array(F.lit(tx.IGNORE_ID))
+
+    def labels(c: str) -> Column:
+        return F.concat(pad, F.transform("_l", lambda x: x[c]), pad).alias(c[:-3] + "_labels")
+    return l.select(
+        *key, F.transform("_l", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+        .alias("offset_mapping"),
+        *[labels(c) for c in ids])

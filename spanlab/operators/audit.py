@@ -40,14 +40,6 @@ def annotation_counts(uspans: DataFrame) -> DataFrame:
                     mean_1dp(F.col("_sum"), F.col("annotations")).alias("mean_len"))
 
 
-def token_kinds(tagged: DataFrame, tag_col: str = "tag") -> DataFrame:
-    """Token rows -> ``kind`` (B / I / O / IGN) and ``label`` (for B and I)."""
-    t = F.col(tag_col)
-    kind = F.when(t.isNull(), F.lit("IGN")).when(t == "O", F.lit("O")).otherwise(F.substring(t, 1, 1))
-    label = F.when(kind.isin("B", "I"), F.substring(t, 3, 1 << 20))
-    return tagged.select("*", kind.alias("kind"), label.alias("label"))
-
-
 def token_label_counts(kinds: DataFrame, located_t: DataFrame, n_docs: DataFrame) -> DataFrame:
     """B, I and B+I tokens per label, plus a ``(total)`` row with the
     O and ignored totals (two special tokens per document count as ignored)

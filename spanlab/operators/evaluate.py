@@ -227,13 +227,16 @@ def entity_report(pairs: DataFrame) -> DataFrame:
 # Comparisons
 # ---------------------------------------------------------------------------
 
-def compare_models(report: DataFrame, eval_set: str = "concat") -> DataFrame:
-    """Two models' per-label F1 side by side on one taxonomy.
+def compare_models(report: DataFrame, model_a: str, model_b: str, eval_set: str = "concat") -> DataFrame:
+    """Two models' per-tag F1 side by side on one taxonomy: ``f1_a, f1_b, delta,
+    best_f1, better`` (a model's name or ``tie``).
 
     Labels of taxonomy A are mapped into B first so both reports share one
-    label space; per label the better model is named.
+    label space.  A tag that one model has no row for keeps its row: that
+    side's F1, ``delta`` and ``better`` are null.
     """
-    r = report.where((F.col("eval_set") == eval_set) & (F.col("tag") != "O"))
+    r = report.where((F.col("eval_set") == eval_set) & (F.col("tag") != "O")
+                     & F.col("model_id").isin(model_a, model_b))
     lab = F.substring(F.col("tag"), 3, 1 << 20)
     pref = F.substring(F.col("tag"), 1, 2)
     mapped = F.when(F.col("taxonomy") == "A", tx.map_label(lab, "A", "B")).otherwise(lab)
@@ -241,15 +244,13 @@ def compare_models(report: DataFrame, eval_set: str = "concat") -> DataFrame:
     g = x.groupBy("taxonomy", "model_id", "tag_b").agg(
         F.sum("tp").alias("tp"), F.sum("pred_n").alias("pred_n"), F.sum("support").alias("support"))
     g = g.withColumn("f1", round6(safe_ratio(2 * F.col("tp"), F.col("pred_n") + F.col("support"))))
-    j = g.groupBy("taxonomy", "tag_b").agg(
-        F.max(F.when(F.col("model_id") == "rule_loose", F.col("f1"))).alias("f1_rule_loose"),
-        F.max(F.when(F.col("model_id") == "noisy", F.col("f1"))).alias("f1_noisy"))
-    fa = F.coalesce("f1_rule_loose", F.lit(0.0))
-    fb = F.coalesce("f1_noisy", F.lit(0.0))
+    j = g.groupBy("taxonomy", F.col("tag_b").alias("tag")).agg(
+        F.max(F.when(F.col("model_id") == model_a, F.col("f1"))).alias("f1_a"),
+        F.max(F.when(F.col("model_id") == model_b, F.col("f1"))).alias("f1_b"))
+    fa, fb = F.col("f1_a"), F.col("f1_b")
     return j.select(
-        "taxonomy", F.col("tag_b").alias("tag"), fa.alias("f1_rule_loose"), fb.alias("f1_noisy"),
-        round6(fb - fa).alias("delta"), round6(F.greatest(fa, fb)).alias("best_f1"),
-        F.when(fa > fb, F.lit("rule_loose")).when(fb > fa, F.lit("noisy")).otherwise(F.lit("tie"))
+        "taxonomy", "tag", fa, fb, round6(fb - fa).alias("delta"), round6(F.greatest(fa, fb)).alias("best_f1"),
+        F.when(fa > fb, F.lit(model_a)).when(fb > fa, F.lit(model_b)).when(fa == fb, F.lit("tie"))
         .alias("better"))
 
 

@@ -22,9 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
-from ..functions.text import hash_bucket
+from ..functions.text import strip
 from ..sources.corpus import DOC_KEY, EMAIL_RX, IP_RX, LOOSE_PHONE_RX, CAPITALISED_RX
-from . import align
 
 MODELS = ("rule_loose", "noisy")
 # ``noisy`` lists of documents with this remainder carry one surplus entity at their end.
@@ -58,34 +57,6 @@ def loose_spans(docs: DataFrame) -> DataFrame:
     )
 
 
-def loose_tag(taxonomy, rule: Column, is_first: Column) -> Column:
-    """Tag predicted by ``rule_loose`` for a token covered by ``rule`` (or null)."""
-    label = F.element_at(tx._combined(lambda t: LOOSE_LABELS[t]), tx._tkey(taxonomy, rule))
-    hi = tx.has_i_t(label, taxonomy)
-    return (F.when(rule.isNull() | label.isNull(), F.lit("O"))
-            .when(is_first, F.concat(F.lit("B-"), label))
-            .when(hi, F.concat(F.lit("I-"), label))
-            .otherwise(F.concat(F.lit("B-"), label)))
-
-
-def noisy_tag(taxonomy, raw_tag: Column, origin: Column, doc_id: Column, idx: Column) -> Column:
-    """Perturb the raw gold tag: h<3 -> O, h<5 -> B/I swapped, h<6 -> other label."""
-    h = hash_bucket(origin, doc_id, idx)
-    prefix = F.substring(raw_tag, 1, 1)
-    label = F.when(raw_tag == "O", F.lit(None).cast("string")).otherwise(F.substring(raw_tag, 3, 1 << 20))
-    hi = tx.has_i_t(label, taxonomy)
-    swapped = (F.when(raw_tag == "O", F.lit("O"))
-               .when((prefix == "B") & hi, F.concat(F.lit("I-"), label))
-               .otherwise(F.concat(F.lit("B-"), label)))
-    alt = tx.alt_label_t(label, taxonomy)
-    other = F.when((prefix == "I") & tx.has_i_t(alt, taxonomy), F.concat(F.lit("I-"), alt)) \
-        .otherwise(F.concat(F.lit("B-"), alt))
-    return (F.when(h < 3, F.lit("O"))
-            .when(h < 5, swapped)
-            .when(h < 6, other)
-            .otherwise(raw_tag))
-
-
 def drop_entities(entity: Column, taxonomy: str, replace: bool = True) -> Column:
     """Model-side ignore list applied to the bare label of a tag.
 
@@ -129,15 +100,9 @@ def _scorer_spec(taxonomy: str) -> dict:
 SCORER_BATCH = 32  # texts that the model gets at once
 
 
-def score_batches(docs: DataFrame, taxonomy: str, model_id: str = "rule_loose") -> DataFrame:
-    """Run a Python scorer over ``source_text`` in Arrow batches.
-
-    The scorer is built once per task from plain values captured here; each
-    batch of ``SCORER_BATCH`` texts yields one ``predicted_mask`` per document (one entity per token) and
-    the batch's per-document latency.  The built-in scorer is ``rule_loose``
-    written in Python; a real model replaces ``make_scorer``.
-    """
-    spec, size = _scorer_spec(taxonomy), SCORER_BATCH
+def rule_scorer(taxonomy: str):
+    """Scorer factory of ``rule_loose`` written in Python."""
+    spec = _scorer_spec(taxonomy)
 
     def make_scorer():
         import bisect
@@ -148,12 +113,12 @@ def score_batches(docs: DataFrame, taxonomy: str, model_id: str = "rule_loose")
         labels, no_i = spec["labels"], set(spec["no_i"])
 
         def score(text):
-            toks = [(m.start(), m.end(), m.group()) for m in lex.finditer(text)
+            toks = [(m.start(), m.end(), m.group()) for m in lex.finditer(text or "")
                     if m.group()[0] not in " \t\n\r"]
             starts = [a for a, _, _ in toks]
             located = {}
             for name, rx in rules:                      # list order = rule, then start
-                for m in rx.finditer(text):
+                for m in rx.finditer(text or ""):
                     s, e = m.start(), m.end()
                     k = bisect.bisect_right(starts, s) - 1
                     if k < 0 or not (toks[k][0] <= s < toks[k][1]):
@@ -175,7 +140,19 @@ def score_batches(docs: DataFrame, taxonomy: str, model_id: str = "rule_loose")
                         out[j] = "I-" + label
                 nf = last + 1
             return [{"entity": t, "word": w, "score": 1.0} for t, (_, _, w) in zip(out, toks)]
-        return score
+        return lambda texts: [score(t) for t in texts]
+    return make_scorer
+
+
+def score_batches(docs: DataFrame, make_scorer, model_id: str) -> DataFrame:
+    """Run a Python scorer over ``source_text`` in Arrow batches.
+
+    ``make_scorer()`` is called once per task and loads the model there; the scorer it
+    returns gets up to ``SCORER_BATCH`` texts (a null text as None) and returns one list of
+    ``{"entity", "word", "score"}`` per text, one entity per token.  Each row carries
+    its batch's latency per document.
+    """
+    size = SCORER_BATCH
 
     def run(batches):
         import time
@@ -184,8 +161,10 @@ def score_batches(docs: DataFrame, taxonomy: str, model_id: str = "rule_loose")
         score = make_scorer()
         for pdf in (b.iloc[i:i + size] for b in batches for i in range(0, len(b), size)):
             t0 = time.perf_counter()
-            masks = [score(t) for t in pdf["source_text"]]
+            masks = score(pdf["source_text"].tolist())
             ms = (time.perf_counter() - t0) * 1000.0
+            if len(masks) != len(pdf):
+                raise ValueError(f"scorer {model_id}: {len(masks)} results for {len(pdf)} texts")
             yield pd.DataFrame({"origin": pdf["origin"], "doc_id": pdf["doc_id"],
                                 "model_id": model_id, "predicted_mask": masks,
                                 "elapsed_ms": ms / max(len(pdf), 1)})
@@ -193,50 +172,66 @@ def score_batches(docs: DataFrame, taxonomy: str, model_id: str = "rule_loose")
     return docs.select(*DOC_KEY, "source_text").mapInPandas(run, SCORER_SCHEMA)
 
 
-def zip_pairs(aligned_true: DataFrame, preds: DataFrame, taxonomy: str) -> DataFrame:
+def zip_pairs(aligned_true: DataFrame, preds: DataFrame, taxonomy: str,
+              models: list[str] | None = None) -> DataFrame:
     """O19 + O20: attach predictions by document key and pair token by token.
 
     ``aligned_true``: ``origin, doc_id, idx, true_id`` for idx 1..n.
     ``preds``: ``origin, doc_id, model_id, predicted_mask``.
-    The prediction list is padded like ``[-100] + p + [-100]``; an inner
-    join on position then truncates to the shorter side exactly as ``zip``.
+    The prediction list is padded like ``[-100] + p + [-100]``; the join on
+    position truncates to the shorter side exactly as ``zip``.  A document for which one
+    of ``models`` has no row, or a null list, is paired with ``O`` throughout, so that
+    its entities count as missed; without ``models`` it is left out.
     """
     enc = F.concat(F.transform("predicted_mask", lambda e: tx.tag_id(e["entity"], taxonomy)),
                    F.array(F.lit(tx.IGNORE_ID)))
     p = (preds.select(*DOC_KEY, "model_id", F.posexplode(enc).alias("p0", "pred_id"))
          .select(*DOC_KEY, "model_id", (F.col("p0") + 1).alias("idx"), "pred_id"))
-    return aligned_true.join(p, [*DOC_KEY, "idx"], "inner")
+    if models is None:
+        return aligned_true.join(p, [*DOC_KEY, "idx"], "inner")
+    lists = preds.where(F.col("predicted_mask").isNotNull()).groupBy(*DOC_KEY, "model_id").agg(
+        F.max(F.size("predicted_mask")).alias("_k"))
+    want = aligned_true.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("model_id"))
+    x = want.join(lists, [*DOC_KEY, "model_id"], "left").join(p, [*DOC_KEY, "model_id", "idx"], "left")
+    x = x.where(F.col("_k").isNull() | (F.col("idx") <= F.col("_k") + 1))
+    o_id = F.lit(tx.tag2id(taxonomy)["O"])
+    return x.withColumn("pred_id", F.when(F.col("_k").isNull(), o_id).otherwise(F.col("pred_id"))).drop("_k")
 
 
-def token_substrings(tok: Column) -> Column:
-    """Every substring of a token, plus the empty string (a blank word
-    matches every token).  Tokens are short, so this stays small."""
+GRAM = 3  # characters of a word by which it meets tokens
+
+
+def token_grams(tok: Column) -> Column:
+    """Distinct substrings of a token of up to ``GRAM`` characters, the empty one included
+    (a blank word matches every token); their number grows with the token's length."""
     n = F.length(tok)
-    subs = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.transform(F.sequence(i, F.greatest(n, i)),
-                              lambda j: F.substring(tok, i, j - i + 1))))
-    return F.array_distinct(F.concat(F.array(F.lit("")), subs))
+
+    def of(k: int) -> Column:
+        last = F.greatest(n - (k - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(tok, i, F.lit(k)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of(k) for k in range(1, GRAM + 1)]))
 
 
 def word_match_align(tokens_df: DataFrame, preds: DataFrame) -> DataFrame:
     """Per token, the first prediction (list order) whose stripped
-    ``word`` is a substring of the token; ``O`` when none matches.
+    ``word`` is a substring of the token; ``O`` when none matches, also
+    for an empty or null list.  A null word counts as an empty one.
 
-    A word can only match a token if it is one of the token's substrings, so
-    each token is expanded to its substrings and joined on
-    ``(origin, doc_id, word)`` -- an equi-join, never tokens x predictions.
+    A word in a token starts with one of the token's short substrings, so words meet
+    tokens in an equi-join on ``(origin, doc_id, first characters)``, then the whole word is
+    tested -- never tokens x predictions.
     """
     p = (preds.select(*DOC_KEY, "model_id", F.posexplode("predicted_mask").alias("ppos", "e"))
          .select(*DOC_KEY, "model_id", "ppos", F.col("e.entity").alias("entity"),
-                 F.trim(F.col("e.word")).alias("word")))
+                 strip(F.coalesce(F.col("e.word"), F.lit(""))).alias("word")))
     first_per_word = p.groupBy(*DOC_KEY, "model_id", "word").agg(
-        F.min_by(F.struct("ppos", "entity"), "ppos").alias("f"))
-    subs = tokens_df.select(*DOC_KEY, "idx", F.explode(token_substrings(F.col("tok"))).alias("word"))
-    j = subs.join(first_per_word, [*DOC_KEY, "word"], "inner")
+        F.min_by(F.struct("ppos", "entity"), "ppos").alias("f")) \
+        .withColumn("gram", F.substring("word", 1, GRAM))
+    grams = tokens_df.select(*DOC_KEY, "idx", "tok", F.explode(token_grams(F.col("tok"))).alias("gram"))
+    j = grams.join(first_per_word, [*DOC_KEY, "gram"], "inner").where(F.contains("tok", "word"))
     first = j.groupBy(*DOC_KEY, "model_id", "idx").agg(
         F.min_by(F.col("f.entity"), F.col("f.ppos")).alias("entity"))
-    models = p.select(*DOC_KEY, "model_id").distinct()
+    models = preds.select(*DOC_KEY, "model_id").distinct()
     return (tokens_df.select(*DOC_KEY, "idx", "tok").join(models, DOC_KEY, "inner")
             .join(first, [*DOC_KEY, "model_id", "idx"], "left")
             .select(*DOC_KEY, "model_id", "idx", "tok", F.coalesce("entity", F.lit("O")).alias("entity")))

@@ -104,48 +104,49 @@ def distinct_labels(spans: DataFrame) -> DataFrame:
                         F.row_number().over(w).alias("seen_rank"))
 
 
-def labels_of(spans: DataFrame, origin: str) -> DataFrame:
-    return spans.where(F.col("origin") == origin).select("label").distinct()
+def label_sides(labels: DataFrame) -> DataFrame:
+    """``label, in_a, in_b`` of an ``origin, label`` table: one pass for every set operation."""
+    return labels.groupBy("label").agg(F.bool_or(F.col("origin") == "A").alias("in_a"),
+                                       F.bool_or(F.col("origin") == "B").alias("in_b"))
 
 
 def label_intersect(spans: DataFrame) -> DataFrame:
     """Labels present in both corpora."""
-    return labels_of(spans, "A").intersect(labels_of(spans, "B"))
+    return label_sides(spans).where("in_a and in_b").select("label")
 
 
 def label_except(spans: DataFrame) -> DataFrame:
     """Labels only in A and only in B."""
-    a, b = labels_of(spans, "A"), labels_of(spans, "B")
-    return (a.exceptAll(b).select(F.lit("A_only").alias("side"), "label")
-            .unionByName(b.exceptAll(a).select(F.lit("B_only").alias("side"), "label")))
+    return label_sides(spans).where("in_a <> in_b").select(
+        F.when(F.col("in_a"), F.lit("A_only")).otherwise(F.lit("B_only")).alias("side"), "label")
+
+
+def _allowed(origin: Column, label: Column) -> Column:
+    """Is the label on its corpus's allow-list?"""
+    return ((origin == "A") & label.isin(*tx.KEEP_LABELS["A"])) | ((origin == "B") & label.isin(*tx.KEEP_LABELS["B"]))
 
 
 def label_scope(spans: DataFrame, taxonomy: str = "B") -> DataFrame:
     """Labels that survive allow-lists and mapping in both corpora."""
     other = tx.OTHER[taxonomy]
-    own = spans.where((F.col("origin") == taxonomy) & F.col("label").isin(*tx.KEEP_LABELS[taxonomy])) \
-        .select("label").distinct()
-    mapped = spans.where((F.col("origin") == other) & F.col("label").isin(*tx.KEEP_LABELS[other])) \
-        .select(tx.map_label(F.col("label"), other, taxonomy).alias("label")).distinct()
-    return own.intersect(mapped)
+    label = F.when(F.col("origin") == other, tx.map_label(F.col("label"), other, taxonomy)).otherwise(F.col("label"))
+    kept = spans.where(_allowed(F.col("origin"), F.col("label")))
+    return label_sides(kept.select("origin", label.alias("label"))).where("in_a and in_b").select("label")
 
 
 def assert_label_set(spans: DataFrame) -> DataFrame:
-    """Observed kept labels vs the allow-list (symmetric difference).
+    """Labels of the corpora vs the allow-lists after ``keep_labels``.
 
-    An empty result means the assertion holds.
+    An allowed label that no span has is ``expected_not_observed``; a kept one off
+    the list is ``observed_not_expected``.  An empty result means the assertion holds.
     """
-    rows = []
-    spark = spans.sparkSession
-    for t in tx.TAXONOMIES:
-        rows += [(t, lab) for lab in tx.KEEP_LABELS[t]]
-    expected = spark.createDataFrame(rows, "origin string, label string")
-    observed = spans.where(
-        ((F.col("origin") == "A") & F.col("label").isin(*tx.KEEP_LABELS["A"]))
-        | ((F.col("origin") == "B") & F.col("label").isin(*tx.KEEP_LABELS["B"]))) \
-        .select("origin", "label").distinct()
-    return (expected.exceptAll(observed).withColumn("issue", F.lit("expected_not_observed"))
-            .unionByName(observed.exceptAll(expected).withColumn("issue", F.lit("observed_not_expected"))))
+    rows = [(t, lab, True) for t in tx.TAXONOMIES for lab in tx.KEEP_LABELS[t]]
+    expected = spans.sparkSession.createDataFrame(rows, "origin string, label string, expected boolean")
+    observed = spans.select("origin", "label").distinct().withColumn("observed", F.lit(True))
+    j = expected.join(observed, ["origin", "label"], "full")
+    return j.where(F.col("expected").isNull() | F.col("observed").isNull()).select(
+        "origin", "label", F.when(F.col("observed").isNull(), F.lit("expected_not_observed"))
+        .otherwise(F.lit("observed_not_expected")).alias("issue"))
 
 
 def assert_no_foreign(uniform_spans: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 from ..functions.text import is_blank
-from ..operators import align, lexer, predict
+from ..operators import align, evaluate, lexer, predict
 from ..sources import corpus as C
 from ..sources.corpus import DOC_KEY
 
@@ -35,10 +35,8 @@ def keep_labels_long(spans: DataFrame) -> DataFrame:
 
 
 def english(c: DataFrame) -> DataFrame:
-    """O09 + O10: English documents (each corpus spells it its own way), no blank text."""
-    lang_ok = ((F.col("origin") == "A") & (F.col("language") == tx.LANGUAGE_NAMES["A"]["en"])) | \
-              ((F.col("origin") == "B") & (F.col("language") == tx.LANGUAGE_NAMES["B"]["en"]))
-    return c.where(lang_ok & ~is_blank(F.col("source_text")))
+    """O09 + O10: English documents, no blank text (tested on the raw code, which the scan filters by)."""
+    return c.where((F.col("lang") == "en") & ~is_blank(F.col("source_text")))
 
 
 @dataclass
@@ -89,6 +87,11 @@ class Lineage:
         """Nested view: corpus columns + ``privacy_mask`` (all documents)."""
         return self._get("annotated", lambda: C.annotated(self.spark, self.sf_dir))
 
+    @property
+    def annotated_en(self) -> DataFrame:
+        """The same of English documents; no other text is read or annotated."""
+        return self._get("annotated_en", lambda: C.annotated(self.spark, self.sf_dir, lang="en"))
+
     # -- audit views -------------------------------------------------------
     @property
     def uspans(self) -> DataFrame:
@@ -217,7 +220,7 @@ class Lineage:
             piv = cov.groupBy(*DOC_KEY, "idx").agg(
                 F.max(F.when(is_gold, gold_s)).alias("g"), F.max(F.when(~is_gold, loose_s)).alias("l"))
             piv = piv.select(*DOC_KEY, "idx", "g.*", "l.*")
-            g = self.tokens.join(piv, [*DOC_KEY, "idx"], "left")
+            g = self.tokens.join(piv.hint("merge"), [*DOC_KEY, "idx"], "left")
             from ..functions.text import hash_bucket
             g = g.select("*", hash_bucket(F.col("origin"), F.col("doc_id"), F.col("idx")).alias("h"))
             return g
@@ -311,6 +314,29 @@ class Lineage:
                     .select("c.taxonomy", "c.model_id", *DOC_KEY, "idx", "tok", "c.true_id", "c.pred_id"))
         return self._get("pairs", build)
 
+    @property
+    def confusion(self) -> DataFrame:
+        """O45 of every taxonomy and model: tokens are counted by their few tag ids
+        first, and only those counts are given out per taxonomy and model."""
+        def build():
+            ids, combos = {}, []
+            for t in tx.TAXONOMIES:
+                ids[f"true_{t}"] = self.true_id(t)
+                for m in predict.MODELS:
+                    k = self.n_pred(m)
+                    ids[f"pred_{t}_{m}"] = F.when(F.col("idx") <= k, self.pred_id(t, m)).when(
+                        F.col("idx") == k + 1, F.lit(tx.IGNORE_ID))
+                    ids[f"paired_{m}"] = F.col("idx") <= k + 1
+                    combos.append(F.struct(
+                        F.lit(t).alias("taxonomy"), F.lit(m).alias("model_id"), F.col(f"true_{t}").alias("true_id"),
+                        F.col(f"pred_{t}_{m}").alias("pred_id"), F.col(f"paired_{m}").alias("paired")))
+            counts = self.geometry.select("origin", *[c.alias(n) for n, c in ids.items()]).groupBy(
+                "origin", *ids).agg(F.count(F.lit(1)).alias("n"))
+            x = counts.select("origin", "n", F.explode(F.array(*combos)).alias("c")).select("origin", "n", "c.*")
+            return evaluate.mask_ignored(x.where("paired")).groupBy(
+                *evaluate.CONF_KEY, "true_id", "pred_id").agg(F.sum("n").alias("n"))
+        return self._get("confusion", build)
+
     @property
     def tag_pairs(self) -> DataFrame:
         """``pairs`` with tag text (``true_tag``, ``pred_tag``; pad = null) and token text."""

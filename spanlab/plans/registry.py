@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import evaluate as E
 from . import oracle as O
-from .lineage import lineage
+from .lineage import keep_labels_long, lineage
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -31,7 +31,7 @@ def register(name: str, oracle_sql: str | None):
 
 @register("confusion", O.sql("SELECT * FROM confusion", "confusion"))
 def q_confusion(spark, sf_dir):
-    return E.confusion(lineage(spark, sf_dir).pairs)
+    return lineage(spark, sf_dir).confusion
 
 
 @register("classification_report", O.sql(f"""SELECT *,
@@ -40,7 +40,7 @@ def q_confusion(spark, sf_dir):
   {O.r6(O.ratio('2 * tp', 'pred_n + support'))} AS f1
 FROM report""", "report"))
 def q_classification_report(spark, sf_dir):
-    return E.classification_report(E.confusion(lineage(spark, sf_dir).pairs))
+    return E.classification_report(lineage(spark, sf_dir).confusion)
 
 
 _AVG = f"""WITH_BODY
@@ -64,7 +64,7 @@ _avg_sql = _avg_sql[:-len("SELECT 1")] + f", g AS ({_AVG_G})\n" + _AVG.replace("
 
 @register("report_averages", _avg_sql)
 def q_report_averages(spark, sf_dir):
-    return E.report_averages(E.classification_report(E.confusion(lineage(spark, sf_dir).pairs)))
+    return E.report_averages(E.classification_report(lineage(spark, sf_dir).confusion))
 
 
 @register("masked_accuracy", O.sql(f"""SELECT taxonomy, eval_set, model_id,
@@ -73,7 +73,7 @@ def q_report_averages(spark, sf_dir):
   {O.r6(O.ratio('sum(CASE WHEN true_id = pred_id THEN n ELSE 0 END)', 'sum(n)'))} AS accuracy
 FROM conf_sets GROUP BY taxonomy, eval_set, model_id""", "conf_sets"))
 def q_masked_accuracy(spark, sf_dir):
-    return E.masked_accuracy(E.confusion(lineage(spark, sf_dir).pairs))
+    return E.masked_accuracy(lineage(spark, sf_dir).confusion)
 
 
 # ---------------------------------------------------------------------------
@@ -84,6 +84,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from ..functions import taxonomy as tx  # noqa: E402
 from ..functions.text import round6, safe_ratio  # noqa: E402
 from ..operators import align, audit, predict, prep  # noqa: E402
+from ..operators.align import nest_labels  # noqa: E402
 from ..sources import io  # noqa: E402
 from ..sources.corpus import DOC_KEY, MASK_TYPE_B  # noqa: E402
 
@@ -110,37 +111,50 @@ def q_scan_split(spark, sf_dir):
     return d.select(*DOC_KEY, "language", "split", F.size("privacy_mask").alias("n_ann"))
 
 
-@register("scan_parquet", S(f"""SELECT origin, doc_id, split, CAST(len(privacy_mask) AS INTEGER) AS n_ann,
+@register("scan_parquet", S(f"""SELECT origin, doc_id, split, md5(source_text) AS text_md5, CAST(len(privacy_mask) AS INTEGER) AS n_ann,
   {_labels_sql('privacy_mask')} AS labels FROM annotated""", "annotated"))
 def q_scan_parquet(spark, sf_dir):
     L = lineage(spark, sf_dir)
     path = io.output_path(spark, "annotated")
-    io.sink_parquet(L.annotated.drop("source_text"), path, ["origin"])
+    io.sink_parquet(L.annotated, path, ["origin"])
     back = io.scan_parquet(spark, path)
-    return back.select(*DOC_KEY, "split", F.size("privacy_mask").alias("n_ann"),
+    return back.select(*DOC_KEY, "split", F.md5("source_text").alias("text_md5"),
+                       F.size("privacy_mask").alias("n_ann"),
                        prep.mask_labels(F.col("privacy_mask")).alias("labels"))
 
 
-@register("sink_parquet", S("""SELECT origin, doc_id, CAST(count(*) + 2 AS INTEGER) AS n_labels,
-  CAST(count(true_tag) AS INTEGER) AS n_scored
-FROM by_tax WHERE taxonomy = 'A' GROUP BY origin, doc_id""", "by_tax"))
+@register("sink_parquet", S("""SELECT t.*, CAST(length(a.source_text) AS INTEGER) AS n_chars,
+  CAST(len(a.privacy_mask) AS INTEGER) AS n_ann, p.last_end, CAST(coalesce(h.hits, 0) AS INTEGER) AS hits
+FROM (SELECT taxonomy, origin, doc_id, CAST(count(*) + 2 AS INTEGER) AS n_labels,
+        CAST(count(true_tag) AS INTEGER) AS n_scored FROM by_tax GROUP BY ALL) t
+JOIN annotated a ON a.origin = t.origin AND a.doc_id = t.doc_id
+JOIN (SELECT origin, doc_id, max("end") AS last_end FROM tokens GROUP BY ALL) p
+  ON p.origin = t.origin AND p.doc_id = t.doc_id
+LEFT JOIN (SELECT taxonomy, origin, doc_id, count(*) AS hits FROM tag_pairs
+           WHERE model_id = 'rule_loose' AND true_tag = pred_tag GROUP BY ALL) h
+  ON h.taxonomy = t.taxonomy AND h.origin = t.origin AND h.doc_id = t.doc_id""",
+                                "by_tax", "annotated", "tokens", "tag_pairs"))
 def q_sink_parquet(spark, sf_dir):
-    """Aligned dataset in the reference's nested shape (``true_labels`` with
-    -100 pads), written partitioned by corpus and read back."""
+    """The aligned dataset in nested shape (text, annotations, offsets, ``true_labels`` and
+    ``pred_labels`` with -100 pads) in both taxonomies, written by corpus and read back."""
     L = lineage(spark, sf_dir)
-    tid = L.true_id("A")
-    per_doc = L.geometry.groupBy(*DOC_KEY).agg(
-        F.array_sort(F.collect_list(F.struct("idx", tid.alias("id")))).alias("t"))
-    pad = F.array(F.lit(tx.IGNORE_ID))
-    nested = per_doc.select(*DOC_KEY, F.concat(pad, F.transform("t", lambda x: x["id"]), pad)
-                            .alias("true_labels"))
-    back = io.sink_parquet(nested, io.output_path(spark, "aligned"), ["origin"])
-    return back.select(*DOC_KEY, F.size("true_labels").alias("n_labels"),
-                       F.size(F.filter("true_labels", lambda x: x != tx.IGNORE_ID)).alias("n_scored"))
+    tokens = L.geometry.select(*DOC_KEY, "idx", "start", "end", F.explode(F.array(*[
+        F.struct(F.lit(t).alias("taxonomy"), L.true_id(t).alias("true_id"), L.pred_id(t, "rule_loose").alias("pred_id"))
+        for t in tx.TAXONOMIES])).alias("c")).select(*DOC_KEY, "idx", "start", "end", "c.*")
+    nested = nest_labels(tokens, ["taxonomy", *DOC_KEY])
+    docs = L.annotated_en.select(*DOC_KEY, "source_text", "privacy_mask")
+    back = io.sink_parquet(docs.join(nested, DOC_KEY), io.output_path(spark, "aligned"), ["origin"])
+    same = F.zip_with("true_labels", "pred_labels", lambda t, p: (t == p) & (t != tx.IGNORE_ID))
+    return back.select(
+        "taxonomy", *DOC_KEY, F.size("true_labels").alias("n_labels"),
+        F.size(F.filter("true_labels", lambda x: x != tx.IGNORE_ID)).alias("n_scored"),
+        F.length("source_text").alias("n_chars"), F.size("privacy_mask").alias("n_ann"),
+        F.element_at("offset_mapping", -1)["end"].alias("last_end"),
+        F.size(F.filter(same, lambda x: x)).alias("hits"))
 
 
 def _csv_dataset(L):
-    docs = prep.filter_language(L.annotated)
+    docs = prep.filter_language(L.annotated_en)
     return prep.select_columns(prep.uniform_corpus(docs, "A"))
 
 
@@ -246,7 +260,7 @@ def q_drop_nested_field(spark, sf_dir):
 @register("conform_schema", S("""SELECT origin, doc_id, %s, value, start, "end", label
 FROM uspans_en WHERE taxonomy = 'A'""" % _RENUM, "uspans_en"))
 def q_conform_schema(spark, sf_dir):
-    d = prep.uniform_corpus(prep.filter_language(lineage(spark, sf_dir).annotated), "A")
+    d = prep.uniform_corpus(prep.filter_language(lineage(spark, sf_dir).annotated_en), "A")
     x = d.select(*DOC_KEY, F.posexplode("privacy_mask").alias("ann_pos", "a"))
     return x.select(*DOC_KEY, F.col("ann_pos").cast("int"), "a.*")
 
@@ -254,7 +268,7 @@ def q_conform_schema(spark, sf_dir):
 @register("relabel", S("""SELECT origin, doc_id, %s, label FROM uspans_en WHERE taxonomy = 'B'""" % _RENUM,
                       "uspans_en"))
 def q_relabel(spark, sf_dir):
-    d = prep.uniform_corpus(prep.filter_language(lineage(spark, sf_dir).annotated), "B")
+    d = prep.uniform_corpus(prep.filter_language(lineage(spark, sf_dir).annotated_en), "B")
     x = d.select(*DOC_KEY, F.posexplode("privacy_mask").alias("ann_pos", "a"))
     return x.select(*DOC_KEY, F.col("ann_pos").cast("int"), F.col("a.label").alias("label"))
 
@@ -283,7 +297,7 @@ LEFT JOIN label_dim dp ON dp.taxonomy = s.taxonomy AND dp.tag_id = s.pred_id
 LEFT JOIN label_dim dt ON dt.taxonomy = s.taxonomy AND dt.tag_id = s.true_id
 GROUP BY s.taxonomy, s.eval_set, s.model_id""", "conf_sets", "label_dim"))
 def q_scope_labels(spark, sf_dir):
-    sets = E.eval_sets(E.confusion(lineage(spark, sf_dir).pairs))
+    sets = E.eval_sets(lineage(spark, sf_dir).confusion)
     in_scope_p = E._scope_tag(F.col("taxonomy"), F.col("pred_id")).isNotNull()
     in_scope_t = E._scope_tag(F.col("taxonomy"), F.col("true_id")).isNotNull()
     z = F.lit(0).cast("bigint")
@@ -381,7 +395,7 @@ def _nested_preds(L, model_id: str, taxonomy: str):
 def q_attach_predictions(spark, sf_dir):
     L = lineage(spark, sf_dir)
     preds = _nested_preds(L, "rule_loose", "A")
-    docs = L.tokens.groupBy(*DOC_KEY).agg(F.max("n_tok").alias("n_tok"))
+    docs = L.geometry.groupBy(*DOC_KEY).agg(F.max("n_tok").alias("n_tok"))
     j = docs.join(preds, DOC_KEY, "inner")
     return j.select(*DOC_KEY, "model_id", F.size("predicted_mask").alias("n_pred"), "n_tok")
 
@@ -423,7 +437,7 @@ _SUBS_SQL = """(SELECT origin, doc_id, idx, unnest(list_distinct(list_concat([''
 def q_word_match_align(spark, sf_dir):
     L = lineage(spark, sf_dir)
     preds = _nested_preds(L, "rule_loose", "A")
-    m = predict.word_match_align(L.tokens, preds)
+    m = predict.word_match_align(L.geometry.select(*DOC_KEY, "idx", "tok"), preds)
     return m.groupBy("model_id", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -431,8 +445,8 @@ def q_word_match_align(spark, sf_dir):
   {R6('greatest(f1_rule_loose, f1_noisy)')} AS best_f1,
   CASE WHEN f1_rule_loose > f1_noisy THEN 'rule_loose' WHEN f1_noisy > f1_rule_loose THEN 'noisy' ELSE 'tie' END AS better
 FROM (
-  SELECT taxonomy, tag, coalesce(max(CASE WHEN model_id = 'rule_loose' THEN f1 END), 0.0) AS f1_rule_loose,
-         coalesce(max(CASE WHEN model_id = 'noisy' THEN f1 END), 0.0) AS f1_noisy
+  SELECT taxonomy, tag, max(CASE WHEN model_id = 'rule_loose' THEN f1 END) AS f1_rule_loose,
+         max(CASE WHEN model_id = 'noisy' THEN f1 END) AS f1_noisy
   FROM (
     SELECT taxonomy, model_id, tag, {R6(RATIO('2 * sum(tp)', 'sum(pred_n) + sum(support)'))} AS f1 FROM (
       SELECT r.taxonomy, r.model_id, substr(r.tag, 1, 2) || coalesce(mp.to_label, substr(r.tag, 3)) AS tag,
@@ -443,7 +457,8 @@ FROM (
     GROUP BY taxonomy, model_id, tag)
   GROUP BY taxonomy, tag)""", "report", "mapping"))
 def q_compare_models(spark, sf_dir):
-    return E.compare_models(E.classification_report(E.confusion(lineage(spark, sf_dir).pairs)))
+    x = E.compare_models(E.classification_report(lineage(spark, sf_dir).confusion), *predict.MODELS)
+    return x.withColumnsRenamed({"f1_a": "f1_rule_loose", "f1_b": "f1_noisy"})
 
 
 def _parity_scores(spark, sf_dir):
@@ -511,7 +526,7 @@ LEFT JOIN (SELECT taxonomy, origin, doc_id, count(*) AS n_ann, string_agg(label,
            FROM uspans_en GROUP BY ALL) a ON a.taxonomy = t.taxonomy AND a.origin = c.origin AND a.doc_id = c.doc_id
 WHERE (c.origin = 'A' AND c.language = 'English') OR (c.origin = 'B' AND c.language = 'en')""", "corpus", "uspans_en"))
 def q_concat_corpora(spark, sf_dir):
-    docs = prep.filter_language(lineage(spark, sf_dir).annotated)
+    docs = prep.filter_language(lineage(spark, sf_dir).annotated_en)
     out = None
     for t in tx.TAXONOMIES:
         c = prep.concat_corpora(docs, t).select(
@@ -528,7 +543,7 @@ SELECT origin, label, 'observed_not_expected' FROM (
   SELECT DISTINCT s.origin, s.label FROM spans_all s JOIN keep k USING (origin, label) EXCEPT SELECT origin, label FROM keep)""",
                                 "spans_all", "keep"))
 def q_assert_label_set(spark, sf_dir):
-    return prep.assert_label_set(lineage(spark, sf_dir).spans_all)
+    return prep.assert_label_set(keep_labels_long(lineage(spark, sf_dir).spans_all))
 
 
 _FOREIGN_A = "[" + ", ".join(O.q(x) for x in tx.MAPPINGS[("B", "A")]) + "]"
@@ -756,14 +771,15 @@ def q_bio_tags(spark, sf_dir):
     return lineage(spark, sf_dir).kinds(True).select("taxonomy", *DOC_KEY, "idx", "tag")
 
 
-@register("bio_no_i", S("""SELECT b.origin, b.doc_id, b.idx, b.true_tag AS tag FROM by_tax b
+@register("bio_no_i", S("""SELECT b.origin, b.doc_id, b.idx, b.raw_tag AS tag FROM by_tax b
 JOIN label_dim d ON d.taxonomy = b.taxonomy AND d.prefix = 'B' AND d.label = b.lab
-WHERE b.taxonomy = 'B' AND NOT d.has_i AND NOT b.is_first AND b.true_tag IS NOT NULL""", "by_tax", "label_dim"))
+WHERE b.taxonomy = 'B' AND NOT d.has_i AND NOT b.is_first""", "by_tax", "label_dim"))
 def q_bio_no_i(spark, sf_dir):
+    """O58 with subwords scored: continuation tokens of labels without an I- tag repeat B-."""
     L = lineage(spark, sf_dir)
     lab = align.label_in("B")
     x = L.geometry.where(F.col("span_label").isNotNull() & ~F.col("is_first") & ~tx.has_i_t(lab, "B"))
-    return x.select(*DOC_KEY, "idx", L.true_tag("B").alias("tag")).where(F.col("tag").isNotNull())
+    return x.select(*DOC_KEY, "idx", L.true_tag("B", ignore_subwords=False).alias("tag"))
 
 
 @register("plain_tags", S("""SELECT taxonomy, CASE WHEN span_label IS NULL THEN (CASE WHEN is_subword THEN NULL ELSE 'O' END)
@@ -800,23 +816,32 @@ FROM (
 ) w LEFT JOIN tokens t ON t.origin = w.origin AND t.doc_id = w.doc_id AND t.idx = w.idx""", "located_t", "tokens"))
 def q_spot_check(spark, sf_dir):
     L = lineage(spark, sf_dir)
-    return audit.spot_check(L.located_t, L.tokens, 3)
+    return audit.spot_check(L.located_t, L.geometry.select(*L.tokens.columns), 3)
 
 
 # ---------------------------------------------------------------------------
 # 2.10 UDF / table-function surface
 # ---------------------------------------------------------------------------
 
-@register("score_batches", None)
+@register("score_batches", S("""SELECT origin, doc_id, 'rule_loose' AS model_id, CAST(count(*) AS INTEGER) AS n_pred,
+  md5(string_agg(pred_tag || ' ' || tok, chr(10) ORDER BY idx)) AS entities_md5
+FROM preds_loose_a GROUP BY origin, doc_id""", "preds_loose_a"))
 def q_score_batches(spark, sf_dir):
-    d = lineage(spark, sf_dir).docs_en
-    s = predict.score_batches(d, "A")
-    return s.select(*DOC_KEY, "model_id", F.size("predicted_mask").alias("n_pred"))
+    """Entities and words of every document by the Python scorer; the SQL derives them from the rules."""
+    s = _scored(spark, sf_dir)
+    rows = F.transform("predicted_mask", lambda e: F.concat(e["entity"], F.lit(" "), e["word"]))
+    return s.where(F.size("predicted_mask") > 0).select(
+        *DOC_KEY, "model_id", F.size("predicted_mask").alias("n_pred"),
+        F.md5(F.array_join(rows, "\n")).alias("entities_md5"))
+
+
+def _scored(spark, sf_dir):
+    return predict.score_batches(lineage(spark, sf_dir).docs_en, predict.rule_scorer("A"), "rule_loose")
 
 
 @register("latency_report", None)
 def q_latency_report(spark, sf_dir):
-    s = predict.score_batches(lineage(spark, sf_dir).docs_en, "A")
+    s = _scored(spark, sf_dir)
     return s.groupBy("model_id").agg(
         F.count(F.lit(1)).alias("n_samples"), (F.sum("elapsed_ms") / 1000.0).alias("total_sec"),
         F.avg("elapsed_ms").alias("mean_ms_per_sample"))

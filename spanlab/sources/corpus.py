@@ -243,14 +243,16 @@ MASK_TYPE = "array<struct<value:string,start:int,end:int,label:string>>"
 MASK_TYPE_B = "array<struct<value:string,start:int,end:int,label:string,label_index:int>>"
 
 
-def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def annotated(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """Nested view of the corpus: corpus columns + ``privacy_mask``.
 
     Origin B carries ``label_index`` (0-based position among annotations of
     the same label) like the second reference dataset; origin A leaves it
     null.  The nested form is an edge format; operators work in long form.
+    ``lang`` keeps the documents of one language code before they are annotated.
     """
-    c = place_documents(corpus(spark, sf_dir))
+    c = corpus(spark, sf_dir)
+    c = place_documents(c if lang is None else c.where(F.col("lang") == lang))
     s = spans(c)
     s = s.withColumn(
         "label_index",

@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions.text import normalise_literal
 from ..session import ensure_checkpoint_dir
@@ -62,8 +63,11 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restore_lists(df: DataFrame, column: str, schema: str = MASK_TYPE_B) -> DataFrame:
-    """List column stored as text -> array of structs."""
-    return df.withColumn(column, F.from_json(F.col(column), schema))
+    """List column stored as text (JSON or Python literal) -> array of structs; a
+    column that holds lists already stays as it is."""
+    if not isinstance(df.schema[column].dataType, StringType):
+        return df
+    return df.withColumn(column, parse_literal(F.col(column), schema))
 
 
 def python_literal(mask: Column) -> Column:
@@ -81,7 +85,7 @@ def python_literal(mask: Column) -> Column:
 
 
 def parse_literal(text: Column, schema: str = MASK_TYPE_B) -> Column:
-    """Python-literal annotation text -> array of structs (only when text).
+    """Python-literal (or JSON) annotation text -> array of structs.
 
     ``None``/``True``/``False`` are rewritten first: a bare ``None`` would
     otherwise turn the whole value null.
@@ -90,6 +94,21 @@ def parse_literal(text: Column, schema: str = MASK_TYPE_B) -> Column:
                        {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
 
 
+def describe_schema(docs: DataFrame) -> list[tuple[str, str]]:
+    """``(column, type)`` of every column, fields of nested structs by their path."""
+    out: list[tuple[str, str]] = []
+
+    def walk(path, dt):
+        out.append((path, dt.simpleString()))
+        inner = dt.elementType if isinstance(dt, ArrayType) else dt
+        if isinstance(inner, StructType):
+            for f in inner.fields:
+                walk(f"{path}.{f.name}", f.dataType)
+    for f in docs.schema.fields:
+        walk(f.name, f.dataType)
+    return out
+
+
 def describe_dataset(docs: DataFrame) -> DataFrame:
     """Rows and annotations per corpus and split."""
     return docs.groupBy("origin", "split").agg(

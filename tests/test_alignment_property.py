@@ -1,6 +1,5 @@
-"""The relational alignment equals a sequential walk written from the
-semantics (start token, last annotation wins, greedy left-to-right, cover
-while token.start < end), on random texts and random spans."""
+"""The relational alignment equals the rule of the survey, applied span by span, on
+random texts and random spans."""
 
 import random
 
@@ -12,32 +11,25 @@ from spanlab.operators import align, lexer
 SPAN_SCHEMA = "origin string, doc_id bigint, ann_pos int, start int, end int, label string"
 
 
-def walk(text, spans):
+def expected_cover(text, spans):
+    """The rule: a span lies on the tokens from the one holding its start to the last one that
+    begins before its end; of spans with one first token the last listed counts; from left to
+    right, a span stands unless its first token is already covered."""
     toks = [(m.start(), m.end()) for m in regex.finditer(lexer.LEX_RX, text)
             if m.group()[0] not in " \t\n\r"]
-    start_tok = {}
+    intervals = {}
     for s, e, lab in spans:
-        if e <= s:
-            continue
-        k = next((i for i, (a, b) in enumerate(toks) if a <= s < b), None)
-        if k is not None:
-            start_tok[k] = (e, lab)
+        first = [i for i, (a, b) in enumerate(toks, 1) if a <= s < b]
+        if e > s and first:
+            intervals[first[0]] = (max(i for i, (a, _) in enumerate(toks, 1) if a < e), lab)
     out = {}
-    i = 0
-    while i < len(toks):
-        if i not in start_tok:
-            i += 1
-            continue
-        e, lab = start_tok[i]
-        j = i
-        while j < len(toks) and toks[j][0] < e:
-            out[j + 1] = (lab, j == i)
-            j += 1
-        i = j
+    for first, (last, lab) in sorted(intervals.items()):
+        if first not in out:
+            out |= {i: (lab, i == first) for i in range(first, last + 1)}
     return out
 
 
-def test_alignment_matches_sequential_walk(spark):
+def test_alignment_matches_the_rule(spark):
     rnd = random.Random(7)
     alphabet = "ab cd,ef. 12 345\nXy-z"
     docs, spans = [], []
@@ -51,7 +43,7 @@ def test_alignment_matches_sequential_walk(spark):
             sp.append((s, e, rnd.choice(["DATE", "TIME", "CITY"])))
         docs.append(("A", d, text))
         spans += [("A", d, i, s, e, lab) for i, (s, e, lab) in enumerate(sp)]
-        for idx, v in walk(text, sp).items():
+        for idx, v in expected_cover(text, sp).items():
             expected[(d, idx)] = v
     ddf = spark.createDataFrame(docs, "origin string, doc_id bigint, source_text string")
     sdf = spark.createDataFrame(spans, SPAN_SCHEMA)

@@ -179,3 +179,109 @@ def test_word_match_takes_first_prediction_containing_word(spark):
                                   "predicted_mask array<struct<entity:string,word:string,score:double>>")
     got = {r.idx: r.entity for r in predict.word_match_align(toks, preds).collect()}
     assert got == {1: "B-X", 2: "O"}
+
+
+PREDS = ("origin string, doc_id bigint, model_id string, "
+         "predicted_mask array<struct<entity:string,word:string,score:double>>")
+
+
+def test_word_match_strips_unicode_blanks_and_keeps_unmatched_documents(spark):
+    toks = spark.createDataFrame([("A", d, i, t) for d in (1, 2, 3, 4) for i, t in ((1, "hello"), (2, "xyz"))],
+                                 "origin string, doc_id bigint, idx int, tok string")
+    preds = spark.createDataFrame([
+        ("A", 1, "m", [Row(entity="B-X", word="\tell\u00a0", score=1.0)]), ("A", 2, "m", []), ("A", 3, "m", None),
+        ("A", 4, "m", [Row(entity="B-Q", word="ellx", score=1.0), Row(entity="B-N", word=None, score=1.0)])], PREDS)
+    got = {(r.doc_id, r.idx): r.entity for r in predict.word_match_align(toks, preds).collect()}
+    assert got == {(1, 1): "B-X", (1, 2): "O", (2, 1): "O", (2, 2): "O", (3, 1): "O", (3, 2): "O",
+                   (4, 1): "B-N", (4, 2): "B-N"}
+
+
+def test_word_match_equals_brute_force_on_long_tokens(spark):
+    import random
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("ab ") for _ in range(rnd.randint(0, n)))
+    toks = [("A", d, i, word(12)) for d in range(10) for i in range(1, 8)]
+    lists = {d: [("T%d" % k, word(6)) for k in range(5)] for d in range(10)}
+    preds = spark.createDataFrame([("A", d, "m", [Row(entity=e, word=w, score=1.0) for e, w in l])
+                                   for d, l in lists.items()], PREDS)
+    got = {(r.doc_id, r.idx): r.entity for r in predict.word_match_align(
+        spark.createDataFrame(toks, "origin string, doc_id bigint, idx int, tok string"), preds).collect()}
+    assert got == {(d, i): next((e for e, w in lists[d] if w.strip() in t), "O") for _, d, i, t in toks}
+
+
+def test_python_literal_as_repr_writes_it(spark):
+    values = ["a, None, b", "\xa0x\u200b", "it's \"so\"", "back\\slash", "\\x41 \\", "tab\tnew\nline", "[True]", "é", ""]
+    rows = [[{"value": v, "start": 1, "end": 2, "label": "DATE", "label_index": None}] for v in values]
+    df = spark.createDataFrame([(i, repr(r)) for i, r in enumerate(rows)], "i int, t string")
+    out = {r.i: r.m for r in df.select("i", io.parse_literal(F.col("t")).alias("m")).collect()}
+    assert [out[i][0].value for i in range(len(values))] == values
+    assert all(m[0].label_index is None and m[0].start == 1 for m in out.values())
+    back = {r.i: r.t for r in io.restore_lists(df, "t").collect()}
+    assert back == out
+    lists = df.select(io.parse_literal(F.col("t")).alias("t"))
+    assert io.restore_lists(lists, "t").schema == lists.schema        # lists stay as they are
+
+
+def test_compare_models_of_any_name(spark):
+    conf = spark.createDataFrame([("B", "B", "x/1", 0, 0, 4), ("B", "B", "y", 0, 1, 4)],
+                                 "taxonomy string, origin string, model_id string, true_id int, pred_id int, n long")
+    rep = E.classification_report(conf)
+    tag = tx.id2tag("B")[0]
+    in_scope = 0 in tx.scope_ids("B")
+    got = {r.tag: r for r in E.compare_models(rep, "x/1", "y").collect()}
+    if in_scope:
+        assert (got[tag].f1_a, got[tag].f1_b, got[tag].better) == (1.0, 0.0, "x/1")
+    assert {r.better for r in got.values()} <= {"x/1", "y", "tie"}
+    absent = E.compare_models(rep, "x/1", "nobody").collect()
+    assert absent and all(r.f1_b is None and r.delta is None and r.better is None for r in absent)
+
+
+def test_missing_scores_fail_parity(spark):
+    schema = "doc_id int, idx int, class int, score double"
+    a = spark.createDataFrame([(1, 0, 0, 0.5), (1, 0, 1, 0.25)], schema)
+    b = spark.createDataFrame([(1, 0, 0, 0.5)], schema)
+    r = E.score_parity(a, b).first()
+    assert r.n == 1 and r.within_tolerance is False
+    assert E.score_parity(a, a).first().within_tolerance is True
+
+
+def test_label_set_assertion_fires_both_ways(spark):
+    from spanlab.operators import prep
+    rows = [(t, lab) for t in tx.TAXONOMIES for lab in tx.KEEP_LABELS[t] if (t, lab) != ("A", "SEX")]
+    spans = spark.createDataFrame(rows + [("B", "TAXNUM")], "origin string, label string")
+    got = sorted(tuple(r) for r in prep.assert_label_set(spans).collect())
+    assert got == [("A", "SEX", "expected_not_observed"), ("B", "TAXNUM", "observed_not_expected")]
+
+
+def test_confusion_counts_equal_those_of_pairs(spark):
+    from spanlab.plans.lineage import lineage
+    from conftest import SF_SMALL
+    L = lineage(spark, SF_SMALL)
+    a, b = L.confusion, E.confusion(L.pairs)
+    assert a.exceptAll(b.select(a.columns)).count() == 0 and a.count() == b.count() > 0
+
+
+def test_scorer_is_an_argument(spark):
+    docs = spark.createDataFrame([("A", i, "x y" if i else None) for i in range(70)],
+                                 "origin string, doc_id bigint, source_text string").coalesce(1)
+
+    def make_scorer():
+        return lambda texts: [[{"entity": "B-EMAIL", "word": w, "score": 0.5} for w in (t or "").split()]
+                              for t in texts if len(texts) <= 32]
+    got = {r.doc_id: [e.word for e in r.predicted_mask] for r in
+           predict.score_batches(docs, make_scorer, "mine").collect()}
+    assert got == {i: ["x", "y"] if i else [] for i in range(70)}
+
+
+def test_latency_counts_every_document(spark):
+    from spanlab.plans.lineage import lineage
+    from spanlab.plans.registry import REGISTRY
+    from conftest import SF_SMALL
+    (r,) = REGISTRY["latency_report"][0](spark, SF_SMALL).collect()
+    assert r.n_samples == lineage(spark, SF_SMALL).docs_en.count() and r.total_sec >= 0
+
+
+def test_schema_is_described(spark):
+    df = spark.createDataFrame([], "a int, m array<struct<value:string,start:int>>")
+    assert io.describe_schema(df) == [("a", "int"), ("m", "array<struct<value:string,start:int>>"),
+                                      ("m.value", "string"), ("m.start", "int")]

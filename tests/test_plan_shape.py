@@ -15,6 +15,8 @@ def test_alignment_only_places_documents(spark):
     from spanlab.plans.lineage import Lineage
     L = Lineage(spark, SF_SMALL)
     df = L.aligned_plan
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan      # pieces, tokens and covers grow with the texts
     ex = _exchanges(df)
     assert ex, "expected the document placement exchange"
     assert all("REPARTITION_BY_NUM" in ln and "origin" in ln and "doc_id" in ln for ln in ex), ex
@@ -25,4 +27,18 @@ def test_scan_prunes_columns_and_pushes_language_filter(spark):
     L = Lineage(spark, SF_SMALL)
     plan = L.docs_en._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
-    assert "source" not in plan.split("ReadSchema")[1].split("\n")[0].replace("source_text", "")
+    pushed = [ln.split("PushedFilters:")[1].split("ReadSchema")[0] for ln in plan.split("\n") if "PushedFilters" in ln]
+    assert pushed and all("EqualTo(lang,en)" in x for x in pushed), pushed
+    nested = L.annotated_en._jdf.queryExecution().executedPlan().toString()
+    pushed = [ln for ln in nested.split("\n") if "PushedFilters" in ln]
+    assert pushed and all("EqualTo(lang,en)" in ln for ln in pushed), pushed
+
+
+def test_set_operations_scan_once(spark):
+    """One scan per branch of the corpus (given rows, planted rows) in every set operation."""
+    from spanlab.operators import prep
+    from spanlab.plans.lineage import Lineage
+    L = Lineage(spark, SF_SMALL)
+    base = L.spans_all._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    for op in (prep.label_intersect, prep.label_except, prep.label_scope, prep.assert_label_set):
+        assert op(L.spans_all)._jdf.queryExecution().executedPlan().toString().count("FileScan") == base, op
