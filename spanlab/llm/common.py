@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlab.session import ensure_checkpoint_dir
 
-# Text handled by numpy at once; a longer document forms a slice of its own.
-SLICE_BYTES = 1 << 21
+# Text handled by numpy at once; a longer document forms a slice of its own. Columns of a
+# slice take some 100 bytes for each of its bytes, and freed ones stay with the worker.
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15

@@ -134,7 +134,7 @@ def _cut(path: str, window: int):
             column = as_large_strings(batch.column("text"))
             _, off = text_buffers(column)
             keys = batch.column("doc_id")
-            for lo, hi in slices(off):
+            for lo, hi in slices(off, 1 << 21):  # many words at once; they take little room here
                 ids, at = encoder.encode(column[lo:hi])
                 raw, size = ids.astype("<u4").view(np.uint8), np.diff(at)
                 many = -(-size // window)
