@@ -141,11 +141,13 @@ def grade_rows(docs: DataFrame, model: Model, at_least: int, columns: list[str],
     shared = docs.sparkSession.sparkContext.broadcast(model.weight.astype(np.float32))  # 4 x 2 ** bits bytes
     step = int(np.searchsorted(grades, at_least))
     names = [*columns, "expected_grade", "tail"]
+    given = [*columns, *([] if text in columns else [text])]  # a text that is asked for travels once
+    text_at = given.index(text)
 
     def run(batches):
         weight = shared.value
         for batch in batches:
-            raw, off = text_buffers(batch.column(len(columns)))
+            raw, off = text_buffers(batch.column(text_at))
             expected, tail = np.full(batch.num_rows, float(grades[0])), np.ones(batch.num_rows)
             for lo, hi in slices(off) if len(thresholds) else ():
                 row, feature, value = features(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], p)
@@ -157,5 +159,5 @@ def grade_rows(docs: DataFrame, model: Model, at_least: int, columns: list[str],
             yield pa.record_batch([*batch.columns[:len(columns)], pa.array(expected), pa.array(tail)], names=names)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.col(text).alias("text__")).mapInArrow(
+    return docs.select(*given).mapInArrow(
         run, f"{schema}, expected_grade double, tail double")

@@ -29,7 +29,7 @@ from .common import alphanumeric_words, slices, text_buffers
 
 _WORDS = alphanumeric_words()
 _TOP = np.uint64((1 << 64) - 1)
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 1 << 20  # text of a training shard; sorting takes some 60 times as much
 
 _FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -166,15 +166,20 @@ def _merge(pairs, doc, doc_first):
                      place[last] + n[last] - place[head]], axis=1)
 
 
-def _find(block: Block, schema_names, pass_count: int):
-    """Task function: adds what a block finds to ``found__`` of every row."""
+def _find(block: Block, text_at: int, pass_count: int):
+    """Task function: adds what a block finds to ``found__`` of every row; the text is field
+    ``text_at`` of the row."""
     def run(batches):
-        arrow_type = None
+        arrow_type = pa.struct([
+            ("n_words", pa.int64()),
+            ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
+            ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()),
+                                            ("doc_start", pa.int32()), ("n_words", pa.int32())])))])
         for batch in batches:
-            raw, off = text_buffers(batch.column(1))
-            before = batch.column(2).to_pylist() if pass_count else None
-            out = []
+            raw, off = text_buffers(batch.column(0).field(text_at))
+            before = batch.column(1).to_pylist() if pass_count else None
             for lo, hi in slices(off, SHARD_BYTES):
+                out = []
                 words, _, _, doc = _WORDS.words(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 size = np.bincount(doc, minlength=hi - lo) if len(doc) else np.zeros(hi - lo, np.int64)
                 first = np.cumsum(size) - size
@@ -200,14 +205,7 @@ def _find(block: Block, schema_names, pass_count: int):
                         found["spans"] = _union(old["spans"] + found["spans"])
                         found["matches"] = old["matches"] + found["matches"]
                     out.append(found)
-            if arrow_type is None:
-                arrow_type = pa.struct([
-                    ("n_words", pa.int64()),
-                    ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))),
-                    ("matches", pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()),
-                                                    ("doc_start", pa.int32()), ("n_words", pa.int32())])))])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, arrow_type)],
-                                  names=["doc__", "text__", "found__"])
+                yield pa.record_batch([batch.column(0)[lo:hi], pa.array(out, arrow_type)], names=["doc__", "found__"])
     return run
 
 
@@ -234,12 +232,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_
                  text: str = "text") -> DataFrame:
     """``doc`` (the input row), n_words, spans (hit word ranges) and matches (longest
     verbatim matches: item_id, item_start, doc_start, n_words, counted in words)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc__"), F.col(text).alias("text__"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc__"))
+    text_at = [c.lower() for c in docs.columns].index(text.lower())
     schema = T.StructType([*rows.schema.fields, T.StructField("found__", _FOUND)])
     for i, part in enumerate(benchmark_blocks(benchmark, window, block_bytes)):
         got = part.collect()  # at most about block_bytes
         block = build_block([r["item_id"] for r in got], [r["text"] for r in got], window)
-        rows = rows.mapInArrow(_find(block, None, i), schema)
+        rows = rows.mapInArrow(_find(block, text_at, i), schema)
     return rows.select(F.col("doc__").alias("doc"), "found__.*")
 
 
