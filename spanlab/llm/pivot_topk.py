@@ -143,11 +143,12 @@ def _best(k: int, dim: int):
                 ids, x = _unpack(row, dim)
                 order = np.argsort(ids, kind="stable")  # equal scores: smaller id first
                 s = _scores(q, x[order])
-                s[qid[:, None] == ids[order]] = np.iinfo(np.int64).min
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                own = qid[:, None] == ids[order]
+                s[own] = np.iinfo(np.int64).min
+                top = np.argsort(~s, axis=1, kind="stable")[:, :k]  # ~s is -s - 1, which can't overflow: own rows last
                 at = np.repeat(np.arange(len(qid)), top.shape[1])
                 score = s[at, top.ravel()]
-                ok = score > np.iinfo(np.int64).min
+                ok = ~own[at, top.ravel()]
                 yield pa.record_batch(
                     [pa.array(np.full(ok.sum(), row["q_block"])), pa.array(at[ok].astype(np.int32)), pa.array(qid[at[ok]]),
                      pa.array(ids[order][top.ravel()][ok]), pa.array(score[ok])],

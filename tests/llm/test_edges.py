@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,16 @@ def test_vectors(spark):
     assert none.count() == 0
 
 
+def test_vectors_own_row():
+    """More than k near copies in one block: a query's own row takes none of the k places."""
+    x = np.array([[256.0 + i, 512.0, 128.0] for i in range(9)] + [[-256.0, 64.0, i] for i in range(20)])
+    ids = np.arange(len(x), dtype=np.int64)
+    block = {"q_block": [1], "q_ids": [ids[:9].tobytes()], "q_x": [x[:9].tobytes()], "ids": [ids.tobytes()], "x": [x.tobytes()]}
+    out = next(pivot_topk._best(5, 3)([pa.RecordBatch.from_pydict(block)])).to_pylist()
+    for q in range(9):
+        assert [r["vec_id"] for r in out if r["query_id"] == q] == [i for i in range(8, -1, -1) if i != q][:5]
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, "Two three"), (2, None), (None, "short"), (4, "!!")], "item_id long, text string")
     out = suffix_decon.report(docs, bench)
