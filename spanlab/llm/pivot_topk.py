@@ -14,7 +14,7 @@ Of equal vectors only the k + 1 smallest ids are candidates (no more can be in a
 result without one query's own), so copies make no large group. Pivots are a
 bounded sample (``n_pivots``); every vector is indexed.
 
-Defined results: vectors null, or with null or non-finite components take no part; those of
+Defined results: rows with a null id, and vectors null or with null or non-finite components, take no part; those of
 another length than the most usual one (ties: the longer) neither; rows equal in id and
 vector count once; a query never finds its own id; with fewer candidates than k all are returned.
 """
@@ -38,7 +38,7 @@ def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"
     """(id, x): components floor(256 c) as doubles, rows that take no part left out."""
     c = F.col(vector)
     usable = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    rows = vectors.where(c.isNotNull()).where(usable & (F.size(c) > 0)).select(
+    rows = vectors.where(c.isNotNull() & F.col(key).isNotNull()).where(usable & (F.size(c) > 0)).select(
         F.col(key).cast("long").alias("id"),
         F.transform(c, lambda v: F.floor(v.cast("double") * 256).cast("double")).alias("x"))
     return rows

@@ -67,6 +67,13 @@ def test_vectors(spark):
     assert none.count() == 0
 
 
+def test_vectors_null_id(spark):
+    rows = [(None, [9.0, 9.0]), (0, [1.0, 2.0]), (None, None), (1, [1.0, 2.0]), (5, [-3.0, 0.5])]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = pivot_topk.top_k(data, F.col("id") == 0).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(out, key=lambda r: r["rank"])] == [(1, 1), (2, 5)]
+
+
 def test_vectors_own_row():
     """More than k near copies in one block: a query's own row takes none of the k places."""
     x = np.array([[256.0 + i, 512.0, 128.0] for i in range(9)] + [[-256.0, 64.0, i] for i in range(20)])
