@@ -100,6 +100,21 @@ def test_near_duplicates(docs):
                    if docs.count() else set())
 
 
+def test_bucket_pairs_at_the_threshold():
+    """No link is dropped whose sets are kept whole but whose union is larger than a sample."""
+    p, rng, lost, of = minhash_dedup.Params(), np.random.default_rng(5), 0, 0
+    for size in (230, 240, 250, 256):
+        for _ in range(100):
+            both = -(-size * 2 * 75 // 175)
+            h = rng.choice(1 << 32, 2 * size - both, replace=False).astype(np.uint32)
+            bottom = np.empty(2, object)
+            bottom[:] = [np.sort(h[:size]), np.sort(h[size - both:])]
+            ids, same = np.array([1, 2]), np.zeros((2, p.bands * p.rows), np.uint8)
+            found = minhash_dedup._bucket_pairs(7, ids, ids, np.array([size, size]), same, np.full((2, p.bands), 7), bottom, p)
+            lost, of = lost + (list(found) != [(1, 2)]), of + 1
+    assert (lost, of) == (0, 400)
+
+
 def test_packing(docs):
     out = nnls_packing.pack(docs, queries.tokenizer_path()).collect()
     assert sum(r["length"] for r in out) == sum(r["doc_tokens"] for r in out if r["start"] == 0)
