@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlab.llm import line_dedup, minhash_dedup, nnls_packing, queries, suffix_decon
+from spanlab.llm import line_dedup, minhash_dedup, nnls_packing, passage_dedup, queries, suffix_decon
 from spanlab.llm.common import written
 
 
@@ -31,10 +31,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, later occurrences of repeated units cut out."""
-    cut = line_dedup.dedup(docs)
+    """All documents, later occurrences of repeated units cut out, then those of 50 repeated words that are left."""
     changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return cut.select(*[changed[c].alias(c) if c in changed else F.col("doc")[c].alias(c) for c in docs.columns])
+    columns = [changed[c].alias(c) if c in changed else F.col("doc")[c].alias(c) for c in docs.columns]
+    lines = written(line_dedup.dedup(docs).select(*columns), "lines")
+    return passage_dedup.dedup(lines).select(*columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanlab.llm import (html_consensus, line_dedup, minhash_dedup, mixture_lid, nnls_packing, ordinal_quality, pivot_topk,
-                         queries, sharding, suffix_decon, toxicity)
+from spanlab.llm import (html_consensus, line_dedup, minhash_dedup, mixture_lid, nnls_packing, ordinal_quality, passage_dedup,
+                         pivot_topk, queries, sharding, suffix_decon, toxicity)
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, doc int, slot int"
 LONG = "one two three four five six seven eight nine ten eleven twelve. " * 3000
@@ -131,6 +131,34 @@ def test_line_dedup(docs):
             assert r["kept_text"] == ""
 
 
+def surviving(texts, n=50):
+    """The documents that keep a window of n tokens that also stands earlier (own copies: without overlap)."""
+    seen, out = {}, set()
+    for i, text in sorted(texts):
+        w = passage_dedup._TOKEN.findall((text or "").lower())
+        for a in range(len(w) - n + 1):
+            j, b = seen.setdefault(tuple(w[a:a + n]), (i, a))
+            if j != i or a >= b + n:
+                out.add(i)
+    return out
+
+
+def test_passages_left_by_units(spark, tmp_path):
+    poem = "\n".join(f"line {i} of a short poem" for i in range(30))
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(120))
+    short = " ".join(f"word{i} and two more." for i in range(20))
+    inside = " ".join(f"mid{i}" for i in range(70))
+    rows = [(1, poem), (2, "Own start.\n" + poem), (3, han), (4, "\u5f00\u59cb" + han + "\u3002"), (5, short), (6, "One more here. " + short),
+            (7, f"A start {inside} and an end."), (8, f"Another one {inside} ends otherwise here."), (9, poem), (9, poem), (None, None),
+            (10, " ".join(["again"] * 160)), (11, "plain words only")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.substring_dedup(spark, docs, str(tmp_path)).collect()]
+    assert len(out) == len(rows) and surviving(t for t in dict(out).items() if t[0]) == set()
+    kept = dict(out)
+    assert [kept[i] for i in (None, 1, 3, 5, 7, 11)] == [dict(rows)[i] for i in (None, 1, 3, 5, 7, 11)]
+    assert len(kept[10].split()) >= 50
+
+
 def test_stages_keep_columns(spark, docs, tmp_path):
     for name in ("labels", "benchmark"):
         kind = {"labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}[name]
