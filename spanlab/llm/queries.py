@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (html_consensus, line_dedup, minhash_dedup, mixture_lid, nnls_packing, ordinal_quality, pivot_topk,
-               sharding, suffix_decon, toxicity)
+from . import (html_consensus, line_dedup, merkle_manifest, minhash_dedup, mixture_lid, nnls_packing, nra_search, oracle,
+               ordinal_quality, pivot_topk, sharding, suffix_decon, toxicity, url_markov)
 
 SHARDS = 40
+URL_RULES = [url_markov.Rule("net", "/", "block"), url_markov.Rule("example.net", "/en/", "allow"),
+             url_markov.Rule("example.com", "/de/", "block"), url_markov.Rule("org", "/fr/", "allow")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +85,33 @@ def op10_quality(spark, sf_dir):
     return quality(docs, table(spark, sf_dir, "labels"), ["doc_id"])
 
 
+def op11_nra_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return nra_search.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    number = F.col("n_chars").cast("decimal(20,0)")
+
+    def leaf(n_chars):
+        return merkle_manifest.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")])
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    proved = merkle_manifest.prove(docs.select(
+        F.col("lang").alias("part"), F.col("doc_id").alias("id"), leaf(number).alias("leaf"), F.when(tampered, leaf(number + 1)).alias("other")))
+    folded = merkle_manifest.fold(F.coalesce("other", "leaf"), F.col("proof"))
+    return proved.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("proof")).alias(
+        "proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_url_filter(spark, sf_dir):
+    return url_markov.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_html_extraction, op3_toxicity, op4_topk, op5_language_id, op6_decontamination, op7_near_dedup,
-    op8_packing, op9_substring_dedup, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+    op8_packing, op9_substring_dedup, op10_quality, op11_nra_search, op12_merkle_manifest, op13_url_filter)}
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk": oracle.OP4, "op6_decontamination": oracle.OP6, "op7_near_dedup": oracle.OP7, "op11_nra_search": oracle.OP11,
+    "op12_merkle_manifest": oracle.OP12, "op13_url_filter": oracle.op13(URL_RULES)}
