@@ -124,10 +124,11 @@ binned AS (
 seen AS (
   SELECT bin, sum(CASE WHEN decided = 'allow' THEN n ELSE 0 END)::HUGEINT AS a, sum(CASE WHEN decided = 'block' THEN n ELSE 0 END)::HUGEINT AS r
   FROM binned JOIN urls USING (url) WHERE decided IS NOT NULL GROUP BY bin),
-edges AS (SELECT bin AS e, a, r FROM seen UNION ALL SELECT max(bin) + 1, 0, 0 FROM seen),
+ends AS (SELECT bin AS e, a, r FROM seen UNION ALL SELECT max(abs(bin)) + 1, 0, 0 FROM seen),
 losses AS (
-  SELECT e, (sum(a) OVER (ORDER BY e) - a) * sum(r) OVER () + (sum(r) OVER () - sum(r) OVER (ORDER BY e) + r) * sum(a) OVER () AS loss,
-    sum(a) OVER () AS all_a, sum(r) OVER () AS all_r FROM edges),
+  SELECT least(greatest(0, coalesce(lag(e) OVER (ORDER BY e) + 1, -max(e) OVER ())), e) AS e,
+    (sum(a) OVER (ORDER BY e) - a) * sum(r) OVER () + (sum(r) OVER () - sum(r) OVER (ORDER BY e) + r) * sum(a) OVER () AS loss,
+    sum(a) OVER () AS all_a, sum(r) OVER () AS all_r FROM ends),
 chosen AS (SELECT coalesce((SELECT e FROM losses WHERE all_a > 0 AND all_r > 0 ORDER BY loss, abs(e), e LIMIT 1), 0) AS e),
 kinds AS (SELECT count(DISTINCT decided) FILTER (fit) AS k FROM urls)
 SELECT page_id, host, path, rule, CASE WHEN decided IS NOT NULL THEN decided WHEN (SELECT k FROM kinds) < 2 THEN 'allow'

@@ -117,11 +117,19 @@ def threshold(bins: np.ndarray, accepted: np.ndarray, rejected: np.ndarray) -> i
         return 0
     order = np.argsort(bins)
     bins, a, r = bins[order], accepted[order].astype(object), rejected[order].astype(object)
-    edges = np.append(bins, bins[-1] + 1)
     low = np.append(0, np.cumsum(a))
     high = r.sum() - np.append(0, np.cumsum(r))
     loss = low * r.sum() + high * a.sum()  # in whole numbers, so that ties are ties
-    return int(min((x, abs(int(e)), int(e)) for x, e in zip(loss, edges))[2])
+    # all edges from behind one bin up to the next part the URLs alike
+    ends = [*(int(x) for x in bins), edge_max(bins)]
+    begins = [-ends[-1], *(x + 1 for x in ends[:-1])]
+    nearest = [min(max(0, x), y) for x, y in zip(begins, ends)]
+    return int(min((x, abs(e), e) for x, e in zip(loss, nearest))[2])
+
+
+def edge_max(bins: np.ndarray) -> int:
+    """An edge beyond all bins, on either side of 0."""
+    return int(np.abs(bins).max()) + 1
 
 
 def scores(urls: DataFrame, p: Params = Params()) -> tuple[DataFrame, int] | None:
