@@ -13,9 +13,10 @@ Semantics (per document, tokens ``idx`` 1..n, special tokens outside):
    ignored (-100) when they are subwords, else ``I-`` (``B-`` again when the
    label has no I- tag).  Tokens outside spans are ``O`` (-100 when subword).
 
-Steps 1 and 4 are point lookups "piece containing character c": bounded
-equality candidates joined on the document placement (no range product).  Steps 2-3 are one ordered fold per overlap
-cluster of spans (a recurrence, not a join).
+Steps 1 and 4 are point lookups "token at character c" in a table of tokens of any length, with gaps: a
+binned interval join.  Every token enters each bin of ``BIN`` characters that it, or the gap
+after it, touches; a span boundary looks up one bin and then tests the interval.  Steps 2-3 are one ordered fold
+per overlap cluster of spans (a recurrence, not a join).
 """
 
 from __future__ import annotations
@@ -24,64 +25,88 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
+from ..session import shuffle_partitions
 from ..sources.corpus import DOC_KEY
-from .lexer import MAX_PIECE
+from . import lexer
+from .lexer import BIN, CHUNK, CHUNK_KEY
 
 SPAN_COLS = [*DOC_KEY, "ann_pos", "start", "end", "label"]
-_ACC_TYPE = "array<struct<start_idx:int,neg_pos:int,end_idx:int,ann_pos:int,label:string>>"
+_PLACES = ["start_chunk", "end_chunk"]
 
 
-def locate(spans: DataFrame, pieces: DataFrame, extra_key: list[str] | None = None) -> DataFrame:
+def locate(spans: DataFrame, tokens: DataFrame, extra_key: list[str] | None = None, *, totals: DataFrame | None = None,
+           chunk: int = CHUNK, places: bool = False) -> DataFrame:
     """Start and end token of every span (O21 ``char_to_token``).
 
+    ``tokens``: pieces of the lexer, ``lexer.token_chunks``, or any table of ``origin, doc_id, start, end``
+    (``lexer.index_tokens`` says what it may hold).  ``totals``: its ``lexer.chunk_totals``, if written before.
+
     Output: span columns + ``start_idx`` (null = unmappable), ``end_idx``
     (last token starting before ``end``), ``status`` in
-    ``ok | no_token | empty``.
-
-    Pieces tile the text and are at most ``MAX_PIECE`` characters long, so
-    the piece containing character ``c`` starts in ``[c - MAX_PIECE + 1, c]``:
-    each boundary becomes at most ``MAX_PIECE`` equality candidates on
-    ``(origin, doc_id, pstart)``.  Both sides keep the document placement,
-    so the join and the per-span aggregate run without an exchange (a union
-    with the piece stream would force one).
+    ``ok | no_token | empty``; with ``places`` also the chunks of both tokens.
+
+    Bins lie inside chunks, and both sides meet on the chunk's key: a span boundary finds at most
+    the tokens that touch ``BIN`` characters, whatever the document's length.  A token that began in an
+    earlier chunk is found in the chunk's totals.
     """
     ek = extra_key or []
     cols = [*ek, *SPAN_COLS]
-    s = spans.select(*cols)
+    if "is_tok" in tokens.columns:
+        tokens = lexer.tokens_from_pieces(tokens)
+    if not {"chunk", "lidx", "nxt"} <= set(tokens.columns):
+        tokens = lexer.index_tokens(tokens, chunk)
+    totals = lexer.chunk_totals(tokens) if totals is None else totals
+    border = (F.col("chunk") + 1) * F.lit(chunk)
+    until = F.coalesce("nxt", F.least(F.col("end"), border))
+    held = tokens.select(*CHUNK_KEY, "lidx", F.col("start").alias("tstart"), F.col("end").alias("tend"), until.alias("until"))
+    bins = F.sequence(F.expr(f"tstart div {BIN}"), F.expr(f"(until - 1) div {BIN}"))
+    held = held.select("*", F.explode(bins).alias("bin"))
+
     live = F.col("end") > F.col("start")
-    # Every span keeps at least one candidate row (empty spans get a null
-    # one) and the join is a left join, so the per-span aggregate sees every
-    # span once: no self-join that would evaluate the span stream twice.
+    # Every span keeps at least one row (empty spans get a null one) and the joins are left joins, so the
+    # per-span aggregate sees every span once: no self-join that would evaluate the span stream twice.
     targets = F.when(live, F.array(
         F.struct(F.lit(0).alias("kind"), F.col("start").alias("target")),
         F.struct(F.lit(1).alias("kind"), (F.col("end") - 1).alias("target")),
     )).otherwise(F.array(F.struct(F.lit(-1).alias("kind"), F.lit(None).cast("int").alias("target"))))
-    t = s.select(*cols, F.explode(targets).alias("t"))
-    cand = t.select(*cols, F.col("t.kind").alias("kind"), F.col("t.target").alias("target"),
-                    F.explode(F.when(F.col("t.target").isNull(), F.array(F.lit(None).cast("int")))
-                              .otherwise(F.sequence(F.col("t.target") - (MAX_PIECE - 1), F.col("t.target"))))
-                    .alias("cand"))
-    p = pieces.select(*DOC_KEY, F.col("pstart").alias("cand"), "pend", "is_tok", "idx_upto", "n_tok")
+    t = spans.select(*cols, F.explode(targets).alias("t")).select(*cols, "t.kind", "t.target")
+    t = t.select("*", F.expr(f"target div {chunk}").cast("int").alias("chunk"), F.expr(f"target div {BIN}").alias("bin"))
+    # The boundaries move to where the tokens are, else the tokens would move to where the documents are.
+    t = t.repartition(shuffle_partitions(spans.sparkSession), *CHUNK_KEY)
     # Size estimates ignore how many rows an explode makes: without the hint Spark
-    # may take the whole piece stream for small enough to broadcast.
-    hit = cand.join(p.hint("merge"), [*DOC_KEY, "cand"], "left")
-    ok = F.col("target") < F.col("pend")
-    found = hit.groupBy(*DOC_KEY, *ek, "ann_pos").agg(
+    # may take the whole token stream for small enough to broadcast.
+    inside = (F.col("t.target") >= F.col("h.tstart")) & (F.col("t.target") < F.col("h.until"))
+    same = [F.col(f"t.{c}") == F.col(f"h.{c}") for c in (*CHUNK_KEY, "bin")]
+    hit = t.alias("t").join(held.hint("merge").alias("h"), [*same, inside], "left").select(
+        *[F.col(f"t.{c}").alias(c) for c in (*cols, "kind", "target", "chunk")], "lidx", "tend")
+    hit = hit.join(totals.hint("merge"), CHUNK_KEY, "left")
+
+    found, target = F.col("lidx").isNotNull(), F.col("target")
+    after = F.coalesce(target >= F.col("last_start"), F.lit(False))  # past the chunk's last token
+    first = F.when(found & (target < F.col("tend")), F.col("base") + F.col("lidx")).when(
+        ~found & (target < F.col("before_end")), F.col("base"))
+    first_chunk = F.when(found, F.col("chunk")).otherwise(F.col("before_chunk"))
+    last = F.when(found, F.col("base") + F.col("lidx")).when(after, F.col("base") + F.col("n")).otherwise(F.col("base"))
+    last_chunk = F.when(found | after, F.col("chunk")).otherwise(F.col("before_chunk"))
+
+    def of(kind, value):
+        return F.max(F.when(F.col("kind") == kind, value))
+    # the last chunk of a text that a span's end lies beyond has no totals: its last token counts
+    end = F.struct(last.alias("idx"), last_chunk.alias("chunk"))
+    g = hit.groupBy(*DOC_KEY, *ek, "ann_pos").agg(
         F.first("start").alias("start"), F.first("end").alias("end"), F.first("label").alias("label"),
-        F.max(F.when((F.col("kind") == 0) & ok & F.col("is_tok"), F.col("idx_upto"))).alias("start_idx"),
-        F.max(F.when((F.col("kind") == 1) & ok, F.col("idx_upto"))).alias("end_hit"),
-        F.max(F.when(ok, F.col("n_tok"))).alias("n_tok"),
-    )
-    status = (F.when(F.col("end") <= F.col("start"), F.lit("empty"))
-              .when(F.col("start_idx").isNull(), F.lit("no_token"))
-              .otherwise(F.lit("ok")))
-    return found.select(
-        *cols,
-        F.when(F.col("end") > F.col("start"), F.col("start_idx")).cast("int").alias("start_idx"),
-        F.when(F.col("start_idx").isNotNull() & (F.col("end") > F.col("start")),
-               F.coalesce(F.col("end_hit"), F.col("n_tok"))).cast("int").alias("end_idx"),
+        of(0, F.struct(first.alias("idx"), first_chunk.alias("chunk"))).alias("_s"), of(1, F.when(last.isNotNull(), end)).alias("_e"),
+        F.max("n_tok").alias("n_tok"))
+    start_idx = F.when(live, F.col("_s.idx"))
+    status = F.when(~live, F.lit("empty")).when(start_idx.isNull(), F.lit("no_token")).otherwise(F.lit("ok"))
+    out = g.select(
+        *cols, start_idx.cast("int").alias("start_idx"),
+        F.when(start_idx.isNotNull(), F.coalesce(F.col("_e.idx"), "n_tok")).cast("int").alias("end_idx"),
         status.alias("status"),
-    )
+        F.when(start_idx.isNotNull(), F.col("_s.chunk")).alias("start_chunk"),
+        # beyond the text: up to where the span ends, as far as the document has chunks
+        F.when(start_idx.isNotNull(), F.coalesce(F.col("_e.chunk"), F.expr(f"(end - 1) div {chunk}").cast("int"))).alias("end_chunk"))
+    return out if places else out.drop(*_PLACES)
 
 
 def unmappable(located: DataFrame) -> DataFrame:
@@ -111,10 +136,11 @@ def resolve_overlaps(located: DataFrame, extra_key: list[str] | None = None) ->
     length.
     """
     ek = extra_key or []
+    places = [c for c in _PLACES if c in located.columns]
     ok = located.where(F.col("status") == "ok").select(
         *DOC_KEY, *ek, F.col("start_idx").cast("int").alias("start_idx"),
         (-F.col("ann_pos")).cast("int").alias("neg_pos"), F.col("end_idx").cast("int").alias("end_idx"),
-        F.col("ann_pos").cast("int").alias("ann_pos"), "label")
+        F.col("ann_pos").cast("int").alias("ann_pos"), "label", *places)
     w = Window.partitionBy(*DOC_KEY, *ek).orderBy("start_idx", "neg_pos")
     prev_end = F.max("end_idx").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = (prev_end.isNull() | (F.col("start_idx") > prev_end)).cast("int")
@@ -122,8 +148,9 @@ def resolve_overlaps(located: DataFrame, extra_key: list[str] | None = None) ->
     ok = ok.withColumn("cluster", F.sum("_open").over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     per_cluster = ok.groupBy(*DOC_KEY, *ek, "cluster").agg(F.array_sort(F.collect_list(F.struct(
-        "start_idx", "neg_pos", "end_idx", "ann_pos", "label"))).alias("cands"))
-    init = F.struct(F.lit(0).alias("nf"), F.array().cast(_ACC_TYPE).alias("acc"))
+        "start_idx", "neg_pos", "end_idx", "ann_pos", "label", *places))).alias("cands"))
+    none = F.array().cast(per_cluster.schema["cands"].dataType)
+    init = F.struct(F.lit(0).alias("nf"), none.alias("acc"))
     accepted = F.when(F.size("cands") == 1, F.col("cands")).otherwise(F.aggregate(
         "cands", init,
         lambda st, x: F.when(
@@ -133,7 +160,7 @@ def resolve_overlaps(located: DataFrame, extra_key: list[str] | None = None) ->
         lambda st: st["acc"],
     ))
     return (per_cluster.select(*DOC_KEY, *ek, F.explode(accepted).alias("a"))
-            .select(*DOC_KEY, *ek, "a.ann_pos", "a.start_idx", "a.end_idx", "a.label"))
+            .select(*DOC_KEY, *ek, "a.ann_pos", "a.start_idx", "a.end_idx", "a.label", *[f"a.{c}" for c in places]))
 
 
 def cover(accepted: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -145,6 +172,33 @@ def cover(accepted: DataFrame, extra: list[str] | None = None) -> DataFrame:
                     (F.col("idx") == F.col("start_idx")).alias("is_first"), *extra))
 
 
+def cover_chunks(accepted: DataFrame, totals: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """``cover`` by the tokens' places in their chunks (``chunk, lidx`` for ``idx``).
+
+    ``accepted``: resolved spans with the chunks of their tokens (``locate(places=True)``).
+    """
+    extra = extra or []
+    x = accepted.select(*DOC_KEY, "ann_pos", "start_idx", "end_idx", "label", *extra,
+                        F.explode(F.sequence("start_chunk", F.greatest("start_chunk", "end_chunk"))).alias("chunk"))
+    x = x.join(totals.select(*CHUNK_KEY, "base", "n").hint("merge"), CHUNK_KEY)
+    lo = F.greatest(F.col("start_idx") - F.col("base"), F.lit(1))
+    hi = F.least(F.col("end_idx") - F.col("base"), F.col("n"))
+    return (x.select("*", F.explode(F.when(lo <= hi, F.sequence(lo, hi))).alias("lidx"))
+            .select(*CHUNK_KEY, "lidx", "ann_pos", F.col("label").alias("span_label"),
+                    (F.col("base") + F.col("lidx") == F.col("start_idx")).alias("is_first"), *extra))
+
+
+def align_tokens(spans: DataFrame, tokens: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``align`` for any tokenizer's tokens (``origin, doc_id, start, end`` and more columns): all their
+    columns, ``idx`` (1..n over those with characters), ``span_label``, ``is_first`` and ``ann_pos``."""
+    t = lexer.index_tokens(tokens.drop("idx"), chunk)
+    totals = lexer.chunk_totals(t)
+    accepted = resolve_overlaps(locate(spans, t, totals=totals, chunk=chunk, places=True))
+    cov = cover_chunks(accepted, totals)
+    out = lexer.numbered(t, totals).join(cov.hint("merge"), [*CHUNK_KEY, "lidx"], "left")
+    return out.drop("chunk", "lidx", "nxt", "n_tok")
+
+
 def align(tokens: DataFrame, located: DataFrame) -> DataFrame:
     """Token table with the covering span: ``span_label`` (null = outside),
     ``is_first``, ``ann_pos``.  Taxonomy-independent geometry."""

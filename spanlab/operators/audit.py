@@ -40,33 +40,37 @@ def annotation_counts(uspans: DataFrame) -> DataFrame:
                     mean_1dp(F.col("_sum"), F.col("annotations")).alias("mean_len"))
 
 
-def token_label_counts(kinds: DataFrame, located_t: DataFrame, n_docs: DataFrame) -> DataFrame:
+def token_label_counts(counts: DataFrame, located_t: DataFrame) -> DataFrame:
     """B, I and B+I tokens per label, plus a ``(total)`` row with the
     O and ignored totals (two special tokens per document count as ignored)
-    and the start-token failures."""
-    per = kinds.groupBy("taxonomy", "label").agg(
-        F.sum((F.col("kind") == "B").cast("int")).cast("bigint").alias("b_count"),
-        F.sum((F.col("kind") == "I").cast("int")).cast("bigint").alias("i_count"),
-        F.sum((F.col("kind") == "O").cast("int")).cast("bigint").alias("o_count"),
-        F.sum((F.col("kind") == "IGN").cast("int")).cast("bigint").alias("ignored_count"))
-    fails = located_t.groupBy("taxonomy", "label").agg(
-        F.sum((F.col("status") != "ok").cast("int")).cast("bigint").alias("start_failures"))
-    j = per.join(fails, ["taxonomy", "label"], "full")
-    z = F.lit(0).cast("bigint")
-    j = j.select("taxonomy", "label", *[F.coalesce(c, z).alias(c) for c in
-                                        ["b_count", "i_count", "o_count", "ignored_count", "start_failures"]])
-    rows = j.where(F.col("label").isNotNull() & ((F.col("b_count") + F.col("i_count")) > 0))
-    rows = rows.select("taxonomy", "label", "b_count", "i_count",
-                       (F.col("b_count") + F.col("i_count")).alias("bi_count"),
-                       z.alias("o_count"), z.alias("ignored_count"), "start_failures")
-    tot = j.groupBy("taxonomy").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in
-          ["b_count", "i_count", "o_count", "ignored_count", "start_failures"]])
-    tot = tot.join(n_docs, "taxonomy").select(
-        "taxonomy", F.lit(TOTAL).alias("label"), "b_count", "i_count",
-        (F.col("b_count") + F.col("i_count")).alias("bi_count"), "o_count",
-        (F.col("ignored_count") + 2 * F.col("n_docs")).alias("ignored_count"), "start_failures")
-    return rows.unionByName(tot)
+    and the start-token failures.
+
+    ``counts``: ``taxonomy, id, n, docs`` (tokens by tag id, documents opened).  Labels and totals are the two
+    grouping sets of one aggregate.
+    """
+    dim = {t: sorted(tx.label_rows(t)) for t in tx.TAXONOMIES}
+
+    def look(at):
+        arrays = {t: F.array(*[F.lit(r[at]).cast("string") for r in rows]) for t, rows in dim.items()}
+        return F.when(F.col("id") < 0, F.lit(None)).when(F.col("taxonomy") == "A", F.element_at(arrays["A"], F.col("id") + 1)) \
+            .otherwise(F.element_at(arrays["B"], F.col("id") + 1))
+    fails = located_t.groupBy("taxonomy", "label").agg(F.sum((F.col("status") != "ok").cast("int")).alias("failures"))
+    x = counts.select("taxonomy", look(3).alias("kind"), look(2).alias("label"), "n", "docs")
+    x = x.groupBy("taxonomy", "label").agg(
+        *[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(a) for a, c in (
+            ("b_count", F.col("kind") == "B"), ("i_count", F.col("kind") == "I"), ("o_count", F.col("kind") == "O"),
+            ("ignored", F.col("kind").isNull()))], F.sum("docs").alias("docs")).join(fails, ["taxonomy", "label"], "full")
+    total = F.grouping("label") == 1
+    names = ["b_count", "i_count", "o_count", "ignored", "docs", "failures"]
+    g = x.groupingSets([["taxonomy", "label"], ["taxonomy"]], "taxonomy", "label").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in names], total.alias("total"))
+    zero = F.lit(0).cast("bigint")
+    bi = F.col("b_count") + F.col("i_count")
+    return g.where(F.col("total") | (F.col("label").isNotNull() & (bi > 0))).select(
+        "taxonomy", F.when(F.col("total"), F.lit(TOTAL)).otherwise(F.col("label")).alias("label"), "b_count", "i_count", bi.alias("bi_count"),
+        F.when(F.col("total"), F.col("o_count")).otherwise(zero).alias("o_count"),
+        F.when(F.col("total"), F.col("ignored") + 2 * F.col("docs")).otherwise(zero).alias("ignored_count"),
+        F.col("failures").alias("start_failures"))
 
 
 def coverage_join(ann: DataFrame, tok: DataFrame) -> DataFrame:

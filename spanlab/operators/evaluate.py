@@ -160,59 +160,78 @@ def _id_arrays():
     return px, lab, names
 
 
+def positions(pairs: DataFrame) -> DataFrame:
+    """Any scored pairs with ``part, pos, opens`` (see ``entities``): each sequence is one part."""
+    w = Window.partitionBy("taxonomy", "model_id", *DOC_KEY).orderBy("idx")
+    return pairs.select("*", F.lit(0).alias("part"), F.row_number().over(w).alias("pos"), F.lit(False).alias("opens"))
+
+
+def entities(tagged: DataFrame, key: list[str]) -> DataFrame:
+    """Entities ``key.., part, first, last, etype`` of tag sequences.
+
+    ``tagged`` holds ``key.., part, pos, opens, px, et`` of the positions that aren't ``O`` only: ``pos`` numbers
+    the scored positions of a sequence, so a number that is missing is an ``O``; ``part`` is a
+    stretch of them, ascending with ``pos``; ``opens``: the first scored position of a part that another
+    one precedes.  An entity starts at ``B-``, or at ``I-`` after an ``O`` or another type.
+
+    Every part is decoded on its own, without its neighbours; entities are its summary, and only they move.  Then
+    an entity that begins with ``I-`` where its part opens goes on with the one that ended right before it, if of
+    the same type; a run may go through any number of parts.
+    """
+    def runs(rows, order, end, begin, kind):
+        """Numbers the runs of rows that go on with what ended right before them."""
+        on = F.coalesce((F.col("px") == 2) & (F.lag(end).over(order) == F.col(begin) - 1)
+                        & (F.lag(kind).over(order) == F.col(kind)), F.lit(False))
+        rows = rows.withColumn("_new", (~on).cast("int"))
+        return rows.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+    inside = Window.partitionBy(*key, "part").orderBy("pos")
+    e = runs(tagged, inside, "pos", "pos", "et").groupBy(*key, "part", "run").agg(
+        F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("et").alias("etype"), F.min_by("px", "pos").alias("px"),
+        F.min_by("opens", "pos").alias("opens")).drop("run")
+    # what doesn't stand where its part opens can't go on with an earlier part
+    e = e.withColumn("px", F.when(F.col("opens"), F.col("px")).otherwise(F.lit(1)))
+    across = Window.partitionBy(*key).orderBy("first")
+    return runs(e, across, "last", "first", "etype").groupBy(*key, "run").agg(
+        F.min("part").alias("part"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.first("etype").alias("etype")).select(*key, "part", "first", "last", "etype")
+
+
 def entity_report(pairs: DataFrame) -> DataFrame:
     """Entity-level P/R/F1 per type and overall (exact span + type match).
 
-    ``pairs``: ``taxonomy, model_id, origin, doc_id, idx, true_id, pred_id``
-    over scored positions.  A new entity starts at ``B-``, or at ``I-`` when
-    the previous scored tag is ``O`` or of another type.
+    ``pairs``: ``taxonomy, model_id, origin, doc_id, true_id, pred_id`` of scored positions, with ``idx``, or with
+    ``part, pos, opens`` of ``entities`` (then positions that are ``O`` on both sides may be missing).
 
-    One pass over integer codes (the per-document shuffle carries ints, not
-    tag text): both sequences are decoded in the same per-document window,
-    each token is emitted once per side, entities are grouped, and true/pred
-    entities are matched by grouping on ``(span, type)`` -- no self-join.
+    Tags are decoded to integer codes and ``O`` is dropped before anything moves; true and
+    predicted entities are matched by grouping on ``(span, type)`` -- no self-join.
     """
-    key = ["taxonomy", "model_id"]
-    w = Window.partitionBy(*key, *DOC_KEY).orderBy("idx")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if "pos" not in pairs.columns:
+        pairs = positions(pairs)
     px_arr, lab_arr, names = _id_arrays()
     is_a = F.col("taxonomy") == "A"
 
     def look(arrs, c):
         i = F.col(c) + 1
-        return F.when(F.col(c) < 0, F.lit(None)).when(
+        return F.when(F.col(c) < 0, F.lit(None).cast("int")).when(
             is_a, F.element_at(arrs["A"], i)).otherwise(F.element_at(arrs["B"], i))
 
-    x = pairs.select(*key, *DOC_KEY, "idx",
-                     F.coalesce(look(px_arr, "true_id"), F.lit(0)).alias("px_t"),
-                     look(lab_arr, "true_id").alias("et_t"),
-                     F.coalesce(look(px_arr, "pred_id"), F.lit(0)).alias("px_p"),
-                     look(lab_arr, "pred_id").alias("et_p"))
-    cols = []
-    for side in ("t", "p"):
-        pp, pe = F.lag(f"px_{side}").over(w), F.lag(f"et_{side}").over(w)
-        cur_p, cur_e = F.col(f"px_{side}"), F.col(f"et_{side}")
-        st = (cur_p == 1) | ((cur_p == 2) & (pp.isNull() | (pp == 0) | (pe != cur_e)))
-        cols.append(st.cast("int").alias(f"st_{side}"))
-    x = x.select("*", *cols)
-    x = x.select("*", F.sum("st_t").over(run).alias("ent_t"), F.sum("st_p").over(run).alias("ent_p"))
-    sides = F.array(
-        F.struct(F.lit(1).alias("is_true"), F.col("ent_t").alias("ent"), F.col("px_t").alias("px"),
-                 F.col("et_t").alias("et")),
-        F.struct(F.lit(0).alias("is_true"), F.col("ent_p").alias("ent"), F.col("px_p").alias("px"),
-                 F.col("et_p").alias("et")))
-    tok = x.select(*key, *DOC_KEY, "idx", F.explode(sides).alias("s")).where(F.col("s.px") != 0)
-    ents = tok.groupBy(*key, *DOC_KEY, F.col("s.is_true").alias("is_true"), F.col("s.ent").alias("ent")) \
-        .agg(F.min("idx").alias("e_start"), F.max("idx").alias("e_end"), F.first("s.et").alias("etype"))
-    m = ents.groupBy(*key, *DOC_KEY, "e_start", "e_end", "etype").agg(
+    sides = F.array(*[F.struct(F.lit(n).alias("is_true"), F.coalesce(look(px_arr, c), F.lit(0)).alias("px"),
+                               look(lab_arr, c).alias("et")) for n, c in ((1, "true_id"), (0, "pred_id"))])
+    seq = ["doc_id", "origin", "model_id", "taxonomy"]
+    tagged = pairs.select(*seq, "part", "pos", "opens", F.explode(sides).alias("s")).select(
+        *seq, "part", "pos", "opens", "s.*").where("px <> 0")
+    ents = entities(tagged, [*seq, "is_true"])
+    m = ents.groupBy(*seq, "part", "first", "last", "etype").agg(
         F.max("is_true").alias("it"), F.max(1 - F.col("is_true")).alias("ip"))
     sets = F.when(F.col("origin") == F.col("taxonomy"), F.array(F.lit("own"), F.lit("concat"))) \
         .otherwise(F.array(F.lit("concat")))
-    per = m.select(*key, F.explode(sets).alias("eval_set"),
-                   F.explode(F.array(F.col("etype"), F.lit(-1))).alias("etype"), "it", "ip")
-    r = per.groupBy(*key, "eval_set", "etype").agg(
-        F.sum(F.col("it") * F.col("ip")).alias("tp"), F.sum("ip").alias("n_pred"),
-        F.sum("it").alias("n_true"))
+    key = ["taxonomy", "model_id"]
+    counted = m.groupBy(*key, "origin", "etype").agg(
+        F.sum(F.col("it") * F.col("ip")).alias("tp"), F.sum("ip").alias("n_pred"), F.sum("it").alias("n_true"))
+    per = counted.select(*key, F.explode(sets).alias("eval_set"), "etype", "tp", "n_pred", "n_true")
+    per = per.select(*key, "eval_set", F.explode(F.array(F.col("etype"), F.lit(-1))).alias("etype"), "tp", "n_pred", "n_true")
+    r = per.groupBy(*key, "eval_set", "etype").agg(*[F.sum(c).alias(c) for c in ("tp", "n_pred", "n_true")])
     etype = F.when(F.col("etype") == -1, F.lit("ALL")).otherwise(F.element_at(names, F.col("etype") + 1))
     return r.select(
         "taxonomy", "eval_set", "model_id", etype.alias("entity_type"),

@@ -6,55 +6,181 @@ character.  Non-blank pieces are tokens; a token glued to the previous token
 (no blank in between) is a continuation ("subword"), the way a
 word-boundary marker is missing on a subword piece.
 
-Offsets come from one running sum over the pieces of a document, so the only
-exchange is the one that places documents on ``(origin, doc_id)``.  Blank
-pieces are kept in ``pieces`` because they make every character position
-belong to a piece of at most ``MAX_PIECE`` characters: character -> token
-lookups are then bounded equi-joins (``align.py``).
+Texts are lexed in chunks of ``CHUNK`` characters, so a window holds the pieces
+of a chunk and never those of a whole document.  A run of letters, digits or blanks that
+crosses a border is cut where it would have been cut without the border: a chunk skips the
+characters that finish the piece before it and looks ahead 3 characters to finish
+its own last one.  Offsets are a two-level prefix sum: inside a chunk, and over the chunks'
+totals (``chunk_totals``, one row a chunk).
+
+Any other tokenizer's tokens take the same way: ``tokenize`` runs one over a corpus, ``index_tokens``
+numbers a table of offsets chunk by chunk.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shuffle_partitions
 from ..sources.corpus import DOC_KEY
 
 # Lexer pattern (letters 1-4, digits 1-3, blanks 1-4, other 1).
 LEX_RX = r"\p{L}{1,4}|\p{N}{1,3}|[ \t\n\r]{1,4}|[^\p{L}\p{N} \t\n\r]"
 BLANK_PIECE_RX = r"^[ \t\n\r]"
-MAX_PIECE = 4
+_RUN_RX = r"^(?:\p{L}+|\p{N}+|[ \t\n\r]+)"
+_ONE_RUN_RX = r"^(?:\p{L}{2}|\p{N}{2}|[ \t\n\r]{2})"
+_AHEAD = 3  # a piece has at most 4 characters
 
+#: Characters lexed in one window; a multiple of ``BIN``.
+CHUNK = 1 << 16
+#: Width of the offset bins of a chunk that spans are looked up in.
+BIN = 64
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """Every piece of every text.
+#: Placement of all token tables; sorts compare the column that differs most first.
+CHUNK_KEY = ["doc_id", "chunk", "origin"]
 
-    Output: ``origin, doc_id, pos, piece, pstart, pend, is_tok, idx_upto,
-    is_subword, n_tok`` where ``idx_upto`` is the number of tokens up to and
-    including this piece (the token's 1-based ``idx`` when ``is_tok``).
+
+def _blank(c):
+    return c.isin(" ", "\t", "\n", "\r")
+
+
+def _check(chunk: int) -> int:
+    if chunk < BIN or chunk % BIN:
+        raise ValueError(f"a chunk has a multiple of {BIN} characters, not {chunk}")
+    return chunk
+
+
+def chunks(docs: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
+    """Every text in parts: ``origin, doc_id, chunk, body, skip, before`` and the columns ``keep``.
+
+    ``skip``: characters of the part that finish a piece begun in an earlier one; ``body``: the rest and
+    what may finish the last piece; ``before``: the character before ``body`` (null: none).
     """
-    # outer: keeps Catalyst from inferring size(regexp_extract_all(..)) > 0 and
-    # pushing the lexer regex below the document placement (run twice).
-    x = (docs.where(F.col("source_text").isNotNull())
-         .select(*DOC_KEY, F.posexplode_outer(F.regexp_extract_all("source_text", F.lit(LEX_RX), 0))
-                 .alias("pos", "piece"))
+    size, text, keep = _check(chunk), F.col("source_text"), keep or []
+    parts = docs.where(text.isNotNull()).select(*DOC_KEY, *keep, "source_text", F.when(
+        F.length(text) <= size, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("_parts"))
+    none, n = F.array(F.lit(None).cast("string")), F.size("_parts")
+    near = F.arrays_zip(F.col("_parts").alias("part"),
+                        F.concat(none, F.slice("_parts", F.lit(1), n - 1)).alias("prev"),
+                        F.concat(F.slice("_parts", F.lit(2), n), none).alias("next"))
+    # outer: keeps Catalyst from inferring size(..) > 0 and evaluating the arrays twice
+    x = parts.select(*DOC_KEY, *keep, "source_text", F.posexplode_outer(near).alias("chunk", "x")).where(
+        F.col("chunk").isNotNull()).select(*CHUNK_KEY, *keep, "source_text", "x.*")
+    last = F.regexp_extract(F.reverse("prev"), _RUN_RX, 0)
+    # a run that fills the whole part before goes on before it
+    run = F.when(F.length(last) < size, F.length(last)).otherwise(F.length(F.regexp_extract(
+        F.reverse(F.substring("source_text", F.lit(1), F.col("chunk") * size)), _RUN_RX, 0)))
+    head = F.regexp_extract(F.substring("part", 1, _AHEAD), _RUN_RX, 0)
+    width = F.when(head.rlike(r"^\p{N}"), F.lit(3)).otherwise(F.lit(4))
+    joined = F.concat(F.right("prev", F.lit(1)), F.left("part", F.lit(1))).rlike(_ONE_RUN_RX)
+    skip = F.when(F.col("prev").isNotNull() & joined, F.least(F.pmod(-run, width), F.length(head))).otherwise(F.lit(0))
+    x = x.select(*CHUNK_KEY, *keep, "part", "prev", "next", skip.cast("int").alias("skip"))
+    return x.select(
+        *CHUNK_KEY, *keep, "skip",
+        F.concat(F.substring("part", F.col("skip") + 1, F.lit(size)),
+                 F.coalesce(F.left("next", F.lit(_AHEAD)), F.lit(""))).alias("body"),
+        F.when(F.col("skip") > 0, F.substring("part", F.col("skip"), F.lit(1)))
+        .otherwise(F.right("prev", F.lit(1))).alias("before"))
+
+
+def lexed(parts: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
+    """Pieces of ``chunks``: ``origin, doc_id, chunk, pos, piece, pstart, pend, is_tok, upto, is_subword``, where
+    ``pos`` and ``upto`` (tokens up to and including this piece) count inside the chunk."""
+    keep = keep or []
+    # outer: as above, else the lexer's regex would run twice
+    x = (parts.select(*CHUNK_KEY, *keep, "skip", "before", F.posexplode_outer(
+        F.regexp_extract_all("body", F.lit(LEX_RX), F.lit(0))).alias("pos", "piece"))
          .where(F.col("pos").isNotNull()))
-    order = Window.partitionBy(*DOC_KEY).orderBy("pos")
+    order = Window.partitionBy(*CHUNK_KEY).orderBy("pos")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # blank pieces are runs of the lexer's blank class: test the first char
-    is_tok = ~F.substring(F.col("piece"), 1, 1).isin(" ", "\t", "\n", "\r")
-    x = x.withColumn("is_tok", is_tok)
-    tok_int = F.col("is_tok").cast("int")
+    x = x.withColumn("is_tok", ~_blank(F.left("piece", F.lit(1))))
+    glued = F.coalesce(F.lag("is_tok").over(order), ~_blank(F.col("before")), F.lit(False))
+    end = F.col("chunk") * F.lit(chunk) + F.col("skip") + F.sum(F.length("piece")).over(running)
+    x = x.select(*CHUNK_KEY, *keep, "pos", "piece", end.cast("int").alias("pend"), "is_tok",
+                 F.sum(F.col("is_tok").cast("int")).over(running).cast("int").alias("upto"), glued.alias("is_subword"))
+    x = x.select(*CHUNK_KEY, *keep, "pos", "piece", (F.col("pend") - F.length("piece")).alias("pstart"), "pend", "is_tok", "upto", "is_subword")
+    return x.where(F.col("pstart") < (F.col("chunk") + 1) * F.lit(chunk))
+
+
+def token_chunks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Tokens with their places in their chunk: ``origin, doc_id, chunk, lidx, tok, start, end, nxt, is_subword``.
+
+    ``nxt``: start of the next token of the chunk.  Chunks are placed by their own key, so
+    a long document is spread over tasks.
+    """
+    spark = docs.sparkSession
+    parts = chunks(docs, chunk).repartition(shuffle_partitions(spark), *CHUNK_KEY)
+    x = lexed(parts, chunk).where("is_tok").select(
+        *CHUNK_KEY, F.col("upto").alias("lidx"), F.col("piece").alias("tok"), F.col("pstart").alias("start"),
+        F.col("pend").alias("end"), "is_subword", "pos")
+    return x.withColumn("nxt", F.lead("start").over(Window.partitionBy(*CHUNK_KEY).orderBy("pos"))).drop("pos")
+
+
+def index_tokens(tokens: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Any tokenizer's tokens (``origin, doc_id, start, end`` and more columns) with ``chunk, lidx, nxt``.
+
+    Tokens may have any length and gaps between them but don't overlap; those without characters, as special
+    tokens have, are left out.
+    """
+    x = tokens.where(F.col("end") > F.col("start")).withColumn("chunk", F.floor(F.col("start") / F.lit(_check(chunk))).cast("int"))
+    order = Window.partitionBy(*CHUNK_KEY).orderBy("start")
+    return x.withColumns({"lidx": F.row_number().over(order), "nxt": F.lead("start").over(order)})
+
+
+def chunk_totals(tokens: DataFrame) -> DataFrame:
+    """One row for every chunk from a document's first with tokens to its last: ``base`` (tokens before it), ``n`` (in it),
+    ``last_start`` (of its last token), ``before_end`` and ``before_chunk`` (of the last token before it), ``n_tok``.
+
+    ``tokens``: ``token_chunks`` or ``index_tokens``.
+    """
+    g = tokens.groupBy(*CHUNK_KEY).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("end").alias("last_end"),
+                                       F.max("start").alias("last_start"))
+    order = Window.partitionBy(*DOC_KEY).orderBy("chunk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    g = g.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("base"),
+                 F.max("last_end").over(before).alias("before_end"), F.lag("chunk").over(order).alias("before_chunk"),
+                 F.sum("n").over(Window.partitionBy(*DOC_KEY)).cast("int").alias("n_tok"), F.lead("chunk").over(order).alias("_next"))
+    # a chunk without tokens takes over from the one before it
+    x = g.withColumn("at", F.explode(F.sequence("chunk", F.coalesce(F.col("_next") - 1, "chunk"))))
+    own = F.col("at") == F.col("chunk")
+
+    def pick(mine, later):
+        return F.when(own, mine).otherwise(later)
     return x.select(
-        *DOC_KEY, "pos", "piece",
-        (F.sum(F.length("piece")).over(running) - F.length("piece")).cast("int").alias("pstart"),
-        F.sum(F.length("piece")).over(running).cast("int").alias("pend"),
-        "is_tok",
-        F.sum(tok_int).over(running).cast("int").alias("idx_upto"),
-        F.coalesce(F.lag("is_tok").over(order), F.lit(False)).alias("is_subword"),
-        F.sum(tok_int).over(whole).cast("int").alias("n_tok"),
-    )
+        *DOC_KEY, F.col("at").alias("chunk"), pick(F.col("base"), F.col("base") + F.col("n")).alias("base"), pick(F.col("n"), F.lit(0)).alias("n"),
+        pick(F.col("last_start"), F.lit(None)).alias("last_start"),
+        pick(F.col("before_end"), F.greatest("before_end", "last_end")).alias("before_end"),
+        pick(F.col("before_chunk"), F.col("chunk")).alias("before_chunk"), "n_tok")
+
+
+def numbered(tokens: DataFrame, totals: DataFrame) -> DataFrame:
+    """Tokens with ``idx`` (1..n in the document) and ``n_tok``."""
+    t = totals.select(*CHUNK_KEY, "base", "n_tok").hint("merge")
+    return tokens.join(t, CHUNK_KEY).withColumn("idx", F.col("base") + F.col("lidx")).drop("base")
+
+
+def pieces(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Every piece of every text.
+
+    Output: ``origin, doc_id, pos, piece, pstart, pend, is_tok, idx_upto,
+    is_subword, n_tok`` where ``idx_upto`` is the number of tokens up to and
+    including this piece (the token's 1-based ``idx`` when ``is_tok``).
+    """
+    x = lexed(chunks(docs, chunk), chunk)
+    g = x.groupBy(*CHUNK_KEY).agg(F.count(F.lit(1)).alias("np"), F.max("upto").alias("n"))
+    order = Window.partitionBy(*DOC_KEY).orderBy("chunk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    g = g.select(*CHUNK_KEY, F.coalesce(F.sum("np").over(before), F.lit(0)).alias("pbase"),
+                 F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
+                 F.sum("n").over(Window.partitionBy(*DOC_KEY)).cast("int").alias("n_tok"))
+    return x.join(g.hint("merge"), CHUNK_KEY).select(
+        *DOC_KEY, (F.col("pbase") + F.col("pos")).cast("int").alias("pos"), "piece", "pstart", "pend", "is_tok",
+        (F.col("base") + F.col("upto")).cast("int").alias("idx_upto"), "is_subword", "n_tok")
 
 
 def tokens_from_pieces(p: DataFrame) -> DataFrame:
@@ -66,3 +192,50 @@ def tokens_from_pieces(p: DataFrame) -> DataFrame:
 
 def tokens(docs: DataFrame) -> DataFrame:
     return tokens_from_pieces(pieces(docs))
+
+
+def corpus_counts(docs: DataFrame, by: list[str], chunk: int = CHUNK) -> DataFrame:
+    """Documents with tokens and their tokens, ``n_docs`` and ``n_tok``, by columns of ``docs``.  One pass:
+    ``by`` travels with the chunks, and a document counts where its first token is."""
+    keep = [c for c in by if c not in DOC_KEY]
+    spark = docs.sparkSession
+    x = lexed(chunks(docs, chunk, keep).repartition(shuffle_partitions(spark), *CHUNK_KEY), chunk, keep).where("is_tok")
+    per = x.groupBy(*CHUNK_KEY, *keep).agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy(*DOC_KEY, *keep).agg(F.sum("n").alias("n"))
+    return per.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tok"))
+
+
+TokenizerFactory = Callable[[], Callable[[list[str]], list[list[tuple[int, int]]]]]
+
+
+def tokenize(docs: DataFrame, factory: TokenizerFactory) -> DataFrame:
+    """A user's tokenizer over a corpus: ``origin, doc_id, idx, tok, start, end, is_subword``.
+
+    ``factory()`` is called once a task and gives a function from a list of texts to lists of
+    (start, end) character offsets, as fast tokenizers return them; it runs on Arrow batches.  ``idx`` counts the tokens
+    with characters from 1; a token that begins where the one before ends is a subword.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([*[docs.schema[c] for c in DOC_KEY], T.StructField("idx", T.IntegerType()), T.StructField("tok", T.StringType()),
+                           T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+                           T.StructField("is_subword", T.BooleanType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        offsets_of = factory()
+        for b in batches:
+            rows = [r for r in zip(*(b.column(i).to_pylist() for i in range(3))) if r[2] is not None]
+            cols: list[list] = [[] for _ in arrow.names]
+            for (origin, doc_id, text), spans in zip(rows, offsets_of([r[2] for r in rows])):
+                last = -1
+                for i, (s, e) in enumerate(sorted(x for x in spans if x[1] > x[0]), 1):
+                    for c, v in zip(cols, (origin, doc_id, i, text[s:e], s, e, s == last)):
+                        c.append(v)
+                    last = e
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, arrow.types)], names=arrow.names)
+
+    return docs.select(*DOC_KEY, "source_text").mapInArrow(run, schema)

@@ -1,9 +1,8 @@
 """The shared lineage ``corpus -> spans -> tokens -> aligned -> pairs``.
 
 Every evaluation and audit query starts from the same few tables, so they
-are defined once here.  The whole lineage is lazy; a single hash exchange
-places the documents on ``(origin, doc_id)`` and every later window,
-per-document fold and token join reuses it.
+are defined once here.  Texts are lexed once, chunk by chunk, into a table bucketed on the chunk's key; the
+span lookup, the token join and the aligned table keep that placement, and only spans move.
 
 Two label taxonomies are evaluated.  Both corpora keep their own allow-list
 and the other corpus is relabelled into the evaluated taxonomy; because
@@ -17,12 +16,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
-from ..functions.text import is_blank
+from ..functions.text import hash_bucket, is_blank
 from ..operators import align, evaluate, lexer, predict
+from . import checkpoints
 from ..sources import corpus as C
 from ..sources.corpus import DOC_KEY
 
@@ -39,6 +39,34 @@ def english(c: DataFrame) -> DataFrame:
     return c.where((F.col("lang") == "en") & ~is_blank(F.col("source_text")))
 
 
+def word_tokenizer():
+    """A tokenizer as a user may give one: offsets of up to 200 characters without a blank."""
+    import re
+    word = re.compile(r"[^ \t\n\r]{1,200}")
+    return lambda texts: [[m.span() for m in word.finditer(t)] for t in texts]
+
+
+def _span_ids() -> Column:
+    """Literal map ``origin|label`` (gold) or ``loose|rule`` -> tag ids in both taxonomies: ``b`` and ``c`` of the first and
+    the further tokens, ``ob`` and ``oc`` of the label that a wrong prediction takes instead."""
+    def ids(t, lab):
+        number, hi = tx.tag2id(t), tx.has_i(t)
+        if lab is None:  # a rule without a label in this taxonomy predicts O
+            return [number["O"]] * 4
+        alt = tx.alt_label(t).get(lab, tx.alt_label(t)[None])
+        inner = hi.get(lab, True)
+        return [number.get(x) for x in (f"B-{lab}", f"{'I' if inner else 'B'}-{lab}", f"B-{alt}",
+                                        f"{'I' if inner and hi.get(alt, True) else 'B'}-{alt}")]
+
+    rows = {f"{o}|{lab}": {t: ids(t, lab if o == t else tx.MAPPINGS[(o, t)].get(lab, lab)) for t in tx.TAXONOMIES}
+            for o in tx.TAXONOMIES for lab in tx.RAW_LABELS[o]}
+    rows |= {f"loose|{rule}": {t: ids(t, predict.LOOSE_LABELS[t].get(rule)) for t in tx.TAXONOMIES} for rule, _ in predict.LOOSE_RULES}
+    names = [f"{p}_{t}" for t in tx.TAXONOMIES for p in ("b", "c", "ob", "oc")]
+    return F.expr("map(" + ", ".join(f"{tx._sql_lit(k)}, named_struct(" + ", ".join(
+        f"'{n}', CAST({tx._sql_lit(v)} AS INT)" for n, v in zip(names, [x for t in tx.TAXONOMIES for x in r[t]])) + ")"
+        for k, r in rows.items()) + ")")
+
+
 @dataclass
 class Lineage:
     spark: SparkSession
@@ -74,13 +102,30 @@ class Lineage:
     # -- tokens and alignment --------------------------------------------
     @property
     def pieces(self) -> DataFrame:
-        """Lexer output.  Read twice: by the one sweep that locates gold and
-        predicted spans, and by the token table of the aligned checkpoint."""
+        """Lexer output, blanks included (lazy)."""
         return self._get("pieces", lambda: lexer.pieces(self.docs_en))
 
+    @property
+    def token_table(self) -> DataFrame:
+        """Tokens by chunk, written once: spans are looked up in it and the aligned table is built on it, so
+        that no text is lexed twice.  Bucketed on the chunk's key, which every reader below keeps."""
+        return self._get("token_table", lambda: checkpoints.bucketed(
+            self.spark, self.sf_dir, "tokens", lambda: lexer.token_chunks(english(C.corpus(self.spark, self.sf_dir))), lexer.CHUNK_KEY))
+
+    @property
+    def totals(self) -> DataFrame:
+        """One row for each chunk of a text: its tokens and those before it (persisted, small)."""
+        return self._get("totals", lambda: lexer.chunk_totals(self.token_table).persist(StorageLevel.MEMORY_AND_DISK))
+
     @property
     def tokens(self) -> DataFrame:
-        return self._get("tokens", lambda: lexer.tokens_from_pieces(self.pieces))
+        return self._get("tokens", lambda: lexer.numbered(self.token_table, self.totals).select(
+            *DOC_KEY, "idx", "tok", "start", "end", "is_subword", "n_tok"))
+
+    @property
+    def words(self) -> DataFrame:
+        """Tokens of a tokenizer given from outside."""
+        return self._get("words", lambda: lexer.tokenize(self.docs_en, word_tokenizer))
 
     @property
     def annotated(self) -> DataFrame:
@@ -139,6 +184,16 @@ class Lineage:
                             look(lab_arr).alias("label"))
         return self._get(f"kinds_{ignore_subwords}", build)
 
+    def tag_counts(self, ignore_subwords: bool = True) -> DataFrame:
+        """``taxonomy, id, n, docs``: tokens by tag id, and how many of them open a document.  Tokens are
+        counted by both taxonomies' ids at once and only the counts are given out."""
+        ids = {t: self.true_id(t, ignore_subwords) for t in tx.TAXONOMIES}
+        c = self.geometry.groupBy(*[x.alias(f"id_{t}") for t, x in ids.items()]).agg(
+            F.count(F.lit(1)).alias("n"), F.sum((F.col("idx") == 1).cast("long")).alias("docs"))
+        rows = F.array(*[F.struct(F.lit(t).alias("taxonomy"), F.col(f"id_{t}").alias("id")) for t in ids])
+        return c.select(F.explode(rows).alias("x"), "n", "docs").select("x.*", "n", "docs").groupBy("taxonomy", "id").agg(
+            F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
     @property
     def n_docs(self) -> DataFrame:
         def build():
@@ -159,73 +214,72 @@ class Lineage:
 
     @property
     def both_located(self) -> DataFrame:
-        """Gold and rule_loose spans located against the pieces in one join;
+        """Gold and rule_loose spans located against the tokens in one join;
         persisted (small) because alignment and every audit read it."""
         return self._get("both_located", lambda: align.locate(
-            self.span_stream, self.pieces, extra_key=["src"]).persist(StorageLevel.MEMORY_AND_DISK))
+            self.span_stream, self.token_table, extra_key=["src"], totals=self.totals, places=True).persist(
+            StorageLevel.MEMORY_AND_DISK))
 
     @property
     def located(self) -> DataFrame:
         """Gold spans with start/end token and status (``ok | no_token | empty``)."""
-        return self._get("located", lambda: self.both_located.where(F.col("src") == "gold").drop("src"))
+        return self._get("located", lambda: self.both_located.where(F.col("src") == "gold").drop(
+            "src", "start_chunk", "end_chunk"))
 
     @property
     def loose_located(self) -> DataFrame:
         return self._get("loose_located",
-                         lambda: self.both_located.where(F.col("src") == "loose").drop("src"))
+                         lambda: self.both_located.where(F.col("src") == "loose").drop("src", "start_chunk", "end_chunk"))
 
     @property
     def aligned_plan(self) -> DataFrame:
         """Tokens + covering gold span + covering rule_loose span, with every
         tag id both taxonomies need already resolved per span (lazy).
 
-        Label lookups happen once per *span* (tens of thousands of rows);
-        the per-token work downstream is integer CASE logic only.
+        Label lookups happen once per *span*, in one literal map; the per-token work is integer CASE
+        logic that leaves one column a tag sequence.
         """
         def build():
             # A cached table does not advertise its partitioning: re-place the
-            # (small) located spans once, the same way the tokens are placed,
-            # so the fold, the cover pivot and the token join stay co-partitioned.
+            # (small) located spans once for the fold.
             acc = align.resolve_overlaps(C.place_documents(self.both_located), extra_key=["src"])
-            ids = []
             is_gold = F.col("src") == "gold"
-            for t in tx.TAXONOMIES:
-                lab = tx.relabel_t(F.col("label"), F.col("origin"), t)
-                hi = tx.has_i_t(lab, t)
-                alt = tx.alt_label_t(lab, t)
-                ob = tx.tag_id_t(F.concat(F.lit("B-"), alt), t)
-                llab = F.element_at(tx._combined(lambda tt: predict.LOOSE_LABELS[tt]),
-                                    tx._tkey(t, F.col("label")))
-                o_id = F.lit(tx.tag2id(t)["O"])
-                ids += [
-                    tx.tag_id_t(F.concat(F.lit("B-"), lab), t).alias(f"b_{t}"),
-                    tx.tag_id_t(F.concat(F.when(hi, F.lit("I-")).otherwise(F.lit("B-")), lab), t).alias(f"c_{t}"),
-                    ob.alias(f"ob_{t}"),
-                    F.when(hi & tx.has_i_t(alt, t), tx.tag_id_t(F.concat(F.lit("I-"), alt), t))
-                    .otherwise(ob).alias(f"oc_{t}"),
-                    F.when(llab.isNull(), o_id).otherwise(tx.tag_id_t(F.concat(F.lit("B-"), llab), t))
-                    .alias(f"lb_{t}"),
-                    F.when(llab.isNull(), o_id).otherwise(tx.tag_id_t(
-                        F.concat(F.when(tx.has_i_t(llab, t), F.lit("I-")).otherwise(F.lit("B-")), llab), t))
-                    .alias(f"lc_{t}"),
-                ]
-            acc = acc.select("*", *ids)
-            gold_cols = [f"{p}_{t}" for t in tx.TAXONOMIES for p in ("b", "c", "ob", "oc")]
-            loose_cols = [f"{p}_{t}" for t in tx.TAXONOMIES for p in ("lb", "lc")]
-            cov = align.cover(acc, ["src", *gold_cols, *loose_cols])
+            acc = acc.withColumn("ids", F.element_at(
+                _span_ids(), F.concat(F.when(is_gold, F.col("origin")).otherwise(F.col("src")), F.lit("|"), F.col("label"))))
+            cov = align.cover_chunks(acc, self.totals, ["src", "ids"])
             # one row per covered token holding both covers (partition-local)
-            gold_s = F.struct(F.col("span_label"), F.col("is_first"), F.col("ann_pos"), *gold_cols)
-            loose_s = F.struct(F.col("span_label").alias("lp_rule"), F.col("is_first").alias("lp_first"),
-                               *loose_cols)
-            piv = cov.groupBy(*DOC_KEY, "idx").agg(
-                F.max(F.when(is_gold, gold_s)).alias("g"), F.max(F.when(~is_gold, loose_s)).alias("l"))
-            piv = piv.select(*DOC_KEY, "idx", "g.*", "l.*")
-            g = self.tokens.join(piv.hint("merge"), [*DOC_KEY, "idx"], "left")
-            from ..functions.text import hash_bucket
-            g = g.select("*", hash_bucket(F.col("origin"), F.col("doc_id"), F.col("idx")).alias("h"))
-            return g
+            span = F.struct("span_label", "is_first", "ann_pos", "ids")
+            piv = cov.groupBy(*lexer.CHUNK_KEY, "lidx").agg(
+                F.max(F.when(is_gold, span)).alias("g"), F.max(F.when(~is_gold, span)).alias("l"))
+            g = self.token_table.drop("nxt").join(piv.hint("merge"), [*lexer.CHUNK_KEY, "lidx"], "left")
+            first = F.coalesce("g.is_first", F.lit(False))
+            # the count of scored tokens, on the order that the join has made
+            upto = Window.partitionBy(*lexer.CHUNK_KEY).orderBy("lidx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            g = g.withColumn("scored", F.sum((~F.col("is_subword") | first).cast("int")).over(upto).cast("int"))
+            g = lexer.numbered(g, self.totals)
+            g = g.withColumn("h", hash_bucket(F.col("origin"), F.col("doc_id"), F.col("idx")))
+            return g.select(
+                *lexer.CHUNK_KEY, "lidx", "idx", "tok", "start", "end", "is_subword", "n_tok", "scored", "g.span_label", "g.is_first",
+                "g.ann_pos", *[c.alias(n) for t in tx.TAXONOMIES for n, c in self._ids(t).items()])
         return self._get("aligned_plan", build)
 
+    @staticmethod
+    def _ids(t: str) -> dict[str, Column]:
+        """Tag ids of a token in taxonomy ``t``: scored, with subwords, and of either model."""
+        o, ign = F.lit(tx.tag2id(t)["O"]), F.lit(tx.IGNORE_ID)
+        first = F.col("g.is_first")
+        begin, go_on, other, other_on = (F.col(f"g.ids.{c}_{t}") for c in ("b", "c", "ob", "oc"))
+        outside, sub = F.col("g.span_label").isNull(), F.col("is_subword")
+        raw = F.when(outside, o).when(first, begin).otherwise(go_on)
+        swapped = F.when(outside, o).when(first, go_on).otherwise(begin)
+        changed = F.when(outside, F.lit(tx.tag2id(t)["B-" + tx.alt_label(t)[None]])).when(first, other).otherwise(other_on)
+        h = F.col("h")
+        return {
+            f"true_{t}": F.when(sub & ~F.coalesce(first, F.lit(False)), ign).otherwise(raw), f"raw_{t}": raw,
+            f"pred_{t}_rule_loose": F.when(F.col("l.span_label").isNull(), o).when(
+                F.col("l.is_first"), F.col(f"l.ids.b_{t}")).otherwise(F.col(f"l.ids.c_{t}")),
+            f"pred_{t}_noisy": F.when(h < 3, o).when(h < 5, swapped).when(h < 6, changed).otherwise(raw)}
+
     @property
     def geometry(self) -> DataFrame:
         """The aligned token table, materialised.
@@ -233,21 +287,19 @@ class Lineage:
         It is the persist point every report reuses: written once as Parquet
         under the shared ``spark.checkpoint.dir`` and read back, which cuts
         the lineage (a lost executor re-reads files instead of re-lexing)
-        and lets each report read only the columns it needs.
+        and lets each report read only the columns it needs.  Sessions over the same input share it
+        (``checkpoints``); ``release`` gives it up.
         """
-        def build():
-            import uuid
-
-            from ..session import shuffle_partitions
-            from ..sources.io import output_path
-            path = output_path(self.spark, "aligned")
-            name = f"spanlab_aligned_{uuid.uuid4().hex[:12]}"
-            # Bucketed on the document key: readers that work per document
-            # (entity decoding windows) keep the placement, no re-shuffle.
-            (self.aligned_plan.write.mode("overwrite").option("path", path)
-             .bucketBy(shuffle_partitions(self.spark), *DOC_KEY).saveAsTable(name))
-            return self.spark.table(name)
-        return self._get("geometry", build)
+        return self._get("geometry", lambda: checkpoints.bucketed(
+            self.spark, self.sf_dir, "aligned", lambda: self.aligned_plan, lexer.CHUNK_KEY))
+
+    def release(self) -> None:
+        """Give up the written and persisted tables; those that no other session uses are removed."""
+        for name in ("totals", "both_located", "gold_spans"):
+            if name in self._memo:
+                self._memo[name].unpersist()
+        self._memo.clear()
+        checkpoints.release(self.spark, self.sf_dir)
 
     @staticmethod
     def true_tag(taxonomy=None, *, ignore_subwords: bool = True, iob: bool = True) -> Column:
@@ -258,29 +310,11 @@ class Lineage:
 
     @staticmethod
     def true_id(t: str, ignore_subwords: bool = True) -> Column:
-        o_id = F.lit(tx.tag2id(t)["O"])
-        sub = F.col("is_subword") if ignore_subwords else F.lit(False)
-        ign = F.lit(tx.IGNORE_ID)
-        return (F.when(F.col("span_label").isNull(), F.when(sub, ign).otherwise(o_id))
-                .when(F.col("is_first"), F.col(f"b_{t}"))
-                .when(sub, ign)
-                .otherwise(F.col(f"c_{t}")))
+        return F.col(f"{'true' if ignore_subwords else 'raw'}_{t}")
 
     @staticmethod
     def pred_id(t: str, model_id: str) -> Column:
-        o_id = F.lit(tx.tag2id(t)["O"])
-        outside = F.col("span_label").isNull()
-        first = F.col("is_first")
-        if model_id == "rule_loose":
-            return (F.when(F.col("lp_rule").isNull(), o_id)
-                    .when(F.col("lp_first"), F.col(f"lb_{t}"))
-                    .otherwise(F.col(f"lc_{t}")))
-        alt_o = F.lit(tx.tag2id(t)["B-" + tx.alt_label(t)[None]])
-        raw = Lineage.true_id(t, ignore_subwords=False)
-        swapped = F.when(outside, o_id).when(first, F.col(f"c_{t}")).otherwise(F.col(f"b_{t}"))
-        other = F.when(outside, alt_o).when(first, F.col(f"ob_{t}")).otherwise(F.col(f"oc_{t}"))
-        h = F.col("h")
-        return F.when(h < 3, o_id).when(h < 5, swapped).when(h < 6, other).otherwise(raw)
+        return F.col(f"pred_{t}_{model_id}")
 
     @staticmethod
     def n_pred(model_id: str) -> Column:
@@ -314,6 +348,38 @@ class Lineage:
                     .select("c.taxonomy", "c.model_id", *DOC_KEY, "idx", "tok", "c.true_id", "c.pred_id"))
         return self._get("pairs", build)
 
+    @property
+    def tagged_pairs(self) -> DataFrame:
+        """``pairs`` of the positions where a side isn't ``O``, with their places among the scored ones of
+        the text (``part, pos, opens`` of ``evaluate.entities``).  Both models and taxonomies are decided per
+        token, before a row is made for each."""
+        def build():
+            g = self.geometry
+            n = g.groupBy(*lexer.CHUNK_KEY).agg(F.max("scored").alias("here"))
+            order = Window.partitionBy(*DOC_KEY).orderBy("chunk")
+            n = n.select(*lexer.CHUNK_KEY, F.coalesce(F.sum("here").over(
+                order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+            ids, combos, said = {}, [], F.lit(False)
+            for t in tx.TAXONOMIES:
+                o, true = F.lit(tx.tag2id(t)["O"]), self.true_id(t)
+                for m in predict.MODELS:
+                    k = self.n_pred(m)
+                    pred = F.when(F.col("idx") <= k, self.pred_id(t, m)).otherwise(F.lit(tx.IGNORE_ID))
+                    paired = F.col("idx") <= k + 1
+                    said = said | (paired & ((true != o) | (self.pred_id(t, m) != o)))
+                    combos.append(F.struct(F.lit(t).alias("taxonomy"), F.lit(m).alias("model_id"), true.alias("true_id"),
+                                           pred.alias("pred_id"), paired.alias("paired")))
+            # before anything is sorted, moved or multiplied: scored tokens that aren't O throughout
+            x = g.where((self.true_id("A") != tx.IGNORE_ID) & said).select(*lexer.CHUNK_KEY, "scored", F.array(*combos).alias("c"))
+            x = x.join(n.hint("merge"), lexer.CHUNK_KEY).select(
+                *lexer.CHUNK_KEY, (F.col("before") + F.col("scored")).alias("pos"), ((F.col("scored") == 1) & (F.col("before") > 0)).alias("opens"),
+                F.explode("c").alias("c"))
+            outside = F.when(F.col("c.taxonomy") == "A", F.lit(tx.tag2id("A")["O"])).otherwise(F.lit(tx.tag2id("B")["O"]))
+            said = (F.col("c.true_id") != outside) | ((F.col("c.pred_id") != outside) & (F.col("c.pred_id") != tx.IGNORE_ID))
+            return x.where(F.col("c.paired") & said).select(
+                "c.taxonomy", "c.model_id", *DOC_KEY, F.col("chunk").alias("part"), "pos", "opens", "c.true_id", "c.pred_id")
+        return self._get("tagged_pairs", build)
+
     @property
     def confusion(self) -> DataFrame:
         """O45 of every taxonomy and model: tokens are counted by their few tag ids

@@ -438,3 +438,24 @@ WHERE (c.origin = 'A' AND c.language = 'English') OR (c.origin = 'B' AND c.langu
                       ["spans_all", "corpus", "keep"]),
     "uspans_en": (_in_tax("spans_en_kept"), ["spans_en_kept", "mapping"]),
 })
+
+
+#: Tokens of a user's tokenizer: up to 200 characters without a blank (``lineage.word_tokenizer``).
+WORD_RX = r"[^ \t\n\r]{1,200}"
+
+CTES.update({
+    "words": (f"""SELECT *, CAST("end" - length(tok) AS INTEGER) AS start,
+  coalesce(lag("end") OVER (PARTITION BY origin, doc_id ORDER BY idx) = "end" - length(tok), FALSE) AS is_subword
+FROM (SELECT origin, doc_id, CAST(idx AS INTEGER) AS idx, tok,
+        CAST(sum(length(tok) + length(gap)) OVER (PARTITION BY origin, doc_id ORDER BY idx) AS INTEGER) AS "end"
+      FROM (SELECT origin, doc_id, generate_subscripts(ms, 1) AS idx, unnest(ms) AS tok, unnest(gs[1:len(ms)]) AS gap
+            FROM (SELECT origin, doc_id, regexp_extract_all(source_text, {q(WORD_RX)}) AS ms,
+                         regexp_split_to_array(source_text, {q(WORD_RX)}) AS gs FROM docs_en)))""", ["docs_en"]),
+    "located_words": ("""SELECT s.origin, s.doc_id, s.ann_pos, s.start, s."end", s.label,
+  CASE WHEN s."end" > s.start THEN w.idx END AS start_idx, CASE WHEN s."end" > s.start AND w.idx IS NOT NULL THEN l.idx END AS end_idx,
+  CASE WHEN s."end" <= s.start THEN 'empty' WHEN w.idx IS NULL THEN 'no_token' ELSE 'ok' END AS status
+FROM gold_spans s
+LEFT JOIN words w ON w.origin = s.origin AND w.doc_id = s.doc_id AND w.start <= s.start AND s.start < w."end"
+ASOF LEFT JOIN words l ON l.origin = s.origin AND l.doc_id = s.doc_id AND l.start < s."end" """, ["gold_spans", "words"]),
+    "cover_words": (f"SELECT * FROM {_cover(_accepted('located_words'))}", ["located_words"]),
+})

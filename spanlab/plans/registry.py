@@ -83,7 +83,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ..functions import taxonomy as tx  # noqa: E402
 from ..functions.text import round6, safe_ratio  # noqa: E402
-from ..operators import align, audit, predict, prep  # noqa: E402
+from ..operators import align, audit, lexer, predict, prep  # noqa: E402
 from ..operators.align import nest_labels  # noqa: E402
 from ..sources import io  # noqa: E402
 from ..sources.corpus import DOC_KEY, MASK_TYPE_B  # noqa: E402
@@ -333,6 +333,13 @@ def q_char_to_token(spark, sf_dir):
     return lineage(spark, sf_dir).located
 
 
+@register("char_to_token_words", S("SELECT * FROM located_words", "located_words"))
+def q_char_to_token_words(spark, sf_dir):
+    """O21 on the tokens of a user's tokenizer, of 1 to 200 characters and with gaps between them."""
+    L = lineage(spark, sf_dir)
+    return align.locate(L.gold_spans.drop("value"), L.words)
+
+
 @register("span_cover", S("SELECT origin, doc_id, idx, ann_pos, span_label, is_first FROM gold_cover", "gold_cover"))
 def q_span_cover(spark, sf_dir):
     return align.cover(align.resolve_overlaps(lineage(spark, sf_dir).located))
@@ -347,20 +354,22 @@ def q_unmappable_spans(spark, sf_dir):
 LEFT JOIN label_dim d ON d.taxonomy = b.taxonomy AND d.tag = b.true_tag
 WHERE b.true_tag IS NOT NULL GROUP BY b.taxonomy, b.true_tag, d.tag_id""", "by_tax", "label_dim"))
 def q_encode_labels(spark, sf_dir):
-    k = lineage(spark, sf_dir).kinds().where(F.col("tag").isNotNull())
+    """Tag text -> id, on the distinct tags with their counts."""
+    x = lineage(spark, sf_dir).tag_counts().where("id >= 0")
     dim = F.broadcast(tx.label_dim(spark).select("taxonomy", "tag", "tag_id"))
-    return k.join(dim, ["taxonomy", "tag"], "left").groupBy("taxonomy", "tag", "tag_id") \
-        .agg(F.count(F.lit(1)).alias("n"))
+    tags = x.join(dim.withColumnRenamed("tag_id", "id"), ["taxonomy", "id"]).select("taxonomy", "tag", "n")
+    return tags.join(dim, ["taxonomy", "tag"], "left").select("taxonomy", "tag", "tag_id", "n")
 
 
 @register("decode_labels", S("""SELECT p.taxonomy, p.model_id, coalesce(d.tag, 'SPEC') AS tag, count(*) AS n FROM pairs p
 LEFT JOIN label_dim d ON d.taxonomy = p.taxonomy AND d.tag_id = p.pred_id
 GROUP BY p.taxonomy, p.model_id, coalesce(d.tag, 'SPEC')""", "pairs", "label_dim"))
 def q_decode_labels(spark, sf_dir):
-    p = lineage(spark, sf_dir).pairs
+    """Predicted ids -> tag text, on the distinct ids with their counts."""
+    p = lineage(spark, sf_dir).confusion.groupBy("taxonomy", "model_id", "pred_id").agg(F.sum("n").alias("n"))
     t = F.when(F.col("taxonomy") == "A", tx.tag_text(F.col("pred_id"), "A")) \
         .otherwise(tx.tag_text(F.col("pred_id"), "B"))
-    return p.groupBy("taxonomy", "model_id", t.alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    return p.groupBy("taxonomy", "model_id", t.alias("tag")).agg(F.sum("n").alias("n"))
 
 
 @register("coverage_join", S("SELECT * FROM coverage", "coverage"))
@@ -371,7 +380,7 @@ def q_coverage_join(spark, sf_dir):
 def _ann_and_tok(spark, sf_dir, ignore_subwords=True):
     L = lineage(spark, sf_dir)
     ann = audit.annotation_counts(L.uspans_located)
-    tok = audit.token_label_counts(L.kinds(ignore_subwords), L.located_t, L.n_docs) \
+    tok = audit.token_label_counts(L.tag_counts(ignore_subwords), L.located_t) \
         .where(F.col("label") != audit.TOTAL)
     return ann, tok
 
@@ -575,13 +584,13 @@ def q_entity_lengths(spark, sf_dir):
 @register("token_label_counts", S("SELECT * FROM tlc", "tlc"))
 def q_token_label_counts(spark, sf_dir):
     L = lineage(spark, sf_dir)
-    return audit.token_label_counts(L.kinds(True), L.located_t, L.n_docs)
+    return audit.token_label_counts(L.tag_counts(True), L.located_t)
 
 
 @register("token_label_counts_raw", S("SELECT * FROM tlc_raw", "tlc_raw"))
 def q_token_label_counts_raw(spark, sf_dir):
     L = lineage(spark, sf_dir)
-    return audit.token_label_counts(L.kinds(False), L.located_t, L.n_docs)
+    return audit.token_label_counts(L.tag_counts(False), L.located_t)
 
 
 _MATCH_SQL = (f"CASE WHEN annotations > 0 THEN CAST({O.half_even_div('bi_count * 100', 'annotations')} AS VARCHAR) || '%' "
@@ -669,7 +678,7 @@ JOIN (VALUES ('own'), ('concat')) s(eval_set) ON s.eval_set = 'concat' OR x.orig
 CROSS JOIN LATERAL (SELECT unnest([x.et0, 'ALL']) AS etype)
 GROUP BY taxonomy, eval_set, model_id, etype""", "tag_pairs"))
 def q_entity_report(spark, sf_dir):
-    return E.entity_report(lineage(spark, sf_dir).pairs.drop("tok"))
+    return E.entity_report(lineage(spark, sf_dir).tagged_pairs)
 
 
 @register("logits_argmax", S("""SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax
@@ -740,17 +749,13 @@ def q_subword_flag(spark, sf_dir):
 
 @register("tokenize_corpus", S(f"""SELECT origin, lang, count(DISTINCT doc_id) AS n_docs,
   CAST(sum(CASE WHEN NOT regexp_matches(piece, {O.q('^[ \t\n\r]')}) THEN 1 ELSE 0 END) AS BIGINT) AS n_tok
-FROM (SELECT origin, doc_id, lang, unnest(regexp_extract_all(source_text, {O.q(__import__('spanlab.operators.lexer', fromlist=['LEX_RX']).LEX_RX)})) AS piece
+FROM (SELECT origin, doc_id, lang, unnest(regexp_extract_all(source_text, {O.q(lexer.LEX_RX)})) AS piece
       FROM corpus WHERE source_text IS NOT NULL)
 GROUP BY origin, lang""", "corpus"))
 def q_tokenize_corpus(spark, sf_dir):
-    from ..operators import lexer
-    L = lineage(spark, sf_dir)
-    p = lexer.pieces(L.corpus)
-    docs = L.corpus.select(*DOC_KEY, "lang")
-    t = p.where("is_tok").join(docs, DOC_KEY, "inner")
-    return t.groupBy("origin", "lang").agg(F.countDistinct("doc_id").alias("n_docs"),
-                                           F.count(F.lit(1)).alias("n_tok"))
+    """Documents and tokens by corpus and language, in one scan without a join."""
+    from ..sources import corpus as C
+    return lexer.corpus_counts(C.corpus(spark, sf_dir), ["origin", "lang"])
 
 
 @register("last_span_wins", S("""SELECT origin, doc_id, start_idx, ann_pos, label FROM (
@@ -771,6 +776,23 @@ def q_bio_tags(spark, sf_dir):
     return lineage(spark, sf_dir).kinds(True).select("taxonomy", *DOC_KEY, "idx", "tag")
 
 
+@register("bio_tags_words", S("""SELECT x.taxonomy, x.origin, x.doc_id, x.idx, x.tok,
+  CASE WHEN x.lab IS NULL THEN (CASE WHEN x.is_subword THEN NULL ELSE 'O' END) WHEN x.is_first THEN 'B-' || x.lab
+       WHEN x.is_subword THEN NULL WHEN coalesce(h.has_i, TRUE) THEN 'I-' || x.lab ELSE 'B-' || x.lab END AS tag
+FROM (SELECT t.taxonomy, w.*, c.is_first, coalesce(mp.to_label, c.span_label) AS lab
+      FROM words w CROSS JOIN (VALUES ('A'), ('B')) t(taxonomy)
+      LEFT JOIN cover_words c ON c.origin = w.origin AND c.doc_id = w.doc_id AND c.idx = w.idx
+      LEFT JOIN mapping mp ON mp.src = w.origin AND mp.dst = t.taxonomy AND mp.from_label = c.span_label) x
+LEFT JOIN label_dim h ON h.taxonomy = x.taxonomy AND h.prefix = 'B' AND h.label = x.lab""",
+                              "words", "cover_words", "mapping", "label_dim"))
+def q_bio_tags_words(spark, sf_dir):
+    """O57 on the tokens of a user's tokenizer, in both taxonomies."""
+    L = lineage(spark, sf_dir)
+    x = align.align_tokens(L.gold_spans.drop("value"), L.words)
+    x = x.withColumn("taxonomy", F.explode(F.array(*[F.lit(t) for t in tx.TAXONOMIES])))
+    return x.select("taxonomy", *DOC_KEY, "idx", "tok", L.true_tag().alias("tag"))
+
+
 @register("bio_no_i", S("""SELECT b.origin, b.doc_id, b.idx, b.raw_tag AS tag FROM by_tax b
 JOIN label_dim d ON d.taxonomy = b.taxonomy AND d.prefix = 'B' AND d.label = b.lab
 WHERE b.taxonomy = 'B' AND NOT d.has_i AND NOT b.is_first""", "by_tax", "label_dim"))
@@ -786,9 +808,11 @@ def q_bio_no_i(spark, sf_dir):
     WHEN is_first THEN lab WHEN is_subword THEN NULL ELSE lab END AS tag, count(*) AS n
 FROM by_tax GROUP BY ALL""", "by_tax"))
 def q_plain_tags(spark, sf_dir):
+    """Tokens are counted by what decides their tag; only the counts are given out per taxonomy."""
     L = lineage(spark, sf_dir)
-    x = L.geometry.withColumn("taxonomy", F.explode(F.array(*[F.lit(t) for t in tx.TAXONOMIES])))
-    return x.groupBy("taxonomy", L.true_tag(iob=False).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    x = L.geometry.groupBy("origin", "span_label", "is_first", "is_subword").agg(F.count(F.lit(1)).alias("n"))
+    x = x.withColumn("taxonomy", F.explode(F.array(*[F.lit(t) for t in tx.TAXONOMIES])))
+    return x.groupBy("taxonomy", L.true_tag(iob=False).alias("tag")).agg(F.sum("n").alias("n"))
 
 
 @register("sample_entities", S("""SELECT taxonomy, label, rank, origin, doc_id, ann_pos, value FROM (

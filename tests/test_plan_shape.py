@@ -1,25 +1,48 @@
-"""Plan shape: after documents are placed on (origin, doc_id) once, the
-lexing, span location, overlap fold and token alignment add no exchange."""
+"""Plan shape: texts move once to be lexed, tokens never after that; scans read what they need."""
 
 from conftest import SF_SMALL
 
 
-def _exchanges(df):
-    df._jdf.queryExecution().executedPlan()  # force planning
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    lines = [ln for ln in plan.split("\n") if "Exchange" in ln and "BroadcastExchange" not in ln]
-    return lines
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_alignment_only_places_documents(spark):
+def _above(plan, what, stop):
+    """The nodes between every scan of ``what`` and the next ``stop`` above it."""
+    lines = plan.split("\n")
+    depth = [len(ln) - len(ln.lstrip(" :+-")) for ln in lines]
+    for i, ln in enumerate(lines):
+        if "FileScan" in ln and what in ln:
+            d, found = depth[i], []
+            for j in range(i - 1, -1, -1):
+                if depth[j] < d:
+                    d = depth[j]
+                    found.append(lines[j].strip(" :+-"))
+                    if stop in lines[j] or "Aggregate" in lines[j]:
+                        break
+            yield found
+
+
+def test_tokens_stay_where_they_are(spark):
+    """Tokens are read in the buckets they were written in: neither the span lookup nor the token join
+    moves or broadcasts them; what moves is spans and chunk totals."""
+    from spanlab.operators import align
     from spanlab.plans.lineage import Lineage
     L = Lineage(spark, SF_SMALL)
-    df = L.aligned_plan
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastExchange" not in plan      # pieces, tokens and covers grow with the texts
-    ex = _exchanges(df)
-    assert ex, "expected the document placement exchange"
-    assert all("REPARTITION_BY_NUM" in ln and "origin" in ln and "doc_id" in ln for ln in ex), ex
+    lookup = align.locate(L.span_stream, L.token_table, extra_key=["src"], totals=L.totals, places=True)
+    for plan in (_plan(lookup), _plan(L.aligned_plan)):
+        assert "BroadcastExchange" not in plan and "NestedLoop" not in plan
+        nodes = [n for n in _above(plan, "spanlab_tokens", "SortMergeJoin") if "SortMergeJoin" in n[-1]]
+        assert nodes and not any("Exchange" in x for n in nodes for x in n), nodes
+
+
+def test_texts_are_placed_once_to_be_lexed(spark):
+    from spanlab.operators import lexer
+    from spanlab.plans.lineage import english
+    from spanlab.sources import corpus as C
+    plan = _plan(lexer.token_chunks(english(C.corpus(spark, SF_SMALL))))
+    assert plan.count("Exchange") == 1 and plan.count("REPARTITION_BY_NUM") == 1
+    assert plan.count(lexer.LEX_RX) == 1        # one pass of the lexer
 
 
 def test_scan_prunes_columns_and_pushes_language_filter(spark):
