@@ -8,7 +8,10 @@ pre-aggregated on every partition before the small shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
@@ -112,25 +115,60 @@ def count_mismatch(located: DataFrame, accepted: DataFrame) -> DataFrame:
         .withColumn("diff", F.col("annotations") - F.col("b_added"))
 
 
-def sample_entities(uspans: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` surface texts per label (document, then list order)."""
+def first_per_label(uspans: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` annotations of each taxonomy and label, with ``rank``: of the taxonomy's own corpus
+    first, then by document and list order."""
     own_first = (F.col("origin") != F.col("taxonomy")).cast("int")
     w = Window.partitionBy("taxonomy", "label").orderBy(own_first, "doc_id", "ann_pos")
-    return (uspans.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-            .select("taxonomy", "label", "rank", "origin", "doc_id", "ann_pos", "value"))
+    return uspans.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def rounds(lo: int, hi: int, first: int = 64) -> Iterator[tuple[int, int]]:
+    """Ranges of ids that double in size, from a ``first``-th part of all."""
+    step = max(1, -(-(hi - lo + 1) // first))
+    while lo <= hi:
+        yield lo, min(hi, lo + step - 1)
+        lo, step = lo + step, step * 2
+
+
+def first_in_rounds(spans_of: Callable[[int, int], DataFrame], lo: int, hi: int, wanted: dict[str, Iterable[str]], n: int) -> DataFrame:
+    """``first_per_label``, reading ids upwards in ranges and stopping once every wanted label is full.
+
+    ``spans_of(lo, hi)``: the annotations of the documents with ids in a range, in both taxonomies.  Ids ascend, so a
+    label of which the taxonomy's own corpus has ``n`` can't change any more; a rare one has all ranges read.  Between
+    rounds there are ``n`` rows a label, whatever the corpus's size.
+    """
+    held, schema, spark = [], None, SparkSession.active()
+    for a, b in rounds(lo, hi):
+        found = spans_of(a, b)
+        schema = found.schema
+        rows = first_per_label(found, n).drop("rank")
+        if held:
+            rows = first_per_label(rows.unionByName(spark.createDataFrame(held, schema)), n).drop("rank")
+        held = rows.collect()  # at most n for each taxonomy and label
+        full = Counter((r["taxonomy"], r["label"]) for r in held if r["origin"] == r["taxonomy"])
+        if all(full[t, lab] >= n for t, labels in wanted.items() for lab in labels):
+            break
+    return first_per_label(spark.createDataFrame(held, schema), n) if schema is not None else None
+
+
+def sample_entities(uspans: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` surface texts per label (document, then list order)."""
+    return first_per_label(uspans, n).select("taxonomy", "label", "rank", "origin", "doc_id", "ann_pos", "value")
+
+
+def of_interest() -> Column:
+    """Labels that are spot-checked."""
+    return F.when(F.col("taxonomy") == "A", F.col("label").isin(*SPOT_LABELS["A"])) \
+        .otherwise(F.col("label").isin(*SPOT_LABELS["B"]))
 
 
 def spot_check(located_t: DataFrame, tokens: DataFrame, n: int = 3) -> DataFrame:
     """The first ``n`` annotations of each label of interest, walked token
     by token: FIRST for the start token, SUB for a subword, CONT otherwise;
     ``NONE`` when the start character has no token."""
-    interest = F.when(F.col("taxonomy") == "A", F.col("label").isin(*SPOT_LABELS["A"])) \
-        .otherwise(F.col("label").isin(*SPOT_LABELS["B"]))
-    own_first = (F.col("origin") != F.col("taxonomy")).cast("int")
-    w = Window.partitionBy("taxonomy", "label").orderBy(own_first, "doc_id", "ann_pos")
-    picked = (located_t.where(interest & (F.col("status") != "empty"))
-              .withColumn("ann_rank", F.row_number().over(w)).where(F.col("ann_rank") <= n))
-    walk = picked.select("taxonomy", "label", "ann_rank", *DOC_KEY, "ann_pos", "start_idx",
+    picked = first_per_label(located_t.where(of_interest() & (F.col("status") != "empty")), n)
+    walk = picked.select("taxonomy", "label", F.col("rank").alias("ann_rank"), *DOC_KEY, "ann_pos", "start_idx",
                          F.explode_outer(F.sequence("start_idx", "end_idx")).alias("idx"))
     j = walk.join(tokens.select(*DOC_KEY, "idx", "tok", "start", "end", "is_subword"),
                   [*DOC_KEY, "idx"], "left")

@@ -18,7 +18,9 @@ documents, one scorer per task, Arrow batches of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
@@ -86,7 +88,7 @@ def logits_argmax(logits: Column) -> Column:
 
 SCORER_SCHEMA = ("origin string, doc_id bigint, model_id string, "
                  "predicted_mask array<struct<entity:string,word:string,score:double>>, "
-                 "elapsed_ms double")
+                 "elapsed_ns bigint")
 
 
 def _scorer_spec(taxonomy: str) -> dict:
@@ -144,34 +146,45 @@ def rule_scorer(taxonomy: str):
     return make_scorer
 
 
-def score_batches(docs: DataFrame, make_scorer, model_id: str) -> DataFrame:
+def score_batches(docs: DataFrame, make_scorer, model_id: str, clock=time.perf_counter_ns) -> DataFrame:
     """Run a Python scorer over ``source_text`` in Arrow batches.
 
     ``make_scorer()`` is called once per task and loads the model there; the scorer it
     returns gets up to ``SCORER_BATCH`` texts (a null text as None) and returns one list of
     ``{"entity", "word", "score"}`` per text, one entity per token.  Each row carries
-    its batch's latency per document.
+    its share of its batch's latency by ``clock`` (nanoseconds); the shares of a batch add up exactly.
     """
     size = SCORER_BATCH
 
     def run(batches):
-        import time
-
         import pandas as pd
         score = make_scorer()
         for pdf in (b.iloc[i:i + size] for b in batches for i in range(0, len(b), size)):
-            t0 = time.perf_counter()
+            t0 = clock()
             masks = score(pdf["source_text"].tolist())
-            ms = (time.perf_counter() - t0) * 1000.0
+            ns = clock() - t0
             if len(masks) != len(pdf):
                 raise ValueError(f"scorer {model_id}: {len(masks)} results for {len(pdf)} texts")
-            yield pd.DataFrame({"origin": pdf["origin"], "doc_id": pdf["doc_id"],
-                                "model_id": model_id, "predicted_mask": masks,
-                                "elapsed_ms": ms / max(len(pdf), 1)})
+            shares = [ns // len(pdf) + (i < ns % len(pdf)) for i in range(len(pdf))]
+            yield pd.DataFrame({"origin": pdf["origin"].array, "doc_id": pdf["doc_id"].array,
+                                "model_id": model_id, "predicted_mask": masks, "elapsed_ns": shares})
 
     return docs.select(*DOC_KEY, "source_text").mapInPandas(run, SCORER_SCHEMA)
 
 
+def score_corpus(docs: DataFrame, make_scorer, model_id: str, path: str, clock=time.perf_counter_ns) -> tuple[DataFrame, DataFrame]:
+    """O63 + O51 in one pass: the scored rows, written to ``path`` and read back, and the latency
+    ``model_id, n_samples, total_sec, mean_ms_per_sample`` that was observed while they were written."""
+    spark = docs.sparkSession
+    seen = Observation()
+    scored = score_batches(docs, make_scorer, model_id, clock)
+    scored.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("elapsed_ns").alias("ns")).write.parquet(path)
+    n, ns = seen.get["n"], seen.get["ns"] or 0
+    latency = spark.createDataFrame([(model_id, n, ns / 1e9, ns / 1e6 / n if n else None)],
+                                    "model_id string, n_samples bigint, total_sec double, mean_ms_per_sample double")
+    return spark.read.schema(scored.schema).parquet(path), latency
+
+
 def zip_pairs(aligned_true: DataFrame, preds: DataFrame, taxonomy: str,
               models: list[str] | None = None) -> DataFrame:
     """O19 + O20: attach predictions by document key and pair token by token.
@@ -212,26 +225,38 @@ def token_grams(tok: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), *[of(k) for k in range(1, GRAM + 1)]))
 
 
+def word_matches(tokens_df: DataFrame, words: DataFrame) -> DataFrame:
+    """Per token and model, ``ppos`` of the first prediction whose stripped ``word`` is a substring of the token.
+
+    ``words``: ``origin, doc_id, model_id, ppos, word``.  All models of a document share one index: a word is
+    listed once, with each model's first place of it, and meets the tokens once.  A word in a token starts with one of
+    the token's short substrings, so words meet tokens in an equi-join on ``(origin, doc_id, first
+    characters)``, then the whole word is tested -- never tokens x predictions.
+    """
+    w = words.select(*DOC_KEY, "model_id", "ppos", strip(F.coalesce(F.col("word"), F.lit(""))).alias("word"))
+    w = w.groupBy(*DOC_KEY, "word", "model_id").agg(F.min("ppos").alias("ppos"))
+    w = w.groupBy(*DOC_KEY, "word").agg(F.collect_list(F.struct("model_id", "ppos")).alias("firsts")) \
+        .withColumn("gram", F.substring("word", 1, GRAM))
+    grams = tokens_df.select(*DOC_KEY, "idx", "tok", F.explode(token_grams(F.col("tok"))).alias("gram"))
+    j = grams.join(w, [*DOC_KEY, "gram"], "inner").where(F.contains("tok", "word"))
+    return j.select(*DOC_KEY, "idx", F.explode("firsts").alias("f")).groupBy(*DOC_KEY, "idx", "f.model_id").agg(
+        F.min("f.ppos").alias("ppos"))
+
+
 def word_match_align(tokens_df: DataFrame, preds: DataFrame) -> DataFrame:
     """Per token, the first prediction (list order) whose stripped
     ``word`` is a substring of the token; ``O`` when none matches, also
     for an empty or null list.  A null word counts as an empty one.
 
-    A word in a token starts with one of the token's short substrings, so words meet
-    tokens in an equi-join on ``(origin, doc_id, first characters)``, then the whole word is
-    tested -- never tokens x predictions.
+    ``tokens_df``: ``origin, doc_id, idx, tok`` and more columns, which are kept (the gold row's own
+    ids, ignored positions included).  ``preds``: ``origin, doc_id, model_id, predicted_mask`` of any
+    number of models; an entity is text, or a struct with one text a taxonomy.
     """
-    p = (preds.select(*DOC_KEY, "model_id", F.posexplode("predicted_mask").alias("ppos", "e"))
-         .select(*DOC_KEY, "model_id", "ppos", F.col("e.entity").alias("entity"),
-                 strip(F.coalesce(F.col("e.word"), F.lit(""))).alias("word")))
-    first_per_word = p.groupBy(*DOC_KEY, "model_id", "word").agg(
-        F.min_by(F.struct("ppos", "entity"), "ppos").alias("f")) \
-        .withColumn("gram", F.substring("word", 1, GRAM))
-    grams = tokens_df.select(*DOC_KEY, "idx", "tok", F.explode(token_grams(F.col("tok"))).alias("gram"))
-    j = grams.join(first_per_word, [*DOC_KEY, "gram"], "inner").where(F.contains("tok", "word"))
-    first = j.groupBy(*DOC_KEY, "model_id", "idx").agg(
-        F.min_by(F.col("f.entity"), F.col("f.ppos")).alias("entity"))
+    long = preds.select(*DOC_KEY, "model_id", F.posexplode("predicted_mask").alias("ppos", "e"))
+    hit = word_matches(tokens_df, long.select(*DOC_KEY, "model_id", "ppos", F.col("e.word").alias("word")))
+    hit = hit.join(long.select(*DOC_KEY, "model_id", "ppos", F.col("e.entity").alias("entity")), [*DOC_KEY, "model_id", "ppos"])
     models = preds.select(*DOC_KEY, "model_id").distinct()
-    return (tokens_df.select(*DOC_KEY, "idx", "tok").join(models, DOC_KEY, "inner")
-            .join(first, [*DOC_KEY, "model_id", "idx"], "left")
-            .select(*DOC_KEY, "model_id", "idx", "tok", F.coalesce("entity", F.lit("O")).alias("entity")))
+    kind = long.schema["e"].dataType["entity"].dataType
+    o = F.struct(*[F.lit("O").alias(f.name) for f in kind.fields]) if hasattr(kind, "fields") else F.lit("O")
+    return (tokens_df.join(models, DOC_KEY, "inner").join(hit.drop("ppos"), [*DOC_KEY, "model_id", "idx"], "left")
+            .withColumn("entity", F.coalesce("entity", o)))

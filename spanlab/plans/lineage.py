@@ -145,6 +145,30 @@ class Lineage:
         from ..operators.audit import in_taxonomies
         return self._get("uspans", lambda: in_taxonomies(self.gold_spans))
 
+    def uspans_between(self, lo: int, hi: int, keep: Column | None = None) -> DataFrame:
+        """``uspans`` of the documents given under ids in a range; nothing else is read or annotated."""
+        from ..operators.audit import in_taxonomies
+        x = in_taxonomies(keep_labels_long(C.spans(C.place_documents(english(C.corpus(self.spark, self.sf_dir, ids=(lo, hi)))))))
+        return x if keep is None else x.where(keep)
+
+    @property
+    def id_range(self) -> tuple[int, int]:
+        r = C.documents(self.spark, self.sf_dir).agg(F.min("doc_id"), F.max("doc_id")).first()
+        return (r[0], r[1]) if r[0] is not None else (0, -1)
+
+    def first_entities(self, n: int, labels: dict[str, list[str]], keep: Column | None = None) -> DataFrame:
+        """The first ``n`` annotations of each label, by rounds over ids that end when all ``labels`` are full."""
+        from ..operators import audit
+        found = audit.first_in_rounds(lambda a, b: self.uspans_between(a, b, keep), *self.id_range, labels, n)
+        return self.uspans.where("false").withColumn("rank", F.lit(1)) if found is None else found
+
+    @property
+    def scored(self) -> tuple[DataFrame, DataFrame]:
+        """Rows of the Python scorer and its latency, from one pass."""
+        from ..sources.io import output_path
+        return self._get("scored", lambda: predict.score_corpus(
+            self.docs_en, predict.rule_scorer("A"), "rule_loose", output_path(self.spark, "scored")))
+
     @property
     def uspans_located(self) -> DataFrame:
         """Same rows as ``uspans`` without ``value``, read from the persisted

@@ -418,14 +418,10 @@ FROM geometry g
 LEFT JOIN loose_labels ll ON ll.taxonomy = 'A' AND ll.rule = g.lp_rule
 LEFT JOIN label_dim h ON h.taxonomy = 'A' AND h.prefix = 'B' AND h.label = ll.label""",
                       ["geometry", "loose_labels", "label_dim"]),
-    "preds_loose_a_ids": ("""SELECT p.*, d.tag_id FROM preds_loose_a p
-JOIN label_dim d ON d.taxonomy = 'A' AND d.tag = p.pred_tag""", ["preds_loose_a", "label_dim"]),
-    "flat": ("""SELECT taxonomy, model_id, coalesce(true_tag, 'O') AS t, coalesce(pred_tag, 'O') AS p FROM (
-  SELECT b.taxonomy, m.model_id, b.idx, b.true_tag,
-    tp.pred AS pred_tag
-  FROM by_tax b CROSS JOIN (VALUES ('rule_loose'), ('noisy')) m(model_id)
-  LEFT JOIN all_preds tp ON tp.taxonomy = b.taxonomy AND tp.model_id = m.model_id AND tp.origin = b.origin
-    AND tp.doc_id = b.doc_id AND tp.idx = b.idx)""", ["by_tax", "all_preds"]),
+    "flat": ("""SELECT b.taxonomy, f.model_id, coalesce(b.true_tag, 'O') AS t, p.pred AS p
+FROM by_tax b JOIN matched f ON f.origin = b.origin AND f.doc_id = b.doc_id AND f.idx = b.idx
+JOIN all_preds p ON p.taxonomy = b.taxonomy AND p.model_id = f.model_id AND p.origin = f.origin AND p.doc_id = f.doc_id AND p.idx = f.first""",
+             ["by_tax", "all_preds", "matched"]),
 })
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import evaluate as E
 from . import oracle as O
-from .lineage import keep_labels_long, lineage
+from .lineage import lineage
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -124,60 +124,82 @@ def q_scan_parquet(spark, sf_dir):
 
 
 @register("sink_parquet", S("""SELECT t.*, CAST(length(a.source_text) AS INTEGER) AS n_chars,
-  CAST(len(a.privacy_mask) AS INTEGER) AS n_ann, p.last_end, CAST(coalesce(h.hits, 0) AS INTEGER) AS hits
+  CAST(len(a.privacy_mask) AS INTEGER) AS n_ann, p.last_end, m.model_id, CAST(coalesce(h.hits, 0) AS INTEGER) AS hits
 FROM (SELECT taxonomy, origin, doc_id, CAST(count(*) + 2 AS INTEGER) AS n_labels,
         CAST(count(true_tag) AS INTEGER) AS n_scored FROM by_tax GROUP BY ALL) t
 JOIN annotated a ON a.origin = t.origin AND a.doc_id = t.doc_id
 JOIN (SELECT origin, doc_id, max("end") AS last_end FROM tokens GROUP BY ALL) p
   ON p.origin = t.origin AND p.doc_id = t.doc_id
-LEFT JOIN (SELECT taxonomy, origin, doc_id, count(*) AS hits FROM tag_pairs
-           WHERE model_id = 'rule_loose' AND true_tag = pred_tag GROUP BY ALL) h
-  ON h.taxonomy = t.taxonomy AND h.origin = t.origin AND h.doc_id = t.doc_id""",
+CROSS JOIN (VALUES ('rule_loose'), ('noisy')) m(model_id)
+LEFT JOIN (SELECT taxonomy, model_id, origin, doc_id, count(*) AS hits FROM tag_pairs
+           WHERE true_tag = pred_tag GROUP BY ALL) h
+  ON h.taxonomy = t.taxonomy AND h.model_id = m.model_id AND h.origin = t.origin AND h.doc_id = t.doc_id""",
                                 "by_tax", "annotated", "tokens", "tag_pairs"))
 def q_sink_parquet(spark, sf_dir):
     """The aligned dataset in nested shape (text, annotations, offsets, ``true_labels`` and
     ``pred_labels`` with -100 pads) in both taxonomies, written by corpus and read back."""
     L = lineage(spark, sf_dir)
     tokens = L.geometry.select(*DOC_KEY, "idx", "start", "end", F.explode(F.array(*[
-        F.struct(F.lit(t).alias("taxonomy"), L.true_id(t).alias("true_id"), L.pred_id(t, "rule_loose").alias("pred_id"))
+        F.struct(F.lit(t).alias("taxonomy"), L.true_id(t).alias("true_id"), *[L.pred_id(t, m).alias(f"{m}_id") for m in predict.MODELS])
         for t in tx.TAXONOMIES])).alias("c")).select(*DOC_KEY, "idx", "start", "end", "c.*")
     nested = nest_labels(tokens, ["taxonomy", *DOC_KEY])
     docs = L.annotated_en.select(*DOC_KEY, "source_text", "privacy_mask")
     back = io.sink_parquet(docs.join(nested, DOC_KEY), io.output_path(spark, "aligned"), ["origin"])
-    same = F.zip_with("true_labels", "pred_labels", lambda t, p: (t == p) & (t != tx.IGNORE_ID))
+
+    def hits(m):
+        same = F.zip_with("true_labels", f"{m}_labels", lambda t, p: (t == p) & (t != tx.IGNORE_ID))
+        return F.struct(F.lit(m).alias("model_id"), F.size(F.filter(same, lambda x: x)).alias("hits"))
     return back.select(
         "taxonomy", *DOC_KEY, F.size("true_labels").alias("n_labels"),
         F.size(F.filter("true_labels", lambda x: x != tx.IGNORE_ID)).alias("n_scored"),
         F.length("source_text").alias("n_chars"), F.size("privacy_mask").alias("n_ann"),
-        F.element_at("offset_mapping", -1)["end"].alias("last_end"),
-        F.size(F.filter(same, lambda x: x)).alias("hits"))
+        F.element_at("offset_mapping", -1)["end"].alias("last_end"), F.explode(F.array(*[hits(m) for m in predict.MODELS])).alias("h")) \
+        .select("*", "h.*").drop("h")
 
 
-def _csv_dataset(L):
+def _csv_dataset(L, taxonomy: str):
     docs = prep.filter_language(L.annotated_en)
-    return prep.select_columns(prep.uniform_corpus(docs, "A"))
+    return prep.select_columns(prep.uniform_corpus(docs, taxonomy))
 
 
-@register("sink_csv", S("""SELECT origin, doc_id, length(source_text) AS n_chars FROM corpus
-WHERE (origin = 'A' AND language = 'English') OR (origin = 'B' AND language = 'en')""", "corpus"))
-def q_sink_csv(spark, sf_dir):
+def _csv_files(spark, sf_dir):
+    """Both taxonomies' datasets written as CSV: taxonomy, path, rows read back as text."""
     L = lineage(spark, sf_dir)
-    back = io.sink_csv(_csv_dataset(L), io.output_path(spark, "concat_csv"), ["privacy_mask"])
-    return back.select(F.col("origin"), F.col("doc_id").cast("bigint"),
-                       F.length("source_text").alias("n_chars"))
+    for t in tx.TAXONOMIES:
+        path = io.output_path(spark, f"csv_{t}")
+        yield t, path, io.sink_csv(_csv_dataset(L, t), path, ["privacy_mask"])
+
+
+def _union(frames):
+    out = None
+    for x in frames:
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
-@register("scan_csv_nested", S("""SELECT origin, doc_id, %s, start, "end", label, value
-FROM uspans_en WHERE taxonomy = 'A'""" % _RENUM, "uspans_en"))
+_MASK_TEXT = """'[' || coalesce(string_agg('{"value":' || to_json(value)::VARCHAR || ',"start":' || start || ',"end":' || "end"
+  || ',"label":"' || label || '"}', ',' ORDER BY ann_pos), '') || ']'"""
+
+
+@register("sink_csv", S(f"""SELECT c.taxonomy, c.origin, c.doc_id, c.n_chars, md5(coalesce(m.mask, '[]')) AS mask_md5
+FROM (SELECT t.taxonomy, origin, doc_id, length(source_text) AS n_chars FROM corpus CROSS JOIN (VALUES ('A'), ('B')) t(taxonomy)
+      WHERE (origin = 'A' AND language = 'English') OR (origin = 'B' AND language = 'en')) c
+LEFT JOIN (SELECT taxonomy, origin, doc_id, {_MASK_TEXT} AS mask FROM uspans_en GROUP BY taxonomy, origin, doc_id) m
+  ON m.taxonomy = c.taxonomy AND m.origin = c.origin AND m.doc_id = c.doc_id""", "corpus", "uspans_en"))
+def q_sink_csv(spark, sf_dir):
+    return _union(back.select(
+        F.lit(t).alias("taxonomy"), F.col("origin"), F.col("doc_id").cast("bigint"), F.length("source_text").alias("n_chars"),
+        F.md5(F.col("privacy_mask").cast("binary")).alias("mask_md5")) for t, _, back in _csv_files(spark, sf_dir))
+
+
+@register("scan_csv_nested", S("""SELECT taxonomy, origin, doc_id, %s, start, "end", label, value FROM uspans_en""" % _RENUM, "uspans_en"))
 def q_scan_csv_nested(spark, sf_dir):
-    L = lineage(spark, sf_dir)
-    path = io.output_path(spark, "concat_csv")
-    io.sink_csv(_csv_dataset(L), path, ["privacy_mask"])
-    back = io.restore_lists(io.scan_csv(spark, path), "privacy_mask")
-    return (back.select(F.col("origin"), F.col("doc_id").cast("bigint").alias("doc_id"),
-                        F.posexplode("privacy_mask").alias("ann_pos", "a"))
-            .select(*DOC_KEY, F.col("ann_pos").cast("int"), F.col("a.start").alias("start"),
-                    F.col("a.end").alias("end"), F.col("a.label").alias("label"), F.col("a.value").alias("value")))
+    def rows(t, path):
+        back = io.restore_lists(io.scan_csv(spark, path), "privacy_mask")
+        return (back.select(F.col("origin"), F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode("privacy_mask").alias("ann_pos", "a"))
+                .select(F.lit(t).alias("taxonomy"), *DOC_KEY, F.col("ann_pos").cast("int"), F.col("a.start").alias("start"),
+                        F.col("a.end").alias("end"), F.col("a.label").alias("label"), F.col("a.value").alias("value")))
+    return _union(rows(t, path) for t, path, _ in _csv_files(spark, sf_dir))
 
 
 @register("parse_literal", S("""SELECT origin, doc_id, ann_pos, value, start, "end", label, label_index
@@ -194,18 +216,28 @@ def q_parse_literal(spark, sf_dir):
 @register("sample_rows", S("""SELECT origin, doc_id, split, CAST(len(privacy_mask) AS INTEGER) AS n_ann
 FROM annotated ORDER BY origin, doc_id LIMIT 100""", "annotated"))
 def q_sample_rows(spark, sf_dir):
-    d = io.sample_rows(lineage(spark, sf_dir).annotated, 100)
+    from ..sources import corpus as C
+    d = C.annotate(io.sample_rows(C.corpus(spark, sf_dir), 100))
     return d.select(*DOC_KEY, "split", F.size("privacy_mask").alias("n_ann"))
 
 
-@register("sample_random", None)
+@register("sample_random", S("""SELECT origin, doc_id, split, CAST(len(privacy_mask) AS INTEGER) AS n_ann FROM annotated
+WHERE ('0x' || substr(md5('42,' || origin || ',' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT < floor(0.1 * 4294967296)""", "annotated"))
 def q_sample_random(spark, sf_dir):
-    d = io.sample_random(lineage(spark, sf_dir).annotated, 0.1, seed=42)
+    from ..sources import corpus as C
+    d = C.annotate(io.sample_random(C.corpus(spark, sf_dir), 0.1, seed=42))
     return d.select(*DOC_KEY, "split", F.size("privacy_mask").alias("n_ann"))
 
 
-@register("describe_dataset", S("""SELECT origin, split, count(*) AS n_rows,
-  CAST(sum(len(privacy_mask)) AS BIGINT) AS n_annotations FROM annotated GROUP BY origin, split""", "annotated"))
+_SCHEMA_ROWS = [("origin", "string"), ("doc_id", "bigint"), ("language", "string"), ("lang", "string"), ("split", "string"),
+                ("source_text", "string"), ("privacy_mask", MASK_TYPE_B), ("privacy_mask.value", "string"), ("privacy_mask.start", "int"),
+                ("privacy_mask.end", "int"), ("privacy_mask.label", "string"), ("privacy_mask.label_index", "int")]
+
+
+@register("describe_dataset", S(f"""SELECT 'schema' AS section, name, type, CAST(NULL AS BIGINT) AS n_rows, CAST(NULL AS BIGINT) AS n_annotations
+FROM ({O._values(_SCHEMA_ROWS, ["name", "type"])})
+UNION ALL SELECT 'counts', origin || '/' || split, NULL, count(*), CAST(sum(len(privacy_mask)) AS BIGINT)
+FROM annotated GROUP BY origin, split""", "annotated"))
 def q_describe_dataset(spark, sf_dir):
     return io.describe_dataset(lineage(spark, sf_dir).annotated)
 
@@ -257,20 +289,23 @@ def q_drop_nested_field(spark, sf_dir):
     return x.select(*DOC_KEY, F.col("ann_pos").cast("int"), "a.*", F.lit(n_fields).alias("n_fields"))
 
 
-@register("conform_schema", S("""SELECT origin, doc_id, %s, value, start, "end", label
-FROM uspans_en WHERE taxonomy = 'A'""" % _RENUM, "uspans_en"))
+def _uniform(spark, sf_dir):
+    """Annotations of both corpora in one schema and in the labels of either taxonomy, in long form."""
+    docs = prep.filter_language(lineage(spark, sf_dir).annotated_en)
+    return _union(prep.uniform_corpus(docs, t).select(F.lit(t).alias("taxonomy"), *DOC_KEY, F.posexplode("privacy_mask").alias("ann_pos", "a"))
+                  for t in tx.TAXONOMIES).withColumn("ann_pos", F.col("ann_pos").cast("int"))
+
+
+@register("conform_schema", S("""SELECT taxonomy, origin, doc_id, %s, value, start, "end", label FROM uspans_en""" % _RENUM, "uspans_en"))
 def q_conform_schema(spark, sf_dir):
-    d = prep.uniform_corpus(prep.filter_language(lineage(spark, sf_dir).annotated_en), "A")
-    x = d.select(*DOC_KEY, F.posexplode("privacy_mask").alias("ann_pos", "a"))
-    return x.select(*DOC_KEY, F.col("ann_pos").cast("int"), "a.*")
+    return _uniform(spark, sf_dir).select("taxonomy", *DOC_KEY, "ann_pos", "a.*")
 
 
-@register("relabel", S("""SELECT origin, doc_id, %s, label FROM uspans_en WHERE taxonomy = 'B'""" % _RENUM,
-                      "uspans_en"))
+@register("relabel", S("""SELECT taxonomy, origin, doc_id, %s, label FROM uspans_en WHERE origin <> taxonomy""" % _RENUM, "uspans_en"))
 def q_relabel(spark, sf_dir):
-    d = prep.uniform_corpus(prep.filter_language(lineage(spark, sf_dir).annotated_en), "B")
-    x = d.select(*DOC_KEY, F.posexplode("privacy_mask").alias("ann_pos", "a"))
-    return x.select(*DOC_KEY, F.col("ann_pos").cast("int"), F.col("a.label").alias("label"))
+    """A -> B and B -> A: each corpus in the other's labels."""
+    x = _uniform(spark, sf_dir).where(F.col("origin") != F.col("taxonomy"))
+    return x.select("taxonomy", *DOC_KEY, "ann_pos", F.col("a.label").alias("label"))
 
 
 @register("mask_ignored", S("""SELECT taxonomy, origin, CAST(count(*) + 2 * count(DISTINCT doc_id) AS BIGINT) AS positions,
@@ -310,18 +345,30 @@ def q_scope_labels(spark, sf_dir):
 
 _IGN_A = "[" + ", ".join(O.q(x) for x in tx.MODEL_IGNORE["A"]) + "]"
 _IGN_B = "[" + ", ".join(O.q(x) for x in tx.MODEL_IGNORE["B"]) + "]"
+# Stand-in input: a model that tags every 50th token with one of the labels on its ignore list.
+_PLANT = 50
 
 
-@register("drop_pred_entities", S(f"""SELECT taxonomy, model_id, pred_tag, count(*) AS n_replaced FROM tag_pairs
-WHERE pred_tag IS NOT NULL AND pred_tag <> 'O' AND list_contains(CASE WHEN taxonomy = 'A' THEN {_IGN_A} ELSE {_IGN_B} END,
-      regexp_replace(pred_tag, '^[BI]-', ''))
-GROUP BY taxonomy, model_id, pred_tag""", "tag_pairs"))
+@register("drop_pred_entities", S(f"""SELECT taxonomy, model_id, entity, kept, count(*) AS n FROM (
+  SELECT taxonomy, model_id, entity, CASE WHEN list_contains(CASE WHEN taxonomy = 'A' THEN {_IGN_A} ELSE {_IGN_B} END,
+      regexp_replace(entity, '^[BI]-', '')) THEN 'O' ELSE entity END AS kept
+  FROM (SELECT taxonomy, model_id, CASE WHEN idx % {_PLANT} = 0 THEN 'B-' || (CASE WHEN taxonomy = 'A'
+          THEN {_IGN_A}[1 + (idx // {_PLANT}) % len({_IGN_A})] ELSE {_IGN_B}[1 + (idx // {_PLANT}) % len({_IGN_B})] END) ELSE pred END AS entity
+        FROM all_preds WHERE idx <= k)) GROUP BY ALL""", "all_preds"))
 def q_drop_pred_entities(spark, sf_dir):
-    tp = lineage(spark, sf_dir).tag_pairs
-    dropped = F.when(F.col("taxonomy") == "A", predict.drop_entities(F.col("pred_tag"), "A")) \
-        .otherwise(predict.drop_entities(F.col("pred_tag"), "B"))
-    x = tp.where(F.col("pred_tag").isNotNull() & (F.col("pred_tag") != "O") & (dropped == "O"))
-    return x.groupBy("taxonomy", "model_id", "pred_tag").agg(F.count(F.lit(1)).alias("n_replaced"))
+    """Every entity of the prediction lists before and after the model's ignore list."""
+    L = lineage(spark, sf_dir)
+    out = []
+    for t in tx.TAXONOMIES:
+        ignored = F.array(*[F.lit(f"B-{x}") for x in tx.MODEL_IGNORE[t]])
+        planted = F.element_at(ignored, (F.expr(f"idx div {_PLANT}") % len(tx.MODEL_IGNORE[t]) + 1).cast("int"))
+        for m in predict.MODELS:
+            x = L.geometry.where(F.col("idx") <= L.n_pred(m)).groupBy(
+                L.pred_id(t, m).alias("id"), F.when(F.col("idx") % _PLANT == 0, planted).alias("planted")).agg(F.count(F.lit(1)).alias("n"))
+            entity = F.coalesce("planted", tx.tag_text(F.col("id"), t))
+            out.append(x.select(F.lit(t).alias("taxonomy"), F.lit(m).alias("model_id"), entity.alias("entity"),
+                                predict.drop_entities(entity, t).alias("kept"), "n"))
+    return _union(out).groupBy("taxonomy", "model_id", "entity", "kept").agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------------------
@@ -399,32 +446,35 @@ def _nested_preds(L, model_id: str, taxonomy: str):
                           F.concat(F.transform("l", lambda z: z["e"]), surplus).alias("predicted_mask"))
 
 
-@register("attach_predictions", S("""SELECT origin, doc_id, 'rule_loose' AS model_id, CAST(count(*) AS INTEGER) AS n_pred,
-  max(n_tok) AS n_tok FROM tokens GROUP BY origin, doc_id""", "tokens"))
+def _every(fn):
+    """``fn(taxonomy, model)`` of both taxonomies and models, with their names."""
+    return _union(fn(t, m).withColumn("taxonomy", F.lit(t)) for t in tx.TAXONOMIES for m in predict.MODELS)
+
+
+@register("attach_predictions", S("""SELECT taxonomy, origin, doc_id, model_id, CAST(max(k) AS INTEGER) AS n_pred, CAST(count(*) AS INTEGER) AS n_tok
+FROM all_preds GROUP BY ALL""", "all_preds"))
 def q_attach_predictions(spark, sf_dir):
+    """Documents joined to each model's list on their key."""
     L = lineage(spark, sf_dir)
-    preds = _nested_preds(L, "rule_loose", "A")
     docs = L.geometry.groupBy(*DOC_KEY).agg(F.max("n_tok").alias("n_tok"))
-    j = docs.join(preds, DOC_KEY, "inner")
-    return j.select(*DOC_KEY, "model_id", F.size("predicted_mask").alias("n_pred"), "n_tok")
+    return _every(lambda t, m: docs.join(_nested_preds(L, m, t), DOC_KEY, "inner").select(
+        *DOC_KEY, "model_id", F.size("predicted_mask").alias("n_pred"), "n_tok"))
 
 
 @register("zip_pairs", S("""SELECT taxonomy, model_id, origin, doc_id, count(*) AS n_scored,
   count(*) FILTER (WHERE pred_tag IS NULL) AS n_pad
-FROM tag_pairs WHERE model_id = 'noisy' GROUP BY ALL""", "tag_pairs"))
+FROM tag_pairs GROUP BY ALL""", "tag_pairs"))
 def q_zip_pairs(spark, sf_dir):
     L = lineage(spark, sf_dir)
-    out = None
-    for t in tx.TAXONOMIES:
-        preds = _nested_preds(L, "noisy", t)
+
+    def pairs(t):
+        preds = _union(_nested_preds(L, m, t) for m in predict.MODELS)
         true = L.geometry.select(*DOC_KEY, "idx", L.true_id(t).alias("true_id"))
         p = predict.zip_pairs(true, preds, t).where(F.col("true_id") != tx.IGNORE_ID)
-        g = p.groupBy("model_id", *DOC_KEY).agg(
+        return p.groupBy("model_id", *DOC_KEY).agg(
             F.count(F.lit(1)).alias("n_scored"),
-            F.sum((F.col("pred_id") == tx.IGNORE_ID).cast("int")).cast("bigint").alias("n_pad"))
-        g = g.select(F.lit(t).alias("taxonomy"), "*")
-        out = g if out is None else out.unionByName(g)
-    return out
+            F.sum((F.col("pred_id") == tx.IGNORE_ID).cast("int")).cast("bigint").alias("n_pad")).withColumn("taxonomy", F.lit(t))
+    return _union(pairs(t) for t in tx.TAXONOMIES)
 
 
 _SUBS_SQL = """(SELECT origin, doc_id, idx, unnest(list_distinct(list_concat([''],
@@ -432,22 +482,35 @@ _SUBS_SQL = """(SELECT origin, doc_id, idx, unnest(list_distinct(list_concat([''
  FROM tokens)"""
 
 
-@register("word_match_align", S(f"""SELECT model_id, entity, count(*) AS n FROM (
-  SELECT t.origin, t.doc_id, t.idx, 'rule_loose' AS model_id, coalesce(f.entity, 'O') AS entity
-  FROM tokens t LEFT JOIN (
-    SELECT s.origin, s.doc_id, s.idx, arg_min(p.entity, p.ppos) AS entity
-    FROM {_SUBS_SQL} s JOIN (
-      SELECT origin, doc_id, trim(tok) AS word, min(idx - 1) AS ppos, arg_min(pred_tag, idx) AS entity
-      FROM preds_loose_a GROUP BY origin, doc_id, trim(tok)
-    ) p ON p.origin = s.origin AND p.doc_id = s.doc_id AND p.word = s.word
-    GROUP BY s.origin, s.doc_id, s.idx
-  ) f ON f.origin = t.origin AND f.doc_id = t.doc_id AND f.idx = t.idx
-) GROUP BY model_id, entity""", "tokens", "preds_loose_a"))
+O.CTES["matched"] = (f"""SELECT f.origin, f.doc_id, f.idx, f.model_id, f.first
+FROM (SELECT s.origin, s.doc_id, s.idx, w.model_id, min(w.first) AS first
+      FROM {_SUBS_SQL} s JOIN (SELECT model_id, origin, doc_id, trim(tok) AS word, min(idx) AS first
+                               FROM all_preds WHERE taxonomy = 'A' AND idx <= k GROUP BY ALL) w
+        ON w.origin = s.origin AND w.doc_id = s.doc_id AND w.word = s.word
+      GROUP BY ALL) f""", ["tokens", "all_preds"])
+
+
+def _text_level(L):
+    """Tokens of the gold rows, ignored positions included, with the entity that word match finds in each model's
+    list: ``model_id, true_A, true_B, entity`` (a struct with a tag for each taxonomy)."""
+    x = L.geometry.select(
+        *DOC_KEY, F.explode(F.array(*[F.struct(
+            F.lit(m).alias("model_id"), L.n_pred(m).alias("k"), F.struct(
+                F.col("idx"), F.col("tok").alias("word"), *[L.pred_id(t, m).alias(t) for t in tx.TAXONOMIES]).alias("e"))
+            for m in predict.MODELS])).alias("x")).select(*DOC_KEY, "x.*").where(F.col("e.idx") <= F.col("k"))
+    lists = x.groupBy(*DOC_KEY, "model_id").agg(F.array_sort(F.collect_list("e")).alias("l"))
+    preds = lists.select(*DOC_KEY, "model_id", F.transform("l", lambda e: F.struct(
+        F.struct(*[tx.tag_text(e[t], t).alias(t) for t in tx.TAXONOMIES]).alias("entity"), e["word"].alias("word"))).alias("predicted_mask"))
+    return predict.word_match_align(L.geometry.select(*DOC_KEY, "idx", "tok", *[f"true_{t}" for t in tx.TAXONOMIES]), preds)
+
+
+@register("word_match_align", S("""SELECT p.taxonomy, p.model_id, p.pred AS entity, count(*) AS n
+FROM matched f JOIN all_preds p ON p.model_id = f.model_id AND p.origin = f.origin AND p.doc_id = f.doc_id AND p.idx = f.first
+GROUP BY ALL""", "matched", "all_preds"))
 def q_word_match_align(spark, sf_dir):
-    L = lineage(spark, sf_dir)
-    preds = _nested_preds(L, "rule_loose", "A")
-    m = predict.word_match_align(L.geometry.select(*DOC_KEY, "idx", "tok"), preds)
-    return m.groupBy("model_id", "entity").agg(F.count(F.lit(1)).alias("n"))
+    x = _text_level(lineage(spark, sf_dir)).groupBy("model_id", "entity").agg(F.count(F.lit(1)).alias("n"))
+    rows = F.array(*[F.struct(F.lit(t).alias("taxonomy"), F.col(f"entity.{t}").alias("entity")) for t in tx.TAXONOMIES])
+    return x.select("model_id", "n", F.explode(rows).alias("x")).groupBy("x.taxonomy", "model_id", "x.entity").agg(F.sum("n").alias("n"))
 
 
 @register("compare_models", S(f"""SELECT taxonomy, tag, f1_rule_loose, f1_noisy, {R6('f1_noisy - f1_rule_loose')} AS delta,
@@ -517,14 +580,19 @@ def q_label_except(spark, sf_dir):
     return prep.label_except(lineage(spark, sf_dir).spans_all)
 
 
-@register("label_scope", S("""SELECT DISTINCT s.label FROM spans_all s JOIN keep k ON k.origin = s.origin AND k.label = s.label
-WHERE s.origin = 'B'
+def _scope_sql(own: str, other: str) -> str:
+    return f"""SELECT '{own}' AS taxonomy, label FROM (
+SELECT DISTINCT s.label FROM spans_all s JOIN keep k ON k.origin = s.origin AND k.label = s.label WHERE s.origin = '{own}'
 INTERSECT
 SELECT DISTINCT coalesce(mp.to_label, s.label) FROM spans_all s JOIN keep k ON k.origin = s.origin AND k.label = s.label
-LEFT JOIN mapping mp ON mp.src = 'A' AND mp.dst = 'B' AND mp.from_label = s.label
-WHERE s.origin = 'A'""", "spans_all", "keep", "mapping"))
+LEFT JOIN mapping mp ON mp.src = '{other}' AND mp.dst = '{own}' AND mp.from_label = s.label WHERE s.origin = '{other}')"""
+
+
+@register("label_scope", S(f"{_scope_sql('A', 'B')} UNION ALL {_scope_sql('B', 'A')}", "spans_all", "keep", "mapping"))
 def q_label_scope(spark, sf_dir):
-    return prep.label_scope(lineage(spark, sf_dir).spans_all, "B")
+    # distinct labels first, so that both directions share one pass over the annotations
+    labels = lineage(spark, sf_dir).spans_all.select("origin", "label").distinct()
+    return _union(prep.label_scope(labels, t).select(F.lit(t).alias("taxonomy"), "label") for t in tx.TAXONOMIES)
 
 
 @register("concat_corpora", S(f"""SELECT t.taxonomy, e.eval_set, c.origin, c.doc_id,
@@ -546,13 +614,14 @@ def q_concat_corpora(spark, sf_dir):
 
 
 @register("assert_label_set", S("""SELECT origin, label, 'expected_not_observed' AS issue FROM (
-  SELECT origin, label FROM keep EXCEPT SELECT DISTINCT s.origin, s.label FROM spans_all s JOIN keep k USING (origin, label))
+  SELECT origin, label FROM keep EXCEPT SELECT DISTINCT origin, label FROM spans_all)
 UNION ALL
 SELECT origin, label, 'observed_not_expected' FROM (
-  SELECT DISTINCT s.origin, s.label FROM spans_all s JOIN keep k USING (origin, label) EXCEPT SELECT origin, label FROM keep)""",
+  SELECT DISTINCT origin, label FROM spans_all EXCEPT SELECT origin, label FROM keep)""",
                                 "spans_all", "keep"))
 def q_assert_label_set(spark, sf_dir):
-    return prep.assert_label_set(keep_labels_long(lineage(spark, sf_dir).spans_all))
+    """The labels that the corpora hold before any is dropped against the allow-lists: both issues occur."""
+    return prep.assert_label_set(lineage(spark, sf_dir).spans_all)
 
 
 _FOREIGN_A = "[" + ", ".join(O.q(x) for x in tx.MAPPINGS[("B", "A")]) + "]"
@@ -627,21 +696,14 @@ def q_count_mismatch(spark, sf_dir):
     return audit.count_mismatch(L.located, align.resolve_overlaps(L.located))
 
 
-@register("length_mismatch", S(f"""SELECT m.model_id, t.origin, t.doc_id, max(t.n_tok) + 2 AS true_len,
-  max(t.n_tok) + 2 + CASE WHEN m.model_id = 'noisy' AND t.doc_id % {predict.SURPLUS_MOD} = {predict.SURPLUS_AT} THEN 1 ELSE 0 END AS pred_len
-FROM tokens t CROSS JOIN (VALUES ('rule_loose'), ('noisy')) m(model_id)
-GROUP BY m.model_id, t.origin, t.doc_id
-HAVING max(t.n_tok) + 2 <> pred_len""", "tokens"))
+@register("length_mismatch", S("""SELECT taxonomy, model_id, origin, doc_id, CAST(count(*) + 2 AS INTEGER) AS true_len, CAST(max(k) + 2 AS INTEGER) AS pred_len
+FROM all_preds GROUP BY taxonomy, model_id, origin, doc_id HAVING count(*) <> max(k)""", "all_preds"))
 def q_length_mismatch(spark, sf_dir):
     L = lineage(spark, sf_dir)
     docs = L.geometry.groupBy(*DOC_KEY).agg(F.max("n_tok").alias("n_tok"))
-    out = None
-    for m in predict.MODELS:
-        x = docs.join(_nested_preds(L, m, "A"), DOC_KEY).select(
-            "model_id", *DOC_KEY, (F.col("n_tok") + 2).alias("true_len"),
-            (F.size("predicted_mask") + 2).alias("pred_len"))
-        out = x if out is None else out.unionByName(x)
-    return out.where(F.col("true_len") != F.col("pred_len"))
+    return _every(lambda t, m: docs.join(_nested_preds(L, m, t), DOC_KEY).select(
+        "model_id", *DOC_KEY, (F.col("n_tok") + 2).alias("true_len"),
+        (F.size("predicted_mask") + 2).alias("pred_len"))).where(F.col("true_len") != F.col("pred_len"))
 
 
 # ---------------------------------------------------------------------------
@@ -697,23 +759,17 @@ FROM (
   UNION ALL SELECT taxonomy, model_id, p, 0, 1, 0 FROM flat
 ) GROUP BY taxonomy, model_id, tag""", "flat"))
 def q_flat_true_tokens(spark, sf_dir):
-    """Text-level report where ignored true tags count as ``O``."""
-    L = lineage(spark, sf_dir)
-    g = L.geometry
-    rows = []
-    for t in tx.TAXONOMIES:
-        for m in predict.MODELS:
-            k = L.n_pred(m)
-            true_t = F.coalesce(tx.tag_text(L.true_id(t), t, ignore_text="O"), F.lit("O"))
-            pred_t = F.when(F.col("idx") <= k, tx.tag_text(L.pred_id(t, m), t, ignore_text="O")) \
-                .otherwise(F.lit("O"))
-            rows.append(F.struct(F.lit(t).alias("taxonomy"), F.lit(m).alias("model_id"),
-                                 true_t.alias("t"), pred_t.alias("p")))
-    x = g.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """Text-level report over word-matched predictions; ignored true tags count as ``O``.  Tokens are counted
+    by their tags in both taxonomies first."""
+    x = _text_level(lineage(spark, sf_dir)).groupBy("model_id", *[f"true_{t}" for t in tx.TAXONOMIES], "entity").agg(F.count(F.lit(1)).alias("n"))
+    x = x.select("model_id", "n", F.explode(F.array(*[F.struct(
+        F.lit(t).alias("taxonomy"), F.coalesce(tx.tag_text(F.col(f"true_{t}"), t, ignore_text="O"), F.lit("O")).alias("t"),
+        F.col(f"entity.{t}").alias("p")) for t in tx.TAXONOMIES])).alias("r")).select("model_id", "n", "r.*")
+    zero = F.lit(0).cast("bigint")
     c = x.select("taxonomy", "model_id", F.explode(F.array(
-        F.struct(F.col("t").alias("tag"), (F.col("t") == F.col("p")).cast("int").alias("tp"),
-                 F.lit(0).alias("pn"), F.lit(1).alias("sp")),
-        F.struct(F.col("p").alias("tag"), F.lit(0).alias("tp"), F.lit(1).alias("pn"), F.lit(0).alias("sp")))).alias("c"))
+        F.struct(F.col("t").alias("tag"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(zero).alias("tp"),
+                 zero.alias("pn"), F.col("n").alias("sp")),
+        F.struct(F.col("p").alias("tag"), zero.alias("tp"), F.col("n").alias("pn"), zero.alias("sp")))).alias("c"))
     g2 = c.groupBy("taxonomy", "model_id", F.col("c.tag").alias("tag")).agg(
         F.sum("c.tp").cast("bigint").alias("tp"), F.sum("c.pn").cast("bigint").alias("pred_n"),
         F.sum("c.sp").cast("bigint").alias("support"))
@@ -820,7 +876,9 @@ def q_plain_tags(spark, sf_dir):
         ORDER BY CASE WHEN origin <> taxonomy THEN 1 ELSE 0 END, doc_id, ann_pos) AS INTEGER) AS rank FROM uspans)
 WHERE rank <= 5""", "uspans"))
 def q_sample_entities(spark, sf_dir):
-    return audit.sample_entities(lineage(spark, sf_dir).uspans, 5)
+    """Ids are read upwards until every label has its 5 (labels that never occur have all of them read)."""
+    x = lineage(spark, sf_dir).first_entities(5, tx.KEEP_LABELS)
+    return x.select("taxonomy", "label", "rank", "origin", "doc_id", "ann_pos", "value")
 
 
 _SPOT = " OR ".join(
@@ -839,8 +897,13 @@ FROM (
   WHERE p.ann_rank <= 3
 ) w LEFT JOIN tokens t ON t.origin = w.origin AND t.doc_id = w.doc_id AND t.idx = w.idx""", "located_t", "tokens"))
 def q_spot_check(spark, sf_dir):
+    """The examples are picked from annotations first; only their documents are lexed."""
     L = lineage(spark, sf_dir)
-    return audit.spot_check(L.located_t, L.geometry.select(*L.tokens.columns), 3)
+    picked = L.first_entities(3, audit.SPOT_LABELS, audit.of_interest() & (F.col("end") > F.col("start")))
+    texts = L.docs_en.join(F.broadcast(picked.select(*DOC_KEY).distinct()), DOC_KEY, "left_semi")  # at most 3 a label
+    tokens = lexer.tokens(texts)
+    located = align.locate(picked.select("taxonomy", *align.SPAN_COLS), tokens, extra_key=["taxonomy"])
+    return audit.spot_check(located, tokens, 3)
 
 
 # ---------------------------------------------------------------------------
@@ -852,31 +915,26 @@ def q_spot_check(spark, sf_dir):
 FROM preds_loose_a GROUP BY origin, doc_id""", "preds_loose_a"))
 def q_score_batches(spark, sf_dir):
     """Entities and words of every document by the Python scorer; the SQL derives them from the rules."""
-    s = _scored(spark, sf_dir)
+    s = lineage(spark, sf_dir).scored[0]
     rows = F.transform("predicted_mask", lambda e: F.concat(e["entity"], F.lit(" "), e["word"]))
     return s.where(F.size("predicted_mask") > 0).select(
         *DOC_KEY, "model_id", F.size("predicted_mask").alias("n_pred"),
         F.md5(F.array_join(rows, "\n")).alias("entities_md5"))
 
 
-def _scored(spark, sf_dir):
-    return predict.score_batches(lineage(spark, sf_dir).docs_en, predict.rule_scorer("A"), "rule_loose")
-
-
 @register("latency_report", None)
 def q_latency_report(spark, sf_dir):
-    s = _scored(spark, sf_dir)
-    return s.groupBy("model_id").agg(
-        F.count(F.lit(1)).alias("n_samples"), (F.sum("elapsed_ms") / 1000.0).alias("total_sec"),
-        F.avg("elapsed_ms").alias("mean_ms_per_sample"))
+    """Total and mean latency, observed while the scored rows were written (``score_batches`` reads those)."""
+    return lineage(spark, sf_dir).scored[1]
 
 
-@register("encode_predictions", S("""SELECT origin, doc_id, CAST(count(*) + 2 AS INTEGER) AS n_ids,
-  CAST(sum(tag_id) - 200 AS BIGINT) AS id_sum FROM preds_loose_a_ids GROUP BY origin, doc_id""", "preds_loose_a_ids"))
+@register("encode_predictions", S(f"""SELECT p.taxonomy, p.model_id, p.origin, p.doc_id, CAST(max(p.k) + 2 AS INTEGER) AS n_ids,
+  CAST(sum(d.tag_id) + (max(p.k) - count(*)) * max(CASE p.taxonomy WHEN 'A' THEN {tx.tag2id("A")["O"]} ELSE {tx.tag2id("B")["O"]} END) - 200 AS BIGINT) AS id_sum
+FROM all_preds p JOIN label_dim d ON d.taxonomy = p.taxonomy AND d.tag = p.pred GROUP BY p.taxonomy, p.model_id, p.origin, p.doc_id""",
+                                  "all_preds", "label_dim"))
 def q_encode_predictions(spark, sf_dir):
     L = lineage(spark, sf_dir)
-    preds = _nested_preds(L, "rule_loose", "A")
-    ids = predict.encode_predictions(F.col("predicted_mask"), "A")
-    x = preds.select(*DOC_KEY, ids.alias("ids"))
-    return x.select(*DOC_KEY, F.size("ids").alias("n_ids"),
-                    F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("id_sum"))
+    return _every(lambda t, m: _nested_preds(L, m, t).select(
+        "model_id", *DOC_KEY, predict.encode_predictions(F.col("predicted_mask"), t).alias("ids"))).select(
+        "taxonomy", "model_id", *DOC_KEY, F.size("ids").alias("n_ids"),
+        F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("id_sum"))

@@ -45,13 +45,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """``origin, doc_id, language, lang, split, source_text`` (one row per document).
+def corpus(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
+           ids: tuple[int, int] | None = None) -> DataFrame:
+    """``origin, doc_id, language, lang, split, source_text`` (one row per document); ``ids``: those
+    given under ids in this range (both ends), which the scan filters by.
 
     Documents are hash-placed on ``(origin, doc_id)`` once; every later
     per-document window, aggregate and join reuses that placement.
     """
     d = documents(spark, sf_dir)
+    if ids is not None:
+        d = d.where(F.col("doc_id").between(*ids))
     origin = F.when(F.col("doc_id") % 2 == 0, F.lit("A")).otherwise(F.lit("B"))
 
     def rows(d: DataFrame, doc_id: Column, text: Column) -> DataFrame:
@@ -244,15 +248,19 @@ MASK_TYPE_B = "array<struct<value:string,start:int,end:int,label:string,label_in
 
 
 def annotated(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
-    """Nested view of the corpus: corpus columns + ``privacy_mask``.
+    """The corpus (of one language code, if given) with ``privacy_mask``."""
+    c = corpus(spark, sf_dir)
+    return annotate(c if lang is None else c.where(F.col("lang") == lang))
+
+
+def annotate(docs: DataFrame) -> DataFrame:
+    """Nested view of some documents: corpus columns + ``privacy_mask``.
 
     Origin B carries ``label_index`` (0-based position among annotations of
     the same label) like the second reference dataset; origin A leaves it
     null.  The nested form is an edge format; operators work in long form.
-    ``lang`` keeps the documents of one language code before they are annotated.
     """
-    c = corpus(spark, sf_dir)
-    c = place_documents(c if lang is None else c.where(F.col("lang") == lang))
+    c = place_documents(docs)
     s = spans(c)
     s = s.withColumn(
         "label_index",

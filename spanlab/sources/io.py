@@ -110,17 +110,42 @@ def describe_schema(docs: DataFrame) -> list[tuple[str, str]]:
 
 
 def describe_dataset(docs: DataFrame) -> DataFrame:
-    """Rows and annotations per corpus and split."""
-    return docs.groupBy("origin", "split").agg(
+    """The schema walk and the counts as one table: ``section`` is ``schema`` (``name`` a path, ``type`` its type)
+    or ``counts`` (``name`` corpus and split, ``n_rows``, ``n_annotations``)."""
+    none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    counts = docs.groupBy("origin", "split").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(F.size("privacy_mask")).cast("bigint").alias("n_annotations"))
+    schema = docs.sparkSession.createDataFrame(describe_schema(docs), "name string, type string")
+    return schema.select(F.lit("schema").alias("section"), "name", "type", none.alias("n_rows"), none.alias("n_annotations")).unionByName(
+        counts.select(F.lit("counts").alias("section"), F.concat_ws("/", "origin", "split").alias("name"), text.alias("type"),
+                      "n_rows", "n_annotations"))
 
 
-def sample_rows(docs: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows in key order (the reference's ``--sample``)."""
-    return docs.orderBy(*DOC_KEY).limit(n)
+#: Most rows that a head sample takes: its keys are broadcast.
+MAX_HEAD = 10_000
+
+
+def head_keys(docs: DataFrame, n: int) -> DataFrame:
+    """Keys of the first ``n`` rows in key order: a bounded top-n, no sort of the corpus."""
+    if not 0 <= n <= MAX_HEAD:
+        raise ValueError(f"a head sample takes 0 to {MAX_HEAD} rows, not {n}")
+    return docs.select(*DOC_KEY).orderBy(*DOC_KEY).limit(n)
+
+
+def sample_rows(docs: DataFrame, n: int, keys: DataFrame | None = None) -> DataFrame:
+    """The first ``n`` rows in key order (the reference's ``--sample``).
+
+    The keys are chosen first (``head_keys``), so that what ``docs`` computes from a text, such as its annotations, is
+    computed for the chosen rows only: apply this before it.
+    """
+    return docs.join(F.broadcast(head_keys(docs, n) if keys is None else keys), DOC_KEY, "left_semi")
 
 
 def sample_random(docs: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """A real random sample, as the option's help text promises."""
-    return docs.sample(withReplacement=False, fraction=fraction, seed=seed)
+    """A real random sample, as the option's help text promises: every row is taken or left by 32 bits of a
+    digest of the seed and its key, so that a task run again takes the same rows."""
+    if not 0 <= fraction <= 1:
+        raise ValueError(f"a fraction is 0 to 1, not {fraction}")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(",", F.lit(str(seed)), *[F.col(c).cast("string") for c in DOC_KEY]).cast("binary")), 1, 8), 16, 10)
+    return docs.where(draw.cast("bigint") < F.lit(int(fraction * (1 << 32))))
