@@ -36,6 +36,39 @@ def byte_ngrams(raw: np.ndarray, offsets: np.ndarray, n: int, bits: int):
     return row, feature[at]
 
 
+def letter_ngrams(raw: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bits: int):
+    """Hashed n-grams of code points inside words as (row, feature), A-Z folded.
+
+    Whatever isn't a letter, a digit or beyond ASCII is one border sign; an n-gram may begin or end with it and
+    holds none inside, so that a word's start and end count as characters.
+    """
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    begins = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[offsets]  # code points before each row
+    n_rows = len(offsets) - 1
+    row = np.repeat(np.arange(n_rows + 1), np.append(np.diff(begins), 0))
+    sign = np.zeros(len(points) + n_rows + 1, np.uint64)  # a border before, between and after the rows
+    at = np.arange(len(points)) + row + 1
+    folded = points + np.where((points >= 65) & (points <= 90), 32, 0).astype(np.uint32)
+    sign[at] = np.where((points >= 128) | ((folded >= 97) & (folded <= 122)) | ((points >= 48) & (points <= 57)), folded, 0)
+    borders = np.cumsum(sign == 0)
+    owner = np.searchsorted(begins + np.arange(n_rows + 1), np.arange(len(sign)), "right") - 1  # a border before a row is its
+    rows, features = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    code = sign + _U(1)
+    for n in range(2, max(orders) + 1):
+        if len(sign) < n:
+            break
+        code = code[:-1] * _U(_ODD[0]) + (sign[n - 1:] + _U(1))
+        if n in orders:
+            m = len(code)
+            inside = np.flatnonzero(borders[n - 2:n - 2 + m] == borders[:m])
+            key = code[inside] * _U(_ODD[n % len(_ODD)])
+            key ^= key >> _U(31)
+            key *= _U(_ODD[(n + 3) % len(_ODD)])
+            rows.append(owner[inside])
+            features.append((key >> _U(64 - bits)).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(features)
+
+
 def distinct(row: np.ndarray, feature: np.ndarray, bits: int):
     """Distinct (row, feature) pairs sorted by row, and how often each occurs."""
     key = (row.astype(np.uint64) << _U(bits)) | feature.astype(np.uint64)

@@ -120,10 +120,11 @@ def train(labelled: DataFrame, totals: dict[int, int], p: Params = Params()) ->
     if len(grades) < 2:
         return Model(np.zeros(1 << p.bits), np.zeros(0), grades if len(grades) else np.zeros(1, np.int64), p)
     got = labelled.select("text", "label").mapInArrow(
-        _vectors(p), "label int, features array<int>, values array<float>").toArrow()
+        _vectors(p), "label int, features array<int>, values array<float>").limit(2 * p.sample_rows).toArrow()
     if got.num_rows == 0:
         return Model(np.zeros(1 << p.bits), np.zeros(0), grades[:1], p)
-    columns = {c: pa.concat_arrays(got.column(c).chunks) for c in got.column_names}
+    columns = {c: got.column(c).combine_chunks() for c in got.column_names}
+    columns = {c: pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v for c, v in columns.items()}
     feature = columns["features"].flatten().to_numpy()
     value = columns["values"].flatten().to_numpy().astype(float)
     row = np.repeat(np.arange(got.num_rows), np.diff(columns["features"].offsets.to_numpy()))

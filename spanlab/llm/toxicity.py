@@ -1,14 +1,19 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct hashed byte n-grams of the case-folded text. Both the ratios,
-counted in Spark, and the weights, from logistic regression, are learnt from a bounded sample
-of the labelled rows (``ratio_rows`` and ``sample_rows``), drawn by hash of doc_id, about
-half of each class and weighted back to the class rates of all labels. The sample's ids
-are what is broadcast, so no text is shuffled to learn, and scoring is one pass without a shuffle.
+Features are the distinct hashed n-grams of characters (code points) inside words, a word's border counting as
+one; case is folded.  The ratios are counted in Spark and the weights are fitted by logistic regression, both on a
+bounded sample of the labelled rows (``ratio_rows`` and ``sample_rows``), drawn by hash of doc_id, about
+half of each class and weighted back to the class rates of all labels. A feature seen in fewer than ``least`` rows
+is left out, and while the weights are fitted a row's features are scaled by ratios that were counted without that
+row: otherwise n-grams that only one toxic text has explain it, and the marks that toxic texts share are never
+learnt (in a language with few labels no toxic text was found).  Of all features the ``kept`` with the most
+telling difference between the classes stay.  The sample's ids are what is broadcast, so no text is shuffled to
+learn, and scoring is one pass without a shuffle.
 
 Defined results: null and empty texts get the score of no features (the class prior);
 without rows of both classes nothing can be learnt and every score is the share of
-toxic rows (0 if none); repeated rows score alike; a row's memory is that of its text.
+toxic rows (0 if none); repeated rows score alike; a document with several labels, or several documents
+of one label, count once for each pair; a row's memory is that of its text.
 Learning reads the columns ``doc_id, text`` and ``doc_id, <label>`` only.
 """
 
@@ -22,17 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_buffers
-from .hashed_text import byte_ngrams, distinct, fold, minimise, row_sums, sigmoid
+from .hashed_text import distinct, letter_ngrams, minimise, row_sums, sigmoid
 
 
 @dataclass(frozen=True)
 class Params:
-    orders: tuple[int, ...] = (3, 4)
-    bits: int = 18
+    # orders, least, ridge and smooth: chosen by threefold cross-validation on rows that may be learnt from
+    orders: tuple[int, ...] = (5, 6, 7)
+    bits: int = 20
     ratio_rows: int = 20000  # bound of the rows whose features are counted
     sample_rows: int = 5000  # bound of those that the weights are fitted on
+    least: int = 10
+    kept: int = 1 << 16
     ridge: float = 1e-3
-    smooth: float = 0.5
+    smooth: float = 1.0
 
 
 @dataclass(frozen=True)
@@ -42,11 +50,13 @@ class Model:
     params: Params
 
 
-def features(raw: np.ndarray, offsets: np.ndarray, p: Params):
-    """Distinct (row, feature) pairs of some texts."""
-    raw = fold(raw)
-    parts = [byte_ngrams(raw, offsets, n, p.bits) for n in p.orders]
-    row, feature, _ = distinct(np.concatenate([r for r, _ in parts]), np.concatenate([f for _, f in parts]), p.bits)
+def features(raw: np.ndarray, offsets: np.ndarray, p: Params, wanted: np.ndarray | None = None):
+    """Distinct (row, feature) pairs of some texts, of the ``wanted`` features only if given as flags."""
+    row, feature = letter_ngrams(raw, offsets, p.orders, p.bits)
+    if wanted is not None:
+        here = wanted[feature]
+        row, feature = row[here], feature[here]
+    row, feature, _ = distinct(row, feature, p.bits)
     return row, feature
 
 
@@ -83,52 +93,78 @@ def class_counts(labelled: DataFrame, p: Params) -> dict[int, np.ndarray]:
     return out
 
 
-def _vectors(p: Params):
+def log_ratio(in_toxic, in_clean, n_toxic, n_clean, smooth: float):
+    """ln of a feature's rate among toxic texts to that among clean ones."""
+    return np.log((in_toxic + smooth) / (n_toxic + 2 * smooth)) - np.log((in_clean + smooth) / (n_clean + 2 * smooth))
+
+
+def telling(counts: dict[int, np.ndarray], p: Params) -> np.ndarray:
+    """Flags of the features that take part."""
+    toxic, clean = counts[1][:-1], counts[0][:-1]
+    total, n = toxic + clean, counts[1][-1] + counts[0][-1]
+    rate = total / n
+    apart = np.abs(toxic / counts[1][-1] - clean / counts[0][-1]) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
+    apart[total < p.least] = 0
+    limit = np.partition(apart, -p.kept)[-p.kept] if p.kept < len(apart) else 0
+    return (apart > 0) & (apart >= limit)
+
+
+def _vectors(p: Params, shared):
     def run(batches):
+        wanted = shared.value
         for batch in batches:
             raw, off = text_buffers(batch.column("text"))
             label = batch.column("label").to_numpy(zero_copy_only=False)
             for lo, hi in slices(off):
-                row, feature = features(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], p)
+                row, feature = features(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], p, wanted)
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature.astype(np.int32)))
                 yield pa.record_batch([pa.array(label[lo:hi].astype(np.int32)), lists], names=["label", "features"])
     return run
 
 
+def fit(row, feature, y, each, counts: dict[int, np.ndarray], prior: float, p: Params) -> tuple[np.ndarray, float]:
+    """Weights of the features, before scaling, and the bias: penalised logistic regression of ``y`` on ratios that leave the
+    row itself out."""
+    toxic, clean = counts[1][:-1], counts[0][:-1]
+    own = (y == 1)[row].astype(np.int64)
+    value = log_ratio(toxic[feature] - own, clean[feature] - (1 - own), counts[1][-1] - own, counts[0][-1] - (1 - own), p.smooth)
+
+    def loss(x):
+        w, b = x[:-1], x[-1]
+        q = sigmoid(row_sums(row, value * w[feature], len(y)) + b)
+        d = each * (q - y)
+        fit = -(each * (y * np.log(q + 1e-12) + (1 - y) * np.log(1 - q + 1e-12))).sum()
+        return (fit + 0.5 * p.ridge * (w @ w),
+                np.append(np.bincount(feature, weights=value * d[row], minlength=len(w)) + p.ridge * w, d.sum()))
+
+    x = minimise(loss, np.append(np.zeros(1 << p.bits), prior), steps=60)
+    return x[:-1], float(x[-1])
+
+
 def train(labelled: DataFrame, totals: dict[int, int], p: Params = Params()) -> Model:
     """Fit on ``labelled`` (doc_id, text, label 0 or 1), of which ``totals`` rows of each label exist."""
     counts = class_counts(labelled.select("text", "label"), p)
     n = {y: int(counts[y][-1]) if y in counts else 0 for y in (0, 1)}
     if not n[0] or not n[1]:
         return Model(np.zeros(1 << p.bits), np.inf if n[1] else -np.inf, p)
-    rate = {y: (counts[y][:-1] + p.smooth) / (n[y] + 2 * p.smooth) for y in (0, 1)}
-    ratio = np.log(rate[1]) - np.log(rate[0])
+    wanted = telling(counts, p)
+    shared = labelled.sparkSession.sparkContext.broadcast(wanted)  # 2 ** bits bytes
 
     share = {y: min(1.0, p.sample_rows / 2 / n[y]) for y in (0, 1)}
-    draw = _draw(17)
-    sample = labelled.where(draw < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
-    got = sample.select("text", "label").mapInArrow(_vectors(p), "label int, features array<int>").toArrow()
+    sample = labelled.where(_draw(17) < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
+    got = sample.select("text", "label").mapInArrow(_vectors(p, shared), "label int, features array<int>").limit(
+        2 * p.sample_rows).toArrow()  # a draw by doc_id has no bound where ids repeat
     y = got.column("label").to_numpy().astype(float)
-    lists = got.column("features").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks)
+    lists = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(c.cast(pa.list_(pa.int32())) for c in got.column("features").chunks)])
     feature = lists.flatten().to_numpy()
     row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    value = ratio[feature]
+    if not len(y):
+        return Model(np.zeros(1 << p.bits), float(np.log(totals[1] / totals[0])), p)
     each = np.where(y == 1, totals[1] / max(y.sum(), 1), totals[0] / max((1 - y).sum(), 1))
-    each /= each.sum()
-
-    def loss(x):
-        w, b = x[:-1], x[-1]
-        q = sigmoid(row_sums(row, value * w[feature], len(y)) + b)
-        d = each * (q - y)
-        fit = -(each * (y * np.log(q + 1e-12) + (1 - y) * np.log(1 - q + 1e-12))).sum()
-        return (fit + 0.5 * p.ridge * (w @ w),
-                np.append(np.bincount(feature, weights=value * d[row], minlength=len(w)) + p.ridge * w, d.sum()))
-
-    x = minimise(loss, np.append(np.zeros(1 << p.bits), np.log(totals[1] / totals[0])), steps=40)
-    return Model(ratio * x[:-1], float(x[-1]), p)
+    weight, bias = fit(row, feature, y, each / each.sum(), counts, np.log(totals[1] / totals[0]), p)
+    ratio = log_ratio(counts[1][:-1], counts[0][:-1], n[1], n[0], p.smooth)
+    return Model(np.where(wanted, ratio * weight, 0), bias, p)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,11 +174,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         weight = shared.value
+        wanted = weight != 0
         for batch in batches:
             raw, off = text_buffers(batch.column(1))
             out = np.empty(batch.num_rows)
             for lo, hi in slices(off):
-                row, feature = features(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], p)
+                row, feature = features(raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], p, wanted)
                 out[lo:hi] = sigmoid(row_sums(row, weight[feature], hi - lo) + bias)
             yield pa.record_batch([batch.column(0), pa.array(out)], names=["key", "score"])
 

@@ -62,15 +62,88 @@ def test_op2_article(spark):
 
 
 def test_op3_held_out(spark):
+    """Recall and false alarms at the query's threshold on labelled rows that weren't learnt from, by language."""
     rows = {r["doc_id"]: r for r in Q.op3_toxicity(spark, SF3).collect()}
     labels = {r["doc_id"]: r["toxic"] for r in Q.table(spark, SF3, "labels").collect()}
-    assert len(rows) == Q.table(spark, SF3, "documents").count()
+    langs = {r["doc_id"]: r["lang"] for r in Q.table(spark, SF3, "documents").select("doc_id", "lang").collect()}
+    assert len(rows) == len(langs)
     for i, r in rows.items():
         assert r["held_out"] == held(i) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= .3)
-    test = [(rows[i]["score"], y) for i, y in labels.items() if i in rows and held(i)]
-    pos, neg = [s for s, y in test if y], [s for s, y in test if not y]
+    test = [(rows[i]["score"], y, langs[i]) for i, y in labels.items() if i in rows and held(i)]
+    pos, neg = [s for s, y, _ in test if y], [s for s, y, _ in test if not y]
     auc = np.mean([(p > n) + .5 * (p == n) for p in pos for n in neg])
-    assert auc > .9
+    recall = {g: np.mean([s >= .3 for s, y, x in test if y and x == g]) for g in ("en", "de", "fr", "es")}
+    assert auc > .97 and np.mean([s >= .3 for s in pos]) >= .8 and np.mean([s >= .3 for s in neg]) <= .005
+    assert recall["en"] > .85 and recall["de"] > .6 and recall["fr"] > .9 and recall["es"] > .3, recall
+
+
+def brute_ngrams(text, orders):
+    """N-grams inside words, by rule."""
+    folded = "".join(c if ord(c) > 127 or c.isalnum() else "\0" for c in ascii_lower(text))
+    marked = "\0" + folded + "\0"
+    return {marked[i:i + n] for n in orders for i in range(len(marked) - n + 1) if "\0" not in marked[i + 1:i + n - 1]}
+
+
+def test_op3_ngrams_and_ratios(spark):
+    """Features, counts, ratios and their leave-one-out form against sets of strings."""
+    from spanlab.llm import hashed_text, toxicity
+    from spanlab.llm.common import text_buffers
+    import pyarrow as pa
+
+    texts = ["You MORON, you!", "", "Élan élan — naïve", "a", "moron", "x" * 300, "日本語テキスト ok", None, "tab\tline\nend", "😀 idiot😀"]
+    raw, off = text_buffers(pa.array(texts, pa.string()))
+    p = toxicity.Params(orders=(3, 4, 5), bits=30, least=1)
+    row, feature = hashed_text.letter_ngrams(raw, off, p.orders, p.bits)
+    known = {}
+    for i, t in enumerate(texts):
+        want = brute_ngrams(t or "", p.orders)
+        mine = set(feature[row == i].tolist())
+        assert len(mine) == len(want), t
+        alone = text_buffers(pa.array([t], pa.string()))
+        assert mine == set(hashed_text.letter_ngrams(*alone, p.orders, p.bits)[1].tolist())
+        known[i] = mine
+    assert known[0] & known[4] and not known[3] & known[4]
+
+    p = toxicity.Params(orders=(3, 4, 5), bits=16, least=2)
+    label = [1, 0, 0, 0, 1, 0, 0, 1, 0, 1]
+    df = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, label))], "doc_id long, text string, label int")
+    counts = toxicity.class_counts(df.repartition(3).select("text", "label"), p)
+    row, feature = toxicity.features(raw, off, p)
+    sets = [set(feature[row == i].tolist()) for i in range(len(texts))]
+    for y in (0, 1):
+        assert counts[y][-1] == label.count(y)
+        for f in set(feature.tolist()):
+            assert counts[y][f] == sum(f in s for s, z in zip(sets, label) if z == y)
+    flags = toxicity.telling(counts, p)
+    assert all(counts[0][f] + counts[1][f] >= 2 for f in np.flatnonzero(flags)) and flags.any()
+    both = sets[0] & sets[4]
+    f = next(iter(both & set(np.flatnonzero(flags).tolist())))
+    a, b = counts[1][f], counts[0][f]
+    assert np.isclose(toxicity.log_ratio(a, b, 4, 6, 1.0), math.log((a + 1) / 6) - math.log((b + 1) / 8))
+
+
+def test_op3_fit_gradient():
+    """The fit's optimum has no slope, by differences of its own loss."""
+    from spanlab.llm import toxicity
+    from spanlab.llm.hashed_text import row_sums, sigmoid
+
+    rng = np.random.default_rng(1)
+    p = toxicity.Params(bits=6, ridge=1e-2)
+    n, row = 200, np.repeat(np.arange(200), 8)
+    feature = rng.integers(0, 64, len(row))
+    y = (rng.random(n) < .3).astype(float)
+    counts = {k: np.append(np.bincount(feature[(y == k)[row]], minlength=64), (y == k).sum()) for k in (0, 1)}
+    each = np.full(n, 1 / n)
+    w, b = toxicity.fit(row, feature, y, each, counts, -1.0, p)
+    own = (y == 1)[row].astype(int)
+    value = toxicity.log_ratio(counts[1][feature] - own, counts[0][feature] - (1 - own), counts[1][-1] - own, counts[0][-1] - (1 - own), p.smooth)
+
+    def loss(w, b):
+        q = sigmoid(row_sums(row, value * w[feature], n) + b)
+        return -(each * (y * np.log(q) + (1 - y) * np.log(1 - q))).sum() + .5 * p.ridge * (w @ w)
+    best = loss(w, b)
+    for _ in range(50):
+        assert loss(w + rng.normal(0, .05, 64), b + rng.normal(0, .05)) >= best - 1e-6
 
 
 def test_op4_brute_force(spark):
