@@ -1,18 +1,19 @@
 """Exact top-k by inner product with a pivot-distance index.
 
-Vectors get one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, and
-queries a 0: then |q - x|^2 = |q|^2 + M^2 - 2 q.x, and the largest products are the nearest
-vectors. Every vector is keyed by its nearest pivot and its distance to it;
-sorted by that key, blocks of rows are annuli around pivots.
+Vectors are moved by a fixed centre, which changes all products of a query by the same amount, and get one more
+coordinate, sqrt(M^2 - |x|^2) with M the largest norm; queries get a 0. Then |q - x|^2 = |q|^2 + M^2 - 2 q.x, and the
+largest products are the nearest vectors. Every vector is keyed by its nearest pivot and its distance to it;
+sorted by that key, blocks of rows are short annuli around pivots.
 
-Search, for blocks of queries: the annuli that hold or lie nearest the queries' own distance to
-their nearest pivot give a first k-th score; then the annuli are expanded to all
-blocks that the triangle inequality |d(q, p) - d(x, p)| <= d(q, x) can't rule
-out, and no others are read. Results are exact; ties go to the smaller id.
+Search: a query first reads the annuli of its own nearest pivot, which gives a first k-th score. Then the
+search is expanded to all annuli that the triangle inequality |d(q, p) - d(x, p)| <= d(q, x) can't rule out for
+this query, and no others are compared; each task carries its k best along, so that the limit gets narrower while it
+reads. Results are exact; ties go to the smaller id.
 
-Of equal vectors only the k + 1 smallest ids are candidates (no more can be in a
-result without one query's own), so copies make no large group. Pivots are a
-bounded sample (``n_pivots``); every vector is indexed.
+Queries are taken in blocks of at most ``QUERY_BYTES``, which every task holds; the vectors stay where they are, and what
+is shuffled is k rows a query and task. Of equal vectors only the k + 1 smallest ids are candidates (no more can be in a
+result without one query's own), so copies make no large group. Pivots are a bounded sample, as many as
+the square root of the rows, at most ``MOST_PIVOTS``; every vector is indexed.
 
 Defined results: rows with a null id, and vectors null or with null or non-finite components, take no part; those of
 another length than the most usual one (ties: the longer) neither; rows equal in id and
@@ -21,6 +22,9 @@ vector count once; a query never finds its own id; with fewer candidates than k
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK_ROWS = 2048
-QUERY_ROWS = 512
-SEED_BLOCKS = 2
+BLOCK_ROWS = 256
+QUERY_BYTES = 16 << 20
+LEAST_PIVOTS, MOST_PIVOTS = 32, 1024
 _SLACK = 1e-9
 
 
@@ -55,24 +59,38 @@ def _lift(x: np.ndarray, m2: float) -> np.ndarray:
     return np.sqrt(np.maximum(m2 - (x * x).sum(axis=1), 0))
 
 
-def pivot_distances(x, lift, pivots, pivot_lift):
-    """Distances to all pivots, in the space with the added coordinate."""
-    d2 = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * (x @ pivots.T)
-    return np.sqrt(np.maximum(d2 + (lift[:, None] - pivot_lift) ** 2, 0))
+@dataclass(frozen=True)
+class Space:
+    """Centre, pivots (moved by it, with their last coordinate) and the square of the largest norm."""
+    centre: np.ndarray
+    pivots: np.ndarray
+    lift: np.ndarray
+    m2: float
+
+    def of_rows(self, x: np.ndarray) -> np.ndarray:
+        """Distances of vectors to all pivots."""
+        x = x - self.centre
+        d2 = (x * x).sum(axis=1)[:, None] + (self.pivots * self.pivots).sum(axis=1) - 2 * (x @ self.pivots.T)
+        return np.sqrt(np.maximum(d2 + (_lift(x, self.m2)[:, None] - self.lift) ** 2, 0))
 
+    def of_queries(self, q: np.ndarray, pivots: slice | np.ndarray = slice(None)) -> np.ndarray:
+        return np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + self.m2 - 2 * (q @ self.pivots[pivots].T), 0))
 
-def _nearest(pivots, m2, is_query):
-    plift = _lift(pivots, m2)
+    def limit(self, q: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """The distance within which a vector has at least this product with the query."""
+        d2 = (q * q).sum(axis=1) + self.m2 - 2 * (score - q @ self.centre)
+        return np.sqrt(np.maximum(d2, 0)) * (1 + _SLACK) + 1e-6
 
+
+def _keyed(space: Space):
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = _matrix(batch.column("x"))
-            d = pivot_distances(x, np.zeros(len(x)) if is_query else _lift(x, m2), pivots, plift)
+            d = space.of_rows(_matrix(batch.column("x")))
             home = d.argmin(axis=1)
             yield pa.record_batch([batch.column("id"), batch.column("x"), pa.array(home.astype(np.int32)),
-                                   pa.array(d[np.arange(len(x)), home])], names=["id", "x", "pivot", "dist"])
+                                   pa.array(d[np.arange(len(d)), home])], names=["id", "x", "pivot", "dist"])
     return run
 
 
@@ -89,9 +107,8 @@ def _blocks(rows_of):
             made += 1
             return pa.record_batch(
                 [pa.array([part << 32 | made]), pa.array([pivot], pa.int32()), pa.array([float(dist[0])]),
-                 pa.array([float(dist[-1])]), pa.array([ids.tobytes()], pa.binary()),
-                 pa.array([dist.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())],
-                names=["block", "pivot", "lo", "hi", "ids", "dists", "x"])
+                 pa.array([float(dist[-1])]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())],
+                names=["block", "pivot", "lo", "hi", "ids", "x"])
 
         for batch in batches:
             if batch.num_rows:
@@ -111,19 +128,15 @@ def _blocks(rows_of):
     return run
 
 
-_BLOCK = "block long, pivot int, lo double, hi double, ids binary, dists binary, x binary"
+_BLOCK = "block long, pivot int, lo double, hi double, ids binary, x binary"
 
 
-def _packed(rows: DataFrame, pivots, m2, is_query: bool, rows_of: int) -> DataFrame:
-    keyed = rows.mapInArrow(_nearest(pivots, m2, is_query), "id long, x array<double>, pivot int, dist double")
+def build_index(rows: DataFrame, space: Space, rows_of: int = BLOCK_ROWS) -> DataFrame:
+    """Annuli: blocks of up to ``rows_of`` vectors of one pivot with the range of their distances, written."""
+    keyed = rows.mapInArrow(_keyed(space), "id long, x array<double>, pivot int, dist double")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ["pivot", "dist", "id"]
-    return written(keyed.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(_blocks(rows_of), _BLOCK),
-                   "queries" if is_query else "annuli")
-
-
-def _unpack(row, dim):
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["x"]).reshape(-1, dim)
+    return written(keyed.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(_blocks(rows_of), _BLOCK), "annuli")
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -134,57 +147,66 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ x.astype(np.int64).T
 
 
-def _best(k: int, dim: int):
-    """Task function: for each pair of blocks the k best of the block for each query."""
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                qid, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_x"]).reshape(-1, dim)
-                ids, x = _unpack(row, dim)
-                order = np.argsort(ids, kind="stable")  # equal scores: smaller id first
-                s = _scores(q, x[order])
-                own = qid[:, None] == ids[order]
-                s[own] = np.iinfo(np.int64).min
-                top = np.argsort(~s, axis=1, kind="stable")[:, :k]  # ~s is -s - 1, which can't overflow: own rows last
-                at = np.repeat(np.arange(len(qid)), top.shape[1])
-                score = s[at, top.ravel()]
-                ok = ~own[at, top.ravel()]
-                yield pa.record_batch(
-                    [pa.array(np.full(ok.sum(), row["q_block"])), pa.array(at[ok].astype(np.int32)), pa.array(qid[at[ok]]),
-                     pa.array(ids[order][top.ravel()][ok]), pa.array(score[ok])],
-                    names=["q_block", "nth", "query_id", "vec_id", "score"])
-    return run
+class Best:
+    """The k best of each query so far, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.score = np.full((n, k), np.iinfo(np.int64).min)
+        self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.found = np.zeros((n, k), bool)
 
+    def add(self, rows: np.ndarray, ids: np.ndarray, score: np.ndarray, usable: np.ndarray) -> None:
+        """Compare ``rows`` (queries) with ``ids``, given their products and which of them count."""
+        k = self.score.shape[1]
+        order = np.argsort(ids, kind="stable")  # equal scores: smaller id first
+        score, usable = np.where(usable, score, np.iinfo(np.int64).min)[:, order], usable[:, order]
+        # ~s is -s - 1, which can't overflow: what doesn't count comes last
+        top = np.argsort(~score, axis=1, kind="stable")[:, :k]
+        score, usable = np.take_along_axis(score, top, 1), np.take_along_axis(usable, top, 1)
+        score, found = np.hstack([self.score[rows], score]), np.hstack([self.found[rows], usable])
+        ids = np.hstack([self.id[rows], ids[order][top]])
+        best = np.lexsort((ids, ~score, ~found), axis=1)[:, :k]
+        self.score[rows], self.id[rows], self.found[rows] = (np.take_along_axis(v, best, 1) for v in (score, ids, found))
 
-_HITS = "q_block long, nth int, query_id long, vec_id long, score long"
 
+_HITS = "nth int, query_id long, vec_id long, score long"
 
-def _reach(pivots, m2, dim, k):
-    """Task function: for each block of queries, the distances from each pivot that may still hold a result."""
-    plift = _lift(pivots, m2)
 
+def _scan(space: Space, k: int, shared, near: bool, compared=None):
+    """Task function: the k best vectors of a task's annuli for each query of a block, those around its own pivot
+    (``near``) or all others that its limit leaves. ``compared`` counts the pairs whose product was taken."""
     def run(batches):
+        qid, q, home, limit = shared.value
+        limit = limit.copy()
+        best, last, dist = Best(len(qid), k), None, None
         for batch in batches:
-            out = []
             for row in batch.to_pylist():
-                q = np.frombuffer(row["q_x"]).reshape(-1, dim)
-                limit = np.full(len(q), np.inf)
-                for s in row["kth"] or []:
-                    limit[s["nth"]] = (q[s["nth"]] ** 2).sum() + m2 - 2 * s["score"]
-                limit = np.sqrt(np.maximum(limit, 0)) * (1 + _SLACK) + 1e-6
-                d = pivot_distances(q, np.zeros(len(q)), pivots, plift)
-                lo, hi = (d - limit[:, None]).min(axis=0), (d + limit[:, None]).max(axis=0)
-                out += [(row["q_block"], p, lo[p], hi[p]) for p in range(len(pivots))]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.float64(), pa.float64()))]
-                                  if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.float64(), pa.float64())],
-                                  names=["q_block", "pivot", "near", "far"])
+                if row["pivot"] != last:
+                    last = row["pivot"]
+                    dist = space.of_queries(q, np.array([last]))[:, 0]
+                mine = home == last
+                if not near:
+                    gap = np.maximum(dist - row["hi"], row["lo"] - dist)
+                    mine = ~mine & (gap <= limit)
+                at = np.flatnonzero(mine)
+                if not len(at):
+                    continue
+                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["x"]).reshape(-1, q.shape[1])
+                if compared is not None:
+                    compared.add(len(at) * len(ids))
+                best.add(at, ids, _scores(q[at], x), qid[at][:, None] != ids)
+                full = at[best.found[at, -1]]
+                limit[full] = np.minimum(limit[full], space.limit(q[full], best.score[full, -1]))
+        query, _ = np.nonzero(best.found)
+        yield pa.record_batch([pa.array(query.astype(np.int32)), pa.array(qid[query]), pa.array(best.id[best.found]),
+                               pa.array(best.score[best.found])], names=["nth", "query_id", "vec_id", "score"])
     return run
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, n_pivots: int = 32, key: str = "vec_id",
-          vector: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, n_pivots: int | None = None, key: str = "vec_id",
+          vector: str = "embedding", compared=None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest integer products. ``is_query``: a
-    condition on ``id``."""
+    condition on ``id``; ``compared``: an accumulator of the pairs that the index left to compare."""
     spark = vectors.sparkSession
     rows = quantised(vectors, key, vector).dropDuplicates(["id", "x"])
     rows = written(rows, "vectors")
@@ -194,40 +216,38 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, n_pivots: int = 32, key: str
         return spark.createDataFrame([], schema)
     dim = usual["dim"]
     rows = rows.where(F.size("x") == dim)
-    few = F.row_number().over(Window.partitionBy("x").orderBy("id")) <= k + 1
-    m2 = float(rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()[0])
+    n_pivots = n_pivots or min(max(math.isqrt(usual["count"]), LEAST_PIVOTS), MOST_PIVOTS)
     chosen = rows.select("x").orderBy(F.xxhash64("x", F.lit(3)), "x").limit(4 * n_pivots).collect()
-    pivots = np.array(list(dict.fromkeys(tuple(r["x"]) for r in chosen))[:n_pivots])
-
-    index = _packed(rows.withColumn("few__", few).where("few__").select("id", "x"), pivots, m2, False, BLOCK_ROWS)
-    queries = _packed(rows.where(is_query), pivots, m2, True, QUERY_ROWS).select(
-        F.col("block").alias("q_block"), F.col("pivot").alias("q_pivot"), F.col("lo").alias("q_lo"),
-        F.col("hi").alias("q_hi"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-
-    ring = index.select("block", "pivot", "lo", "hi")
-    gap = F.greatest(F.col("lo") - F.col("q_hi"), F.col("q_lo") - F.col("hi"), F.lit(0.0))
-    near = queries.select("q_block", "q_pivot", "q_lo", "q_hi").join(ring, F.col("q_pivot") == F.col("pivot"))
-    order = Window.partitionBy("q_block").orderBy("gap__", "block")
-    seed_pairs = near.withColumn("gap__", gap).withColumn("n__", F.row_number().over(order)).where(
-        F.col("n__") <= SEED_BLOCKS).select("q_block", "block")
-    seed_pairs = written(seed_pairs, "seed-pairs")
-    payload = queries.select("q_block", "q_ids", "q_x")
-    data = index.select("block", "ids", "x")
-
-    def scored(pairs):
-        return pairs.join(payload, "q_block").join(data, "block").select(
-            "q_block", "q_ids", "q_x", "ids", "x").mapInArrow(_best(k, dim), _HITS)
+    sample = np.array(list(dict.fromkeys(tuple(r["x"]) for r in chosen)))
+    centre = sample.mean(axis=0)
+    moved = F.zip_with("x", F.array(*[F.lit(float(v)) for v in centre]), lambda a, b: (a - b) * (a - b))
+    m2 = float(rows.agg(F.max(F.aggregate(moved, F.lit(0.0), lambda a, v: a + v))).first()[0]) * (1 + _SLACK)
+    pivots = sample[:n_pivots] - centre
+    space = Space(centre, pivots, _lift(pivots, m2), m2)
+    few = F.row_number().over(Window.partitionBy("x").orderBy("id")) <= k + 1
+    index = build_index(rows.withColumn("few__", few).where("few__").select("id", "x"), space)
+
+    best = Window.partitionBy("nth").orderBy(F.desc("score"), "vec_id")  # an id may stand for several queries
 
     def ranked(hits):
-        best = Window.partitionBy("q_block", "nth").orderBy(F.desc("score"), "vec_id")
-        return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-    seeds = written(ranked(scored(seed_pairs)).drop("rank"), "seeds")
-    kth = seeds.groupBy("q_block", "nth").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).where(
-        F.col("n") == k).groupBy("q_block").agg(F.collect_list(F.struct("nth", "score")).alias("kth"))
-    reach = payload.select("q_block", "q_x").join(kth, "q_block", "left").mapInArrow(
-        _reach(pivots, m2, dim, k), "q_block long, pivot int, near double, far double")
-    wider = reach.join(ring, "pivot").where("hi >= near and lo <= far").select("q_block", "block")
-    wider = written(wider.join(seed_pairs, ["q_block", "block"], "left_anti"), "annulus-pairs")
-    out = ranked(seeds.unionByName(scored(wider)))
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return hits.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
+
+    asked = rows.where(is_query).select("id", "x").distinct()
+    blocks = -(-asked.count() * (dim + 2) * 8 // QUERY_BYTES)
+    out = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        got = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()  # about QUERY_BYTES
+        qid, q = got.column("id").to_numpy(), _matrix(got.column("x"))
+        home = np.concatenate([np.zeros(0, np.int64), *(space.of_queries(q[i:i + 1024]).argmin(axis=1) for i in range(0, len(q), 1024))])
+
+        def scan(near, limit):
+            shared = spark.sparkContext.broadcast((qid, q, home, limit))
+            return ranked(written(index.mapInArrow(_scan(space, k, shared, near, compared), _HITS), "hits"))
+
+        near = written(scan(True, np.full(len(q), np.inf)), "near")
+        limit = np.full(len(q), np.inf)
+        for r in near.where(F.col("rank") == k).select("nth", "score").collect():  # at most a row a query
+            limit[r["nth"]] = space.limit(q[r["nth"]][None], np.array([r["score"]]))[0]
+        found = ranked(near.drop("rank").unionByName(scan(False, limit).drop("rank"))).select("query_id", "rank", "vec_id", "score")
+        out = out.unionByName(written(found, "found") if blocks > 1 else found)
+    return out
