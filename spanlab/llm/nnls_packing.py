@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, as_large_strings, text_buffers, written
@@ -34,6 +34,8 @@ _SPACE = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\
 _ODD_SPACE = "[\\x1c-\\x1f]"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: The task that cut a piece and, for a full window, its number among that task's.
+_CUT = f"{PIECES}, task int, nth long"
 
 
 # Letters that the tokenizer's normal form leaves as they are but for their case, then marks
@@ -128,8 +130,10 @@ class WordIds:
 
 def _cut(path: str, window: int):
     def run(batches):
+        from pyspark import TaskContext
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder = WordIds(path)
+        encoder, task, full = WordIds(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             column = as_large_strings(batch.column("text"))
             _, off = text_buffers(column)
@@ -143,16 +147,20 @@ def _cut(path: str, window: int):
                 length = np.minimum(size[doc] - start, window)
                 first = (at[doc] + start) * 4
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(first.tolist(), (first + length * 4).tolist())]
+                whole = length == window
+                nth = np.where(whole, full + np.cumsum(whole) - 1, 0)
+                full += int(whole.sum())
                 yield pa.record_batch(
                     [keys[lo:hi].take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
-                     pa.array(size[doc])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                     pa.array(size[doc]), pa.array(np.full(len(doc), task, np.int32)), pa.array(nth.astype(np.int64))],
+                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth"])
     return run
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
     """All pieces of all documents: full windows and the rest."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _cut(tokenizer_path, window), PIECES)
+        _cut(tokenizer_path, window), _CUT)
 
 
 def combinations(counts: np.ndarray, window: int, frequent: int = 48) -> list[tuple[int, ...]]:
@@ -272,7 +280,15 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
                 [*batch.columns[:5], pa.array(sequence + nth // many), pa.array(offset + nth % many * length)],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
+    # most pieces are full windows, which need no order: they are numbered by task, where they were cut
+    whole = F.col("length") == window
+    tasks = cut.where(whole).groupBy("task").agg((F.max("nth") + 1).alias("n"))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # one row a task
+    full = cut.where(whole).join(tasks, "task").withColumn("slot", F.col("first") + F.col("nth"))
     salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_SALTS)).cast("int")
-    ranked = number_slots(cut.withColumn("salt__", salt), "length", "salt__", ["doc_id", "start", "ids_crc32"])
+    short = number_slots(cut.where(~whole).withColumn("salt__", salt), "length", "salt__", ["doc_id", "start", "ids_crc32"])
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "slot"]
+    ranked = full.select(*columns).unionByName(short.select(*columns))
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "slot").mapInArrow(
         run, f"{PIECES}, sequence_id long, offset long")
