@@ -21,9 +21,24 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+_MADE: dict[str, list[str]] = {}  # application: its scratch folders
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the session names in spark.checkpoint.dir."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all tables that this session's operators have written between their steps, once their results
+    have been read or written elsewhere; returns how many."""
+    hadoop, removed = spark._jvm.org.apache.hadoop.fs, 0
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        place = hadoop.Path(path)
+        removed += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return removed
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

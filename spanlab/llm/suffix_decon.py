@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alphanumeric_words, slices, text_buffers
+from .common import alphanumeric_words, slices, text_buffers, written
 
 _WORDS = alphanumeric_words()
 _TOP = np.uint64((1 << 64) - 1)
@@ -235,10 +235,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc__"))
     text_at = [c.lower() for c in docs.columns].index(text.lower())
     schema = T.StructType([*rows.schema.fields, T.StructField("found__", _FOUND)])
-    for i, part in enumerate(benchmark_blocks(benchmark, window, block_bytes)):
+    blocks = benchmark_blocks(benchmark, window, block_bytes)
+    for i, part in enumerate(blocks):
         got = part.collect()  # at most about block_bytes
         block = build_block([r["item_id"] for r in got], [r["text"] for r in got], window)
         rows = rows.mapInArrow(_find(block, text_at, i), schema)
+        if i + 1 < len(blocks):  # so that neither the driver nor a task holds two blocks
+            rows = written(rows, "matches")
     return rows.select(F.col("doc__").alias("doc"), "found__.*")
 
 
