@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from .common import ascii_space_words, slices, text_buffers
@@ -159,6 +160,6 @@ def grade_rows(docs: DataFrame, model: Model, at_least: int, columns: list[str],
                     tail[lo:hi] = above[:, step - 1] if step <= len(thresholds) else 0.0
             yield pa.record_batch([*batch.columns[:len(columns)], pa.array(expected), pa.array(tail)], names=names)
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*given).mapInArrow(
-        run, f"{schema}, expected_grade double, tail double")
+    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("expected_grade", T.DoubleType()),
+                           T.StructField("tail", T.DoubleType())])
+    return docs.select(*given).mapInArrow(run, schema)

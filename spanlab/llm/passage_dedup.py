@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix, seeded, written
 from .line_dedup import text_key
@@ -143,4 +144,4 @@ def dedup(docs: DataFrame, words: int = 50) -> DataFrame:
                        F.col("doc_id").cast("long").alias("id2__"), text_key(F.col("text")).alias("key2__"))
     rows = rows.join(spans, F.col("id2__").eqNullSafe(F.col("id__")) & (F.col("key2__") == F.col("key__")), "left")
     rows = rows.select("doc", "text__", "spans")
-    return rows.mapInArrow(_cut, f"doc {rows.schema['doc'].dataType.simpleString()}, kept_text string")
+    return rows.mapInArrow(_cut, T.StructType([rows.schema["doc"], T.StructField("kept_text", T.StringType())]))

@@ -72,17 +72,21 @@ def op9_substring_dedup(spark, sf_dir):
                       F.col("spans").alias("removed"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with expected_grade, tail and accepted; learnt from labels.quality."""
+def quality_model(docs: DataFrame, labels: DataFrame) -> ordinal_quality.Model:
+    """Learnt from labels.quality."""
     p = ordinal_quality.Params()
-    model = ordinal_quality.train(*toxicity.labelled_rows(docs, labels, "quality", p.sample_rows, even=False), p)
-    graded = ordinal_quality.grade_rows(docs, model, 1, columns)
+    return ordinal_quality.train(*toxicity.labelled_rows(docs, labels, "quality", p.sample_rows, even=False), p)
+
+
+def quality(docs: DataFrame, model: ordinal_quality.Model, columns: list[str], text: str = "text") -> DataFrame:
+    """``columns`` of ``docs`` with expected_grade, tail and accepted (a tail of just 0.5 is)."""
+    graded = ordinal_quality.grade_rows(docs, model, 1, columns, text)
     return graded.withColumn("accepted", F.col("tail") >= 0.5)
 
 
 def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality(docs, table(spark, sf_dir, "labels"), ["doc_id"])
+    return quality(docs, quality_model(docs, table(spark, sf_dir, "labels")), ["doc_id"])
 
 
 def op11_nra_search(spark, sf_dir):

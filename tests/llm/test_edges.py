@@ -78,10 +78,40 @@ def test_vectors_own_row():
     """More than k near copies in one block: a query's own row takes none of the k places."""
     x = np.array([[256.0 + i, 512.0, 128.0] for i in range(9)] + [[-256.0, 64.0, i] for i in range(20)])
     ids = np.arange(len(x), dtype=np.int64)
-    block = {"q_block": [1], "q_ids": [ids[:9].tobytes()], "q_x": [x[:9].tobytes()], "ids": [ids.tobytes()], "x": [x.tobytes()]}
-    out = next(pivot_topk._best(5, 3)([pa.RecordBatch.from_pydict(block)])).to_pylist()
+    best, queries_ = pivot_topk.Best(9, 5), np.arange(9)
+    for part in (ids[::2], ids[1::2]):  # in two blocks, in any order
+        best.add(queries_, part[::-1], pivot_topk._scores(x[:9], x[part[::-1]]), ids[:9, None] != part[::-1])
     for q in range(9):
-        assert [r["vec_id"] for r in out if r["query_id"] == q] == [i for i in range(8, -1, -1) if i != q][:5]
+        assert best.id[q].tolist() == [i for i in range(8, -1, -1) if i != q][:5] and best.found[q].all()
+
+
+def brute_topk(data, k):
+    out = set()
+    for q, x in data:
+        if q % 50 == 0:
+            found = sorted((-int(x @ y), i) for i, y in data if i != q)[:k]
+            out |= {(q, n, i, -s) for n, (s, i) in enumerate(found, 1)}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["clustered", "random", "equal", "far"])
+def test_index_is_exact_and_rules_out(spark, monkeypatch, kind):
+    """Exact on vectors of every kind; on clustered ones most pairs are never compared."""
+    rng = np.random.default_rng(3)
+    n, dim = 3000, 16
+    x = {"clustered": rng.normal(size=(30, dim))[rng.integers(0, 30, n)] * 4 + rng.normal(size=(n, dim)) * .1,
+         "random": rng.normal(size=(n, dim)), "equal": np.ones((n, dim)), "far": rng.normal(size=(n, dim)) + 50}[kind]
+    x[7] = x[100]  # ties
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    data = [(i, np.floor(256 * v).astype(np.int64)) for i, v in enumerate(x)]
+    monkeypatch.setattr(pivot_topk, "QUERY_BYTES", 40 * (dim + 2) * 8)  # several blocks of queries
+    compared = spark.sparkContext.accumulator(0)
+    got = pivot_topk.top_k(table, F.col("id") % 50 == 0, 5, compared=compared).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == brute_topk(data, 5) and len(got) == 300
+    if kind == "clustered":
+        assert compared.value < 0.3 * n * 60
+    elif kind == "equal":
+        assert compared.value < 60 * 10  # of equal vectors k + 1 are candidates
 
 
 def test_decontamination(spark, docs):
@@ -165,3 +195,81 @@ def test_stages_keep_columns(spark, docs, tmp_path):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+def test_stages_keep_rows_and_clashing_columns(spark, tmp_path):
+    """Columns named like the stages' own, map columns, several texts and null texts under one doc_id."""
+    kinds = {"labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, kind in kinds.items():
+        spark.createDataFrame([(i, i % 2, 0) for i in range(8)] if name == "labels" else [], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    words = [f"w{i}" for i in range(400)]
+    text = lambda a: " ".join(words[a:a + 40])
+    rows = [(1, text(0)), (1, text(0)), (1, text(50)), (1, None), (2, text(100)), (2, text(0)), (3, text(100)), (4, None), (None, text(200)),
+            (None, text(200)), (5, ""), (5, ""), (6, text(300))]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t or ""), {"k": n}, .5, True, "x", 7, 8) for n, (i, t) in enumerate(rows)],
+        "doc_id long, text string, lang string, source string, n_chars long, tags map<string,int>, tail double, accepted boolean, "
+        "expected_grade string, kept_text int, c0__ int").repartition(3)
+    out = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    kept = out.collect()
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept), key=str)
+    # text(0) stands under 1 (twice) and 2, text(100) under 2 and 3: one of each group stays
+    assert {t for _, t in got} == {t for _, t in rows}
+    assert [t for i, t in got if i is not None and t].count(text(0)) == 1 and [t for i, t in got if t == text(100)] == [text(100)]
+    assert [(i, t) for i, t in got if i is None] == [(None, text(200))] * 2
+    assert [(i, t) for i, t in got if not t] == [(1, None), (4, None), (5, "")]
+    for r in kept:
+        n = r["tags"]["k"]
+        assert rows[n] == (r["doc_id"], r["text"])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.schema["tags"].dataType == docs.schema["tags"].dataType, name
+        assert all(r["c0__"] == 8 and r["expected_grade"] == "x" for r in got.collect()), name
+    assert corpus_pipeline.packing(spark, docs, str(tmp_path)).where("start = 0").count() == len(rows)
+
+
+ARTICLE = "First sentence of the article, long enough to count. " * 4
+ONE = ARTICLE.strip()
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div class='content-with-sidebar'><p>{ARTICLE}</p></div>", ONE),
+    (f"<article><div class='social-policy'><p>{ARTICLE}</p></div></article>", ONE),
+    (f"<body><nav><a href=x>Menu</a><article><p>{ARTICLE}</p></article></body>", ONE),
+    (f"<article><h2 id='search-engines'>On search</h2><p>{ARTICLE}</p><p id='related-work'>Related work.</p></article>", f"On search {ONE} Related work."),
+    (f"<article><p>{ARTICLE}</p><ins class='adsbygoogle'>Buy now</ins><p>End <ins>really</ins>.</p></article>", f"{ONE} End really."),
+    (f"<div id='sidebar'><p>{ARTICLE}</p></div><footer>(c)</footer>", ONE),
+    (f"<main><p>{ARTICLE}</p><div class='sidebar-left'><p>Teaser text here.</p></div><div class='post-comments'><p>{'I like it. ' * 90}</p></div></main>", ONE),
+    (f"<div class='cookie-banner'>We use cookies.</div><div><div><p>{ARTICLE}</p></div><div><p>Second &lt;part&gt;.</p></div></div>", f"{ONE} Second <part>."),
+    (f"<table><tr><td>{ARTICLE}<td>cell</table><aside>note</aside><form>mail <input></form>", f"{ONE} cell"),
+    (f"<article><section><p>{ARTICLE}</p></section><section class='newsletter-signup'>Sign up</section><section><p>{ARTICLE}</p></section></article>", f"{ONE} {ONE}"),
+])
+def test_pages_that_are_no_plain_article(page, want):
+    assert html_consensus.extract(page, []) == want
+
+
+def test_host_path_needs_nearly_all(spark):
+    """Most pages of a host use a narrower container than some: their text isn't cut for it."""
+    narrow = [(i, "http://h/x", f"<article><div class='b'><p>{ARTICLE}</p></div></article>", 1) for i in range(6)]
+    wide = [(10, "http://h/y", f"<article><div class='b'><p>{ARTICLE}</p></div><div class='b2'><p>{ARTICLE}</p></div><div class='c'><p>{ARTICLE}</p></div></article>", 1)]
+    long = [(11, None, "<article>" + f"<p>{ARTICLE}</p>" * 5000 + "</article>", 1)]
+    rows = spark.createDataFrame(narrow + wide + long, "page_id long, url string, html string, host int").withColumns({"text": F.lit(5), "paths": F.lit("p")})
+    for limit in (html_consensus.BROADCAST_BYTES, -1):  # broadcast, and salted groups
+        before, html_consensus.BROADCAST_BYTES = html_consensus.BROADCAST_BYTES, limit
+        try:
+            got = {r["page_id"]: r["text"] for r in html_consensus.main_text(rows).collect()}
+        finally:
+            html_consensus.BROADCAST_BYTES = before
+        assert all(got[i] == ONE for i in range(6)) and got[10] == f"{ONE} {ONE} {ONE}" and got[11] == " ".join([ONE] * 5000)
+
+
+def test_release_removes_what_was_written(spark):
+    import os
+
+    from spanlab.llm import common
+    common.release(spark)
+    df = common.written(spark.range(5).toDF("x"), "some")
+    (path,) = common._MADE[spark.sparkContext.applicationId]
+    assert df.count() == 5 and os.path.exists(path.removeprefix("file:"))
+    assert common.release(spark) == 1 and not os.path.exists(path.removeprefix("file:")) and common.release(spark) == 0
