@@ -15,19 +15,41 @@ from spanlab.llm.common import written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of grade 1 or more is at least a half."""
+    names = [f"c{i}__" for i in range(len(docs.columns))]  # so that no column's name meets one of the scores
     labels = queries.table(spark, sf_dir, "labels")
-    return queries.quality(docs, labels, docs.columns).where("accepted").select(*docs.columns)
+    model = queries.quality_model(docs, labels)
+    text = names[[c.lower() for c in docs.columns].index("text")]
+    graded = queries.quality(docs.toDF(*names), model, names, text)
+    return graded.where("accepted").select(*names).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest doc_id. Rows repeated under one doc_id
-    count as one document, of which the row with the smallest text stays."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = docs.join(kept, "doc_id").groupBy("doc_id").agg(
-        F.min(F.struct(*[F.col(c) for c in ["text", *[c for c in others if c != "text"]]])).alias("row"))
-    one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
-    return one.unionByName(docs.where("doc_id is null"))
+    """One document of each group: that of the smallest doc_id. Rows equal in doc_id and text count as one
+    document, of which one row stays; different texts under one doc_id are documents of their own. Rows without
+    doc_id stay."""
+    some = docs.where("doc_id is not null")
+    repeated = written(some.groupBy(F.col("doc_id").alias("id__")).agg(F.count(F.lit(1)).alias("n__")).where("n__ > 1").select("id__"), "ids")
+    one = some.join(repeated, some["doc_id"] == F.col("id__"), "left_anti")
+    ids, none = one.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), docs.where("doc_id is null")
+    if not repeated.limit(1).count():
+        kept = _kept(ids)
+        return one.join(kept, one["doc_id"] == F.col("kept__"), "left_semi").unionByName(none)
+    # the distinct texts of repeated ids get ids beyond all others
+    rows = some.join(repeated, some["doc_id"] == F.col("id__"), "left_semi").select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc__"))
+    text = F.coalesce(F.sha2(F.col("doc__.text").cast("binary"), 256), F.lit("-"))
+    rows = rows.groupBy(F.col("doc__.doc_id").alias("id__"), text.alias("text__")).agg(F.min_by("doc__", F.to_json("doc__")).alias("doc__"))
+    low, top = some.agg(F.min("doc_id"), F.max("doc_id")).first()
+    nth = F.monotonically_increasing_id()
+    own = nth + (top + 1) if top < 1 << 62 else (low - 1) - nth
+    rows = written(rows.select("doc__", own.alias("u__")), "distinct")
+    kept = _kept(ids.unionByName(rows.select(F.col("u__").alias("doc_id"), F.col("doc__.text").alias("text"))))
+    more = rows.join(kept, F.col("u__") == F.col("kept__"), "left_semi").select("doc__.*")
+    return one.join(kept, one["doc_id"] == F.col("kept__"), "left_semi").unionByName(more).unionByName(none)
+
+
+def _kept(ids: DataFrame) -> DataFrame:
+    return written(minhash_dedup.near_duplicates(ids).where("kept").select(F.col("doc_id").alias("kept__")), "kept")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
