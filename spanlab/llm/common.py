@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables written inside are removed at the end: for steps whose result is written elsewhere by then."""
+    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    yield
+    for path in made[before:]:
+        _remove(spark, path)
+    del made[before:]
+
+
+def _remove(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+
+
 def release(spark: SparkSession) -> int:
     """Remove all tables that this session's operators have written between their steps, once their results
     have been read or written elsewhere; returns how many."""
-    hadoop, removed = spark._jvm.org.apache.hadoop.fs, 0
-    for path in _MADE.pop(spark.sparkContext.applicationId, []):
-        place = hadoop.Path(path)
-        removed += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
-    return removed
+    return sum(_remove(spark, path) for path in _MADE.pop(spark.sparkContext.applicationId, []))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -88,6 +88,34 @@ def row_sums(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
     return np.bincount(row, weights=value, minlength=n_rows)
 
 
+class Sparse:
+    """Rows of (feature, value) entries for a linear model; products are taken a part at a time, so that nothing of the
+    entries' number is made beside them."""
+
+    PART = 1 << 18
+
+    def __init__(self, row: np.ndarray, feature: np.ndarray, value: np.ndarray, n_rows: int, n_features: int):
+        self.row, self.feature, self.value = row.astype(np.int32), feature.astype(np.int32), value
+        self.n_rows, self.n_features = n_rows, n_features
+
+    def _parts(self):
+        return (slice(lo, lo + self.PART) for lo in range(0, len(self.row), self.PART))
+
+    def times(self, weight: np.ndarray) -> np.ndarray:
+        """The sum of value x weight of each row."""
+        out = np.zeros(self.n_rows)
+        for p in self._parts():
+            out += np.bincount(self.row[p], weights=self.value[p] * weight[self.feature[p]], minlength=self.n_rows)
+        return out
+
+    def back(self, slope: np.ndarray) -> np.ndarray:
+        """The sum of value x the row's slope for each feature."""
+        out = np.zeros(self.n_features)
+        for p in self._parts():
+            out += np.bincount(self.feature[p], weights=self.value[p] * slope[self.row[p]], minlength=self.n_features)
+        return out
+
+
 def minimise(fun, x0: np.ndarray, steps: int = 60, memory: int = 8, tol: float = 1e-5) -> np.ndarray:
     """Limited-memory BFGS with backtracking; ``fun(x)`` gives (loss, gradient)."""
     x = x0.copy()

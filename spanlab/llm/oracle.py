@@ -5,13 +5,41 @@ from __future__ import annotations
 from .url_markov import END, START, Params, Rule
 
 
+def _crc_table() -> list[int]:
+    """The remainder that each byte leaves."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
 def crc32(text: str) -> str:
-    """Unsigned CRC-32 of the UTF-8 bytes of an expression: bytes are xored in, 256 stands for one shift."""
+    """Unsigned CRC-32 of the UTF-8 bytes of an expression."""
     digits = f"hex(encode({text}))"
-    steps = (f"flatten(list_transform(range(0, (length({digits}) // 2)::BIGINT), lambda i: "
-             f"list_concat([('0x' || substr({digits}, (2 * i + 1)::BIGINT, 2))::BIGINT], list_resize([]::BIGINT[], 8, 256))))")
-    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda c, x: "
-            f"CASE WHEN x < 256 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT)")
+    values = f"list_transform(range(0, (length({digits}) // 2)::BIGINT), lambda i: ('0x' || substr({digits}, (2 * i + 1)::BIGINT, 2))::BIGINT)"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], {values}), lambda c, x: "
+            f"xor(c >> 8, {_crc_table()}[xor(c & 255, x) + 1])), 4294967295::BIGINT)")
+
+
+def op1(shards: int) -> str:
+    return f"""
+WITH rows AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, {crc32("coalesce(text, '')")} AS text_crc32, row_number() OVER () AS r
+  FROM documents),
+draws AS (
+  SELECT r, i, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || i), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS cost
+  FROM rows, range({shards + 1}) t(i)),
+homes AS (
+  SELECT r, arg_min(i, cost) FILTER (i < {shards}) AS shard, arg_min(i, cost) AS grown_shard FROM draws GROUP BY r),
+placed AS (
+  SELECT rows.*, shard, grown_shard,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || text_crc32), 1, 8))::BIGINT % 1024 AS bucket FROM rows JOIN homes USING (r))
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard::INTEGER AS grown_shard
+FROM placed
+"""
 
 
 def _leaf(n_chars: str) -> str:

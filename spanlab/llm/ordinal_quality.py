@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from .common import ascii_space_words, slices, text_buffers
-from .hashed_text import byte_ngrams, distinct, minimise, row_sums, sigmoid
+from .hashed_text import Sparse, byte_ngrams, distinct, minimise, row_sums, sigmoid
 
 _U = np.uint64
 _WORDS = ascii_space_words()
@@ -85,6 +85,7 @@ def _vectors(p: Params):
 def fit(row, feature, value, grade, p: Params):
     """Weights and thresholds for ``grade`` coded 0 .. K-1, by maximum penalised likelihood."""
     n, k = len(grade), int(grade.max())  # k thresholds
+    entries = Sparse(row, feature, value, n, 1 << p.bits)
     each = np.full(n, 1 / n)
 
     def cuts(a):  # ordered by construction
@@ -93,7 +94,7 @@ def fit(row, feature, value, grade, p: Params):
     def loss(x):
         w, a = x[:-k], x[-k:]
         t = cuts(a)
-        z = row_sums(row, value * w[feature], n)
+        z = entries.times(w)
         upper = np.concatenate([np.ones((n, 1)), sigmoid(z[:, None] - t), np.zeros((n, 1))], axis=1)
         at = np.arange(n)
         hi, lo = upper[at, grade], upper[at, grade + 1]
@@ -104,7 +105,7 @@ def fit(row, feature, value, grade, p: Params):
         np.add.at(dt, grade[grade > 0] - 1, (each * dhi / like)[grade > 0])
         np.add.at(dt, grade[grade < k], -(each * dlo / like)[grade < k])
         da = np.append(dt.sum(), [dt[j:].sum() * np.exp(a[j]) for j in range(1, k)])
-        gw = np.bincount(feature, weights=value * dz[row], minlength=len(w)) + p.ridge * w
+        gw = entries.back(dz) + p.ridge * w
         return -(each * np.log(like)).sum() + 0.5 * p.ridge * (w @ w), np.concatenate([gw, da])
 
     share = np.array([(grade >= j).mean() for j in range(1, k + 1)]).clip(1e-3, 1 - 1e-3)
@@ -114,6 +115,11 @@ def fit(row, feature, value, grade, p: Params):
     return x[:-k], cuts(x[-k:])
 
 
+def _flat(column) -> np.ndarray:
+    """The items of a column of lists."""
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks])
+
+
 def train(labelled: DataFrame, totals: dict[int, int], p: Params = Params()) -> Model:
     """Fit on ``labelled`` (doc_id, text, label: integer grade), a bounded sample in proportion;
     ``totals``: rows of each grade in all."""
@@ -124,12 +130,11 @@ def train(labelled: DataFrame, totals: dict[int, int], p: Params = Params()) ->
         _vectors(p), "label int, features array<int>, values array<float>").limit(2 * p.sample_rows).toArrow()
     if got.num_rows == 0:
         return Model(np.zeros(1 << p.bits), np.zeros(0), grades[:1], p)
-    columns = {c: got.column(c).combine_chunks() for c in got.column_names}
-    columns = {c: pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v for c, v in columns.items()}
-    feature = columns["features"].flatten().to_numpy()
-    value = columns["values"].flatten().to_numpy().astype(float)
-    row = np.repeat(np.arange(got.num_rows), np.diff(columns["features"].offsets.to_numpy()))
-    grade = np.searchsorted(grades, columns["label"].to_numpy())
+    grade = np.searchsorted(grades, got.column("label").to_numpy())
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in got.column("features").chunks])
+    row = np.repeat(np.arange(got.num_rows, dtype=np.int32), sizes)
+    feature, value = (_flat(got.column(c)) for c in ("features", "values"))
+    del got  # the driver holds the entries once
     seen = np.unique(grade)  # a rare grade may miss the sample
     if len(seen) < 2:
         return Model(np.zeros(1 << p.bits), np.zeros(0), grades[seen] if len(seen) else grades[:1], p)

@@ -117,5 +117,5 @@ QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_html_extraction, op3_toxicity, op4_topk, op5_language_id, op6_decontamination, op7_near_dedup,
     op8_packing, op9_substring_dedup, op10_quality, op11_nra_search, op12_merkle_manifest, op13_url_filter)}
 ORACLE_SQL: dict[str, str] = {
-    "op4_topk": oracle.OP4, "op6_decontamination": oracle.OP6, "op7_near_dedup": oracle.OP7, "op11_nra_search": oracle.OP11,
+    "op1_sharding": oracle.op1(SHARDS), "op4_topk": oracle.OP4, "op6_decontamination": oracle.OP6, "op7_near_dedup": oracle.OP7, "op11_nra_search": oracle.OP11,
     "op12_merkle_manifest": oracle.OP12, "op13_url_filter": oracle.op13(URL_RULES)}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_buffers
-from .hashed_text import distinct, letter_ngrams, minimise, row_sums, sigmoid
+from .hashed_text import Sparse, distinct, letter_ngrams, minimise, row_sums, sigmoid
 
 
 @dataclass(frozen=True)
@@ -129,14 +129,15 @@ def fit(row, feature, y, each, counts: dict[int, np.ndarray], prior: float, p: P
     toxic, clean = counts[1][:-1], counts[0][:-1]
     own = (y == 1)[row].astype(np.int64)
     value = log_ratio(toxic[feature] - own, clean[feature] - (1 - own), counts[1][-1] - own, counts[0][-1] - (1 - own), p.smooth)
+    entries = Sparse(row, feature, value, len(y), 1 << p.bits)
 
     def loss(x):
         w, b = x[:-1], x[-1]
-        q = sigmoid(row_sums(row, value * w[feature], len(y)) + b)
+        q = sigmoid(entries.times(w) + b)
         d = each * (q - y)
         fit = -(each * (y * np.log(q + 1e-12) + (1 - y) * np.log(1 - q + 1e-12))).sum()
         return (fit + 0.5 * p.ridge * (w @ w),
-                np.append(np.bincount(feature, weights=value * d[row], minlength=len(w)) + p.ridge * w, d.sum()))
+                np.append(entries.back(d) + p.ridge * w, d.sum()))
 
     x = minimise(loss, np.append(np.zeros(1 << p.bits), prior), steps=60)
     return x[:-1], float(x[-1])
