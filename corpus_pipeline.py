@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlab.llm import line_dedup, minhash_dedup, nnls_packing, passage_dedup, queries, suffix_decon
-from spanlab.llm.common import written
+from spanlab.llm.common import passing, scratch_path, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """All documents, later occurrences of repeated units cut out, then those of 50 repeated words that are left."""
     changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     columns = [changed[c].alias(c) if c in changed else F.col("doc")[c].alias(c) for c in docs.columns]
-    lines = written(line_dedup.dedup(docs).select(*columns), "lines")
+    path = scratch_path(spark, "lines")
+    with passing(spark):  # the units' tables go once the lines are written
+        lines = line_dedup.dedup(docs).select(*columns)
+        lines.write.parquet(path)
+    lines = spark.read.schema(lines.schema).parquet(path)
     return passage_dedup.dedup(lines).select(*columns)
 
 
