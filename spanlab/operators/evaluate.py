@@ -208,21 +208,33 @@ def entity_report(pairs: DataFrame) -> DataFrame:
     """
     if "pos" not in pairs.columns:
         pairs = positions(pairs)
-    px_arr, lab_arr, names = _id_arrays()
-    is_a = F.col("taxonomy") == "A"
+    px_arr, lab_arr, _ = _id_arrays()
 
-    def look(arrs, c):
-        i = F.col(c) + 1
-        return F.when(F.col(c) < 0, F.lit(None).cast("int")).when(
-            is_a, F.element_at(arrs["A"], i)).otherwise(F.element_at(arrs["B"], i))
+    def side(is_true, c):
+        def look(arrs):
+            return F.when(F.col("taxonomy") == "A", _by_id(arrs["A"], F.col(c))).otherwise(_by_id(arrs["B"], F.col(c)))
+        return F.struct(F.lit(is_true).alias("is_true"), F.coalesce(look(px_arr), F.lit(0)).alias("px"), look(lab_arr).alias("et"))
 
-    sides = F.array(*[F.struct(F.lit(n).alias("is_true"), F.coalesce(look(px_arr, c), F.lit(0)).alias("px"),
-                               look(lab_arr, c).alias("et")) for n, c in ((1, "true_id"), (0, "pred_id"))])
     seq = ["doc_id", "origin", "model_id", "taxonomy"]
-    tagged = pairs.select(*seq, "part", "pos", "opens", F.explode(sides).alias("s")).select(
+    tagged = pairs.select(*seq, "part", "pos", "opens", F.explode(F.array(side(1, "true_id"), side(0, "pred_id"))).alias("s")).select(
         *seq, "part", "pos", "opens", "s.*").where("px <> 0")
-    ents = entities(tagged, [*seq, "is_true"])
-    m = ents.groupBy(*seq, "part", "first", "last", "etype").agg(
+    return entity_scores(entities(tagged, [*seq, "is_true"]))
+
+
+def _by_id(arr: Column, tag_id: Column) -> Column:
+    return F.when(tag_id >= 0, F.element_at(arr, tag_id + 1))
+
+
+def tag_codes(taxonomy: str, tag_id: Column) -> tuple[Column, Column]:
+    """Prefix code (0 = O or ignored, 1 = B, 2 = I) and label code of a tag id of one taxonomy."""
+    px_arr, lab_arr, _ = _id_arrays()
+    return F.coalesce(_by_id(px_arr[taxonomy], tag_id), F.lit(0)), _by_id(lab_arr[taxonomy], tag_id)
+
+
+def entity_scores(ents: DataFrame) -> DataFrame:
+    """O49 from decoded entities: ``doc_id, origin, model_id, taxonomy, is_true, part, first, last, etype``."""
+    names = _id_arrays()[2]
+    m = ents.groupBy("doc_id", "origin", "model_id", "taxonomy", "part", "first", "last", "etype").agg(
         F.max("is_true").alias("it"), F.max(1 - F.col("is_true")).alias("ip"))
     sets = F.when(F.col("origin") == F.col("taxonomy"), F.array(F.lit("own"), F.lit("concat"))) \
         .otherwise(F.array(F.lit("concat")))
@@ -290,8 +302,17 @@ def score_parity(a: DataFrame, b: DataFrame, atol: float = 1e-5) -> DataFrame:
         .drop("n_missing")
 
 
-def hard_negatives(tag_pairs: DataFrame) -> DataFrame:
-    """False positives (true O, predicted entity) grouped by surface shape."""
-    fp = tag_pairs.where((F.col("true_tag") == "O") & (F.col("pred_tag") != "O"))
-    return fp.groupBy("taxonomy", "model_id", "pred_tag", surface_shape(F.col("tok")).alias("shape")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+def hard_negatives(tokens: DataFrame, wrong: dict[tuple[str, str], Column]) -> DataFrame:
+    """False positives (true O, predicted entity) grouped by surface shape: ``taxonomy, model_id, pred_tag, shape, n``.
+
+    ``tokens``: rows with ``tok``.  ``wrong``: for each (taxonomy, model) the predicted tag id of a false positive, else
+    null.  Tokens are counted by shape and all their ids first, in one pass for all models.
+    """
+    x = tokens.select(surface_shape(F.col("tok")).alias("shape"), *[c.alias("_".join(k)) for k, c in wrong.items()])
+    x = x.where(F.coalesce(*["_".join(k) for k in wrong]).isNotNull())
+    x = x.groupBy(*x.columns).agg(F.count(F.lit(1)).alias("n"))
+    rows = F.array(*[F.struct(F.lit(t).alias("taxonomy"), F.lit(m).alias("model_id"), F.col(f"{t}_{m}").alias("id")) for t, m in wrong])
+    x = x.select("shape", "n", F.explode(rows).alias("x")).where("x.id IS NOT NULL")
+    x = x.groupBy("x.taxonomy", "x.model_id", "x.id", "shape").agg(F.sum("n").alias("n"))
+    tag = F.when(F.col("taxonomy") == "A", tx.tag_text(F.col("id"), "A")).otherwise(tx.tag_text(F.col("id"), "B"))
+    return x.select("taxonomy", "model_id", tag.alias("pred_tag"), "shape", "n")

@@ -218,13 +218,6 @@ class Lineage:
         return c.select(F.explode(rows).alias("x"), "n", "docs").select("x.*", "n", "docs").groupBy("taxonomy", "id").agg(
             F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
-    @property
-    def n_docs(self) -> DataFrame:
-        def build():
-            n = self.docs_en.agg(F.count(F.lit(1)).alias("n_docs"))
-            return n.select(F.explode(F.array(*[F.lit(t) for t in tx.TAXONOMIES])).alias("taxonomy"), "n_docs")
-        return self._get("n_docs", build)
-
     @property
     def span_stream(self) -> DataFrame:
         """Gold annotations (after the allow-lists) and rule_loose spans of the
@@ -373,36 +366,40 @@ class Lineage:
         return self._get("pairs", build)
 
     @property
-    def tagged_pairs(self) -> DataFrame:
-        """``pairs`` of the positions where a side isn't ``O``, with their places among the scored ones of
-        the text (``part, pos, opens`` of ``evaluate.entities``).  Both models and taxonomies are decided per
-        token, before a row is made for each."""
+    def tagged(self) -> DataFrame:
+        """Tags that aren't ``O``, of the truth (``model_id`` ``*``) and of each model, in both taxonomies, with their places
+        among the scored positions of the text (``part, pos, opens`` of ``evaluate.entities``).
+
+        Lists of predictions are never shorter than the text here (``n_pred``), so all models share the truth's sequence.
+        Tokens that are ``O`` throughout are dropped before anything is sorted, moved or multiplied.
+        """
         def build():
             g = self.geometry
             n = g.groupBy(*lexer.CHUNK_KEY).agg(F.max("scored").alias("here"))
             order = Window.partitionBy(*DOC_KEY).orderBy("chunk")
             n = n.select(*lexer.CHUNK_KEY, F.coalesce(F.sum("here").over(
                 order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-            ids, combos, said = {}, [], F.lit(False)
+            sides, said = [], F.lit(False)
             for t in tx.TAXONOMIES:
-                o, true = F.lit(tx.tag2id(t)["O"]), self.true_id(t)
-                for m in predict.MODELS:
-                    k = self.n_pred(m)
-                    pred = F.when(F.col("idx") <= k, self.pred_id(t, m)).otherwise(F.lit(tx.IGNORE_ID))
-                    paired = F.col("idx") <= k + 1
-                    said = said | (paired & ((true != o) | (self.pred_id(t, m) != o)))
-                    combos.append(F.struct(F.lit(t).alias("taxonomy"), F.lit(m).alias("model_id"), true.alias("true_id"),
-                                           pred.alias("pred_id"), paired.alias("paired")))
-            # before anything is sorted, moved or multiplied: scored tokens that aren't O throughout
-            x = g.where((self.true_id("A") != tx.IGNORE_ID) & said).select(*lexer.CHUNK_KEY, "scored", F.array(*combos).alias("c"))
+                for m, tag_id in [("*", self.true_id(t)), *[(m, self.pred_id(t, m)) for m in predict.MODELS]]:
+                    px, et = evaluate.tag_codes(t, tag_id)
+                    said = said | (tag_id != tx.tag2id(t)["O"])
+                    sides.append(F.struct(F.lit(t).alias("taxonomy"), F.lit(m).alias("model_id"), px.alias("px"), et.alias("et")))
+            x = g.where((self.true_id("A") != tx.IGNORE_ID) & said).select(*lexer.CHUNK_KEY, "scored", F.array(*sides).alias("s"))
             x = x.join(n.hint("merge"), lexer.CHUNK_KEY).select(
-                *lexer.CHUNK_KEY, (F.col("before") + F.col("scored")).alias("pos"), ((F.col("scored") == 1) & (F.col("before") > 0)).alias("opens"),
-                F.explode("c").alias("c"))
-            outside = F.when(F.col("c.taxonomy") == "A", F.lit(tx.tag2id("A")["O"])).otherwise(F.lit(tx.tag2id("B")["O"]))
-            said = (F.col("c.true_id") != outside) | ((F.col("c.pred_id") != outside) & (F.col("c.pred_id") != tx.IGNORE_ID))
-            return x.where(F.col("c.paired") & said).select(
-                "c.taxonomy", "c.model_id", *DOC_KEY, F.col("chunk").alias("part"), "pos", "opens", "c.true_id", "c.pred_id")
-        return self._get("tagged_pairs", build)
+                *DOC_KEY, F.col("chunk").alias("part"), (F.col("before") + F.col("scored")).alias("pos"),
+                ((F.col("scored") == 1) & (F.col("before") > 0)).alias("opens"), F.explode("s").alias("s"))
+            return x.select(*DOC_KEY, "part", "pos", "opens", "s.*").where("px <> 0")
+        return self._get("tagged", build)
+
+    @property
+    def entities(self) -> DataFrame:
+        """Entities of the truth and of each model, the truth's once for every model."""
+        def build():
+            e = evaluate.entities(self.tagged, ["doc_id", "origin", "taxonomy", "model_id"])
+            models = F.when(F.col("model_id") == "*", F.array(*[F.lit(m) for m in predict.MODELS])).otherwise(F.array("model_id"))
+            return e.withColumns({"is_true": (F.col("model_id") == "*").cast("int"), "model_id": F.explode(models)})
+        return self._get("entities", build)
 
     @property
     def confusion(self) -> DataFrame:
@@ -427,18 +424,6 @@ class Lineage:
                 *evaluate.CONF_KEY, "true_id", "pred_id").agg(F.sum("n").alias("n"))
         return self._get("confusion", build)
 
-    @property
-    def tag_pairs(self) -> DataFrame:
-        """``pairs`` with tag text (``true_tag``, ``pred_tag``; pad = null) and token text."""
-        def build():
-            dim = F.broadcast(tx.label_dim(self.spark).select("taxonomy", "tag_id", "tag"))
-            tdim = dim.select("taxonomy", F.col("tag_id").alias("true_id"), F.col("tag").alias("true_tag"))
-            pdim = dim.select("taxonomy", F.col("tag_id").alias("pred_id"), F.col("tag").alias("pred_tag"))
-            return (self.pairs.join(tdim, ["taxonomy", "true_id"], "left")
-                    .join(pdim, ["taxonomy", "pred_id"], "left")
-                    .select("taxonomy", "model_id", *DOC_KEY, "idx", "tok", "true_tag", "pred_tag"))
-        return self._get("tag_pairs", build)
-
 
 _LINEAGES: dict = {}
 

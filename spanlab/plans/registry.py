@@ -314,13 +314,13 @@ def q_relabel(spark, sf_dir):
 FROM by_tax GROUP BY taxonomy, origin""", "by_tax"))
 def q_mask_ignored(spark, sf_dir):
     L = lineage(spark, sf_dir)
-    k = L.kinds()
-    per_doc = k.groupBy("taxonomy", *DOC_KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("kind") != "IGN").cast("int")).alias("s"))
-    return per_doc.groupBy("taxonomy", "origin").agg(
-        F.sum(F.col("n") + 2).cast("bigint").alias("positions"),
-        F.sum(F.col("n") - F.col("s") + 2).cast("bigint").alias("ignored"),
-        F.sum("s").cast("bigint").alias("scored"))
+    c = L.geometry.groupBy("origin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("idx") == 1).cast("long")).alias("docs"),
+        *[F.sum((L.true_id(t) != tx.IGNORE_ID).cast("long")).alias(f"s_{t}") for t in tx.TAXONOMIES])
+    c = c.select("origin", "n", "docs", F.explode(F.array(*[F.struct(F.lit(t).alias("taxonomy"), F.col(f"s_{t}").alias("scored"))
+                                                            for t in tx.TAXONOMIES])).alias("x"))
+    positions = F.col("n") + 2 * F.col("docs")
+    return c.select("x.taxonomy", "origin", positions.alias("positions"), (positions - F.col("x.scored")).alias("ignored"), "x.scored")
 
 
 @register("scope_labels", S("""SELECT s.taxonomy, s.eval_set, s.model_id,
@@ -740,7 +740,7 @@ JOIN (VALUES ('own'), ('concat')) s(eval_set) ON s.eval_set = 'concat' OR x.orig
 CROSS JOIN LATERAL (SELECT unnest([x.et0, 'ALL']) AS etype)
 GROUP BY taxonomy, eval_set, model_id, etype""", "tag_pairs"))
 def q_entity_report(spark, sf_dir):
-    return E.entity_report(lineage(spark, sf_dir).tagged_pairs)
+    return E.entity_scores(lineage(spark, sf_dir).entities)
 
 
 @register("logits_argmax", S("""SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax
@@ -783,7 +783,12 @@ def q_flat_true_tokens(spark, sf_dir):
   count(*) AS n
 FROM tag_pairs WHERE true_tag = 'O' AND pred_tag IS NOT NULL AND pred_tag <> 'O' GROUP BY ALL""", "tag_pairs"))
 def q_hard_negative_probe(spark, sf_dir):
-    return E.hard_negatives(lineage(spark, sf_dir).tag_pairs)
+    L = lineage(spark, sf_dir)
+
+    def wrong(t, m):
+        o = F.lit(tx.tag2id(t)["O"])
+        return F.when((L.true_id(t) == o) & (L.pred_id(t, m) != o) & (F.col("idx") <= L.n_pred(m)), L.pred_id(t, m))
+    return E.hard_negatives(L.geometry, {(t, m): wrong(t, m) for t in tx.TAXONOMIES for m in predict.MODELS})
 
 
 # ---------------------------------------------------------------------------
