@@ -237,16 +237,34 @@ def label_in(taxonomy, origin: Column = None, span_label: Column = None) -> Colu
     return tx.relabel_t(span_label, origin, taxonomy)
 
 
+def gather(tokens: DataFrame, lists: dict[str, Column]) -> DataFrame:
+    """Rows of a chunked token table (``origin, doc_id, chunk, lidx``) -> one row a document with ``lists`` in token order.
+
+    Rows are gathered chunk by chunk, where a table bucketed on the chunk's key holds them; only the chunks' lists
+    move to their documents, plain values without a key or a struct a token, texts as one text a
+    chunk.  Texts hold no blank (``" "``), as the lexer's tokens.
+    """
+    x = tokens.select(*CHUNK_KEY, "lidx", *[c.alias(n) for n, c in lists.items()])
+    texts = {n for n in lists if x.schema[n].dataType.simpleString() == "string"}
+    x = x.groupBy(*CHUNK_KEY).agg(F.sort_array(F.collect_list(F.struct("lidx", *lists))).alias("l"))
+    x = x.select(*CHUNK_KEY, *[(F.array_join(F.col("l")[n], " ") if n in texts else F.col("l")[n]).alias(n) for n in lists])
+    x = x.groupBy(*DOC_KEY).agg(F.sort_array(F.collect_list(F.struct("chunk", *lists))).alias("l"))
+    return x.select(*DOC_KEY, *[(F.split(F.array_join(F.col("l")[n], " "), " ") if n in texts else F.flatten(F.col("l")[n])).alias(n) for n in lists])
+
+
 def nest_labels(tokens: DataFrame, key: list[str]) -> DataFrame:
     """Token rows -> one row per ``key``: ``offset_mapping`` and the ``*_id`` columns as
-    ``*_labels`` lists with an ignored position at either end (special tokens)."""
+    ``*_labels`` lists with an ignored position at either end (special tokens).  Rows of a chunked
+    token table (``chunk, lidx`` for ``idx``) are gathered where they lie."""
     ids = [c for c in tokens.columns if c.endswith("_id") and c != "doc_id"]
-    l = tokens.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("idx", "start", "end", *ids))).alias("_l"))
+    cols = ["start", "end", *ids]
+    if {"chunk", "lidx"} <= set(tokens.columns) and sorted(key) == sorted(DOC_KEY):
+        l = gather(tokens, {c: F.col(c) for c in cols})
+    else:
+        l = tokens.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("idx", *cols))).alias("_l"))
+        l = l.select(*key, *[F.col("_l")[c].alias(c) for c in cols])
     pad = F.array(F.lit(tx.IGNORE_ID))
 
     def labels(c: str) -> Column:
-        return F.concat(pad, F.transform("_l", lambda x: x[c]), pad).alias(c[:-3] + "_labels")
-    return l.select(
-        *key, F.transform("_l", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-        .alias("offset_mapping"),
-        *[labels(c) for c in ids])
+        return F.concat(pad, F.col(c).cast("array<int>"), pad).alias(c[:-3] + "_labels")
+    return l.select(*key, F.arrays_zip("start", "end").alias("offset_mapping"), *[labels(c) for c in ids])
