@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 from ..functions.text import strip
-from ..sources.corpus import DOC_KEY, EMAIL_RX, IP_RX, LOOSE_PHONE_RX, CAPITALISED_RX
+from ..sources.corpus import DOC_KEY, EMAIL_RX, IP_RX, LOOSE_PHONE_RX, CAPITALISED_RX, place_documents
 
 MODELS = ("rule_loose", "noisy")
 # ``noisy`` lists of documents with this remainder carry one surplus entity at their end.
@@ -226,20 +226,22 @@ def token_grams(tok: Column) -> Column:
 
 
 def word_matches(tokens_df: DataFrame, words: DataFrame) -> DataFrame:
-    """Per token and model, ``ppos`` of the first prediction whose stripped ``word`` is a substring of the token.
+    """Per token text of a document and model, ``ppos`` of the first prediction whose stripped ``word`` is a substring of it.
 
-    ``words``: ``origin, doc_id, model_id, ppos, word``.  All models of a document share one index: a word is
+    ``words``: ``origin, doc_id, model_id, ppos, word``.  What a token matches depends on its text alone, so every text of a
+    document is looked up once.  All models of a document share one index: a word is
     listed once, with each model's first place of it, and meets the tokens once.  A word in a token starts with one of
     the token's short substrings, so words meet tokens in an equi-join on ``(origin, doc_id, first
-    characters)``, then the whole word is tested -- never tokens x predictions.
+    characters)``, then the whole word is tested -- never tokens x predictions.  ``tokens_df`` placed by document
+    (``place_documents``) stays there: substrings are given out after the move, not before it.
     """
     w = words.select(*DOC_KEY, "model_id", "ppos", strip(F.coalesce(F.col("word"), F.lit(""))).alias("word"))
     w = w.groupBy(*DOC_KEY, "word", "model_id").agg(F.min("ppos").alias("ppos"))
     w = w.groupBy(*DOC_KEY, "word").agg(F.collect_list(F.struct("model_id", "ppos")).alias("firsts")) \
         .withColumn("gram", F.substring("word", 1, GRAM))
-    grams = tokens_df.select(*DOC_KEY, "idx", "tok", F.explode(token_grams(F.col("tok"))).alias("gram"))
-    j = grams.join(w, [*DOC_KEY, "gram"], "inner").where(F.contains("tok", "word"))
-    return j.select(*DOC_KEY, "idx", F.explode("firsts").alias("f")).groupBy(*DOC_KEY, "idx", "f.model_id").agg(
+    grams = tokens_df.select(*DOC_KEY, "tok").distinct().select(*DOC_KEY, "tok", F.explode(token_grams(F.col("tok"))).alias("gram"))
+    j = grams.join(w.hint("merge"), [*DOC_KEY, "gram"], "inner").where(F.contains("tok", "word"))
+    return j.select(*DOC_KEY, "tok", F.explode("firsts").alias("f")).groupBy(*DOC_KEY, "tok", "f.model_id").agg(
         F.min("f.ppos").alias("ppos"))
 
 
@@ -252,11 +254,12 @@ def word_match_align(tokens_df: DataFrame, preds: DataFrame) -> DataFrame:
     ids, ignored positions included).  ``preds``: ``origin, doc_id, model_id, predicted_mask`` of any
     number of models; an entity is text, or a struct with one text a taxonomy.
     """
+    tokens_df = place_documents(tokens_df)  # once; all below meets by document
     long = preds.select(*DOC_KEY, "model_id", F.posexplode("predicted_mask").alias("ppos", "e"))
     hit = word_matches(tokens_df, long.select(*DOC_KEY, "model_id", "ppos", F.col("e.word").alias("word")))
-    hit = hit.join(long.select(*DOC_KEY, "model_id", "ppos", F.col("e.entity").alias("entity")), [*DOC_KEY, "model_id", "ppos"])
+    hit = hit.join(long.select(*DOC_KEY, "model_id", "ppos", F.col("e.entity").alias("entity")).hint("merge"), [*DOC_KEY, "model_id", "ppos"])
     models = preds.select(*DOC_KEY, "model_id").distinct()
     kind = long.schema["e"].dataType["entity"].dataType
     o = F.struct(*[F.lit("O").alias(f.name) for f in kind.fields]) if hasattr(kind, "fields") else F.lit("O")
-    return (tokens_df.join(models, DOC_KEY, "inner").join(hit.drop("ppos"), [*DOC_KEY, "model_id", "idx"], "left")
+    return (tokens_df.join(models, DOC_KEY, "inner").join(hit.drop("ppos").hint("merge"), [*DOC_KEY, "model_id", "tok"], "left")
             .withColumn("entity", F.coalesce("entity", o)))
