@@ -205,6 +205,9 @@ def corpus_counts(docs: DataFrame, by: list[str], chunk: int = CHUNK) -> DataFra
     return per.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tok"))
 
 
+#: Texts that a tokenizer gets at once.
+TOKENIZER_BATCH = 32
+
 TokenizerFactory = Callable[[], Callable[[list[str]], list[list[tuple[int, int]]]]]
 
 
@@ -212,7 +215,8 @@ def tokenize(docs: DataFrame, factory: TokenizerFactory) -> DataFrame:
     """A user's tokenizer over a corpus: ``origin, doc_id, idx, tok, start, end, is_subword``.
 
     ``factory()`` is called once a task and gives a function from a list of texts to lists of
-    (start, end) character offsets, as fast tokenizers return them; it runs on Arrow batches.  ``idx`` counts the tokens
+    (start, end) character offsets, as fast tokenizers return them; it gets up to ``TOKENIZER_BATCH`` texts, so that a worker holds
+    the tokens of these and not of a whole Arrow batch.  ``idx`` counts the tokens
     with characters from 1; a token that begins where the one before ends is a subword.
     """
     from pyspark.sql import types as T
@@ -221,13 +225,13 @@ def tokenize(docs: DataFrame, factory: TokenizerFactory) -> DataFrame:
     schema = T.StructType([*[docs.schema[c] for c in DOC_KEY], T.StructField("idx", T.IntegerType()), T.StructField("tok", T.StringType()),
                            T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
                            T.StructField("is_subword", T.BooleanType())])
-    arrow = to_arrow_schema(schema)
+    arrow, size = to_arrow_schema(schema), TOKENIZER_BATCH
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         offsets_of = factory()
-        for b in batches:
+        for b in (b.slice(i, size) for b in batches for i in range(0, b.num_rows, size)):
             rows = [r for r in zip(*(b.column(i).to_pylist() for i in range(3))) if r[2] is not None]
             cols: list[list] = [[] for _ in arrow.names]
             for (origin, doc_id, text), spans in zip(rows, offsets_of([r[2] for r in rows])):
