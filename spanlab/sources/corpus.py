@@ -86,12 +86,19 @@ def place_documents(df: DataFrame) -> DataFrame:
 _ZIP_TYPE = "array<struct<m:string,gap:string>>"
 
 
+# What every match of a slow rule holds: a text without it is passed over by a plain search.
+_HOLDS = {EMAIL_RX: "@", TEL_RX: " ("}
+
+
 def _zip(text: Column, pattern: str) -> Column:
     """``[(match, text before it)]`` for every match, plus one trailing
-    ``(null, tail)`` element.  ``arrays_zip`` keeps this in generated code
+    ``(null, tail)`` element; null for a text without a match, which one search settles.  ``arrays_zip`` keeps this in generated code
     (a lambda ``transform`` would be interpreted per element)."""
-    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"),
-                        F.split(text, pattern, -1).alias("gap")).cast(_ZIP_TYPE)
+    some = text.rlike(pattern)
+    if pattern in _HOLDS:
+        some = text.contains(_HOLDS[pattern]) & some
+    return F.when(some, F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"),
+                                     F.split(text, pattern, -1).alias("gap")).cast(_ZIP_TYPE))
 
 
 def explode_matches(docs: DataFrame, rules: list[tuple[int, Column]]) -> DataFrame:
