@@ -38,7 +38,7 @@ def locate(spans: DataFrame, tokens: DataFrame, extra_key: list[str] | None = No
            chunk: int = CHUNK, places: bool = False) -> DataFrame:
     """Start and end token of every span (O21 ``char_to_token``).
 
-    ``tokens``: pieces of the lexer, ``lexer.token_chunks``, or any table of ``origin, doc_id, start, end``
+    ``tokens``: pieces of the lexer, ``lexer.token_lists``, ``lexer.token_chunks``, or any table of ``origin, doc_id, start, end``
     (``lexer.index_tokens`` says what it may hold).  ``totals``: its ``lexer.chunk_totals``, if written before.
 
     Output: span columns + ``start_idx`` (null = unmappable), ``end_idx``
@@ -46,21 +46,17 @@ def locate(spans: DataFrame, tokens: DataFrame, extra_key: list[str] | None = No
     ``ok | no_token | empty``; with ``places`` also the chunks of both tokens.
 
     Bins lie inside chunks, and both sides meet on the chunk's key: a span boundary finds at most
-    the tokens that touch ``BIN`` characters, whatever the document's length.  A token that began in an
-    earlier chunk is found in the chunk's totals.
+    the tokens that touch ``BIN`` characters, whatever the document's length; with ``lexer.token_lists`` it meets one row and
+    counts bits.  A token that began in an earlier chunk is found in the chunk's totals.
     """
     ek = extra_key or []
     cols = [*ek, *SPAN_COLS]
     if "is_tok" in tokens.columns:
         tokens = lexer.tokens_from_pieces(tokens)
-    if not {"chunk", "lidx", "nxt"} <= set(tokens.columns):
+    listed = "starts" in tokens.columns
+    if not listed and not {"chunk", "lidx", "nxt"} <= set(tokens.columns):
         tokens = lexer.index_tokens(tokens, chunk)
     totals = lexer.chunk_totals(tokens) if totals is None else totals
-    border = (F.col("chunk") + 1) * F.lit(chunk)
-    until = F.coalesce("nxt", F.least(F.col("end"), border))
-    held = tokens.select(*CHUNK_KEY, "lidx", F.col("start").alias("tstart"), F.col("end").alias("tend"), until.alias("until"))
-    bins = F.sequence(F.expr(f"tstart div {BIN}"), F.expr(f"(until - 1) div {BIN}"))
-    held = held.select("*", F.explode(bins).alias("bin"))
 
     live = F.col("end") > F.col("start")
     # Every span keeps at least one row (empty spans get a null one) and the joins are left joins, so the
@@ -73,17 +69,12 @@ def locate(spans: DataFrame, tokens: DataFrame, extra_key: list[str] | None = No
     t = t.select("*", F.expr(f"target div {chunk}").cast("int").alias("chunk"), F.expr(f"target div {BIN}").alias("bin"))
     # The boundaries move to where the tokens are, else the tokens would move to where the documents are.
     t = t.repartition(shuffle_partitions(spans.sparkSession), *CHUNK_KEY)
-    # Size estimates ignore how many rows an explode makes: without the hint Spark
-    # may take the whole token stream for small enough to broadcast.
-    inside = (F.col("t.target") >= F.col("h.tstart")) & (F.col("t.target") < F.col("h.until"))
-    same = [F.col(f"t.{c}") == F.col(f"h.{c}") for c in (*CHUNK_KEY, "bin")]
-    hit = t.alias("t").join(held.hint("merge").alias("h"), [*same, inside], "left").select(
-        *[F.col(f"t.{c}").alias(c) for c in (*cols, "kind", "target", "chunk")], "lidx", "tend")
-    hit = hit.join(totals.hint("merge"), CHUNK_KEY, "left")
+    hit = _at_lists(t, tokens, chunk) if listed else _at_rows(t, tokens, chunk)
+    hit = hit.select(*cols, "kind", "target", "chunk", "lidx", "inside").join(totals.hint("merge"), CHUNK_KEY, "left")
 
     found, target = F.col("lidx").isNotNull(), F.col("target")
     after = F.coalesce(target >= F.col("last_start"), F.lit(False))  # past the chunk's last token
-    first = F.when(found & (target < F.col("tend")), F.col("base") + F.col("lidx")).when(
+    first = F.when(found & F.col("inside"), F.col("base") + F.col("lidx")).when(
         ~found & (target < F.col("before_end")), F.col("base"))
     first_chunk = F.when(found, F.col("chunk")).otherwise(F.col("before_chunk"))
     last = F.when(found, F.col("base") + F.col("lidx")).when(after, F.col("base") + F.col("n")).otherwise(F.col("base"))
@@ -92,23 +83,48 @@ def locate(spans: DataFrame, tokens: DataFrame, extra_key: list[str] | None = No
     def of(kind, value):
         return F.max(F.when(F.col("kind") == kind, value))
     # the last chunk of a text that a span's end lies beyond has no totals: its last token counts
-    end = F.struct(last.alias("idx"), last_chunk.alias("chunk"))
-    g = hit.groupBy(*DOC_KEY, *ek, "ann_pos").agg(
-        F.first("start").alias("start"), F.first("end").alias("end"), F.first("label").alias("label"),
-        of(0, F.struct(first.alias("idx"), first_chunk.alias("chunk"))).alias("_s"), of(1, F.when(last.isNotNull(), end)).alias("_e"),
-        F.max("n_tok").alias("n_tok"))
-    start_idx = F.when(live, F.col("_s.idx"))
+    g = hit.groupBy(*cols).agg(
+        of(0, first).alias("_s"), of(0, first_chunk).alias("_s_chunk"), of(1, last).alias("_e"),
+        of(1, F.when(last.isNotNull(), last_chunk)).alias("_e_chunk"), F.max("n_tok").alias("n_tok"))
+    start_idx = F.when(live, F.col("_s"))
     status = F.when(~live, F.lit("empty")).when(start_idx.isNull(), F.lit("no_token")).otherwise(F.lit("ok"))
     out = g.select(
         *cols, start_idx.cast("int").alias("start_idx"),
-        F.when(start_idx.isNotNull(), F.coalesce(F.col("_e.idx"), "n_tok")).cast("int").alias("end_idx"),
+        F.when(start_idx.isNotNull(), F.coalesce(F.col("_e"), "n_tok")).cast("int").alias("end_idx"),
         status.alias("status"),
-        F.when(start_idx.isNotNull(), F.col("_s.chunk")).alias("start_chunk"),
+        F.when(start_idx.isNotNull(), F.col("_s_chunk")).alias("start_chunk"),
         # beyond the text: up to where the span ends, as far as the document has chunks
-        F.when(start_idx.isNotNull(), F.coalesce(F.col("_e.chunk"), F.expr(f"(end - 1) div {chunk}").cast("int"))).alias("end_chunk"))
+        F.when(start_idx.isNotNull(), F.coalesce(F.col("_e_chunk"), F.expr(f"(end - 1) div {chunk}").cast("int"))).alias("end_chunk"))
     return out if places else out.drop(*_PLACES)
 
 
+def _at_rows(t: DataFrame, tokens: DataFrame, chunk: int) -> DataFrame:
+    """``t`` with ``lidx`` of the chunk's token that ``target`` lies in or in the gap after (else null), and whether ``inside`` it."""
+    border = (F.col("chunk") + 1) * F.lit(chunk)
+    until = F.coalesce("nxt", F.least(F.col("end"), border))
+    held = tokens.select(*CHUNK_KEY, "lidx", F.col("start").alias("tstart"), F.col("end").alias("tend"), until.alias("until"))
+    bins = F.sequence(F.expr(f"tstart div {BIN}"), F.expr(f"(until - 1) div {BIN}"))
+    held = held.select("*", F.explode(bins).alias("bin"))
+    # Size estimates ignore how many rows an explode makes: without the hint Spark
+    # may take the whole token stream for small enough to broadcast.
+    inside = (F.col("t.target") >= F.col("h.tstart")) & (F.col("t.target") < F.col("h.until"))
+    same = [F.col(f"t.{c}") == F.col(f"h.{c}") for c in (*CHUNK_KEY, "bin")]
+    return t.alias("t").join(held.hint("merge").alias("h"), [*same, inside], "left").select(
+        "t.*", "lidx", (F.col("t.target") < F.col("tend")).alias("inside"))
+
+
+def _at_lists(t: DataFrame, lists: DataFrame, chunk: int) -> DataFrame:
+    """``_at_rows`` in ``lexer.token_lists``: a target meets its chunk's one row, and counts the starts up to it in its bin."""
+    held = lists.select(*CHUNK_KEY, "n", "last_end", "upto", "starts", "covered")
+    at, off = f"CAST(target % {chunk} div {BIN} AS INT)", f"CAST(target % {BIN} AS INT)"
+    x = t.join(held.hint("merge"), CHUNK_KEY, "left").select(
+        *t.columns, "n", "last_end",
+        F.expr(f"get(upto, {at}) + bit_count(get(starts, {at}) & shiftrightunsigned(-1L, {BIN - 1} - {off}))").alias("k"),
+        F.expr(f"shiftrightunsigned(get(covered, {at}), {off}) & 1L = 1L").alias("inside"))
+    some = (F.col("k") > 0) & ((F.col("k") < F.col("n")) | (F.col("target") < F.col("last_end")))
+    return x.select(*t.columns, F.when(some, F.col("k")).alias("lidx"), "inside")
+
+
 def unmappable(located: DataFrame) -> DataFrame:
     """Spans that no token can carry (start on a blank, or empty span)."""
     return located.where(F.col("status") != "ok")
@@ -188,6 +204,84 @@ def cover_chunks(accepted: DataFrame, totals: DataFrame, extra: list[str] | None
                     (F.col("base") + F.col("lidx") == F.col("start_idx")).alias("is_first"), *extra))
 
 
+def cover_lists(accepted: DataFrame, totals: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """``cover_chunks`` as one row a chunk: ``covers``, a list of ``lo, hi`` (places in the chunk), ``first`` (its first token
+    opens the span), ``ann_pos`` and ``extra``."""
+    extra = extra or []
+    x = accepted.select(*DOC_KEY, "ann_pos", "start_idx", "end_idx", *extra,
+                        F.explode(F.sequence("start_chunk", F.greatest("start_chunk", "end_chunk"))).alias("chunk"))
+    x = x.join(totals.select(*CHUNK_KEY, "base", "n").hint("merge"), CHUNK_KEY)
+    lo = F.greatest(F.col("start_idx") - F.col("base"), F.lit(1)).alias("lo")
+    hi = F.least(F.col("end_idx") - F.col("base"), F.col("n")).alias("hi")
+    x = x.select("*", lo, hi).where("lo <= hi").withColumn("first", F.col("base") + F.col("lo") == F.col("start_idx"))
+    return x.groupBy(*CHUNK_KEY).agg(F.collect_list(F.struct("lo", "hi", "first", "ann_pos", *extra)).alias("covers"))
+
+
+def spread(lists: DataFrame) -> DataFrame:
+    """Rows of ``lexer.token_lists`` with ``base``, ``n_tok`` and ``covers`` (``cover_lists`` with ``gold``, ``code``) -> token rows:
+    ``doc_id, chunk, origin, lidx, idx, tok, start, end, is_subword, n_tok, scored``, of the gold span ``g_code, g_first, ann_pos``, of
+    the other ``l_code, l_first`` (null: none).
+
+    ``scored`` counts the chunk's tokens that begin a word or a gold span.  Spans of a kind don't overlap; all is laid
+    on the lists, so no token is sorted or joined.
+    """
+    from pyspark.sql import types as T
+
+    keys, lists_of = list(CHUNK_KEY), ["tok", "start", "end", "is_subword"]
+    number, flag = T.IntegerType(), T.BooleanType()
+    kinds = {"lidx": number, "idx": number, "tok": T.StringType(), "start": number, "end": number, "is_subword": flag, "n_tok": number,
+             "scored": number, "g_code": number, "g_first": flag, "ann_pos": number, "l_code": number, "l_first": flag}
+    schema = T.StructType([*[lists.schema[k] for k in keys], *[T.StructField(c, t) for c, t in kinds.items()]])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+            n = b.column("n").to_numpy().astype(np.int64)
+            row, opens = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            lidx = np.arange(len(row)) - opens[row] + 1
+            tok, start, end, sub = (b.column(c).flatten() for c in lists_of)
+
+            counts = pc.fill_null(b.column("covers").value_lengths(), 0).to_numpy()
+            spans = b.column("covers").flatten()
+            value = {f: c.to_numpy(zero_copy_only=False) for f, c in zip(spans.type.names, spans.flatten())}
+            lo = opens[np.repeat(np.arange(len(n)), counts)] + value["lo"] - 1
+            size = (value["hi"] - value["lo"] + 1).astype(np.int64)
+
+            def laid(kind):
+                """Which span of a kind lies on each token (-1: none)."""
+                out, mine = np.full(len(row), -1), np.flatnonzero(value["gold"].astype(bool) == kind)
+                m = size[mine]
+                out[np.repeat(lo[mine] - (np.cumsum(m) - m), m) + np.arange(m.sum())] = np.repeat(mine, m)
+                return out
+
+            def of(name, at, kind):
+                if not len(value[name]):
+                    return pa.nulls(len(at), kind)
+                return pa.array(value[name][at], kind, mask=at < 0)
+            gold, loose = laid(True), laid(False)
+
+            def begins(at):
+                first = np.zeros(len(at), bool)
+                if len(lo):
+                    first = (at >= 0) & (lo[at] == np.arange(len(at))) & value["first"].astype(bool)[at]
+                return first
+            g_first = begins(gold)
+            counted = np.cumsum(~sub.to_numpy(zero_copy_only=False).astype(bool) | g_first)
+            scored = counted - np.concatenate([[0], counted])[opens][row]
+            i32, bits = pa.int32(), pa.bool_()
+            base, n_tok = (b.column(c).to_numpy()[row] for c in ("base", "n_tok"))
+            keyed = pa.array(row)
+            yield pa.record_batch([
+                *[b.column(k).take(keyed) for k in keys], pa.array(lidx, i32), pa.array(base + lidx, i32), tok, start, end, sub,
+                pa.array(n_tok, i32), pa.array(scored, i32), of("code", gold, i32), pa.array(g_first, bits, mask=gold < 0),
+                of("ann_pos", gold, i32), of("code", loose, i32), pa.array(begins(loose), bits, mask=loose < 0)], names=schema.names)
+
+    return lists.select(*keys, "n", *lists_of, "base", "n_tok", "covers").mapInArrow(run, schema)
+
+
 def align_tokens(spans: DataFrame, tokens: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``align`` for any tokenizer's tokens (``origin, doc_id, start, end`` and more columns): all their
     columns, ``idx`` (1..n over those with characters), ``span_label``, ``is_first`` and ``ann_pos``."""

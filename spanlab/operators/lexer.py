@@ -107,18 +107,138 @@ def lexed(parts: DataFrame, chunk: int = CHUNK, keep: list[str] | None = None) -
     return x.where(F.col("pstart") < (F.col("chunk") + 1) * F.lit(chunk))
 
 
-def token_chunks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Tokens with their places in their chunk: ``origin, doc_id, chunk, lidx, tok, start, end, nxt, is_subword``.
+def token_lists(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Tokens as one row a chunk: ``origin, doc_id, chunk, n, last_start, last_end, tok, start, end, is_subword, upto, starts, covered``.
 
-    ``nxt``: start of the next token of the chunk.  Chunks are placed by their own key, so
-    a long document is spread over tasks.
+    ``tok .. is_subword``: lists of the chunk's ``n`` tokens.  By bins of ``BIN`` characters: ``upto`` (tokens that start in
+    earlier bins), ``starts`` and ``covered`` (a bit a character: a token starts there, a token holds it).
+    Pieces are found by Spark; their running sums are taken list by list, so that no piece becomes a row and none is sorted.  Chunks
+    are placed by their own key, so a long document is spread over tasks; parts with equal keys are lexed as one.
     """
-    spark = docs.sparkSession
-    parts = chunks(docs, chunk).repartition(shuffle_partitions(spark), *CHUNK_KEY)
-    x = lexed(parts, chunk).where("is_tok").select(
-        *CHUNK_KEY, F.col("upto").alias("lidx"), F.col("piece").alias("tok"), F.col("pstart").alias("start"),
-        F.col("pend").alias("end"), "is_subword", "pos")
-    return x.withColumn("nxt", F.lead("start").over(Window.partitionBy(*CHUNK_KEY).orderBy("pos"))).drop("pos")
+    from pyspark.sql import types as T
+
+    size, width, keys = _check(chunk), BIN, list(CHUNK_KEY)
+    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+    schema = T.StructType([
+        docs.schema["doc_id"], T.StructField("chunk", T.IntegerType()), docs.schema["origin"],
+        *[T.StructField(c, T.IntegerType()) for c in ("n", "last_start", "last_end")],
+        T.StructField("tok", T.ArrayType(T.StringType())), T.StructField("start", ints), T.StructField("end", ints),
+        T.StructField("is_subword", T.ArrayType(T.BooleanType())), T.StructField("upto", ints),
+        T.StructField("starts", longs), T.StructField("covered", longs)])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        blank = np.zeros(256, bool)
+        blank[[9, 10, 13, 32]] = True
+
+        def key(b, i):
+            return tuple(b.column(k)[i].as_py() for k in keys)
+
+        def whole():
+            """Parts a few at a time, those of equal keys together."""
+            held = None
+            for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+                if held is not None:
+                    b = pa.concat_batches([held, b])
+                k, last = b.num_rows - 1, key(b, b.num_rows - 1)
+                while k and last[0] is not None and key(b, k - 1) == last:
+                    k -= 1
+                held = b.slice(k)
+                if k:
+                    yield b.slice(0, k)
+            if held is not None:
+                yield held
+
+        def listed(values, counts):
+            at = np.zeros(len(counts) + 1, np.int32)
+            np.cumsum(counts, out=at[1:])
+            return pa.ListArray.from_arrays(pa.array(at), values)
+
+        def before(counts):
+            return np.cumsum(counts) - counts
+
+        for b in whole():
+            rows = b.num_rows
+            doc, number, origin = (b.column(k) for k in keys)
+            ids, known, part = pc.fill_null(doc, 0).to_numpy(), pc.is_valid(doc).to_numpy(zero_copy_only=False), number.to_numpy()
+            names = np.array(origin.to_pylist(), dtype=object)
+            new = np.ones(rows, bool)
+            new[1:] = ~known[1:] | ~known[:-1] | (ids[1:] != ids[:-1]) | (part[1:] != part[:-1]) | (names[1:] != names[:-1])
+            group, lead = np.cumsum(new) - 1, np.flatnonzero(new)
+
+            pieces = b.column("pieces")
+            counts = pc.fill_null(pieces.value_lengths(), 0).to_numpy()
+            flat, row = pieces.flatten().cast(pa.string()), np.repeat(np.arange(rows), counts)
+            if not len(flat):
+                continue
+            if len(lead) < rows:  # pieces of equal keys by their positions
+                order = np.lexsort((np.arange(len(row)) - np.repeat(before(counts), counts), group[row]))
+                flat, row = flat.take(pa.array(order)), row[order]
+            of = group[row]
+            at = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset:flat.offset + len(flat)]
+            is_tok = ~blank[np.frombuffer(flat.buffers()[2], np.uint8)[at]]
+            length = pc.utf8_length(flat).to_numpy().astype(np.int64)
+            opens = np.flatnonzero(np.diff(of, prepend=-1))
+            total = np.cumsum(length)
+            inside = total - np.repeat((total - length)[opens], np.diff(opens, append=len(of)))
+            first = part[lead].astype(np.int64) * size  # of each key
+            end = first[of] + b.column("skip").to_numpy()[row] + inside
+            start = end - length
+            glued = np.zeros(len(of), bool)
+            glued[1:] = is_tok[:-1]
+            joined = np.array([c is not None and c not in {" ", "\t", "\n", "\r"} for c in b.column("before").to_pylist()], bool)
+            glued[opens] = joined[row[opens]]
+
+            mine = np.flatnonzero(is_tok & (start < first[of] + size))
+            n = np.bincount(of[mine], minlength=len(lead))
+            some = np.flatnonzero(n)  # keys with tokens
+            if not len(some):
+                continue
+            n, of = n[some], np.repeat(np.arange(len(some)), n[some])
+            first, start, end = first[some], start[mine], end[mine]
+            last = np.cumsum(n) - 1
+            bins = (np.minimum(end[last] - first, size) - 1) // width + 1
+            to = before(bins)
+            place = to[of] * width + start - first[of]
+            limit = (to + bins)[of] * width
+            starts, covered = np.zeros(bins.sum() * width, bool), np.zeros(bins.sum() * width, bool)
+            starts[place] = True
+            for i in range(int((end - start).max())):
+                covered[(place + i)[(start + i < end) & (place + i < limit)]] = True
+            per = np.bincount(place // width, minlength=bins.sum())
+            upto = before(per)
+            upto = upto - np.repeat(upto[to], bins)
+
+            def bits(flags):
+                return listed(pa.array(np.packbits(flags, bitorder="little").view("<i8")), bins)
+            lists = [flat.take(pa.array(mine)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(glued[mine])]
+            out = b.take(pa.array(lead[some]))
+            yield pa.record_batch([
+                out.column("doc_id"), out.column("chunk"), out.column("origin"),
+                *[pa.array(x.astype(np.int32)) for x in (n, start[last], end[last])], *[listed(x, n) for x in lists],
+                listed(pa.array(upto.astype(np.int32)), bins), bits(starts), bits(covered)], names=schema.names)
+
+    parts = chunks(docs, chunk).repartition(shuffle_partitions(docs.sparkSession), *CHUNK_KEY).sortWithinPartitions(*CHUNK_KEY)
+    found = F.regexp_extract_all("body", F.lit(LEX_RX), F.lit(0)).alias("pieces")
+    return parts.select(*CHUNK_KEY, "skip", "before", found).mapInArrow(run, schema)
+
+
+def listed_tokens(lists: DataFrame) -> DataFrame:
+    """``token_lists`` as rows: ``origin, doc_id, chunk, lidx, tok, start, end, nxt, is_subword`` and its plain columns.
+
+    ``nxt``: start of the next token of the chunk."""
+    keep = [c for c in lists.columns if c not in ("n", "last_start", "last_end", "tok", "start", "end", "is_subword", "upto", "starts", "covered")]
+    nxt = F.concat(F.slice("start", F.lit(2), F.col("n")), F.array(F.lit(None).cast("int")))
+    x = lists.select(*keep, F.posexplode(F.arrays_zip("tok", "start", "end", nxt.alias("nxt"), "is_subword")).alias("at", "x"))
+    return x.select(*keep, (F.col("at") + 1).alias("lidx"), "x.*")
+
+
+def token_chunks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Tokens with their places in their chunk: ``origin, doc_id, chunk, lidx, tok, start, end, nxt, is_subword``."""
+    return listed_tokens(token_lists(docs, chunk)).select(*CHUNK_KEY, "lidx", "tok", "start", "end", "is_subword", "nxt")
 
 
 def index_tokens(tokens: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -136,10 +256,13 @@ def chunk_totals(tokens: DataFrame) -> DataFrame:
     """One row for every chunk from a document's first with tokens to its last: ``base`` (tokens before it), ``n`` (in it),
     ``last_start`` (of its last token), ``before_end`` and ``before_chunk`` (of the last token before it), ``n_tok``.
 
-    ``tokens``: ``token_chunks`` or ``index_tokens``.
+    ``tokens``: ``token_lists``, ``token_chunks`` or ``index_tokens``.
     """
-    g = tokens.groupBy(*CHUNK_KEY).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("end").alias("last_end"),
-                                       F.max("start").alias("last_start"))
+    if "starts" in tokens.columns:
+        g = tokens.groupBy(*CHUNK_KEY).agg(*[F.max(c).alias(c) for c in ("n", "last_end", "last_start")])
+    else:
+        g = tokens.groupBy(*CHUNK_KEY).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("end").alias("last_end"),
+                                           F.max("start").alias("last_start"))
     order = Window.partitionBy(*DOC_KEY).orderBy("chunk")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     g = g.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("base"),

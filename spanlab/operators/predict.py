@@ -11,7 +11,7 @@ Two predictors are native column expressions, so they have SQL oracles:
   ``(origin, doc_id, idx)``; every token is predicted, and the list of
   some documents ends with one entity too many.
 
-The Python scorer (O63) is the slot for a real model: ``mapInPandas`` over
+The Python scorer (O63) is the slot for a real model: ``mapInArrow`` over
 documents, one scorer per task, Arrow batches of
 ``SCORER_BATCH`` texts.
 """
@@ -82,7 +82,7 @@ def logits_argmax(logits: Column) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# The scorer slot (mapInPandas).  The built-in scorer reproduces
+# The scorer slot (mapInArrow).  The built-in scorer reproduces
 # rule_loose in Python so the Arrow path can be checked against the native one.
 # ---------------------------------------------------------------------------
 
@@ -108,6 +108,7 @@ def rule_scorer(taxonomy: str):
 
     def make_scorer():
         import bisect
+        import itertools
 
         import regex
         lex = regex.compile(spec["lex"])
@@ -115,12 +116,15 @@ def rule_scorer(taxonomy: str):
         labels, no_i = spec["labels"], set(spec["no_i"])
 
         def score(text):
-            toks = [(m.start(), m.end(), m.group()) for m in lex.finditer(text or "")
-                    if m.group()[0] not in " \t\n\r"]
+            text = text or ""
+            pieces = lex.findall(text)                  # lossless: a piece ends where the lengths so far say
+            toks = [(e - len(p), e, p) for p, e in zip(pieces, itertools.accumulate(map(len, pieces))) if p[0] not in " \t\n\r"]
             starts = [a for a, _, _ in toks]
             located = {}
             for name, rx in rules:                      # list order = rule, then start
-                for m in rx.finditer(text or ""):
+                if name == "EMAIL" and "@" not in text:
+                    continue
+                for m in rx.finditer(text):
                     s, e = m.start(), m.end()
                     k = bisect.bisect_right(starts, s) - 1
                     if k < 0 or not (toks[k][0] <= s < toks[k][1]):
@@ -154,22 +158,27 @@ def score_batches(docs: DataFrame, make_scorer, model_id: str, clock=time.perf_c
     ``{"entity", "word", "score"}`` per text, one entity per token.  Each row carries
     its share of its batch's latency by ``clock`` (nanoseconds); the shares of a batch add up exactly.
     """
-    size = SCORER_BATCH
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    size, arrow = SCORER_BATCH, to_arrow_schema(StructType.fromDDL(SCORER_SCHEMA))
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
         score = make_scorer()
-        for pdf in (b.iloc[i:i + size] for b in batches for i in range(0, len(b), size)):
+        for b in (b.slice(i, size) for b in batches for i in range(0, b.num_rows, size)):
+            texts = b.column("source_text").to_pylist()
             t0 = clock()
-            masks = score(pdf["source_text"].tolist())
+            masks = score(texts)
             ns = clock() - t0
-            if len(masks) != len(pdf):
-                raise ValueError(f"scorer {model_id}: {len(masks)} results for {len(pdf)} texts")
-            shares = [ns // len(pdf) + (i < ns % len(pdf)) for i in range(len(pdf))]
-            yield pd.DataFrame({"origin": pdf["origin"].array, "doc_id": pdf["doc_id"].array,
-                                "model_id": model_id, "predicted_mask": masks, "elapsed_ns": shares})
-
-    return docs.select(*DOC_KEY, "source_text").mapInPandas(run, SCORER_SCHEMA)
+            if len(masks) != len(texts):
+                raise ValueError(f"scorer {model_id}: {len(masks)} results for {len(texts)} texts")
+            shares = [ns // len(texts) + (i < ns % len(texts)) for i in range(len(texts))]
+            # entities become a column at once, not one by one
+            columns = [b.column("origin"), b.column("doc_id"), [model_id] * len(texts), list(masks), shares]
+            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow.types)], names=arrow.names)
+
+    return docs.select(*DOC_KEY, "source_text").mapInArrow(run, SCORER_SCHEMA)
 
 
 def score_corpus(docs: DataFrame, make_scorer, model_id: str, path: str, clock=time.perf_counter_ns) -> tuple[DataFrame, DataFrame]:

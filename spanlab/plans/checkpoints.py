@@ -12,7 +12,8 @@ once Spark has committed it (``_SUCCESS``), so one that was begun by a lost sess
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,19 @@ def _place(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str]:
     return table, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{table}"
 
 
+@contextmanager
+def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the session while the block runs."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def bucketed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], keys: list[str]) -> DataFrame:
     """``build()`` as a table bucketed on ``keys``, written unless a session has written it before."""
     app = spark.sparkContext.applicationId
@@ -67,7 +81,9 @@ def bucketed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Da
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({', '.join(keys)}) INTO {n} BUCKETS LOCATION '{path}'")
     else:
-        build().write.mode("overwrite").option("path", path).bucketBy(n, *keys).saveAsTable(table)
+        # Every task holds the rows of one bucket, in order: with a writer at hand they needn't be sorted by bucket.
+        with _set(spark, {"spark.sql.optimizer.plannedWrite.enabled": "false", "spark.sql.maxConcurrentOutputFileWriters": "2"}):
+            build().write.mode("overwrite").option("path", path).bucketBy(n, *keys).saveAsTable(table)
     return spark.table(table)
 
 

@@ -46,9 +46,9 @@ def word_tokenizer():
     return lambda texts: [[m.span() for m in word.finditer(t)] for t in texts]
 
 
-def _span_ids() -> Column:
-    """Literal map ``origin|label`` (gold) or ``loose|rule`` -> tag ids in both taxonomies: ``b`` and ``c`` of the first and
-    the further tokens, ``ob`` and ``oc`` of the label that a wrong prediction takes instead."""
+def _span_ids() -> tuple[Column, Column, Column]:
+    """Literals: a map ``origin|label`` (gold) or ``loose|rule`` -> code, and by code the labels and the tag ids in both taxonomies:
+    ``b`` and ``c`` of the first and the further tokens, ``ob`` and ``oc`` of the label that a wrong prediction takes instead."""
     def ids(t, lab):
         number, hi = tx.tag2id(t), tx.has_i(t)
         if lab is None:  # a rule without a label in this taxonomy predicts O
@@ -62,9 +62,11 @@ def _span_ids() -> Column:
             for o in tx.TAXONOMIES for lab in tx.RAW_LABELS[o]}
     rows |= {f"loose|{rule}": {t: ids(t, predict.LOOSE_LABELS[t].get(rule)) for t in tx.TAXONOMIES} for rule, _ in predict.LOOSE_RULES}
     names = [f"{p}_{t}" for t in tx.TAXONOMIES for p in ("b", "c", "ob", "oc")]
-    return F.expr("map(" + ", ".join(f"{tx._sql_lit(k)}, named_struct(" + ", ".join(
+    codes = F.expr("map(" + ", ".join(f"{tx._sql_lit(k)}, {i}" for i, k in enumerate(rows, 1)) + ")")
+    labels = F.expr("array(" + ", ".join(tx._sql_lit(k.split("|")[1]) for k in rows) + ")")
+    return codes, labels, F.expr("array(" + ", ".join("named_struct(" + ", ".join(
         f"'{n}', CAST({tx._sql_lit(v)} AS INT)" for n, v in zip(names, [x for t in tx.TAXONOMIES for x in r[t]])) + ")"
-        for k, r in rows.items()) + ")")
+        for r in rows.values()) + ")")
 
 
 @dataclass
@@ -107,20 +109,25 @@ class Lineage:
 
     @property
     def token_table(self) -> DataFrame:
-        """Tokens by chunk, written once: spans are looked up in it and the aligned table is built on it, so
+        """Tokens, one row a chunk, written once: spans are looked up in it and the aligned table is built on it, so
         that no text is lexed twice.  Bucketed on the chunk's key, which every reader below keeps."""
         return self._get("token_table", lambda: checkpoints.bucketed(
-            self.spark, self.sf_dir, "tokens", lambda: lexer.token_chunks(english(C.corpus(self.spark, self.sf_dir))), lexer.CHUNK_KEY))
+            self.spark, self.sf_dir, "tokens", lambda: lexer.token_lists(english(C.corpus(self.spark, self.sf_dir))), lexer.CHUNK_KEY))
 
     @property
     def totals(self) -> DataFrame:
         """One row for each chunk of a text: its tokens and those before it (persisted, small)."""
         return self._get("totals", lambda: lexer.chunk_totals(self.token_table).persist(StorageLevel.MEMORY_AND_DISK))
 
+    @property
+    def _numbered_lists(self) -> DataFrame:
+        t = self.totals.select(*lexer.CHUNK_KEY, "base", "n_tok").hint("merge")
+        return self.token_table.join(t, lexer.CHUNK_KEY)
+
     @property
     def tokens(self) -> DataFrame:
-        return self._get("tokens", lambda: lexer.numbered(self.token_table, self.totals).select(
-            *DOC_KEY, "idx", "tok", "start", "end", "is_subword", "n_tok"))
+        return self._get("tokens", lambda: lexer.listed_tokens(self._numbered_lists).select(
+            *DOC_KEY, (F.col("base") + F.col("lidx")).alias("idx"), "tok", "start", "end", "is_subword", "n_tok"))
 
     @property
     def words(self) -> DataFrame:
@@ -261,19 +268,17 @@ class Lineage:
             # (small) located spans once for the fold.
             acc = align.resolve_overlaps(C.place_documents(self.both_located), extra_key=["src"])
             is_gold = F.col("src") == "gold"
-            acc = acc.withColumn("ids", F.element_at(
-                _span_ids(), F.concat(F.when(is_gold, F.col("origin")).otherwise(F.col("src")), F.lit("|"), F.col("label"))))
-            cov = align.cover_chunks(acc, self.totals, ["src", "ids"])
-            # one row per covered token holding both covers (partition-local)
-            span = F.struct("span_label", "is_first", "ann_pos", "ids")
-            piv = cov.groupBy(*lexer.CHUNK_KEY, "lidx").agg(
-                F.max(F.when(is_gold, span)).alias("g"), F.max(F.when(~is_gold, span)).alias("l"))
-            g = self.token_table.drop("nxt").join(piv.hint("merge"), [*lexer.CHUNK_KEY, "lidx"], "left")
-            first = F.coalesce("g.is_first", F.lit(False))
-            # the count of scored tokens, on the order that the join has made
-            upto = Window.partitionBy(*lexer.CHUNK_KEY).orderBy("lidx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            g = g.withColumn("scored", F.sum((~F.col("is_subword") | first).cast("int")).over(upto).cast("int"))
-            g = lexer.numbered(g, self.totals)
+            codes, labels, ids = _span_ids()
+            acc = acc.withColumns({"gold": is_gold, "code": F.element_at(
+                codes, F.concat(F.when(is_gold, F.col("origin")).otherwise(F.col("src")), F.lit("|"), F.col("label")))})
+            cov = align.cover_lists(acc, self.totals, ["gold", "code"])
+            g = align.spread(self._numbered_lists.join(cov.hint("merge"), lexer.CHUNK_KEY, "left"))
+
+            def span(code, first, *more):
+                own = F.struct(F.element_at(labels, F.col(code)).alias("span_label"), F.col(first).alias("is_first"), *more,
+                               F.element_at(ids, F.col(code)).alias("ids"))
+                return F.when(F.col(code).isNotNull(), own)
+            g = g.withColumns({"g": span("g_code", "g_first", "ann_pos"), "l": span("l_code", "l_first")})
             g = g.withColumn("h", hash_bucket(F.col("origin"), F.col("doc_id"), F.col("idx")))
             return g.select(
                 *lexer.CHUNK_KEY, "lidx", "idx", "tok", "start", "end", "is_subword", "n_tok", "scored", "g.span_label", "g.is_first",
