@@ -109,20 +109,25 @@ class Lineage:
 
     @property
     def token_table(self) -> DataFrame:
+        """Tokens by chunk, one row a token."""
+        return self._get("token_table", lambda: lexer.listed_tokens(self.token_lists))
+
+    @property
+    def token_lists(self) -> DataFrame:
         """Tokens, one row a chunk, written once: spans are looked up in it and the aligned table is built on it, so
         that no text is lexed twice.  Bucketed on the chunk's key, which every reader below keeps."""
-        return self._get("token_table", lambda: checkpoints.bucketed(
+        return self._get("token_lists", lambda: checkpoints.bucketed(
             self.spark, self.sf_dir, "tokens", lambda: lexer.token_lists(english(C.corpus(self.spark, self.sf_dir))), lexer.CHUNK_KEY))
 
     @property
     def totals(self) -> DataFrame:
         """One row for each chunk of a text: its tokens and those before it (persisted, small)."""
-        return self._get("totals", lambda: lexer.chunk_totals(self.token_table).persist(StorageLevel.MEMORY_AND_DISK))
+        return self._get("totals", lambda: lexer.chunk_totals(self.token_lists).persist(StorageLevel.MEMORY_AND_DISK))
 
     @property
     def _numbered_lists(self) -> DataFrame:
         t = self.totals.select(*lexer.CHUNK_KEY, "base", "n_tok").hint("merge")
-        return self.token_table.join(t, lexer.CHUNK_KEY)
+        return self.token_lists.join(t, lexer.CHUNK_KEY)
 
     @property
     def tokens(self) -> DataFrame:
@@ -241,7 +246,7 @@ class Lineage:
         """Gold and rule_loose spans located against the tokens in one join;
         persisted (small) because alignment and every audit read it."""
         return self._get("both_located", lambda: align.locate(
-            self.span_stream, self.token_table, extra_key=["src"], totals=self.totals, places=True).persist(
+            self.span_stream, self.token_lists, extra_key=["src"], totals=self.totals, places=True).persist(
             StorageLevel.MEMORY_AND_DISK))
 
     @property

@@ -53,7 +53,8 @@ def test_tokens_are_neither_sorted_nor_windowed(spark):
     from spanlab.plans.lineage import Lineage
     L = Lineage(spark, SF_SMALL)
     assert "Window" not in plan(lexer.token_chunks(L.docs_en))
-    assert "tok" not in L.token_table.drop("tok").columns and "lidx" not in L.token_table.columns
+    lookup = align.locate(L.span_stream, L.token_lists, extra_key=["src"], totals=L.totals, places=True)
+    assert "bit_count" in plan(lookup)
     top = plan(L.aligned_plan).split("MapInArrow")[0]
     assert "SortMergeJoin" not in top and "Window" not in top
 
