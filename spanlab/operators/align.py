@@ -35,10 +35,10 @@ _PLACES = ["start_chunk", "end_chunk"]
 
 
 def locate(spans: DataFrame, tokens: DataFrame, extra_key: list[str] | None = None, *, totals: DataFrame | None = None,
-           chunk: int = CHUNK, places: bool = False) -> DataFrame:
+           chunk: int = CHUNK, places: bool = False, near: bool = False) -> DataFrame:
     """Start and end token of every span (O21 ``char_to_token``).
 
-    ``tokens``: pieces of the lexer, ``lexer.token_lists``, ``lexer.token_chunks``, or any table of ``origin, doc_id, start, end``
+    ``tokens``: pieces of the lexer, ``lexer.token_lists``, ``lexer.token_marks``, ``lexer.token_chunks``, or any table of ``origin, doc_id, start, end``
     (``lexer.index_tokens`` says what it may hold).  ``totals``: its ``lexer.chunk_totals``, if written before.
 
     Output: span columns + ``start_idx`` (null = unmappable), ``end_idx``
@@ -48,6 +48,8 @@ def locate(spans: DataFrame, tokens: DataFrame, extra_key: list[str] | None = No
     Bins lie inside chunks, and both sides meet on the chunk's key: a span boundary finds at most
     the tokens that touch ``BIN`` characters, whatever the document's length; with ``lexer.token_lists`` it meets one row and
     counts bits.  A token that began in an earlier chunk is found in the chunk's totals.
+
+    ``near``: spans and tokens (``lexer.token_marks``) are placed by document; then no span moves.  A span inside one chunk is one row.
     """
     ek = extra_key or []
     cols = [*ek, *SPAN_COLS]
@@ -59,6 +61,10 @@ def locate(spans: DataFrame, tokens: DataFrame, extra_key: list[str] | None = No
     totals = lexer.chunk_totals(tokens) if totals is None else totals
 
     live = F.col("end") > F.col("start")
+    if near and not listed:
+        raise ValueError("near: tokens of lexer.token_marks")
+    if near:
+        return _near(spans, cols, live, tokens, totals, chunk, places)
     # Every span keeps at least one row (empty spans get a null one) and the joins are left joins, so the
     # per-span aggregate sees every span once: no self-join that would evaluate the span stream twice.
     targets = F.when(live, F.array(
@@ -72,13 +78,7 @@ def locate(spans: DataFrame, tokens: DataFrame, extra_key: list[str] | None = No
     hit = _at_lists(t, tokens, chunk) if listed else _at_rows(t, tokens, chunk)
     hit = hit.select(*cols, "kind", "target", "chunk", "lidx", "inside").join(totals.hint("merge"), CHUNK_KEY, "left")
 
-    found, target = F.col("lidx").isNotNull(), F.col("target")
-    after = F.coalesce(target >= F.col("last_start"), F.lit(False))  # past the chunk's last token
-    first = F.when(found & F.col("inside"), F.col("base") + F.col("lidx")).when(
-        ~found & (target < F.col("before_end")), F.col("base"))
-    first_chunk = F.when(found, F.col("chunk")).otherwise(F.col("before_chunk"))
-    last = F.when(found, F.col("base") + F.col("lidx")).when(after, F.col("base") + F.col("n")).otherwise(F.col("base"))
-    last_chunk = F.when(found | after, F.col("chunk")).otherwise(F.col("before_chunk"))
+    first, first_chunk, last, last_chunk = _ends(F.col("target"), F.col("lidx"), F.col("inside"))
 
     def of(kind, value):
         return F.max(F.when(F.col("kind") == kind, value))
@@ -86,6 +86,46 @@ def locate(spans: DataFrame, tokens: DataFrame, extra_key: list[str] | None = No
     g = hit.groupBy(*cols).agg(
         of(0, first).alias("_s"), of(0, first_chunk).alias("_s_chunk"), of(1, last).alias("_e"),
         of(1, F.when(last.isNotNull(), last_chunk)).alias("_e_chunk"), F.max("n_tok").alias("n_tok"))
+    return _located(g, cols, live, chunk, places)
+
+
+def _ends(target: Column, lidx: Column, inside: Column) -> tuple[Column, Column, Column, Column]:
+    """The token that a span starts or ends in at ``target``, and their chunks, of rows with their chunk's totals."""
+    found = lidx.isNotNull()
+    after = F.coalesce(target >= F.col("last_start"), F.lit(False))  # past the chunk's last token
+    first = F.when(found & inside, F.col("base") + lidx).when(~found & (target < F.col("before_end")), F.col("base"))
+    first_chunk = F.when(found, F.col("chunk")).otherwise(F.col("before_chunk"))
+    last = F.when(found, F.col("base") + lidx).when(after, F.col("base") + F.col("n")).otherwise(F.col("base"))
+    last_chunk = F.when(found | after, F.col("chunk")).otherwise(F.col("before_chunk"))
+    return first, first_chunk, last, last_chunk
+
+
+def _near(spans: DataFrame, cols: list[str], live: Column, marks: DataFrame, totals: DataFrame, chunk: int, places: bool) -> DataFrame:
+    """``locate`` where the spans lie: kind 2 has both ends in its chunk, 0 and 1 one of them, -1 none (empty)."""
+    at = [F.expr(f"{c} div {chunk}").cast("int") for c in ("`start`", "(`end` - 1)")]
+
+    def row(kind, c):
+        return F.struct(F.lit(kind).alias("kind"), c.alias("chunk"))
+    rows = F.when(~F.coalesce(live, F.lit(False)), F.array(row(-1, F.lit(None).cast("int")))).when(
+        at[0] == at[1], F.array(row(2, at[0]))).otherwise(F.array(row(0, at[0]), row(1, at[1])))
+    t = spans.select(*cols, F.explode(rows).alias("t")).select(*cols, "t.kind", "t.chunk")
+    held = marks.select(*CHUNK_KEY, F.col("n").alias("here"), "last_end", "upto", "starts", "covered")
+    x = t.join(held.hint("merge"), CHUNK_KEY, "left")
+    ends = {"s": "`start`", "e": "(`end` - 1)"}
+    x = x.select(*t.columns, *[c.alias(f"{k}_{name}") for k, e in ends.items() for name, c in zip(("lidx", "inside"), _counted_bits(
+        e, F.col("here"), chunk))])
+    x = x.join(totals.hint("merge"), CHUNK_KEY, "left")
+    first, first_chunk, _, _ = _ends(F.col("start"), F.col("s_lidx"), F.col("s_inside"))
+    _, _, last, last_chunk = _ends(F.col("end") - 1, F.col("e_lidx"), F.col("e_inside"))
+    opens, ends_here = F.col("kind").isin(0, 2), F.col("kind").isin(1, 2)
+    g = x.groupBy(*cols).agg(
+        F.max(F.when(opens, first)).alias("_s"), F.max(F.when(opens, first_chunk)).alias("_s_chunk"), F.max(F.when(ends_here, last)).alias("_e"),
+        F.max(F.when(ends_here & last.isNotNull(), last_chunk)).alias("_e_chunk"), F.max("n_tok").alias("n_tok"))
+    return _located(g, cols, live, chunk, places)
+
+
+def _located(g: DataFrame, cols: list[str], live: Column, chunk: int, places: bool) -> DataFrame:
+    """``locate``'s columns of spans with the tokens found at both ends."""
     start_idx = F.when(live, F.col("_s"))
     status = F.when(~live, F.lit("empty")).when(start_idx.isNull(), F.lit("no_token")).otherwise(F.lit("ok"))
     out = g.select(
@@ -116,13 +156,16 @@ def _at_rows(t: DataFrame, tokens: DataFrame, chunk: int) -> DataFrame:
 def _at_lists(t: DataFrame, lists: DataFrame, chunk: int) -> DataFrame:
     """``_at_rows`` in ``lexer.token_lists``: a target meets its chunk's one row, and counts the starts up to it in its bin."""
     held = lists.select(*CHUNK_KEY, "n", "last_end", "upto", "starts", "covered")
-    at, off = f"CAST(target % {chunk} div {BIN} AS INT)", f"CAST(target % {BIN} AS INT)"
-    x = t.join(held.hint("merge"), CHUNK_KEY, "left").select(
-        *t.columns, "n", "last_end",
-        F.expr(f"get(upto, {at}) + bit_count(get(starts, {at}) & shiftrightunsigned(-1L, {BIN - 1} - {off}))").alias("k"),
-        F.expr(f"shiftrightunsigned(get(covered, {at}), {off}) & 1L = 1L").alias("inside"))
-    some = (F.col("k") > 0) & ((F.col("k") < F.col("n")) | (F.col("target") < F.col("last_end")))
-    return x.select(*t.columns, F.when(some, F.col("k")).alias("lidx"), "inside")
+    lidx, inside = _counted_bits("target", F.col("n"), chunk)
+    return t.join(held.hint("merge"), CHUNK_KEY, "left").select(*t.columns, lidx.alias("lidx"), inside.alias("inside"))
+
+
+def _counted_bits(target: str, n: Column, chunk: int) -> tuple[Column, Column]:
+    """``lidx`` and ``inside`` of ``target`` (SQL) in a row with ``last_end, upto, starts, covered`` and ``n`` tokens."""
+    at, off = f"CAST({target} % {chunk} div {BIN} AS INT)", f"CAST({target} % {BIN} AS INT)"
+    k = F.expr(f"get(upto, {at}) + bit_count(get(starts, {at}) & shiftrightunsigned(-1L, {BIN - 1} - {off}))")
+    some = (k > 0) & ((k < n) | (F.expr(target) < F.col("last_end")))
+    return F.when(some, k), F.expr(f"shiftrightunsigned(get(covered, {at}), {off}) & 1L = 1L")
 
 
 def unmappable(located: DataFrame) -> DataFrame:

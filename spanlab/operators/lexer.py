@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
@@ -115,16 +115,40 @@ def token_lists(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Pieces are found by Spark; their running sums are taken list by list, so that no piece becomes a row and none is sorted.  Chunks
     are placed by their own key, so a long document is spread over tasks; parts with equal keys are lexed as one.
     """
+    found = F.regexp_extract_all("body", F.lit(LEX_RX), F.lit(0)).alias("pieces")
+    parts = chunks(docs, chunk).repartition(shuffle_partitions(docs.sparkSession), *CHUNK_KEY)
+    return _listed(parts, found, docs, chunk, texts=True)
+
+
+def token_marks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The places of ``token_lists`` without its lists of tokens: ``origin, doc_id, chunk, n, last_start, last_end, upto, starts, covered,
+    glued``, where ``glued`` has a bit a token: it is a subword.
+
+    Less is written than the texts hold.  Spark turns every body into one byte a character (other scripts' letters, numbers and signs
+    by the classes of ``LEX_RX``), on which the runs are cut without a string a piece.  Chunks are placed by document, where
+    its annotations are found.
+    """
+    kinds = F.col("body")
+    for rx, to in ((r"[\p{L}&&[^\x00-\x7F]]", "a"), (r"[\p{N}&&[^\x00-\x7F]]", "0"), (r"[^\x00-\x7F]", ".")):
+        kinds = F.regexp_replace(kinds, rx, to)
+    plain = F.octet_length("body") == F.length("body")
+    parts = chunks(docs, chunk).repartition(shuffle_partitions(docs.sparkSession), *DOC_KEY)
+    return _listed(parts, F.when(plain, F.col("body")).otherwise(kinds).alias("kinds"), docs, chunk, texts=False)
+
+
+def _listed(parts: DataFrame, found: Column, docs: DataFrame, chunk: int, texts: bool) -> DataFrame:
+    """``token_lists`` (``texts``; ``found``: lists of pieces) or ``token_marks`` (``found``: a byte a character) of placed ``chunks``."""
     from pyspark.sql import types as T
 
     size, width, keys = _check(chunk), BIN, list(CHUNK_KEY)
     ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+    lists_of = [("tok", T.ArrayType(T.StringType())), ("start", ints), ("end", ints), ("is_subword", T.ArrayType(T.BooleanType()))]
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("chunk", T.IntegerType()), docs.schema["origin"],
         *[T.StructField(c, T.IntegerType()) for c in ("n", "last_start", "last_end")],
-        T.StructField("tok", T.ArrayType(T.StringType())), T.StructField("start", ints), T.StructField("end", ints),
-        T.StructField("is_subword", T.ArrayType(T.BooleanType())), T.StructField("upto", ints),
-        T.StructField("starts", longs), T.StructField("covered", longs)])
+        *[T.StructField(c, t) for c, t in lists_of if texts], T.StructField("upto", ints),
+        *[T.StructField(c, longs) for c in ("starts", "covered", *([] if texts else ["glued"]))]])
+    names_of = schema.names
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -133,14 +157,26 @@ def token_lists(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
         blank = np.zeros(256, bool)
         blank[[9, 10, 13, 32]] = True
+        # widths of pieces by class: other, blank, letter, digit
+        kind_of, widest = np.where(blank, 1, 0).astype(np.int8), np.array([1, 4, 4, 3])
+        kind_of[[*range(65, 91), *range(97, 123)]], kind_of[48:58] = 2, 3
 
         def key(b, i):
             return tuple(b.column(k)[i].as_py() for k in keys)
 
+        def few(b):
+            """Rows of a batch, some 256 or of a million characters at a time."""
+            if texts:
+                yield from (b.slice(i, 256) for i in range(0, b.num_rows, 256))
+                return
+            long = pc.fill_null(pc.binary_length(b.column("kinds")), 0).to_numpy().cumsum() >> 20
+            cuts = [0, *(np.flatnonzero(np.diff(long)) + 1), b.num_rows]
+            yield from (b.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i)
+
         def whole():
             """Parts a few at a time, those of equal keys together."""
             held = None
-            for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            for b in (x for b in batches for x in few(b)):
                 if held is not None:
                     b = pa.concat_batches([held, b])
                 k, last = b.num_rows - 1, key(b, b.num_rows - 1)
@@ -160,6 +196,22 @@ def token_lists(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         def before(counts):
             return np.cumsum(counts) - counts
 
+        def cut(kinds, rows):
+            """Pieces of one byte a character: their numbers by row, rows, lengths and whether they are tokens."""
+            at = np.frombuffer(kinds.buffers()[1], np.int32)[kinds.offset:kinds.offset + rows + 1]
+            data = kinds.buffers()[2]
+            kind = kind_of[np.frombuffer(data, np.uint8)[at[0]:at[-1]]] if at[-1] > at[0] else np.zeros(0, np.int8)
+            new = np.ones(len(kind), bool)
+            new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 0)
+            new[(at[:-1] - at[0])[at[:-1] < at[1:]]] = True
+            runs = np.flatnonzero(new)
+            long, most = np.diff(runs, append=len(kind)), widest[kind[runs]]
+            n = -(-long // most)
+            of = np.repeat(np.arange(len(runs)), n)
+            done = (np.arange(len(of)) - before(n)[of]) * most[of]
+            row = np.searchsorted(at[1:] - at[0], runs, side="right")[of]
+            return np.bincount(row, minlength=rows), row, np.minimum(long[of] - done, most[of]), kind[runs][of] != 1
+
         for b in whole():
             rows = b.num_rows
             doc, number, origin = (b.column(k) for k in keys)
@@ -169,18 +221,26 @@ def token_lists(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             new[1:] = ~known[1:] | ~known[:-1] | (ids[1:] != ids[:-1]) | (part[1:] != part[:-1]) | (names[1:] != names[:-1])
             group, lead = np.cumsum(new) - 1, np.flatnonzero(new)
 
-            pieces = b.column("pieces")
-            counts = pc.fill_null(pieces.value_lengths(), 0).to_numpy()
-            flat, row = pieces.flatten().cast(pa.string()), np.repeat(np.arange(rows), counts)
-            if not len(flat):
+            if texts:
+                pieces = b.column("pieces")
+                counts = pc.fill_null(pieces.value_lengths(), 0).to_numpy()
+                flat, row = pieces.flatten().cast(pa.string()), np.repeat(np.arange(rows), counts)
+            else:
+                counts, row, length, is_tok = cut(b.column("kinds").cast(pa.string()), rows)
+            if not len(row):
                 continue
             if len(lead) < rows:  # pieces of equal keys by their positions
                 order = np.lexsort((np.arange(len(row)) - np.repeat(before(counts), counts), group[row]))
-                flat, row = flat.take(pa.array(order)), row[order]
+                row = row[order]
+                if texts:
+                    flat = flat.take(pa.array(order))
+                else:
+                    length, is_tok = length[order], is_tok[order]
             of = group[row]
-            at = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset:flat.offset + len(flat)]
-            is_tok = ~blank[np.frombuffer(flat.buffers()[2], np.uint8)[at]]
-            length = pc.utf8_length(flat).to_numpy().astype(np.int64)
+            if texts:
+                at = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset:flat.offset + len(flat)]
+                is_tok = ~blank[np.frombuffer(flat.buffers()[2], np.uint8)[at]]
+                length = pc.utf8_length(flat).to_numpy().astype(np.int64)
             opens = np.flatnonzero(np.diff(of, prepend=-1))
             total = np.cumsum(length)
             inside = total - np.repeat((total - length)[opens], np.diff(opens, append=len(of)))
@@ -212,18 +272,20 @@ def token_lists(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             upto = before(per)
             upto = upto - np.repeat(upto[to], bins)
 
-            def bits(flags):
-                return listed(pa.array(np.packbits(flags, bitorder="little").view("<i8")), bins)
-            lists = [flat.take(pa.array(mine)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(glued[mine])]
+            def bits(flags, counts=bins):
+                return listed(pa.array(np.packbits(flags, bitorder="little").view("<i8")), counts)
+            words = -(-n // 64)  # of a bit a token
+            subs = np.zeros(words.sum() * 64, bool)
+            subs[(before(words) * 64 - before(n))[of] + np.arange(len(of))] = glued[mine]
+            lists = [flat.take(pa.array(mine)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)),
+                     pa.array(glued[mine])] if texts else []
             out = b.take(pa.array(lead[some]))
             yield pa.record_batch([
                 out.column("doc_id"), out.column("chunk"), out.column("origin"),
                 *[pa.array(x.astype(np.int32)) for x in (n, start[last], end[last])], *[listed(x, n) for x in lists],
-                listed(pa.array(upto.astype(np.int32)), bins), bits(starts), bits(covered)], names=schema.names)
+                listed(pa.array(upto.astype(np.int32)), bins), bits(starts), bits(covered), *([] if texts else [bits(subs, words)])], names=names_of)
 
-    parts = chunks(docs, chunk).repartition(shuffle_partitions(docs.sparkSession), *CHUNK_KEY).sortWithinPartitions(*CHUNK_KEY)
-    found = F.regexp_extract_all("body", F.lit(LEX_RX), F.lit(0)).alias("pieces")
-    return parts.select(*CHUNK_KEY, "skip", "before", found).mapInArrow(run, schema)
+    return parts.sortWithinPartitions(*CHUNK_KEY).select(*CHUNK_KEY, "skip", "before", found).mapInArrow(run, schema)
 
 
 def listed_tokens(lists: DataFrame) -> DataFrame:
@@ -256,7 +318,7 @@ def chunk_totals(tokens: DataFrame) -> DataFrame:
     """One row for every chunk from a document's first with tokens to its last: ``base`` (tokens before it), ``n`` (in it),
     ``last_start`` (of its last token), ``before_end`` and ``before_chunk`` (of the last token before it), ``n_tok``.
 
-    ``tokens``: ``token_lists``, ``token_chunks`` or ``index_tokens``.
+    ``tokens``: ``token_lists``, ``token_marks``, ``token_chunks`` or ``index_tokens``.
     """
     if "starts" in tokens.columns:
         g = tokens.groupBy(*CHUNK_KEY).agg(*[F.max(c).alias(c) for c in ("n", "last_end", "last_start")])

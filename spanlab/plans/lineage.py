@@ -124,6 +124,13 @@ class Lineage:
         """One row for each chunk of a text: its tokens and those before it (persisted, small)."""
         return self._get("totals", lambda: lexer.chunk_totals(self.token_lists).persist(StorageLevel.MEMORY_AND_DISK))
 
+    @property
+    def token_marks(self) -> DataFrame:
+        """Where the evaluated documents' tokens are, without their texts, written once and placed by document: what
+        locating gold spans and counting tokens needs (far less than ``token_lists`` holds)."""
+        return self._get("token_marks", lambda: checkpoints.bucketed(
+            self.spark, self.sf_dir, "marks", lambda: lexer.token_marks(english(C.corpus(self.spark, self.sf_dir))), DOC_KEY))
+
     @property
     def _numbered_lists(self) -> DataFrame:
         t = self.totals.select(*lexer.CHUNK_KEY, "base", "n_tok").hint("merge")
@@ -252,8 +259,17 @@ class Lineage:
     @property
     def located(self) -> DataFrame:
         """Gold spans with start/end token and status (``ok | no_token | empty``)."""
-        return self._get("located", lambda: self.both_located.where(F.col("src") == "gold").drop(
-            "src", "start_chunk", "end_chunk"))
+        return self._get("located", lambda: self._gold_located.drop("start_chunk", "end_chunk"))
+
+    @property
+    def _gold_located(self) -> DataFrame:
+        """``located`` with the chunks of both tokens: of ``both_located`` if a report has made it, else gold spans alone are
+        found and meet the marks where their documents lie (persisted)."""
+        if "both_located" in self._memo:
+            return self.both_located.where(F.col("src") == "gold").drop("src")
+        return self._get("gold_located", lambda: align.locate(
+            keep_labels_long(C.spans(self.docs_en)).drop("value"), self.token_marks, totals=lexer.chunk_totals(self.token_marks),
+            places=True, near=True).persist(StorageLevel.MEMORY_AND_DISK))
 
     @property
     def loose_located(self) -> DataFrame:
@@ -322,7 +338,7 @@ class Lineage:
 
     def release(self) -> None:
         """Give up the written and persisted tables; those that no other session uses are removed."""
-        for name in ("totals", "both_located", "gold_spans"):
+        for name in ("totals", "both_located", "gold_located", "gold_spans"):
             if name in self._memo:
                 self._memo[name].unpersist()
         self._memo.clear()
