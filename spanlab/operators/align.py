@@ -325,6 +325,58 @@ def spread(lists: DataFrame) -> DataFrame:
     return lists.select(*keys, "n", *lists_of, "base", "n_tok", "covers").mapInArrow(run, schema)
 
 
+def counted(marks: DataFrame) -> DataFrame:
+    """Rows of ``lexer.token_marks`` with ``base`` and ``covers`` (``cover_lists`` with ``code``) -> how many tokens there are of each
+    ``origin, code, is_first, is_subword`` (``code``, ``is_first`` null: outside spans): ``n``, and ``docs`` (those that open a text).
+
+    What ``spread`` lays on token rows is laid on the bits and counted, some chunks at a time.
+    """
+    from pyspark.sql import types as T
+
+    number, flag = T.LongType(), T.BooleanType()
+    schema = T.StructType([marks.schema["origin"], *[T.StructField(c, t) for c, t in (
+        ("code", T.IntegerType()), ("is_first", flag), ("is_subword", flag), ("n", number), ("docs", number))]])
+    names_of = schema.names
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+            n, names = b.column("n").to_numpy().astype(np.int64), b.column("origin").dictionary_encode()
+            opens, row = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+            words = -(-n // 64)
+            packed = np.unpackbits(b.column("glued").flatten().to_numpy().view(np.uint8), bitorder="little")
+            sub = packed[((np.cumsum(words) - words) * 64 - opens)[row] + np.arange(len(row))]
+
+            counts = pc.fill_null(b.column("covers").value_lengths(), 0).to_numpy()
+            spans = dict(zip(("lo", "hi", "first", "ann_pos", "code"), b.column("covers").flatten().flatten()))
+            code, begins = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+            if counts.sum():
+                lo, hi = (spans[c].to_numpy() for c in ("lo", "hi"))
+                size = (hi - lo + 1).astype(np.int64)
+                lo = opens[np.repeat(np.arange(len(n)), counts)] + lo - 1
+                laid = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                code[laid] = np.repeat(pc.fill_null(spans["code"], 0).to_numpy(), size)
+                begins[lo] = spans["first"].to_numpy(zero_copy_only=False)
+            heads = np.zeros(len(row), np.int64)
+            heads[opens[b.column("base").to_numpy() == 0]] = 1
+
+            most = int(code.max(initial=0)) + 1
+            kinds = ((names.indices.to_numpy()[row] * most + code) * 2 + begins) * 2 + sub
+            total, docs = np.bincount(kinds), np.bincount(kinds, weights=heads).astype(np.int64)
+            seen = np.flatnonzero(total)
+            outside = seen // 4 % most == 0
+            yield pa.record_batch([
+                names.dictionary.take(pa.array(seen // 4 // most)), pa.array((seen // 4 % most).astype(np.int32), mask=outside),
+                pa.array(seen // 2 % 2 == 1, mask=outside), pa.array(seen % 2 == 1), pa.array(total[seen]), pa.array(docs[seen])],
+                names=names_of)
+
+    got = marks.select("origin", "n", "glued", "base", "covers").mapInArrow(run, schema)
+    return got.groupBy("origin", "code", "is_first", "is_subword").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 def align_tokens(spans: DataFrame, tokens: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``align`` for any tokenizer's tokens (``origin, doc_id, start, end`` and more columns): all their
     columns, ``idx`` (1..n over those with characters), ``span_label``, ``is_first`` and ``ann_pos``."""

@@ -230,9 +230,13 @@ class Lineage:
     def tag_counts(self, ignore_subwords: bool = True) -> DataFrame:
         """``taxonomy, id, n, docs``: tokens by tag id, and how many of them open a document.  Tokens are
         counted by both taxonomies' ids at once and only the counts are given out."""
-        ids = {t: self.true_id(t, ignore_subwords) for t in tx.TAXONOMIES}
-        c = self.geometry.groupBy(*[x.alias(f"id_{t}") for t, x in ids.items()]).agg(
-            F.count(F.lit(1)).alias("n"), F.sum((F.col("idx") == 1).cast("long")).alias("docs"))
+        if "geometry" in self._memo:
+            ids = {t: self.true_id(t, ignore_subwords) for t in tx.TAXONOMIES}
+            c = self.geometry.groupBy(*[x.alias(f"id_{t}") for t, x in ids.items()]).agg(
+                F.count(F.lit(1)).alias("n"), F.sum((F.col("idx") == 1).cast("long")).alias("docs"))
+        else:
+            ids = {t: self._ids(t)[f"{'true' if ignore_subwords else 'raw'}_{t}"] for t in tx.TAXONOMIES}
+            c = self.gold_counts.select(*[x.alias(f"id_{t}") for t, x in ids.items()], "n", "docs")
         rows = F.array(*[F.struct(F.lit(t).alias("taxonomy"), F.col(f"id_{t}").alias("id")) for t in ids])
         return c.select(F.explode(rows).alias("x"), "n", "docs").select("x.*", "n", "docs").groupBy("taxonomy", "id").agg(
             F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -271,6 +275,31 @@ class Lineage:
             keep_labels_long(C.spans(self.docs_en)).drop("value"), self.token_marks, totals=lexer.chunk_totals(self.token_marks),
             places=True, near=True).persist(StorageLevel.MEMORY_AND_DISK))
 
+    @property
+    def gold_counts(self) -> DataFrame:
+        """``origin, span_label, is_first, is_subword, g, n, docs``: tokens by what decides their true tag, and how many of
+        them open a document; ``g`` as in ``aligned_plan``.  Counted on the marks, so that no token becomes a row."""
+        def build():
+            codes, labels, ids = _span_ids()
+            acc = align.resolve_overlaps(C.place_documents(self._gold_located)).withColumn(
+                "code", F.element_at(codes, F.concat("origin", F.lit("|"), "label")))
+            totals = lexer.chunk_totals(self.token_marks)
+            cov = align.cover_lists(acc, totals, ["code"]).hint("merge")
+            numbered = self.token_marks.join(totals.select(*lexer.CHUNK_KEY, "base").hint("merge"), lexer.CHUNK_KEY)
+            x = align.counted(numbered.join(cov, lexer.CHUNK_KEY, "left"))
+            x = x.withColumn("g", F.when(F.col("code").isNotNull(), F.struct(
+                F.element_at(labels, F.col("code")).alias("span_label"), "is_first", F.element_at(ids, F.col("code")).alias("ids"))))
+            return x.select("origin", "g.span_label", "is_first", "is_subword", "g", "n", "docs")
+        return self._get("gold_counts", build)
+
+    @property
+    def label_counts(self) -> DataFrame:
+        """``origin, span_label, is_first, is_subword, n``: tokens by what decides their true tag."""
+        key = ["origin", "span_label", "is_first", "is_subword"]
+        if "geometry" in self._memo:
+            return self.geometry.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        return self.gold_counts.select(*key, "n")
+
     @property
     def loose_located(self) -> DataFrame:
         return self._get("loose_located",
