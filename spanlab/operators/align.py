@@ -109,11 +109,11 @@ def _near(spans: DataFrame, cols: list[str], live: Column, marks: DataFrame, tot
     rows = F.when(~F.coalesce(live, F.lit(False)), F.array(row(-1, F.lit(None).cast("int")))).when(
         at[0] == at[1], F.array(row(2, at[0]))).otherwise(F.array(row(0, at[0]), row(1, at[1])))
     t = spans.select(*cols, F.explode(rows).alias("t")).select(*cols, "t.kind", "t.chunk")
-    held = marks.select(*CHUNK_KEY, F.col("n").alias("here"), "last_end", "upto", "starts", "covered")
+    held = marks.select(*CHUNK_KEY, F.col("n").alias("here"), *_bits_of(marks))
     x = t.join(held.hint("merge"), CHUNK_KEY, "left")
     ends = {"s": "`start`", "e": "(`end` - 1)"}
     x = x.select(*t.columns, *[c.alias(f"{k}_{name}") for k, e in ends.items() for name, c in zip(("lidx", "inside"), _counted_bits(
-        e, F.col("here"), chunk))])
+        e, F.col("here"), chunk, "many" in held.columns))])
     x = x.join(totals.hint("merge"), CHUNK_KEY, "left")
     first, first_chunk, _, _ = _ends(F.col("start"), F.col("s_lidx"), F.col("s_inside"))
     _, _, last, last_chunk = _ends(F.col("end") - 1, F.col("e_lidx"), F.col("e_inside"))
@@ -155,17 +155,23 @@ def _at_rows(t: DataFrame, tokens: DataFrame, chunk: int) -> DataFrame:
 
 def _at_lists(t: DataFrame, lists: DataFrame, chunk: int) -> DataFrame:
     """``_at_rows`` in ``lexer.token_lists``: a target meets its chunk's one row, and counts the starts up to it in its bin."""
-    held = lists.select(*CHUNK_KEY, "n", "last_end", "upto", "starts", "covered")
-    lidx, inside = _counted_bits("target", F.col("n"), chunk)
+    held = lists.select(*CHUNK_KEY, "n", *_bits_of(lists))
+    lidx, inside = _counted_bits("target", F.col("n"), chunk, "many" in held.columns)
     return t.join(held.hint("merge"), CHUNK_KEY, "left").select(*t.columns, lidx.alias("lidx"), inside.alias("inside"))
 
 
-def _counted_bits(target: str, n: Column, chunk: int) -> tuple[Column, Column]:
-    """``lidx`` and ``inside`` of ``target`` (SQL) in a row with ``last_end, upto, starts, covered`` and ``n`` tokens."""
+def _bits_of(lists: DataFrame) -> list[str]:
+    return [c for c in ("upto", "starts", "covered", "many") if c in lists.columns]
+
+
+def _counted_bits(target: str, n: Column, chunk: int, many: bool) -> tuple[Column, Column]:
+    """``lidx`` and ``inside`` of ``target`` (SQL) in a row with ``upto, starts, covered``, ``n`` tokens and, if tokens may begin at the same
+    character, ``many``.  A target past the chunk's last token is in no token of it."""
     at, off = f"CAST({target} % {chunk} div {BIN} AS INT)", f"CAST({target} % {BIN} AS INT)"
     k = F.expr(f"get(upto, {at}) + bit_count(get(starts, {at}) & shiftrightunsigned(-1L, {BIN - 1} - {off}))")
-    some = (k > 0) & ((k < n) | (F.expr(target) < F.col("last_end")))
-    return F.when(some, k), F.expr(f"shiftrightunsigned(get(covered, {at}), {off}) & 1L = 1L")
+    lidx = F.coalesce(F.get("many", k - 1), k) if many else k
+    inside = F.expr(f"shiftrightunsigned(get(covered, {at}), {off}) & 1L = 1L")
+    return F.when((k > 0) & ((lidx < n) | inside), lidx), inside
 
 
 def unmappable(located: DataFrame) -> DataFrame:
@@ -377,9 +383,72 @@ def counted(marks: DataFrame) -> DataFrame:
     return got.groupBy("origin", "code", "is_first", "is_subword").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def align_tokens(spans: DataFrame, tokens: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def laid(lists: DataFrame, tags: list[str] | None = None) -> DataFrame:
+    """Rows of ``lexer.tokenize_lists`` or ``lexer.token_lists`` with ``base`` and ``covers`` (``cover_lists`` with ``label``) -> token rows:
+    ``origin, doc_id, idx, tok, start, end, is_subword``, of the span on them ``span_label, is_first, ann_pos`` (null: outside).
+
+    ``tags``: names of structs in ``covers`` with the ``span_tags`` ``first, cont``; then the rows are ``origin, doc_id, idx, tok`` and
+    of each name the token's tag (``token_tag``).  As in ``spread``, spans don't overlap and no token is sorted or joined.
+    """
+    from pyspark.sql import types as T
+
+    number, flag, text = T.IntegerType(), T.BooleanType(), T.StringType()
+    kinds = {"idx": number, "tok": text, "start": number, "end": number, "is_subword": flag, "span_label": text, "is_first": flag,
+             "ann_pos": number} if tags is None else {"idx": number, "tok": text, **dict.fromkeys(tags, text)}
+    schema = T.StructType([*[lists.schema[k] for k in DOC_KEY], *[T.StructField(c, t) for c, t in kinds.items()]])
+    keys, names_of, lists_of = list(DOC_KEY), schema.names, ["tok", "is_subword", *(["start", "end"] if tags is None else [])]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+            n = b.column("n").to_numpy().astype(np.int64)
+            opens = np.cumsum(n) - n
+            row = np.repeat(np.arange(len(n)), n)
+            idx = np.arange(len(row)) + (b.column("base").to_numpy() - opens + 1)[row]
+            counts = pc.fill_null(b.column("covers").value_lengths(), 0).to_numpy()
+            spans = b.column("covers").flatten()
+            spans = dict(zip(spans.type.names, spans.flatten()))
+            on, begins = np.full(len(row), -1), np.zeros(len(row), bool)
+            if counts.sum():
+                lo, hi = (spans[c].to_numpy().astype(np.int64) for c in ("lo", "hi"))
+                size = hi - lo + 1
+                lo = opens[np.repeat(np.arange(len(n)), counts)] + lo - 1
+                on[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())] = np.repeat(np.arange(len(size)), size)
+                begins[lo] = spans["first"].to_numpy(zero_copy_only=False)
+            outside, keyed = on < 0, pa.array(row)
+            held = {c: b.column(c).flatten() for c in lists_of}
+            out = [*[b.column(k).take(keyed) for k in keys], pa.array(idx.astype(np.int32)), held["tok"]]
+            if tags is None:
+                at = pa.array(on, mask=outside)
+                out += [held["start"], held["end"], held["is_subword"], spans["label"].take(at), pa.array(begins, mask=outside), spans["ann_pos"].take(at)]
+            else:
+                m, sub = counts.sum(), held["is_subword"].to_numpy(zero_copy_only=False).astype(bool)
+                at = pa.array(np.where(outside, 2 * m, on + m * ~begins), mask=sub & ~begins)
+                out += [pa.concat_arrays([*spans[t].flatten(), pa.array(["O"])]).take(at) for t in tags]
+            yield pa.record_batch(out, names=names_of)
+
+    return lists.select(*keys, "n", *lists_of, "base", "covers").mapInArrow(run, schema)
+
+
+def align_tokens(spans: DataFrame, tokens: DataFrame, chunk: int = CHUNK, tags: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
     """``align`` for any tokenizer's tokens (``origin, doc_id, start, end`` and more columns): all their
-    columns, ``idx`` (1..n over those with characters), ``span_label``, ``is_first`` and ``ann_pos``."""
+    columns, ``idx`` (1..n over those with characters), ``span_label``, ``is_first`` and ``ann_pos``.
+
+    ``tokens`` may be ``lexer.tokenize_lists``: then tokens become rows at the end only, and where spans are placed by document they stay there.
+    ``tags`` (with these): ``span_tags`` of an accepted span's ``origin, label``, by name; then the rows are ``origin, doc_id, idx, tok`` and
+    of each name the token's tag."""
+    if "starts" in tokens.columns:
+        totals = lexer.chunk_totals(tokens)
+        accepted = resolve_overlaps(locate(spans, tokens, totals=totals, chunk=chunk, places=True, near=True))
+        accepted = accepted.withColumns({t: F.struct(first.alias("first"), cont.alias("cont")) for t, (first, cont) in (tags or {}).items()})
+        cov = cover_lists(accepted, totals, ["label"] if tags is None else [*tags]).hint("merge")
+        numbered = tokens.join(totals.select(*CHUNK_KEY, "base").hint("merge"), CHUNK_KEY)
+        return laid(numbered.join(cov, CHUNK_KEY, "left"), None if tags is None else [*tags])
+    if tags:
+        raise ValueError("tags: tokens of lexer.tokenize_lists")
     t = lexer.index_tokens(tokens.drop("idx"), chunk)
     totals = lexer.chunk_totals(t)
     accepted = resolve_overlaps(locate(spans, t, totals=totals, chunk=chunk, places=True))
@@ -402,17 +471,21 @@ def tag(aligned: DataFrame, taxonomy: str, label: Column | None = None, *, iob:
     ``label`` is the span label already expressed in ``taxonomy``.
     """
     label = F.col("span_label") if label is None else label
+    first, cont = span_tags(taxonomy, label) if iob else (label, label)
+    return token_tag(first, cont, ignore_subwords=ignore_subwords)
+
+
+def span_tags(taxonomy, label: Column) -> tuple[Column, Column]:
+    """Tag texts of the first and of the further tokens of a span with ``label``, which is expressed in ``taxonomy``."""
+    begin = F.concat(F.lit("B-"), label)
+    return begin, F.when(tx.has_i_t(label, taxonomy), F.concat(F.lit("I-"), label)).otherwise(begin)
+
+
+def token_tag(first: Column, cont: Column, *, ignore_subwords: bool = True) -> Column:
+    """Tag text of a token whose span has these ``span_tags``."""
     sub = F.col("is_subword") if ignore_subwords else F.lit(False)
-    inside = F.col("span_label").isNotNull()
-    if iob:
-        cont = F.when(tx.has_i_t(label, taxonomy), F.concat(F.lit("I-"), label)) \
-            .otherwise(F.concat(F.lit("B-"), label))
-        first = F.concat(F.lit("B-"), label)
-    else:
-        cont = label
-        first = label
     null = F.lit(None).cast("string")
-    return (F.when(~inside, F.when(sub, null).otherwise(F.lit("O")))
+    return (F.when(F.col("span_label").isNull(), F.when(sub, null).otherwise(F.lit("O")))
             .when(F.col("is_first"), first)
             .when(sub, null)
             .otherwise(cont))

@@ -136,11 +136,60 @@ def token_marks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return _listed(parts, F.when(plain, F.col("body")).otherwise(kinds).alias("kinds"), docs, chunk, texts=False)
 
 
+def _binner(size: int) -> Callable:
+    """What the makers of lists share (a closure, so that tasks get it by value): the bins of tokens ordered by key and start."""
+    width = BIN
+
+    def binned(of, start, end, first):
+        """Of every key its tokens' number, its last token and the Arrow lists ``upto, starts, covered, many``.
+
+        ``of``: keys of the tokens, numbered from 0 without gaps; ``first``: where each key's chunk begins.  A token covers its characters up to
+        the next token.  ``upto`` counts starts; ``many`` has the tokens up to each start, if some start is that of more than one (else empty).
+        """
+        import numpy as np
+        import pyarrow as pa
+
+        def before(counts):
+            return np.cumsum(counts) - counts
+
+        def listed(values, counts):
+            at = np.zeros(len(counts) + 1, np.int32)
+            np.cumsum(counts, out=at[1:])
+            return pa.ListArray.from_arrays(pa.array(at), values)
+
+        def bits(flags):
+            return listed(pa.array(np.packbits(flags, bitorder="little").view("<i8")), bins)
+        n = np.bincount(of, minlength=len(first))
+        last = np.cumsum(n) - 1
+        bins = (np.minimum(end[last] - first, size) - 1) // width + 1
+        to = before(bins)
+        place = to[of] * width + start - first[of]
+        stop = to[of] * width + np.minimum(end - first[of], bins[of] * width)
+        stop[:-1] = np.where(of[1:] == of[:-1], np.minimum(stop[:-1], place[1:]), stop[:-1])
+        some = stop > place
+        starts, edge = np.zeros(bins.sum() * width, bool), np.zeros(bins.sum() * width + 1, np.int8)
+        starts[place] = True
+        edge[place[some]] += 1
+        edge[stop[some]] -= 1
+        covered = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+
+        head = np.flatnonzero(np.diff(place, prepend=-1))
+        upto = before(np.bincount(place[head] // width, minlength=bins.sum()))
+        upto = upto - np.repeat(upto[to], bins)
+        apart = np.bincount(of[head], minlength=len(first))
+        twice = apart < n
+        many = (np.append(head[1:], len(of)) - before(n)[of[head]])[twice[of[head]]]
+        return n, last, [listed(pa.array(upto.astype(np.int32)), bins), bits(starts), bits(covered),
+                         listed(pa.array(many.astype(np.int32)), np.where(twice, apart, 0))]
+    return binned
+
+
 def _listed(parts: DataFrame, found: Column, docs: DataFrame, chunk: int, texts: bool) -> DataFrame:
     """``token_lists`` (``texts``; ``found``: lists of pieces) or ``token_marks`` (``found``: a byte a character) of placed ``chunks``."""
     from pyspark.sql import types as T
 
-    size, width, keys = _check(chunk), BIN, list(CHUNK_KEY)
+    size, keys = _check(chunk), list(CHUNK_KEY)
+    binned = _binner(size)
     ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
     lists_of = [("tok", T.ArrayType(T.StringType())), ("start", ints), ("end", ints), ("is_subword", T.ArrayType(T.BooleanType()))]
     schema = T.StructType([
@@ -259,21 +308,7 @@ def _listed(parts: DataFrame, found: Column, docs: DataFrame, chunk: int, texts:
                 continue
             n, of = n[some], np.repeat(np.arange(len(some)), n[some])
             first, start, end = first[some], start[mine], end[mine]
-            last = np.cumsum(n) - 1
-            bins = (np.minimum(end[last] - first, size) - 1) // width + 1
-            to = before(bins)
-            place = to[of] * width + start - first[of]
-            limit = (to + bins)[of] * width
-            starts, covered = np.zeros(bins.sum() * width, bool), np.zeros(bins.sum() * width, bool)
-            starts[place] = True
-            for i in range(int((end - start).max())):
-                covered[(place + i)[(start + i < end) & (place + i < limit)]] = True
-            per = np.bincount(place // width, minlength=bins.sum())
-            upto = before(per)
-            upto = upto - np.repeat(upto[to], bins)
-
-            def bits(flags, counts=bins):
-                return listed(pa.array(np.packbits(flags, bitorder="little").view("<i8")), counts)
+            n, last, places = binned(of, start, end, first)
             words = -(-n // 64)  # of a bit a token
             subs = np.zeros(words.sum() * 64, bool)
             subs[(before(words) * 64 - before(n))[of] + np.arange(len(of))] = glued[mine]
@@ -283,7 +318,7 @@ def _listed(parts: DataFrame, found: Column, docs: DataFrame, chunk: int, texts:
             yield pa.record_batch([
                 out.column("doc_id"), out.column("chunk"), out.column("origin"),
                 *[pa.array(x.astype(np.int32)) for x in (n, start[last], end[last])], *[listed(x, n) for x in lists],
-                listed(pa.array(upto.astype(np.int32)), bins), bits(starts), bits(covered), *([] if texts else [bits(subs, words)])], names=names_of)
+                *places[:3], *([] if texts else [listed(pa.array(np.packbits(subs, bitorder="little").view("<i8")), words)])], names=names_of)
 
     return parts.sortWithinPartitions(*CHUNK_KEY).select(*CHUNK_KEY, "skip", "before", found).mapInArrow(run, schema)
 
@@ -292,7 +327,7 @@ def listed_tokens(lists: DataFrame) -> DataFrame:
     """``token_lists`` as rows: ``origin, doc_id, chunk, lidx, tok, start, end, nxt, is_subword`` and its plain columns.
 
     ``nxt``: start of the next token of the chunk."""
-    keep = [c for c in lists.columns if c not in ("n", "last_start", "last_end", "tok", "start", "end", "is_subword", "upto", "starts", "covered")]
+    keep = [c for c in lists.columns if c not in ("n", "last_start", "last_end", "tok", "start", "end", "is_subword", "upto", "starts", "covered", "many")]
     nxt = F.concat(F.slice("start", F.lit(2), F.col("n")), F.array(F.lit(None).cast("int")))
     x = lists.select(*keep, F.posexplode(F.arrays_zip("tok", "start", "end", nxt.alias("nxt"), "is_subword")).alias("at", "x"))
     return x.select(*keep, (F.col("at") + 1).alias("lidx"), "x.*")
@@ -428,3 +463,113 @@ def tokenize(docs: DataFrame, factory: TokenizerFactory) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, arrow.types)], names=arrow.names)
 
     return docs.select(*DOC_KEY, "source_text").mapInArrow(run, schema)
+
+
+def tokenize_lists(docs: DataFrame, factory: TokenizerFactory, chunk: int = CHUNK) -> DataFrame:
+    """``tokenize`` as one row a chunk: the columns of ``token_lists``, and ``many`` (of chunks where tokens begin at the same character,
+    as those of rows that come twice: the tokens up to each start; else empty).
+
+    A token lies in the chunk it begins in.  Documents are placed by their own key, where their annotations are found; tokens of rows
+    with equal keys are numbered as one text's, by their starts.
+    """
+    from pyspark.sql import types as T
+
+    size, few = _check(chunk), TOKENIZER_BATCH
+    binned = _binner(size)
+    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+    schema = T.StructType([
+        docs.schema["doc_id"], T.StructField("chunk", T.IntegerType()), docs.schema["origin"],
+        *[T.StructField(c, T.IntegerType()) for c in ("n", "last_start", "last_end")], T.StructField("tok", T.ArrayType(T.StringType())),
+        T.StructField("start", ints), T.StructField("end", ints), T.StructField("is_subword", T.ArrayType(T.BooleanType())),
+        T.StructField("upto", ints), T.StructField("starts", longs), T.StructField("covered", longs), T.StructField("many", ints)])
+    names_of = schema.names
+
+    def run(batches: Iterator) -> Iterator:
+        from itertools import chain
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        offsets_of = factory()
+
+        def listed(values, counts):
+            at = np.zeros(len(counts) + 1, np.int32)
+            np.cumsum(counts, out=at[1:])
+            return pa.ListArray.from_arrays(pa.array(at), values)
+
+        def cut(texts, row, start, end):
+            """Characters ``start`` to ``end`` of the texts in ``row``, as one Arrow column."""
+            data = np.frombuffer("".join(texts.to_pylist()).encode(), np.uint8)
+            chars = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))  # where each character begins
+            long = pc.utf8_length(texts).to_numpy().astype(np.int64)
+            opens = np.cumsum(long) - long
+            first, last = (chars[opens[row] + np.minimum(x, long[row])] for x in (start, end))
+            size = last - first
+            ends = np.cumsum(size)
+            taken = data[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+            return pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(taken))
+
+        def tokenized(b):
+            """One row a text: its key and the lists of its tokens."""
+            texts = b.column("source_text").to_pylist()
+            found = [list(x) for x in offsets_of(texts)]
+            counts = np.array([len(x) for x in found], np.int64)
+            at = np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int64, 2 * counts.sum()).reshape(-1, 2)
+            row = np.repeat(np.arange(len(found)), counts)
+            own = at[:, 1] > at[:, 0]
+            row, start, end = row[own], at[own, 0], at[own, 1]
+            follows = np.diff(row) == 0
+            if (follows & ((np.diff(start) < 0) | ((np.diff(start) == 0) & (np.diff(end) < 0)))).any():
+                order = np.lexsort((end, start, row))
+                start, end = start[order], end[order]
+            sub = np.zeros(len(row), bool)
+            sub[1:] = follows & (start[1:] == end[:-1])
+            tok = cut(b.column("source_text"), row, start, end)
+            counts = np.bincount(row, minlength=b.num_rows)
+            return pa.record_batch([b.column("origin"), b.column("doc_id"), *[listed(x, counts) for x in (
+                tok, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(sub))]],
+                names=["origin", "doc_id", "tok", "start", "end", "is_subword"])
+
+        def key(b, i):
+            return b.column("doc_id")[i].as_py(), b.column("origin")[i].as_py()
+
+        def whole():
+            """Texts a few at a time, those of equal keys together."""
+            held = None
+            for b in (tokenized(b.slice(i, few)) for b in batches for i in range(0, b.num_rows, few)):
+                if held is not None:
+                    b = pa.concat_batches([held, b])
+                k, last = b.num_rows - 1, key(b, b.num_rows - 1)
+                while k and last[0] is not None and key(b, k - 1) == last:
+                    k -= 1
+                held = b.slice(k)
+                if k:
+                    yield b.slice(0, k)
+            if held is not None:
+                yield held
+
+        for b in whole():
+            tok, start, end, sub = (b.column(c).flatten() for c in ("tok", "start", "end", "is_subword"))
+            if not len(tok):
+                continue
+            row = np.repeat(np.arange(b.num_rows), b.column("tok").value_lengths().to_numpy())
+            keys = [key(b, i) for i in range(b.num_rows)]
+            copy = np.array([False, *[x == y and x[0] is not None for x, y in zip(keys, keys[1:])]])
+            if copy.any():
+                lead = np.maximum.accumulate(np.where(copy, 0, np.arange(len(copy))))
+                order = np.lexsort((start.to_numpy(), lead[row]))
+                row, (tok, start, end, sub) = lead[row][order], (x.take(pa.array(order)) for x in (tok, start, end, sub))
+            at, to = (x.to_numpy().astype(np.int64) for x in (start, end))
+            part = at // size
+            heads = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+            of = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(row)))
+            n, last, places = binned(of, at, to, part[heads] * size)
+            mine = b.take(pa.array(row[heads]))
+            yield pa.record_batch([
+                mine.column("doc_id"), pa.array(part[heads].astype(np.int32)), mine.column("origin"),
+                *[pa.array(x.astype(np.int32)) for x in (n, at[last], np.maximum.reduceat(to, heads))],
+                *[listed(x, n) for x in (tok, start, end, sub)], *places], names=names_of)
+
+    x = docs.where(F.col("source_text").isNotNull()).select(*DOC_KEY, "source_text").repartition(shuffle_partitions(docs.sparkSession), *DOC_KEY)
+    return x.sortWithinPartitions(*DOC_KEY).mapInArrow(run, schema)

@@ -101,6 +101,13 @@ class Lineage:
         return self._get("gold_spans", lambda: keep_labels_long(C.spans(self.docs_en)).persist(
             StorageLevel.MEMORY_AND_DISK))
 
+    @property
+    def gold_found(self) -> DataFrame:
+        """``gold_spans`` without ``value`` for one pass: the persisted rows if a report has asked for them, else found where their
+        documents were placed and not stored."""
+        found = self.gold_spans if "gold_spans" in self._memo else keep_labels_long(C.spans(self.docs_en))
+        return found.drop("value")
+
     # -- tokens and alignment --------------------------------------------
     @property
     def pieces(self) -> DataFrame:
@@ -143,8 +150,9 @@ class Lineage:
 
     @property
     def words(self) -> DataFrame:
-        """Tokens of a tokenizer given from outside."""
-        return self._get("words", lambda: lexer.tokenize(self.docs_en, word_tokenizer))
+        """Tokens of a tokenizer given from outside, one row a chunk, written once and placed by document."""
+        return self._get("words", lambda: checkpoints.bucketed(
+            self.spark, self.sf_dir, "words", lambda: lexer.tokenize_lists(english(C.corpus(self.spark, self.sf_dir)), word_tokenizer), DOC_KEY))
 
     @property
     def annotated(self) -> DataFrame:
