@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy, text
-from ..operators import align, lexer, predict
+from ..operators import align, aligned, lexer, predict
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 from ..sources import corpus
 
@@ -42,7 +42,7 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     files = listed.select(h.alias("h")).agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.col("h") % (1 << 31))).first()
     from . import lineage
 
-    rules = [m.__loader__.get_source(m.__name__) for m in (taxonomy, text, align, lexer, predict, corpus, lineage)]
+    rules = [m.__loader__.get_source(m.__name__) for m in (taxonomy, text, align, aligned, lexer, predict, corpus, lineage)]
     return hashlib.sha256(repr((tuple(files), shuffle_partitions(spark), rules)).encode()).hexdigest()[:24]
 
 
@@ -65,7 +65,7 @@ def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
 
 
 def bucketed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], keys: list[str]) -> DataFrame:
-    """``build()`` as a table bucketed on ``keys``, written unless a session has written it before."""
+    """``build()`` as a table bucketed on ``keys`` (none: as it lies), written unless a session has written it before."""
     app = spark.sparkContext.applicationId
     held = _HELD.setdefault((app, sf_dir), {})
     table, path = _place(spark, sf_dir, name)
@@ -79,7 +79,10 @@ def bucketed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Da
     if fs.exists(_path(spark, f"{path}/_SUCCESS")):
         schema = spark.read.parquet(path).schema
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({', '.join(keys)}) INTO {n} BUCKETS LOCATION '{path}'")
+        placed = f"CLUSTERED BY ({', '.join(keys)}) INTO {n} BUCKETS" if keys else ""
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet {placed} LOCATION '{path}'")
+    elif not keys:
+        build().write.mode("overwrite").option("path", path).saveAsTable(table)
     else:
         # Every task holds the rows of one bucket, in order: with a writer at hand they needn't be sorted by bucket.
         with _set(spark, {"spark.sql.optimizer.plannedWrite.enabled": "false", "spark.sql.maxConcurrentOutputFileWriters": "2"}):

@@ -16,12 +16,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
 from ..functions.text import hash_bucket, is_blank
-from ..operators import align, evaluate, lexer, predict
+from ..operators import align, aligned, evaluate, lexer, predict
 from . import checkpoints
 from ..sources import corpus as C
 from ..sources.corpus import DOC_KEY
@@ -46,9 +46,9 @@ def word_tokenizer():
     return lambda texts: [[m.span() for m in word.finditer(t)] for t in texts]
 
 
-def _span_ids() -> tuple[Column, Column, Column]:
-    """Literals: a map ``origin|label`` (gold) or ``loose|rule`` -> code, and by code the labels and the tag ids in both taxonomies:
-    ``b`` and ``c`` of the first and the further tokens, ``ob`` and ``oc`` of the label that a wrong prediction takes instead."""
+def _span_rows() -> dict[str, dict[str, list]]:
+    """``origin|label`` (gold) or ``loose|rule``, in the order of their codes (from 1) -> by taxonomy the tag ids of the first and of further
+    tokens, and of both with the label that a wrong prediction takes instead."""
     def ids(t, lab):
         number, hi = tx.tag2id(t), tx.has_i(t)
         if lab is None:  # a rule without a label in this taxonomy predicts O
@@ -60,7 +60,13 @@ def _span_ids() -> tuple[Column, Column, Column]:
 
     rows = {f"{o}|{lab}": {t: ids(t, lab if o == t else tx.MAPPINGS[(o, t)].get(lab, lab)) for t in tx.TAXONOMIES}
             for o in tx.TAXONOMIES for lab in tx.RAW_LABELS[o]}
-    rows |= {f"loose|{rule}": {t: ids(t, predict.LOOSE_LABELS[t].get(rule)) for t in tx.TAXONOMIES} for rule, _ in predict.LOOSE_RULES}
+    return rows | {f"loose|{rule}": {t: ids(t, predict.LOOSE_LABELS[t].get(rule)) for t in tx.TAXONOMIES} for rule, _ in predict.LOOSE_RULES}
+
+
+def _span_ids() -> tuple[Column, Column, Column]:
+    """Literals: a map ``origin|label`` (gold) or ``loose|rule`` -> code, and by code the labels and the tag ids in both taxonomies:
+    ``b`` and ``c`` of the first and the further tokens, ``ob`` and ``oc`` of the label that a wrong prediction takes instead."""
+    rows = _span_rows()
     names = [f"{p}_{t}" for t in tx.TAXONOMIES for p in ("b", "c", "ob", "oc")]
     codes = F.expr("map(" + ", ".join(f"{tx._sql_lit(k)}, {i}" for i, k in enumerate(rows, 1)) + ")")
     labels = F.expr("array(" + ", ".join(tx._sql_lit(k.split("|")[1]) for k in rows) + ")")
@@ -69,6 +75,31 @@ def _span_ids() -> tuple[Column, Column, Column]:
         for r in rows.values()) + ")")
 
 
+def _state_tables(t: str) -> dict[str, list]:
+    """Tag ids in taxonomy ``t`` by the parts of a token's state (``aligned.parts``): ``raw`` by ``g``, ``loose`` by ``l``, ``noisy`` by four times ``g``
+    and ``noise``."""
+    number, codes = tx.tag2id(t), _span_rows()
+    o, other = number["O"], number["B-" + tx.alt_label(t)[None]]
+
+    def by_state(outside, first, on, loose=False):
+        """Values of the states 0 (outside), 1 (none) and of every code's further tokens and first token."""
+        return [outside, None, *[r[t][i] for k, r in codes.items() if k.startswith("loose|") == loose for i in (on, first)]]
+    raw, swapped, changed = by_state(o, 0, 1), by_state(o, 1, 0), by_state(other, 2, 3)
+    return {"raw": raw, "loose": by_state(o, 0, 1, loose=True), "noisy": [x for r, s, c in zip(raw, swapped, changed) for x in (o, s, c, r)]}
+
+
+def _state_ids(t: str, state: Column | None = None) -> dict[str, Column]:
+    """``Lineage._ids`` by the state of a token (rows of ``aligned.rows``, or a value of the list): the same ids, looked up in arrays."""
+    tables = _state_tables(t)
+    of = {c: F.col(c) for c in ("g", "l", "is_subword", "noise")} if state is None else aligned.parts(state)
+
+    def look(name, at):
+        return F.get(F.expr("array(" + ", ".join(f"CAST({tx._sql_lit(v)} AS INT)" for v in tables[name]) + ")"), at)
+    seen = look("raw", of["g"])
+    return {f"true_{t}": F.when(of["is_subword"] & (of["g"] % 2 == 0), F.lit(tx.IGNORE_ID)).otherwise(seen), f"raw_{t}": seen,
+            f"pred_{t}_rule_loose": look("loose", of["l"]), f"pred_{t}_noisy": look("noisy", of["g"] * 4 + of["noise"])}
+
+
 @dataclass
 class Lineage:
     spark: SparkSession
@@ -316,7 +347,8 @@ class Lineage:
     @property
     def aligned_plan(self) -> DataFrame:
         """Tokens + covering gold span + covering rule_loose span, with every
-        tag id both taxonomies need already resolved per span (lazy).
+        tag id both taxonomies need already resolved per span (lazy): by the operators step by step, on tables of tokens and spans.
+        The reports read ``geometry``, the same rows made in one pass.
 
         Label lookups happen once per *span*, in one literal map; the per-token work is integer CASE
         logic that leaves one column a tag sequence.
@@ -361,8 +393,8 @@ class Lineage:
             f"pred_{t}_noisy": F.when(h < 3, o).when(h < 5, swapped).when(h < 6, changed).otherwise(raw)}
 
     @property
-    def geometry(self) -> DataFrame:
-        """The aligned token table, materialised.
+    def aligned_lists(self) -> DataFrame:
+        """The aligned tokens as lists, one row a chunk, materialised.
 
         It is the persist point every report reuses: written once as Parquet
         under the shared ``spark.checkpoint.dir`` and read back, which cuts
@@ -370,8 +402,20 @@ class Lineage:
         and lets each report read only the columns it needs.  Sessions over the same input share it
         (``checkpoints``); ``release`` gives it up.
         """
-        return self._get("geometry", lambda: checkpoints.bucketed(
-            self.spark, self.sf_dir, "aligned", lambda: self.aligned_plan, lexer.CHUNK_KEY))
+        return self._get("aligned_lists", lambda: checkpoints.bucketed(self.spark, self.sf_dir, "aligned", lambda: aligned.aligned_lists(
+            english(C.corpus(self.spark, self.sf_dir)), {k: i for i, k in enumerate(_span_rows(), 1)}, predict.LOOSE_RULES), []))
+
+    @property
+    def geometry(self) -> DataFrame:
+        """The aligned token table: the rows of ``aligned_plan``, read from ``aligned_lists`` (a few bytes a token)."""
+        def build():
+            labels = [None, None, *[k.split("|")[1] for k in _span_rows() for _ in "cb"]]
+            label = F.get(F.expr("array(" + ", ".join(f"CAST({tx._sql_lit(v)} AS STRING)" for v in labels) + ")"), F.col("g"))
+            return aligned.rows(self.aligned_lists).select(
+                *lexer.CHUNK_KEY, "lidx", "idx", "tok", "start", "end", "is_subword", "n_tok", label.alias("span_label"),
+                F.when(F.col("g") > 0, F.col("g") % 2 == 1).alias("is_first"),
+                *[c.alias(n) for t in tx.TAXONOMIES for n, c in _state_ids(t).items()])
+        return self._get("geometry", build)
 
     def release(self) -> None:
         """Give up the written and persisted tables; those that no other session uses are removed."""
@@ -429,41 +473,41 @@ class Lineage:
         return self._get("pairs", build)
 
     @property
-    def tagged(self) -> DataFrame:
-        """Tags that aren't ``O``, of the truth (``model_id`` ``*``) and of each model, in both taxonomies, with their places
-        among the scored positions of the text (``part, pos, opens`` of ``evaluate.entities``).
+    def sides(self) -> list[tuple[str, str, list, list]]:
+        """The truth (``*``) and the models in both taxonomies: prefix codes and label codes by a token's state.
 
-        Lists of predictions are never shorter than the text here (``n_pred``), so all models share the truth's sequence.
-        Tokens that are ``O`` throughout are dropped before anything is sorted, moved or multiplied.
+        Lists of predictions are never shorter than the text here (``n_pred``), so all models share the truth's sequence of scored positions.
         """
         def build():
-            g = self.geometry
-            n = g.groupBy(*lexer.CHUNK_KEY).agg(F.max("scored").alias("here"))
-            order = Window.partitionBy(*DOC_KEY).orderBy("chunk")
-            n = n.select(*lexer.CHUNK_KEY, F.coalesce(F.sum("here").over(
-                order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-            sides, said = [], F.lit(False)
+            sides = []
             for t in tx.TAXONOMIES:
-                for m, tag_id in [("*", self.true_id(t)), *[(m, self.pred_id(t, m)) for m in predict.MODELS]]:
-                    px, et = evaluate.tag_codes(t, tag_id)
-                    said = said | (tag_id != tx.tag2id(t)["O"])
-                    sides.append(F.struct(F.lit(t).alias("taxonomy"), F.lit(m).alias("model_id"), px.alias("px"), et.alias("et")))
-            x = g.where((self.true_id("A") != tx.IGNORE_ID) & said).select(*lexer.CHUNK_KEY, "scored", F.array(*sides).alias("s"))
-            x = x.join(n.hint("merge"), lexer.CHUNK_KEY).select(
-                *DOC_KEY, F.col("chunk").alias("part"), (F.col("before") + F.col("scored")).alias("pos"),
-                ((F.col("scored") == 1) & (F.col("before") > 0)).alias("opens"), F.explode("s").alias("s"))
-            return x.select(*DOC_KEY, "part", "pos", "opens", "s.*").where("px <> 0")
-        return self._get("tagged", build)
+                tables, codes = _state_tables(t), evaluate.tag_codes(t)
+                states = range(len(tables["raw"]) << 7)
+
+                def at(name, i):
+                    return tables[name][i] if i < len(tables[name]) else None
+                ids = {"*": [at("raw", v >> 7) for v in states], "rule_loose": [at("loose", v >> 2 & 15) for v in states],
+                       "noisy": [at("noisy", (v >> 7) * 4 + v % 4) for v in states]}
+                for m in ("*", *predict.MODELS):
+                    of = [(0, None) if i is None else codes[i] for i in ids[m]]
+                    sides.append((t, m, [x for x, _ in of], [x for _, x in of]))
+            return sides
+        return self._get("sides", build)
 
     @property
     def entities(self) -> DataFrame:
-        """Entities of the truth and of each model, the truth's once for every model."""
+        """Entities of the documents of several chunks, the truth's once for every model."""
         def build():
-            e = evaluate.entities(self.tagged, ["doc_id", "origin", "taxonomy", "model_id"])
+            e = evaluate.entities_of_lists(self.aligned_lists.where("n < n_tok"), self.sides)
             models = F.when(F.col("model_id") == "*", F.array(*[F.lit(m) for m in predict.MODELS])).otherwise(F.array("model_id"))
             return e.withColumns({"is_true": (F.col("model_id") == "*").cast("int"), "model_id": F.explode(models)})
         return self._get("entities", build)
 
+    @property
+    def matched(self) -> DataFrame:
+        """Entities of all other documents, decoded and matched chunk by chunk."""
+        return self._get("matched", lambda: evaluate.matched_lists(self.aligned_lists.where("n = n_tok"), self.sides))
+
     @property
     def confusion(self) -> DataFrame:
         """O45 of every taxonomy and model: tokens are counted by their few tag ids
