@@ -175,7 +175,8 @@ def map_label(label: Column, src: str, dst: str) -> Column:
 
 def tag_id(tag: Column, taxonomy: str) -> Column:
     """Tag text -> id (null for an unknown tag: the caller decides)."""
-    return F.element_at(_map(tag2id(taxonomy)), tag)
+    ids = tag2id(taxonomy)  # a lookup goes through the keys in order: the one that most tokens have comes first
+    return F.element_at(_map({"O": ids["O"]} | ids), tag)
 
 
 def plain_tag_id(tag: Column, taxonomy: str) -> Column:

@@ -198,7 +198,8 @@ def zip_pairs(aligned_true: DataFrame, preds: DataFrame, taxonomy: str,
               models: list[str] | None = None) -> DataFrame:
     """O19 + O20: attach predictions by document key and pair token by token.
 
-    ``aligned_true``: ``origin, doc_id, idx, true_id`` for idx 1..n.
+    ``aligned_true``: ``origin, doc_id, idx, true_id`` for idx 1..n; or one row a document with the list ``true_ids``, then lists are
+    joined and paired place by place, and no token is moved.
     ``preds``: ``origin, doc_id, model_id, predicted_mask``.
     The prediction list is padded like ``[-100] + p + [-100]``; the join on
     position truncates to the shorter side exactly as ``zip``.  A document for which one
@@ -207,6 +208,8 @@ def zip_pairs(aligned_true: DataFrame, preds: DataFrame, taxonomy: str,
     """
     enc = F.concat(F.transform("predicted_mask", lambda e: tx.tag_id(e["entity"], taxonomy)),
                    F.array(F.lit(tx.IGNORE_ID)))
+    if "true_ids" in aligned_true.columns:
+        return _zip_lists(aligned_true, preds, enc, F.lit(tx.tag2id(taxonomy)["O"]), models)
     p = (preds.select(*DOC_KEY, "model_id", F.posexplode(enc).alias("p0", "pred_id"))
          .select(*DOC_KEY, "model_id", (F.col("p0") + 1).alias("idx"), "pred_id"))
     if models is None:
@@ -220,6 +223,22 @@ def zip_pairs(aligned_true: DataFrame, preds: DataFrame, taxonomy: str,
     return x.withColumn("pred_id", F.when(F.col("_k").isNull(), o_id).otherwise(F.col("pred_id"))).drop("_k")
 
 
+def _zip_lists(aligned_true: DataFrame, preds: DataFrame, enc: Column, o_id: Column, models: list[str] | None) -> DataFrame:
+    """``zip_pairs`` of lists: ids of a byte a token meet on the document's key."""
+    p = preds.where(F.col("predicted_mask").isNotNull()).select(*DOC_KEY, "model_id", enc.cast("array<tinyint>").alias("pred_ids"))
+    if models is None:
+        x = aligned_true.join(p, DOC_KEY, "inner")
+    else:
+        x = aligned_true.withColumn("model_id", F.explode(F.array(*[F.lit(m) for m in models]))).join(p, [*DOC_KEY, "model_id"], "left")
+    n = F.least(F.size("true_ids"), F.when(F.col("pred_ids").isNull(), F.size("true_ids")).otherwise(F.size("pred_ids")))
+    # the shorter list ends the pairs: past it nothing is paired
+    x = x.withColumn("true_ids", F.slice("true_ids", F.lit(1), n))
+    x = x.select(*[c for c in x.columns if c != "true_ids"], F.posexplode("true_ids").alias("_at", "true_id"))
+    pred = F.when(F.col("pred_ids").isNull(), o_id).otherwise(F.get("pred_ids", "_at").cast("int"))
+    return x.select(*[c for c in x.columns if c not in ("pred_ids", "_at", "true_id")], (F.col("_at") + 1).alias("idx"),
+                    F.col("true_id").cast("int").alias("true_id"), pred.alias("pred_id"))
+
+
 GRAM = 3  # characters of a word by which it meets tokens
 
 

@@ -75,7 +75,7 @@ def _span_ids() -> tuple[Column, Column, Column]:
         for r in rows.values()) + ")")
 
 
-def _state_tables(t: str) -> dict[str, list]:
+def state_tables(t: str) -> dict[str, list]:
     """Tag ids in taxonomy ``t`` by the parts of a token's state (``aligned.parts``): ``raw`` by ``g``, ``loose`` by ``l``, ``noisy`` by four times ``g``
     and ``noise``."""
     number, codes = tx.tag2id(t), _span_rows()
@@ -88,9 +88,9 @@ def _state_tables(t: str) -> dict[str, list]:
     return {"raw": raw, "loose": by_state(o, 0, 1, loose=True), "noisy": [x for r, s, c in zip(raw, swapped, changed) for x in (o, s, c, r)]}
 
 
-def _state_ids(t: str, state: Column | None = None) -> dict[str, Column]:
+def state_ids(t: str, state: Column | None = None) -> dict[str, Column]:
     """``Lineage._ids`` by the state of a token (rows of ``aligned.rows``, or a value of the list): the same ids, looked up in arrays."""
-    tables = _state_tables(t)
+    tables = state_tables(t)
     of = {c: F.col(c) for c in ("g", "l", "is_subword", "noise")} if state is None else aligned.parts(state)
 
     def look(name, at):
@@ -414,7 +414,7 @@ class Lineage:
             return aligned.rows(self.aligned_lists).select(
                 *lexer.CHUNK_KEY, "lidx", "idx", "tok", "start", "end", "is_subword", "n_tok", label.alias("span_label"),
                 F.when(F.col("g") > 0, F.col("g") % 2 == 1).alias("is_first"),
-                *[c.alias(n) for t in tx.TAXONOMIES for n, c in _state_ids(t).items()])
+                *[c.alias(n) for t in tx.TAXONOMIES for n, c in state_ids(t).items()])
         return self._get("geometry", build)
 
     def release(self) -> None:
@@ -481,7 +481,7 @@ class Lineage:
         def build():
             sides = []
             for t in tx.TAXONOMIES:
-                tables, codes = _state_tables(t), evaluate.tag_codes(t)
+                tables, codes = state_tables(t), evaluate.tag_codes(t)
                 states = range(len(tables["raw"]) << 7)
 
                 def at(name, i):
