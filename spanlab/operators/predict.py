@@ -194,6 +194,96 @@ def score_corpus(docs: DataFrame, make_scorer, model_id: str, path: str, clock=t
     return spark.read.schema(scored.schema).parquet(path), latency
 
 
+def predicted_lists(lists: DataFrame, sides: list[tuple[str, str, list | None]]) -> DataFrame:
+    """Native models' lists of ``aligned.aligned_lists`` with a column ``k_model`` each (the list's length), one row a document and side:
+    ``taxonomy, origin, doc_id, n_tok, model_id, predicted_mask`` (entity, word, score).
+
+    ``sides``: taxonomy, model, and by a token's state the tag (null: no entity; then the list is filled up to its length with ``O``).
+    Without tags (None for all sides) an entity is the state itself, which tells the tags of both taxonomies, none is added or left out, and the rows
+    have ``tok`` and ``state`` of all tokens, so that nothing must be joined to them.  Chunks move to their documents; lists are made
+    of them on arrays.
+    """
+    from pyspark.sql import types as T
+
+    attached = sides[0][2] is None
+    entity = T.ShortType() if attached else T.StringType()
+    mask = T.ArrayType(T.StructType([T.StructField("entity", entity), T.StructField("word", T.StringType()), T.StructField("score", T.DoubleType())]))
+    schema = T.StructType([
+        T.StructField("taxonomy", T.StringType()), lists.schema["origin"], lists.schema["doc_id"], T.StructField("n_tok", T.IntegerType()),
+        T.StructField("model_id", T.StringType()), *([T.StructField("tok", T.ArrayType(T.StringType())), lists.schema["state"]] if attached else []),
+        T.StructField("predicted_mask", mask)])
+    names_of = schema.names
+
+    def coded(tags):
+        """Tags by state as numbers in a short list of names (the last: none)."""
+        names = sorted({x for x in tags if x is not None})
+        at = {x: i for i, x in enumerate(names)}
+        return names, bytes(at.get(x, len(names)) for x in tags)
+    told = [(t, m, by if attached else coded(by)) for t, m, by in sides]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def few():
+            """Chunks of some whole documents at a time."""
+            held = None
+            for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+                if held is not None:
+                    b = pa.concat_batches([held, b])
+                ids, names = b.column("doc_id").to_numpy(), np.array(b.column("origin").to_pylist(), object)
+                heads = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])))
+                held = b.slice(heads[-1])
+                if heads[-1]:
+                    yield b.slice(0, heads[-1]), heads[:-1]
+            if held is not None and held.num_rows:
+                yield held, np.zeros(1, np.int64)
+
+        def slots(counts):
+            return pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+
+        for b, heads in few():
+            n = np.add.reduceat(b.column("n").to_numpy().astype(np.int64), heads)
+            row = np.repeat(np.arange(len(heads)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            flat = b.column("state").flatten()
+            state = flat.to_numpy()
+            data = np.frombuffer(" ".join(b.column("words").to_pylist()).encode() + b" ", np.uint8)
+            stops = np.flatnonzero(data == 32)
+            opens = np.append(0, stops[:-1] + 1)
+            ends = np.append(0, np.cumsum(stops - opens)).astype(np.int32)
+            # a word more than the tokens: that of entities too many
+            tok = pa.StringArray.from_buffers(len(row) + 1, pa.py_buffer(np.append(ends, ends[-1:])), pa.py_buffer(data[data != 32]))
+            docs = b.take(pa.array(heads))
+            for t, m, by in told:
+                k = docs.column(f"k_{m}").to_numpy().astype(np.int64)
+                if attached:
+                    own = np.flatnonzero(place < k[row])
+                    counts = np.bincount(row[own], minlength=len(heads))
+                    said = pa.array(state[own])
+                else:
+                    names, codes = by
+                    code = np.frombuffer(codes, np.uint8)[state]
+                    own = np.flatnonzero((place < k[row]) & (code < len(names)))
+                    counts = np.bincount(row[own], minlength=len(heads))
+                    more = np.maximum(k - counts, 0)
+                    owner = np.append(row[own], np.repeat(np.arange(len(heads)), more))
+                    order = np.argsort(owner, kind="stable")
+                    own = np.append(own, np.full(more.sum(), len(row)))[order]
+                    said = pa.array([*names, "O"], pa.string()).take(pa.array(np.append(code, len(names))[own]))
+                    counts = counts + more
+                mine = pa.StructArray.from_arrays([said, tok.take(pa.array(own)), pa.array(np.ones(len(own)))], ["entity", "word", "score"])
+                lists_of = [pa.ListArray.from_arrays(slots(n), tok.slice(0, len(row))), pa.ListArray.from_arrays(slots(n), flat)] if attached else []
+                yield pa.record_batch([
+                    pa.array([t] * len(heads), pa.string()), docs.column("origin"), docs.column("doc_id"), pa.array(n.astype(np.int32)),
+                    pa.array([m] * len(heads), pa.string()), *lists_of, pa.ListArray.from_arrays(slots(counts), mine)], names=names_of)
+
+    lengths = sorted({f"k_{m}" for _, m, _ in sides})
+    x = lists.select(*DOC_KEY, "chunk", "n", "words", "state", *lengths)
+    x = place_documents(x).sortWithinPartitions(*DOC_KEY, "chunk")
+    return x.mapInArrow(run, schema)
+
+
 def zip_pairs(aligned_true: DataFrame, preds: DataFrame, taxonomy: str,
               models: list[str] | None = None) -> DataFrame:
     """O19 + O20: attach predictions by document key and pair token by token.
@@ -273,7 +363,72 @@ def word_matches(tokens_df: DataFrame, words: DataFrame) -> DataFrame:
         F.min("f.ppos").alias("ppos"))
 
 
-def word_match_align(tokens_df: DataFrame, preds: DataFrame) -> DataFrame:
+def _matched_lists(rows: DataFrame) -> DataFrame:
+    """``word_matches`` of rows with ``tok`` and ``predicted_mask`` (both lists): the other columns, ``entities`` and for each token ``ppos`` (-1: none).
+
+    A document's tokens with one text are looked up once: a token's substrings of the words' lengths in a table of the words, or
+    the words in the token, whichever are fewer.  Models that say the same words share the result.
+    """
+    from pyspark.sql import types as T
+
+    kept = [c for c in rows.columns if c not in ("tok", "predicted_mask")]
+    x = rows.select(*kept, "tok", F.col("predicted_mask.word").alias("words"), F.col("predicted_mask.entity").alias("entities"))
+    schema = T.StructType([*[x.schema[c] for c in kept], x.schema["entities"], T.StructField("ppos", T.ArrayType(T.IntegerType()))])
+    names_of, keys = schema.names, list(DOC_KEY)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        short, memo = {}, {}  # substrings of short texts; what the last documents gave
+
+        def substrings(t):
+            out = short.get(t)
+            if out is None:
+                out = {t[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)} | {""}
+                if len(short) < 200_000:
+                    short[t] = out
+            return out
+
+        def places(toks, words):
+            first = {}
+            for w, p in dict(zip(reversed(words), range(len(words) - 1, -1, -1))).items():  # each word's first place
+                w = (w or "").strip()
+                if p < first.get(w, p + 1):
+                    first[w] = p
+            widths, found = {len(w) for w in first}, {}
+            for t in set(toks):
+                if len(t) <= 8:
+                    some = [first[x] for x in substrings(t) if x in first]
+                elif len(widths) * len(t) < len(first):
+                    some = [first[x] for k in widths for x in (t[i:i + k] for i in range(len(t) - k + 1)) if x in first]
+                else:
+                    some = [p for w, p in first.items() if w in t]
+                found[t] = min(some, default=-1)
+            return [found[t] for t in toks]
+
+        for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+            out, sizes = [], []
+            lists = []
+            for c in ("tok", "words"):
+                col = b.column(c)
+                flat, long = col.flatten().to_pylist(), np.append(0, np.cumsum([x or 0 for x in col.value_lengths().to_pylist()]))
+                lists.append([flat[i:j] for i, j in zip(long[:-1], long[1:])])
+            for key, toks, words in zip(zip(*(b.column(c).to_pylist() for c in keys)), *lists):
+                had = memo.get(key)
+                if had is None or had[0] != words or had[1] != toks:
+                    if key not in memo and len(memo) >= 256:
+                        memo.pop(next(iter(memo)))
+                    had = memo[key] = words, toks, places(toks, words)
+                out += had[2]
+                sizes.append(len(toks))
+            ppos = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(out, pa.int32()))
+            yield pa.record_batch([*[b.column(c) for c in names_of[:-1]], ppos], names=names_of)
+    return x.mapInArrow(run, schema)
+
+
+def word_match_align(tokens_df: DataFrame, preds: DataFrame | None = None, along: list[str] | None = None,
+                     outside: Column | None = None) -> DataFrame:
     """Per token, the first prediction (list order) whose stripped
     ``word`` is a substring of the token; ``O`` when none matches, also
     for an empty or null list.  A null word counts as an empty one.
@@ -281,7 +436,18 @@ def word_match_align(tokens_df: DataFrame, preds: DataFrame) -> DataFrame:
     ``tokens_df``: ``origin, doc_id, idx, tok`` and more columns, which are kept (the gold row's own
     ids, ignored positions included).  ``preds``: ``origin, doc_id, model_id, predicted_mask`` of any
     number of models; an entity is text, or a struct with one text a taxonomy.
+
+    Without ``preds``: rows of ``tokens_df`` are a document and model each, with the lists ``tok`` and ``predicted_mask``, and lists of
+    a value a token, ``along``, which become those tokens' columns.  Then no token or word is moved.  ``outside``: what stands for ``O`` where
+    an entity isn't text.
     """
+    if preds is None:
+        x = _matched_lists(tokens_df)
+        along, o = along or [], F.lit("O") if outside is None else outside
+        plain = [c for c in x.columns if c not in ("entities", "ppos", *along)]
+        x = x.select(*plain, "entities", *along, F.posexplode("ppos").alias("_at", "_p"))
+        entity = F.when(F.col("_p") >= 0, F.get("entities", "_p"))
+        return x.select(*plain, (F.col("_at") + 1).alias("idx"), *[F.get(c, "_at").alias(c) for c in along], F.coalesce(entity, o).alias("entity"))
     tokens_df = place_documents(tokens_df)  # once; all below meets by document
     long = preds.select(*DOC_KEY, "model_id", F.posexplode("predicted_mask").alias("ppos", "e"))
     hit = word_matches(tokens_df, long.select(*DOC_KEY, "model_id", "ppos", F.col("e.word").alias("word")))
