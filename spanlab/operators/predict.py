@@ -407,12 +407,25 @@ def _matched_lists(rows: DataFrame) -> DataFrame:
                 found[t] = min(some, default=-1)
             return [found[t] for t in toks]
 
+        def texts_of(col):
+            """A column of texts as a list; cut from one text, as pyarrow takes texts out one by one slowly."""
+            if col.null_count or not len(col):
+                return col.to_pylist()
+            col = col.cast(pa.string())
+            at = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
+            data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+            text, at = data.tobytes().decode(), at - at[0]
+            if len(text) < len(data):
+                at = np.append(0, np.cumsum(data & 0xC0 != 0x80))[at]
+            at = at.tolist()
+            return [text[i:j] for i, j in zip(at, at[1:])]
+
         for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             out, sizes = [], []
             lists = []
             for c in ("tok", "words"):
                 col = b.column(c)
-                flat, long = col.flatten().to_pylist(), np.append(0, np.cumsum([x or 0 for x in col.value_lengths().to_pylist()]))
+                flat, long = texts_of(col.flatten()), np.append(0, np.cumsum([x or 0 for x in col.value_lengths().to_pylist()]))
                 lists.append([flat[i:j] for i, j in zip(long[:-1], long[1:])])
             for key, toks, words in zip(zip(*(b.column(c).to_pylist() for c in keys)), *lists):
                 had = memo.get(key)
