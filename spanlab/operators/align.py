@@ -517,10 +517,12 @@ def gather(tokens: DataFrame, lists: dict[str, Column]) -> DataFrame:
 def nest_labels(tokens: DataFrame, key: list[str]) -> DataFrame:
     """Token rows -> one row per ``key``: ``offset_mapping`` and the ``*_id`` columns as
     ``*_labels`` lists with an ignored position at either end (special tokens).  Rows of a chunked
-    token table (``chunk, lidx`` for ``idx``) are gathered where they lie."""
+    token table (``chunk, lidx`` for ``idx``) are gathered where they lie; rows of a ``key`` with lists in these columns stay as they are."""
     ids = [c for c in tokens.columns if c.endswith("_id") and c != "doc_id"]
     cols = ["start", "end", *ids]
-    if {"chunk", "lidx"} <= set(tokens.columns) and sorted(key) == sorted(DOC_KEY):
+    if tokens.schema["start"].dataType.typeName() == "array":
+        l = tokens
+    elif {"chunk", "lidx"} <= set(tokens.columns) and sorted(key) == sorted(DOC_KEY):
         l = gather(tokens, {c: F.col(c) for c in cols})
     else:
         l = tokens.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("idx", *cols))).alias("_l"))
