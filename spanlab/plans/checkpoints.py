@@ -104,7 +104,7 @@ def release(spark: SparkSession, sf_dir: str) -> list[str]:
     return removed
 
 
-def discard(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("tokens", "aligned", "marks", "words")) -> None:
+def discard(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("tokens", "aligned", "places", "marks", "words")) -> None:
     """Remove the tables over ``sf_dir`` whoever holds a lease: those of lost sessions, or before a cold run."""
     release(spark, sf_dir)
     for name in names:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as tx
@@ -402,8 +402,19 @@ class Lineage:
         and lets each report read only the columns it needs.  Sessions over the same input share it
         (``checkpoints``); ``release`` gives it up.
         """
-        return self._get("aligned_lists", lambda: checkpoints.bucketed(self.spark, self.sf_dir, "aligned", lambda: aligned.aligned_lists(
-            english(C.corpus(self.spark, self.sf_dir)), {k: i for i, k in enumerate(_span_rows(), 1)}, predict.LOOSE_RULES), []))
+        def build():
+            lists = checkpoints.bucketed(self.spark, self.sf_dir, "aligned", lambda: aligned.aligned_lists(
+                english(C.corpus(self.spark, self.sf_dir)), {k: i for i, k in enumerate(_span_rows(), 1)}, predict.LOOSE_RULES), [])
+            self._memo["places"] = checkpoints.bucketed(self.spark, self.sf_dir, "places", lambda: lists.select(
+                *lexer.CHUNK_KEY, "n", "base", "before", "n_tok"), [])
+            return lists
+        return self._get("aligned_lists", build)
+
+    @property
+    def places(self) -> DataFrame:
+        """One row a chunk of ``aligned_lists`` without its lists, written beside them: counts of tokens, for what needs no token."""
+        self.aligned_lists
+        return self._memo["places"]
 
     @property
     def geometry(self) -> DataFrame:
@@ -494,6 +505,26 @@ class Lineage:
             return sides
         return self._get("sides", build)
 
+    @property
+    def tagged(self) -> DataFrame:
+        """Tags that aren't ``O``, of the truth (``model_id`` ``*``) and of each model, in both taxonomies, as rows with their places
+        among the scored positions of the text (``part, pos, opens`` of ``evaluate.entities``): what ``matched`` decodes on lists."""
+        def build():
+            x = aligned.rows(self.aligned_lists).join(self.places.select(*lexer.CHUNK_KEY, "before"), lexer.CHUNK_KEY)
+            x = x.where(~F.col("is_subword") | (F.col("g") % 2 == 1))
+            scored = F.row_number().over(Window.partitionBy(*lexer.CHUNK_KEY).orderBy("lidx"))
+            said = []
+            for t in tx.TAXONOMIES:
+                ids, codes = state_ids(t), evaluate.tag_codes(t)
+                px, et = (F.expr("array(" + ", ".join("CAST(NULL AS INT)" if c[i] is None else str(c[i]) for c in codes) + ")") for i in (0, 1))
+                for m, c in [("*", f"true_{t}"), *[(m, f"pred_{t}_{m}") for m in predict.MODELS]]:
+                    said.append(F.struct(F.lit(t).alias("taxonomy"), F.lit(m).alias("model_id"), F.get(px, ids[c]).alias("px"), F.get(et, ids[c]).alias("et")))
+            x = x.withColumn("scored", scored).select(
+                *DOC_KEY, F.col("chunk").alias("part"), (F.col("before") + F.col("scored")).alias("pos"),
+                ((F.col("scored") == 1) & (F.col("before") > 0)).alias("opens"), F.explode(F.array(*said)).alias("s"))
+            return x.select(*DOC_KEY, "part", "pos", "opens", "s.*").where("px <> 0")
+        return self._get("tagged", build)
+
     @property
     def entities(self) -> DataFrame:
         """Entities of the documents of several chunks, the truth's once for every model."""
